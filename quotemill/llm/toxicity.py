@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ BUCKET_BITS = 20
 #: Bytes of the beginnings of words that are features too: inflected forms share them.
 PREFIXES = (4, 6)
 #: Most training rows of each kind.
-POSITIVES = 8_000
-UNLABELLED = 24_000
+POSITIVES = 3_000
+UNLABELLED = 6_000
 #: A word is a feature if at least so many training texts hold it.
 MIN_TEXTS = 3
 SMOOTH = 1.0
@@ -83,9 +84,9 @@ def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float |
     prior = share if prior is None else prior
     counts = np.bincount(buckets, minlength=size)
     used = np.flatnonzero(counts >= min(MIN_TEXTS, max(1, n // 20)))
-    column = np.full(size, -1)
+    column = np.full(size, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
-    row = np.repeat(np.arange(n), np.diff(at))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     keep = column[buckets] >= 0
     row, col = row[keep], column[buckets[keep]]
     # a feature's value is its log odds between positives and all: common to both is near zero
@@ -111,7 +112,7 @@ def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float |
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
     weights = np.zeros(size, dtype=np.float32)
     weights[used] = w * value
-    f = np.bincount(row, weights[buckets[keep]].astype(np.float64), n)
+    f = np.bincount(row, (w * value)[col], n)
     scale, offset = _platt(f, toxic.astype(float))
     return Model(weights, scale, offset)
 
@@ -151,15 +152,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     table = training_rows(docs, labels, positives, unlabelled).toArrow()
-    lists = table.column("buckets").combine_chunks()
-    toxic = np.array(table.column("toxic").to_pylist(), dtype=bool)
-    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
-    ids = np.array([str(x) for x in table.column("doc_id").to_pylist()])
-    order = np.argsort(ids, kind="stable")  # rows come in any order
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    new_at = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
-    take = np.arange(new_at[-1]) - np.repeat(new_at[:-1], sizes[order]) + np.repeat(at[:-1][order], sizes[order])
-    return train(flat[take] if len(flat) else np.zeros(0, dtype=np.int64), new_at, toxic[order])
+    # rows come in any order
+    table = table.take(pc.sort_indices(table["doc_id"]))
+    lists = table["buckets"].combine_chunks()
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["toxic"].to_numpy().astype(bool))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
