@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import chat, decontaminate, html, licenses, secret_scan, simhash, toxicity
+from quotemill.llm import chat, decontaminate, html, licenses, mixing, repeats, secret_scan, simhash, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(_read(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -42,8 +54,8 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate, op10_chat_perspectives)}
+    return {f.__name__: f for f in (op1_repeats, op2_mixing, op3_topk, op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate, op10_chat_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE}
