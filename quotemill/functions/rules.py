@@ -1,7 +1,8 @@
 """Scalar rules of the cleaning layer as native column expressions."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,18 +87,15 @@ def to_json_text(x) -> Column:
     return F.when(t.isNull() | F.lower(t).isin(*NULL_WORDS), F.lit(None).cast("string")).when(F.try_parse_json(t).isNotNull(), t).otherwise(F.to_json(F.struct(t.alias("raw"))))
 
 
-def nfc(x):
-    """Unicode NFC; plain ASCII never leaves the JVM."""
-    import unicodedata
-
-    import pandas as pd
+@F.pandas_udf("string")
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
+def nfc(x) -> Column:
+    """Unicode NFC; plain ASCII never leaves the JVM."""
     c = _c(x)
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(normal(c))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_nfc(c))
 
 
 def canonical_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
