@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts that count as null, and the texts of booleans.
 NULL_WORDS = ("", "nan", "none", "null", "<na>")
@@ -87,7 +88,7 @@ def to_json_text(x) -> Column:
     return F.when(t.isNull() | F.lower(t).isin(*NULL_WORDS), F.lit(None).cast("string")).when(F.try_parse_json(t).isNotNull(), t).otherwise(F.to_json(F.struct(t.alias("raw"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
