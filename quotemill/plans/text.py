@@ -163,15 +163,17 @@ def universe(listing: DataFrame) -> DataFrame:
 def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...] = ("title", "summary", "body_text")) -> DataFrame:
     """article_id, part, start (from 0), code, raw token and the text around it, for every token that is a code.
 
-    Texts are cut at the edges of ASCII letters and digits, so candidates are an equi-join of tokens with codes."""
+    Distinct tokens of each text are joined with the codes first, without the text; only texts that hold a code are then cut
+    at its places."""
     text = F.coalesce(*(F.when(F.col("part") == k, F.coalesce(F.col(c), F.lit(""))) for k, c in enumerate(parts)))
     each = news.select("article_id", *parts, F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("part")).select("article_id", "part", text.alias("raw"))
-    each = each.withColumn("folded", fold_accents("raw"))
-    pieces = F.split("folded", r"(?<=[A-Z0-9])(?![A-Z0-9])|(?<![A-Z0-9])(?=[A-Z0-9])")
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    tokens = each.withColumn("token", F.explode(F.filter(F.transform(F.arrays_zip(pieces.alias("p"), starts.alias("s")), lambda x: F.struct(x["p"].alias("code"), x["s"].alias("start"))), lambda x: x["code"].rlike("^[A-Z0-9]{2,}$"))))
-    tokens = tokens.select("article_id", "part", "raw", "folded", "token.code", "token.start").join(codes, "code", "left_semi")
+    words = each.select("article_id", "part", F.explode(F.array_distinct(F.regexp_extract_all(fold_accents("raw"), F.lit("([A-Z0-9]+)"), F.lit(1)))).alias("code"))
+    held = words.join(codes, "code", "left_semi").groupBy("article_id", "part").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    found = each.join(held, ["article_id", "part"]).select("article_id", "part", "raw", fold_accents("raw").alias("folded"), F.explode("codes").alias("code"))
+    pieces = F.split("folded", F.concat(F.lit("(?<![A-Z0-9])"), "code", F.lit("(?![A-Z0-9])")), -1)
     size = F.length("code")
+    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.when(F.size(a) > 0, F.get(a, F.size(a) - 1) + size).otherwise(0) + F.length(p))))
+    tokens = found.withColumn("start", F.explode(starts))
     at = F.greatest(F.lit(0), F.col("start") - AROUND)
     return tokens.select("article_id", "part", "start", "code", F.substring("raw", F.col("start") + 1, size).alias("token"), F.substring("folded", at + 1, F.col("start") - at).alias("left"), F.substring("folded", F.col("start") + size + 1, F.lit(AROUND)).alias("right"))
 

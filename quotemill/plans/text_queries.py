@@ -1 +1,400 @@
-"""Registered queries."""
+"""Registered queries of news, documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quotemill.functions.rules import rounded
+from quotemill.plans import text
+from quotemill.plans.registry import query
+from quotemill.sources.proxy import Tables
+
+AS_OF = "1995-03-01 00:00:00"
+SPACE = r"[ \t\n\r\f\x0b]+"
+
+LOCAL = "(published_at + interval 7 hour)"
+NEWS = {
+    "tickered": "select *, list_filter(list_concat(case when trim(ticker) <> '' then [trim(ticker)] else [] end, list_transform(ticker_mentions, lambda x: trim(x))), lambda x: x is not null and x <> '') as every from news where published_date is not null and trim(title) <> ''",
+    "coded": "select * exclude (ticker), unnest(list_distinct(every)) as ticker from tickered",
+    "facts": """select * exclude (n) from (select *, case when lower(coalesce(title, '')) like '%' || lower(ticker) || '%' then 'title' when lower(coalesce(summary, '')) like '%' || lower(ticker) || '%' then 'summary' else 'body' end as ticker_relevance,
+        case when source ilike '%src1%' then 1 when source ilike '%src2%' then 2 else 3 end as source_tier, row_number() over (partition by article_id, ticker order by source, doc_id) as n from coded) where n = 1""",
+    "weighted": f"""select *, case when dayofweek({LOCAL}) = 0 then published_date + 1 when dayofweek({LOCAL}) = 6 then published_date + 2 when cast({LOCAL} as time) > time '14:30:00' then published_date + 1 else published_date end as trading_date,
+        case ticker_relevance when 'title' then 3.0::double when 'summary' then 2.0 else 1.0 end * case source_tier when 1 then 1.5::double when 2 then 1.2 else 1.0 end * coalesce(exp(-(epoch(timestamp '{AS_OF}') - epoch(published_at)) / (48.0 * 3600.0)), 1.0) as article_weight from facts""",
+    "signal": """select ticker, trading_date, count(*) as news_count, count(*) filter (where sentiment_label = 'positive') as positive_count, count(*) filter (where sentiment_label = 'negative') as negative_count, count(*) filter (where sentiment_label = 'neutral') as neutral_count,
+        round(cast(sum(sentiment_score * article_weight) / nullif(sum(article_weight), 0) as decimal(28,10)), 4)::double as weighted_sentiment, round(cast(avg(sentiment_score) as decimal(28,10)), 4)::double as avg_sentiment_score,
+        case when sum(sentiment_score * article_weight) / nullif(sum(article_weight), 0) >= 0.3 then 'buy_signal' when sum(sentiment_score * article_weight) / nullif(sum(article_weight), 0) <= -0.3 then 'sell_signal' else 'neutral' end as news_signal,
+        case when count(*) filter (where sentiment_label = 'positive') > count(*) filter (where sentiment_label = 'negative') then 'positive' when count(*) filter (where sentiment_label = 'negative') > count(*) filter (where sentiment_label = 'positive') then 'negative' else 'neutral' end as dominant_sentiment from weighted group by 1, 2""",
+    "tops": "select ticker, trading_date, string_agg(article_id, ',' order by k) as top_ids from (select *, row_number() over (partition by ticker, trading_date order by article_weight desc nulls last, article_id) as k from weighted) where k <= 3 group by 1, 2",
+}
+
+
+def facts(t: Tables) -> DataFrame:
+    return text.article_tickers(t.news())
+
+
+def weighted(t: Tables) -> DataFrame:
+    return text.weighted_articles(facts(t), AS_OF)
+
+
+def signals(t: Tables) -> DataFrame:
+    return text.news_signal(weighted(t)).drop("top_articles")
+
+
+@query("select article_id, array_to_string(list_sort(list_distinct(every)), ',') as tickers from tickered", **NEWS)
+def array_merge_distinct(t: Tables) -> DataFrame:
+    return t.news().where("trim(title) <> ''").select("article_id", F.concat_ws(",", F.array_sort(text.all_tickers())).alias("tickers"))
+
+
+@query("select article_id, ticker from facts", **NEWS)
+def join_lateral_unnest(t: Tables) -> DataFrame:
+    return facts(t).select("article_id", "ticker")
+
+
+@query("select article_id, ticker, ticker_relevance, source_tier from facts", **NEWS)
+def news_explode_rank(t: Tables) -> DataFrame:
+    return facts(t).select("article_id", "ticker", "ticker_relevance", "source_tier")
+
+
+@query("select article_id, ticker, source, title, url, published_at, sentiment_label from facts", **NEWS)
+def fact_news_article(t: Tables) -> DataFrame:
+    return facts(t).select("article_id", "ticker", "source", "title", "url", "published_at", "sentiment_label")
+
+
+@query("select article_id, ticker, trading_date from weighted", **NEWS)
+def session_date_map(t: Tables) -> DataFrame:
+    return weighted(t).select("article_id", "ticker", "trading_date")
+
+
+@query("select article_id, ticker, round(cast(article_weight as decimal(28,10)), 6)::double as weight from weighted", **NEWS)
+def article_weight(t: Tables) -> DataFrame:
+    return weighted(t).select("article_id", "ticker", rounded("article_weight", 6).alias("weight"))
+
+
+@query("select s.*, top_ids from signal s left join tops t on s.ticker = t.ticker and s.trading_date = t.trading_date", **NEWS)
+def news_signal(t: Tables) -> DataFrame:
+    return signals(t)
+
+
+@query("select ticker, trading_date, top_ids from tops", **NEWS)
+def subquery_correlated_topk(t: Tables) -> DataFrame:
+    return signals(t).select("ticker", "trading_date", "top_ids")
+
+
+@query("select ticker, trading_date, weighted_sentiment from signal", **NEWS)
+def agg_weighted_mean(t: Tables) -> DataFrame:
+    return signals(t).select("ticker", "trading_date", "weighted_sentiment")
+
+
+@query("select news_signal, count(*) as n from signal group by 1", **NEWS)
+def agg_threshold_signal(t: Tables) -> DataFrame:
+    return signals(t).groupBy("news_signal").agg(F.count("*").alias("n"))
+
+
+@query("select dominant_sentiment, count(*) as n from signal group by 1", **NEWS)
+def agg_majority_label(t: Tables) -> DataFrame:
+    return signals(t).groupBy("dominant_sentiment").agg(F.count("*").alias("n"))
+
+
+_MODE = "(select ticker, published_date, min(sentiment_label) as dominant_label from (select *, rank() over (partition by ticker, published_date order by n desc) as k from (select ticker, published_date, sentiment_label, count(*) as n from facts group by all)) where k = 1 group by all)"
+
+
+@query(f"select f.ticker, f.published_date, count(*) as news_count, round(cast(avg(sentiment_score) as decimal(28,10)), 4)::double as avg_score, count(*) filter (where sentiment_label = 'positive') as positive_count, count(*) filter (where sentiment_label = 'negative') as negative_count, count(*) filter (where sentiment_label = 'neutral') as neutral_count, any_value(m.dominant_label) as dominant_label from facts f join {_MODE} m on f.ticker = m.ticker and f.published_date = m.published_date group by 1, 2", **NEWS)
+def agg_news_daily(t: Tables) -> DataFrame:
+    return text.sentiment_daily(facts(t))
+
+
+@query(f"select dominant_label, count(*) as n from {_MODE} group by 1", **NEWS)
+def agg_mode(t: Tables) -> DataFrame:
+    return text.sentiment_daily(facts(t)).groupBy("dominant_label").agg(F.count("*").alias("n"))
+
+
+@query("select p.ticker, p.trading_date, p.close, coalesce(s.news_count, 0) as news_count, s.weighted_sentiment, s.news_signal from price p left join signal s on p.ticker = s.ticker and p.trading_date = s.trading_date", **NEWS)
+def stock_daily(t: Tables) -> DataFrame:
+    return text.stock_daily(t.price().select("ticker", "trading_date", "close"), signals(t))
+
+
+@query("select coalesce(s.news_count, 0) as news_count, count(*) as n from price p left join signal s on p.ticker = s.ticker and p.trading_date = s.trading_date group by 1", **NEWS)
+def join_left_default(t: Tables) -> DataFrame:
+    return text.stock_daily(t.price().select("ticker", "trading_date"), signals(t)).groupBy("news_count").agg(F.count("*").alias("n"))
+
+
+@query(f"select article_id from news where coalesce(cast({LOCAL} as date), published_date) between date '1995-01-10' and date '1995-01-20'")
+def local_date_filter(t: Tables) -> DataFrame:
+    return t.news().where(text.local_day().between("1995-01-10", "1995-01-20")).select("article_id")
+
+
+@query("select article_id from news where title ilike '%the%' or summary ilike '%the%'")
+def search_ilike(t: Tables) -> DataFrame:
+    return t.news().where(F.col("title").ilike("%the%") | F.col("summary").ilike("%the%")).select("article_id")
+
+
+@query(f"select doc_id, length(regexp_replace(text, '{SPACE}', ' ', 'g')) as n, len(regexp_extract_all(coalesce(title, '') || ' ' || coalesce(body_text, ''), '[^ \\t\\n\\r\\f\\x0b]+'))::int as words from (select *, body_text as text from news)")
+def word_count(t: Tables) -> DataFrame:
+    return t.news().select("doc_id", F.length(F.regexp_replace("body_text", SPACE, " ")).cast("long").alias("n"), text.word_count("title", "body_text").alias("words"))
+
+
+def _count_sql(words: tuple[str, ...]) -> str:
+    return " + ".join(f"(length(x) - length(replace(x, '{w}', ''))) // {len(w)}" for w in words)
+
+
+@query(f"select p_partkey, ({_count_sql(text.POSITIVE)} - ({_count_sql(text.NEGATIVE)}))::int as score from (select p_partkey, lower(title || ' ' || (['lãi tăng', 'lỗ, sụt giảm', 'Kỷ lục', 'cảnh báo áp lực'])[(p_partkey % 4 + 1)::int]) as x from filings)")
+def sentiment_keywords(t: Tables) -> DataFrame:
+    more = F.element_at(F.array(*(F.lit(x) for x in ("lãi tăng", "lỗ, sụt giảm", "Kỷ lục", "cảnh báo áp lực"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.filings().select("p_partkey", text.sentiment(F.concat_ws(" ", "title", more)).cast("int").alias("score"))
+
+
+_PLAIN = f"translate(lower(title), '{text._FROM}đ', '{text._TO}d')"
+_NORM = f"trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"select p_partkey, translate(upper(title), '{text._FROM.upper()}', '{text._TO.upper()}') as x from filings")
+def fold_accents(t: Tables) -> DataFrame:
+    return t.filings().select("p_partkey", text.fold_accents("title").alias("x"))
+
+
+@query(f"select p_partkey, {_PLAIN} as x from filings")
+def strip_accents_ascii(t: Tables) -> DataFrame:
+    return t.filings().select("p_partkey", text.plain("title").alias("x"))
+
+
+@query(f"select p_partkey, {_NORM} as x from filings")
+def normalize_title(t: Tables) -> DataFrame:
+    return t.filings().select("p_partkey", text.normal_title("title").alias("x"))
+
+
+@query("select distinct upper(trim(symbol)) as code from listing where lower(type) = 'stock' and length(trim(symbol)) >= 2")
+def universe_load(t: Tables) -> DataFrame:
+    return text.universe(t.listing())
+
+
+#: Words of the synthetic prose serve as a universe of codes for the mention queries.
+CODES = ("DER", "ENE", "HETI", "THEA", "ONHE", "LAIE", "QUE", "TION")
+
+
+def _codes(t: Tables) -> DataFrame:
+    words = t.raw("documents").select(F.explode(F.split(F.upper(F.left("text", F.lit(200))), "[^A-Z0-9]+")).alias("code"))
+    return words.where(F.col("code").isin(*CODES)).distinct()
+
+
+_TOKENS = f"select article_id, part, unnest(regexp_extract_all(upper(translate(upper(x), '{text._FROM.upper()}', '{text._TO.upper()}')), '[A-Z0-9]+')) as code from (select article_id, 0 as part, coalesce(title, '') as x from news union all select article_id, 1, coalesce(summary, '') from news union all select article_id, 2, coalesce(body_text, '') from news)"
+
+
+@query("select article_id, part, code, count(*) as n from tokens where code in (select distinct unnest(regexp_extract_all(upper(left(text, 200)), '[A-Z0-9]+')) from documents) and code in ('" + "', '".join(CODES) + "') group by all", tokens=_TOKENS)
+def mention_candidates(t: Tables) -> DataFrame:
+    return text.mention_candidates(t.news(), _codes(t)).groupBy("article_id", "part", "code").agg(F.count("*").alias("n"))
+
+
+@query()
+def mention_context_score(t: Tables) -> DataFrame:
+    return text.mention_scores(text.mention_candidates(t.news(), _codes(t)))
+
+
+@query()
+def mention_rank(t: Tables) -> DataFrame:
+    return text.ranked_mentions(text.mention_scores(text.mention_candidates(t.news(), _codes(t))))
+
+
+@query()
+def news_clean(t: Tables) -> DataFrame:
+    """The cleaning of news as a whole: richest rows, mentions, primary ticker, words, sentiment, local day."""
+    from quotemill.functions.rules import compact
+    from quotemill.plans.silver import richest_article
+
+    n = richest_article(t.news())
+    found = text.ranked_mentions(text.mention_scores(text.mention_candidates(n, _codes(t))))
+    n = n.drop("ticker_mentions").join(found.withColumnRenamed("mentions", "ticker_mentions"), "article_id", "left")
+    score = text.sentiment(F.concat_ws(" ", "title", "body_text"))
+    return n.select("article_id", "source", compact("title").alias("title"), text.primary_ticker().alias("ticker"), text.word_count("title", "summary", "body_text").alias("word_count"), score.alias("sentiment_score"), text.label(score).alias("sentiment_label"), F.to_date(text.local_time("published_at")).alias("published_date"))
+
+
+@query()
+def check_blocklist_context(t: Tables) -> DataFrame:
+    """Articles whose given ticker is blocked or short and has no scored mention."""
+    scored = text.mention_scores(text.mention_candidates(t.news(), _codes(t))).select("article_id", F.col("code").alias("ticker")).distinct()
+    return t.news().where(F.length("ticker") <= 6).join(scored, ["article_id", "ticker"], "left_anti").select("article_id", "ticker")
+
+
+@query("select article_id, case when list_contains(ticker_mentions, ticker) then ticker else ticker_mentions[1] end as primary_ticker from news")
+def primary_ticker(t: Tables) -> DataFrame:
+    return t.news().select("article_id", text.primary_ticker().alias("primary_ticker"))
+
+
+_URL = "'https://news.example.com/' || lang || '/' || doc_id || '?a=' || doc_id % 10 || '&b=2'"
+
+
+@query(f"select doc_id, {_URL} as url from documents")
+def url_normalize(t: Tables) -> DataFrame:
+    return t.news().select("doc_id", text.normal_url("url").alias("url"))
+
+
+@query(f"select doc_id, sha256({_URL}) as content_id from documents")
+def content_id(t: Tables) -> DataFrame:
+    return t.news().select("doc_id", text.content_id(F.col("url"), "source", "title").alias("content_id"))
+
+
+@query("select p_partkey, sha1(source || '|' || ticker || '|' || title || '|' || strftime(published_at, '%Y-%m-%d') || '|' || url_pdf) as id from filings")
+def doc_id(t: Tables) -> DataFrame:
+    return t.filings().select("p_partkey", text.document_id("source", "ticker", "title", F.date_format("published_at", "yyyy-MM-dd"), "url_pdf").alias("id"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then 'feed' || page_id % 3 || '_rss' else 'rss_' || lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) end as label from pages")
+def source_label(t: Tables) -> DataFrame:
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("feed"), (F.col("page_id") % 3).cast("string")))
+    return t.raw("pages").select("page_id", text.source_label(name, F.col("url")).alias("label"))
+
+
+@query("select p_partkey, left(regexp_replace(regexp_replace(trim(p_name || ' / ' || p_type), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), 20) as name from part")
+def safe_name(t: Tables) -> DataFrame:
+    return t.raw("part").select("p_partkey", text.safe_name(F.concat_ws(" / ", "p_name", "p_type"), 20).alias("name"))
+
+
+_STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g'))"""
+
+
+@query(f"select page_id, {_STRIP} as text from pages")
+def strip_html(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", text.stripped("html").alias("text"))
+
+
+@query()
+def page_article_extract(t: Tables) -> DataFrame:
+    return text.page_article(t.raw("pages"))
+
+
+@query("select o_orderkey, date_trunc('minute', o_orderdate) - interval 7 hour as at from orders")
+def page_date_parse(t: Tables) -> DataFrame:
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    x = F.when(k == 0, F.date_format(d, "dd/MM/yyyy, HH:mm")).when(k == 1, F.date_format(d, "dd-MM-yyyy - HH:mm")).when(k == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.date_format(d, "yyyy-MM-dd'T'HH:mm:00"), F.lit("+07:00")))
+    return t.raw("orders").select("o_orderkey", text.page_date(x).alias("at"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then url when page_id % 3 = 0 then 'found' end as title from pages")
+def page_field_merge(t: Tables) -> DataFrame:
+    p = t.raw("pages")
+    css = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").alias("title"))
+    return text.merged_fields(css, p.select("page_id", F.when(F.col("page_id") % 3 == 0, "found").alias("title")), "page_id", ["title"])
+
+
+@query()
+def page_links(t: Tables) -> DataFrame:
+    return text.page_links(t.raw("pages"))
+
+
+@query()
+def link_pattern_mode(t: Tables) -> DataFrame:
+    return text.common_pattern(text.page_links(t.raw("pages")))
+
+
+@query("select doc_id, source from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n <= 20")
+def feed_entry_normalize(t: Tables) -> DataFrame:
+    return text.capped_per_feed(t.raw("documents").select("doc_id", "source"), "source", "doc_id", 20)
+
+
+@query("select page_id from (select *, row_number() over (partition by page_id % 5 order by page_id) as k from (select *, row_number() over (partition by url order by page_id) as n from pages) where n = 1 and length(coalesce(html, '')) > 0) where k <= 15")
+def page_list_select(t: Tables) -> DataFrame:
+    return text.select_pages(t.raw("pages"), F.col("page_id") % 5, 15).select("page_id")
+
+
+@query()
+def disclosure_rows(t: Tables) -> DataFrame:
+    return text.table_rows(t.raw("pages"))
+
+
+@query("select page_id, page_id * 10 || '.pdf' as url_pdf from pages")
+def disclosure_attachments(t: Tables) -> DataFrame:
+    p = t.raw("pages")
+    linked = p.select("page_id", F.concat("html", F.lit('<a href="'), (F.col("page_id") * 10).cast("string"), F.lit('.pdf">x</a><a href="'), (F.col("page_id") * 10).cast("string"), F.lit('.pdf">y</a>')).alias("html"))
+    return text.attachments(linked, p.select("page_id"), "page_id").select("page_id", "url_pdf")
+
+
+def _any(words) -> str:
+    return "(" + " or ".join(f"norm like '%{w}%'" for w in words) + ")"
+
+
+_CLASS = "case " + " ".join(f"when {_any(w)} then '{n}'" for n, w in text.CLASS_WORDS) + " else 'unknown' end"
+_EN = r"regexp_matches(regexp_extract(url_pdf, '([^/]*)$', 1), '(?i)[_.-]en[_.-]')"
+_VI = "regexp_matches(title, '" + text.VI_SCRIPT + "')"
+_LANG_NORM = f"trim(regexp_replace(translate(lower(title || ' ' || regexp_extract(url_pdf, '([^/]*)$', 1)), '{text._FROM}đ', '{text._TO}d'), '[^a-z0-9]+', ' ', 'g'))"
+_LANG = f"case when {_EN} and not {_VI} then 'EN' when {_VI} then 'VI' when {_any(text.EN_WORDS).replace('norm', 'lnorm')} and not {_any(text.VI_WORDS).replace('norm', 'lnorm')} then 'EN' when {_any(text.VI_WORDS).replace('norm', 'lnorm')} then 'VI' else 'UNKNOWN' end"
+_PERIOD = "regexp_extract(title, '20[0-9][0-9]') || '-' || case " + " ".join(f"when regexp_matches(norm, '{p}') then '{n}'" for n, p in text.QUARTERS) + f" when {_any(('6 thang', 'ban nien', 'half year', 'interim 6'))} then 'H1' when {_any(('9 thang', 'nine month'))} then '9M' when {_any(('nam', 'annual', 'year ended'))} then 'ANNUAL' else 'GENERAL' end"
+DOCS = {
+    "normed": f"select *, {_NORM} as norm, {_LANG_NORM} as lnorm from filings", "classed": f"select *, {_CLASS} as doc_class, {_LANG} as language, {_PERIOD} as period_key from normed",
+    "ranked_docs": "select *, case when doc_class not like 'financial%' then 99 when language = 'EN' then 99 when language = 'UNKNOWN' then case when doc_class like '%consolidated' then 3 else 4 end when doc_class like '%consolidated' then 1 else 2 end as canonical_priority from classed",
+}
+
+
+@query("select p_partkey, doc_class, language, period_key, canonical_priority, canonical_priority < 99 as keep_for_parse from ranked_docs", **DOCS)
+def doc_classify(t: Tables) -> DataFrame:
+    return text.classify_documents(t.filings()).select("p_partkey", "doc_class", "language", "period_key", F.col("canonical_priority"), "keep_for_parse")
+
+
+for _name, _column in (("doc_class", "doc_class"), ("doc_language", "language"), ("doc_period_key", "period_key"), ("doc_priority", "canonical_priority")):
+
+    def _one(t: Tables, column: str = _column) -> DataFrame:
+        return text.classify_documents(t.filings()).groupBy(column).agg(F.count("*").alias("n"))
+
+    _one.__name__ = _name
+    query(f"select {_column}, count(*) as n from ranked_docs group by 1", **DOCS)(_one)
+
+
+@query("select ticker, period_key, p_partkey from (select *, row_number() over (partition by ticker, period_key order by canonical_priority, url_pdf) as n from ranked_docs where canonical_priority < 99) where n = 1", **DOCS)
+def doc_canonical_select(t: Tables) -> DataFrame:
+    return text.canonical_documents(text.classify_documents(t.filings())).select("ticker", "period_key", "p_partkey")
+
+
+@query("select p_partkey, case when doc_class not like 'financial%' then 'skipped_doc_class:' || doc_class when language = 'EN' then 'skipped_language_en' else 'download' end as decision from ranked_docs", **DOCS)
+def doc_ingest_decision(t: Tables) -> DataFrame:
+    return text.classify_documents(t.filings()).select("p_partkey", text.ingest_decision().alias("decision"))
+
+
+@query(f"select p_partkey, regexp_extract(title, '20[0-9][0-9]') as year from (select *, {_PLAIN} as norm from filings) where {_any(text.LIST_INCLUDE)} and not {_any(text.LIST_EXCLUDE)} and {_any(text.LIST_ANNUAL)}")
+def doc_list_filter(t: Tables) -> DataFrame:
+    return text.filter_document_list(t.filings(), strict_annual=True).select("p_partkey", "year")
+
+
+@query("select status, count(*) as n, count(*) filter (where qc_pass) as passed from filings group by 1")
+def agg_doc_status(t: Tables) -> DataFrame:
+    return t.filings().groupBy("status").agg(F.count("*").alias("n"), F.count_if("qc_pass").alias("passed"))
+
+
+@query()
+def pdf_file_check(t: Tables) -> DataFrame:
+    """The tables' own files as the files to check: none of them is a PDF."""
+    return text.checked_files(t.spark.read.format("binaryFile").load(f"{t.dir}/region.parquet")).drop("path")
+
+
+@query("select ticker, count(*) as n from facts group by 1 order by n desc, ticker limit 10", **NEWS)
+def value_counts_top10(t: Tables) -> DataFrame:
+    return facts(t).groupBy("ticker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ticker").limit(10)
+
+
+@query("select count(*) filter (where a and b) as both, count(*) as either from (select doc_id, bool_or(k = 0) as a, bool_or(k = 1) as b from (select distinct doc_id, 0 as k from documents where doc_id % 3 > 0 union all select doc_id, 1 from labels) group by 1)")
+def set_overlap(t: Tables) -> DataFrame:
+    a, b = t.raw("documents").where("doc_id % 3 > 0").select("doc_id"), t.raw("labels").select("doc_id")
+    both = a.intersect(b).select(F.lit(1).alias("both"), F.lit(0).alias("either"))
+    either = a.union(b).distinct().select(F.lit(0).alias("both"), F.lit(1).alias("either"))
+    return both.unionAll(either).agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
+
+
+@query("select count(*) filter (where coalesce(article_id, '') = '') as empty_ids, count(*) - count(distinct article_id) as repeated_ids, count(*) filter (where lower(url) not like 'http%') as bad_urls, count(*) - count(distinct url) as repeated_urls, count(*) filter (where trim(coalesce(title, '')) = '') as empty_titles, round(cast(count(*) filter (where not list_contains(ticker_mentions, ticker)) * 1.0 / count(*) as decimal(28,10)), 4)::double as unmentioned_share from news")
+def check_news_silver(t: Tables) -> DataFrame:
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return t.news().agg(F.count_if(blank("article_id")).alias("empty_ids"), (F.count("*") - F.count_distinct("article_id")).alias("repeated_ids"), F.count_if(~F.lower("url").startswith("http")).alias("bad_urls"), (F.count("*") - F.count_distinct("url")).alias("repeated_urls"), F.count_if(blank("title")).alias("empty_titles"), rounded(F.count_if(~F.array_contains("ticker_mentions", F.col("ticker"))) / F.count("*"), 4).alias("unmentioned_share"))
+
+
+@query("select count(*) filter (where trim(title) = '') as no_title, round(cast(count(*) filter (where body_text = title) * 1.0 / count(*) as decimal(28,10)), 4)::double as body_is_title from news")
+def check_news_bronze(t: Tables) -> DataFrame:
+    return t.news().agg(F.count_if(F.trim("title") == "").alias("no_title"), rounded(F.count_if(F.col("body_text") == F.col("title")) / F.count("*"), 4).alias("body_is_title"))
+
+
+@query("select source, count(*) as rows, count(*) filter (where length(body_text) > 0) as with_body, min(published_at) as first_at, max(published_at) as last_at from news group by 1")
+def news_pipeline_report(t: Tables) -> DataFrame:
+    return t.news().groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.length("body_text") > 0).alias("with_body"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+
+
+@query("select doc_id, source, k from (select doc_id, source, 0 as k from documents where doc_id % 2 = 0 union all select doc_id, null, 1 from documents where doc_id % 2 = 1)")
+def scan_multi_stream(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    html, rss = d.where("doc_id % 2 = 0").select("doc_id", "source", F.lit(0).alias("k")), d.where("doc_id % 2 = 1").select("doc_id", F.lit(1).alias("k"))
+    return html.unionByName(rss, allowMissingColumns=True)
