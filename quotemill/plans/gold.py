@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from quotemill.functions.rules import rounded
 from quotemill.operators.keyed import ranked_dedupe, top_per_group
 
-SERIES = W.partitionBy("ticker").orderBy("trading_date")
-RUNNING = SERIES.rowsBetween(W.unboundedPreceding, 0)
+def series():
+    """The one window specification of prices."""
+    return W.partitionBy("ticker").orderBy("trading_date")
+
+
+def running():
+    return series().rowsBetween(W.unboundedPreceding, 0)
 
 
 def last_rows(n: int):
-    return SERIES.rowsBetween(1 - n, 0)
+    return series().rowsBetween(1 - n, 0)
 
 
 def share_of_change(now: Column, before: Column) -> Column:
@@ -26,7 +31,7 @@ def share_of_change(now: Column, before: Column) -> Column:
 
 
 def daily_returns(price: DataFrame) -> DataFrame:
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     return price.withColumn("daily_return", share_of_change(F.col("close"), before))
 
 
@@ -34,7 +39,7 @@ def price_indicators(price: DataFrame, no_loss_rsi: float | None = None) -> Data
     """ticker, trading_date, close, volume and their indicators; ``no_loss_rsi`` is the RSI of 14 days without a loss (null
     by default)."""
     p = price.select("ticker", "trading_date", "close", "volume")
-    p = p.withColumns({"prev_close": F.lag("close").over(SERIES), "row_num": F.count("*").over(RUNNING)})
+    p = p.withColumns({"prev_close": F.lag("close").over(series()), "row_num": F.count("*").over(running())})
     change = F.col("close") - F.col("prev_close")
     p = p.withColumns({
         "daily_return": share_of_change(F.col("close"), F.col("prev_close")), "gain": F.greatest(change, F.lit(0.0)), "loss": F.greatest(-change, F.lit(0.0)),
@@ -48,7 +53,7 @@ def price_indicators(price: DataFrame, no_loss_rsi: float | None = None) -> Data
     rsi = F.coalesce(100 - 100 / (1 + F.col("up") / down), F.lit(no_loss_rsi).cast("double"))
     p = p.withColumns({
         "ma7": full(7, mean("close", 7)), "ma20": full(20, F.col("m20")), "ma50": full(50, mean("close", 50)), "rsi14": full(14, F.when(F.col("up") + F.col("down") > 1e-9, rsi)), "macd_line": full(26, mean("close", 12) - mean("close", 26)),
-        "bb_middle": full(20, F.col("m20")), "bb_upper": full(20, F.col("m20") + 2 * F.col("sd20")), "bb_lower": full(20, F.col("m20") - 2 * F.col("sd20")), "volume_ma20": mean("volume", 20), "obv": F.sum("signed_volume").over(RUNNING),
+        "bb_middle": full(20, F.col("m20")), "bb_upper": full(20, F.col("m20") + 2 * F.col("sd20")), "bb_lower": full(20, F.col("m20") - 2 * F.col("sd20")), "volume_ma20": mean("volume", 20), "obv": F.sum("signed_volume").over(running()),
     })
     p = p.withColumn("macd_signal", F.avg("macd_line").over(last_rows(9))).withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
     return p.select("ticker", "trading_date", "close", "volume", "row_num", "daily_return", "ma7", "ma20", "ma50", "rsi14", "macd_line", "macd_signal", "macd_hist", "bb_middle", "bb_upper", "bb_lower", "volume_ma20", "obv")

@@ -173,9 +173,9 @@ def sink_by_month_merge(t: Tables) -> DataFrame:
     return keyed.ranked_dedupe(both, _KEYS, [F.desc("fetched_at")]).drop("fetched_at")
 
 
-@query("select ticker, item_code, period, value + 1 as value from ratio where year = 1996 and value is not null union all select ticker, item_code, period, value from ratio where year = 1996 and value is null")
+@query("select ticker, item_code, period, value + 1 as value from ratio")
 def sink_merge_ratio(t: Tables) -> DataFrame:
-    r = t.ratio().where("year = 1996").select("ticker", "item_code", "period", "value")
+    r = t.ratio().select("ticker", "item_code", "period", "value")
     newer = r.where("value is not null").withColumn("value", F.col("value") + 1)
     return keyed.upsert(r, newer, ["ticker", "item_code", "period"])
 

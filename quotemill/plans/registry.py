@@ -24,7 +24,7 @@ def query(sql: str | None = None, **views: str):
 
 
 def _load() -> None:
-    from quotemill.plans import gold_queries, incremental_queries, serve_queries, silver_queries, text_queries  # noqa: F401
+    from quotemill.plans import gold_queries, incremental_queries, job_queries, serve_queries, silver_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -96,17 +96,17 @@ def company_clean(t: Tables) -> DataFrame:
 
 def wide_ratio(t: Tables) -> DataFrame:
     """Wide snapshots with period columns, one of them doubled with a suffix, and two snapshots."""
-    r = t.ratio().where("year in (1995, 1996)")
+    r = t.ratio()
     name = F.concat_ws("-", F.col("year").cast("string"), F.concat(F.lit("Q"), F.col("quarter").cast("string")))
-    periods = [f"{y}-Q{q}" for y in (1995, 1996) for q in (1, 2, 3, 4)]
+    periods = [f"{y}-Q{q}" for y in range(1992, 2000) for q in (1, 2, 3, 4)]
     w = r.withColumn("p", name).groupBy("ticker", "item_code").pivot("p", periods).agg(F.max("value"))
     w = w.withColumns({"1996-Q4_1": F.col("`1996-Q4`") + 1, "1996-year": F.col("`1996-Q1`")})
     return w.withColumn("snapshot", F.lit("2024-01-01")).unionByName(w.withColumn("snapshot", F.lit("2024-02-01")))
 
 
 _LONG = {
-    "cells": "select ticker, item_code, period as period_column, value from ratio where year in (1995, 1996)",
-    "grid": "select k.ticker, k.item_code, p.p as period_column from (select distinct ticker, item_code from cells) k, (select distinct period_column as p from cells) p",
+    "cells": "select ticker, item_code, period as period_column, value from ratio",
+    "grid": "select k.ticker, k.item_code, p.p as period_column from (select distinct ticker, item_code from cells) k, (select y || '-Q' || q as p from range(1992, 2000) a(y), range(1, 5) b(q)) p",
     "long0": "select g.*, c.value from grid g left join cells c using (ticker, item_code, period_column)",
     "long": "select * from long0 union all select ticker, item_code, '1996-Q4_1', value + 1 from long0 where period_column = '1996-Q4' union all select ticker, item_code, '1996-year', value from long0 where period_column = '1996-Q1'",
 }

@@ -173,14 +173,14 @@ CODES = ("DER", "ENE", "HETI", "THEA", "ONHE", "LAIE", "QUE", "TION")
 
 
 def _codes(t: Tables) -> DataFrame:
-    words = t.raw("documents").select(F.explode(F.split(F.upper(F.left("text", F.lit(200))), "[^A-Z0-9]+")).alias("code"))
+    words = t.raw("documents").select(F.explode(F.array_distinct(F.split(F.upper("text"), "[^A-Z0-9]+"))).alias("code"))
     return words.where(F.col("code").isin(*CODES)).distinct()
 
 
 _TOKENS = f"select article_id, part, unnest(regexp_extract_all(upper(translate(upper(x), '{text._FROM.upper()}', '{text._TO.upper()}')), '[A-Z0-9]+')) as code from (select article_id, 0 as part, coalesce(title, '') as x from news union all select article_id, 1, coalesce(summary, '') from news union all select article_id, 2, coalesce(body_text, '') from news)"
 
 
-@query("select article_id, part, code, count(*) as n from tokens where code in (select distinct unnest(regexp_extract_all(upper(left(text, 200)), '[A-Z0-9]+')) from documents) and code in ('" + "', '".join(CODES) + "') group by all", tokens=_TOKENS)
+@query("select article_id, part, code, count(*) as n from tokens where code in (select distinct unnest(regexp_extract_all(upper(text), '[A-Z0-9]+')) from documents) and code in ('" + "', '".join(CODES) + "') group by all", tokens=_TOKENS)
 def mention_candidates(t: Tables) -> DataFrame:
     return text.mention_candidates(t.news(), _codes(t)).groupBy("article_id", "part", "code").agg(F.count("*").alias("n"))
 
