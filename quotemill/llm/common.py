@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task; a longer document is taken whole.
 CHUNK_BYTES = 2 << 20
@@ -30,6 +31,16 @@ def stored(df: DataFrame, *, like: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About ``n`` rows, never over 2 n, spread over all partitions: those whose hash of ``keys`` falls below a bound.  All rows
+    where there are no more than ``n``.  ``df`` should be cheap to count."""
+    total = df.count()
+    if total <= n:
+        return df
+    spread = 1 << 30
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(spread)) < F.lit(spread * n // total)).limit(2 * n)
+
+
 def byte_table(keep: list[int]) -> np.ndarray:
     """A table of 256 booleans that is true at the given byte values."""
     table = np.zeros(256, dtype=bool)
