@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.llm.common import ALNUM, chunks, word_hashes, word_spans
 
@@ -173,7 +174,7 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
         for part, data, offsets in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own.scores(*features(data, offsets)), pa.float64())], names=["row", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -362,3 +362,15 @@ def test_pipeline(spark):
         assert out.columns == d.columns, name
         assert stage(spark, d.where("false"), SF).count() == 0, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in ("row", "score", "spans", "items", "n_words", "epoch", "block", "copies", "label", "secret", "component_id", "a.b"):
+        d = d.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        assert out.columns[: len(d.columns)] == d.columns, name
+        assert out.count() > 0, name
