@@ -38,7 +38,7 @@ def merge_partitions(df: DataFrame, path: str, keys: list[str], *columns: str) -
     spark = df.sparkSession
     touched = df.select(*columns).distinct()
     stored = spark.read.parquet(path)
-    merged = upsert(stored.join(F.broadcast(touched), list(columns), "left_semi"), df, keys)
+    merged = upsert(stored.join(touched, list(columns), "left_semi"), df, keys)
     stage = scratch(spark, "stage")
     merged.write.parquet(stage)
     overwrite_partitions(spark.read.schema(merged.schema).parquet(stage), path, *columns)
