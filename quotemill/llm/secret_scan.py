@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm.common import bounded_sample, stored
+
 MIN_LENGTH = 12
 TRAINING_ROWS = 8_000
 REDACTED = "<SECRET>"
@@ -80,22 +82,20 @@ def seed_labels(featured: DataFrame) -> DataFrame:
 def fit(featured: DataFrame, labelled: DataFrame | None = None, rows: int = TRAINING_ROWS, trees: int = 40, depth: int = 7, seed: int = 7):
     """A forest from labelled findings, or the only label's value where one alone is known (0.0 if none)."""
     known = featured.join(F.broadcast(labelled.where("label is not null").select("doc_id", "secret", F.col("label").cast("double").alias("label")).distinct().limit(rows)), ["doc_id", "secret"]) if labelled is not None else seed_labels(featured)
-    order = [F.xxhash64("doc_id", "secret", "nth"), F.col("doc_id"), F.col("nth")]
-    each = [known.where(F.col("label") == x).select(*FEATURES, "label", *(o.alias(f"o{k}") for k, o in enumerate(order))).orderBy("o0", "o1", "o2").limit(rows // 2) for x in (0.0, 1.0)]
-    sample = each[0].union(each[1]).select(*FEATURES, "label").cache()
+    known = known.select(*FEATURES, "label", "doc_id", "nth", "secret")
+    each = [bounded_sample(known.where(F.col("label") == x), ["doc_id", "secret", "nth"], rows // 4) for x in (0.0, 1.0)]
+    sample = stored(each[0].union(each[1]).select(*FEATURES, "label").repartition(1).sortWithinPartitions(*FEATURES), like="sample")  # at most ``rows`` rows
     labels = sorted(r[0] for r in sample.select("label").distinct().collect())
     if len(labels) < 2:
-        sample.unpersist()
         return labels[0] if labels else 0.0
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data)
-    sample.unpersist()
     return forest
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """doc_id, nth, secret, secret_sha256, length, probability, is_secret of every candidate."""
-    featured = with_features(findings(docs, path))
+    featured = stored(with_features(findings(docs, path)), like="findings")
     forest = fit(featured, labelled)
     if isinstance(forest, float):
         scored = featured.withColumn("probability", F.lit(forest))
@@ -118,4 +118,4 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("__secrets").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return docs.where(~suspect).unionByName(cleaned.select(*docs.columns))
+    return docs.where(~suspect).unionByName(cleaned.select(*(F.col(f"`{c}`") for c in docs.columns)))

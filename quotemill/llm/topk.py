@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import stored
+from quotemill.llm.common import bounded_sample, stored
 
 BLOCK = 2048
 HEAD = 2048
@@ -86,11 +86,12 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20, scale:
     n = max(1, whole.count())
     # the longest vectors and the rotation, both of bounded size
     head = {}
-    for r in whole.orderBy(F.desc("norm2"), "id").limit(HEAD).collect():
+    least = whole.select("norm2").orderBy(F.desc("norm2")).limit(HEAD).agg(F.min("norm2")).first()[0]
+    for r in whole.where(F.col("norm2") >= F.lit(least)).limit(HEAD).collect():
         head.setdefault(r["dim"], []).append((r["id"], r["v"]))
     head = {d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=float).reshape(len(x), d)) for d, x in head.items()}
     sample = {}
-    for r in whole.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+    for r in bounded_sample(whole, ["id"], SAMPLE).collect():
         sample.setdefault(r["dim"], []).append(r["v"])
     turn = {d: np.linalg.svd(np.array(x, dtype=float) / max(1.0, np.abs(x).max()), full_matrices=True)[2].T if d else np.zeros((0, 0)) for d, x in sample.items()}
     sent = whole.sparkSession.sparkContext.broadcast((head, turn))
