@@ -86,12 +86,23 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct_hashes(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingle hashes."""
+    parts = [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    out = np.zeros(len(at), dtype=np.int64)
+    np.cumsum([len(p) for p in parts], out=out[1:])
+    return np.concatenate(parts) if parts else hashes, out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
-    """doc_id, fingerprint (``words`` longs), n_shingles and, if asked for, ``bands`` hashes of ``rows`` min-hashes."""
+    """doc_id, fingerprint (``words`` longs), n_shingles and, if asked for, ``bands`` hashes of ``rows`` min-hashes; with bands,
+    shingles count once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches, "text"):
             hashes, at = shingle_hashes(data, offsets, shingle)
+            if bands:
+                hashes, at = distinct_hashes(hashes, at)
             fp = majority_bits(hashes, at, words).astype(np.int64)
             full = np.flatnonzero(np.diff(at) > 0)
             keys = np.zeros((part.num_rows, bands), dtype=np.uint64)
@@ -303,20 +314,21 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 #: Fingerprint words of :func:`drop_near_duplicates`.
-NEAR_WORDS = 4
+NEAR_WORDS = 16
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity: the angle between their
-    vectors has the cosine 2 s / (1 + s)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def radius_for(similarity: float, bits: int, margin: float = 1.5) -> int:
+    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity, plus ``margin`` standard
+    errors: the angle between their vectors has the cosine 2 s / (1 + s)."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose group holds a smaller doc_id.
 
     Texts are near duplicates if their fingerprints of ``64 * NEAR_WORDS`` bits over five-word shingles differ in no
-    more bits than ``similarity`` lets expect.  Texts without words stay.  Of rows with one doc_id all stay or go."""
+    more bits than ``similarity`` lets expect; with 1,024 bits the border is sharp to about 0.02.  Texts without words stay.  Of rows with one doc_id all stay or go."""
     found = simhash_components(docs.select("doc_id", "text"), shingle, radius_for(similarity, 64 * NEAR_WORDS), NEAR_WORDS, "minhash")
     gone = found.where("component_id <> doc_id and n_shingles > 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
