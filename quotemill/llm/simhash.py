@@ -10,6 +10,9 @@ agree in one of them, so no link is lost.  A bucket of over ``split_above`` memb
 one segment, so their remaining bits are cut into radius + 1 segments again, which loses nothing either.  ``minhash``
 is for radii too large for that: texts meet where a band of min-hashes of their shingles agrees.
 
+:func:`near_components` links by the exact Jaccard similarity of the distinct shingle hashes.  There the bit planes only
+propose: their radius is wide enough for texts of few shingles too, and every link is verified on the sets.
+
 A bucket yields no pairs but a star per connected set, so links never outnumber members.  Components come from
 rounds of minimum labels with pointer jumping over stored tables.  Equal fingerprints are one node from the start, so exact
 copies, however many, cost one aggregation.
@@ -21,7 +24,7 @@ under ``segments``; :func:`drop_near_duplicates` leaves texts without words alon
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ SEED = 42
 SPLIT_ABOVE = 4096
 #: Words of a block times planes that are held at once while comparing.
 _AT_ONCE = 1 << 18
+#: Near pairs that are verified between two looks at what they have linked, and words of near lanes unpacked at once.
+_PAIRS = 1 << 12
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +99,9 @@ def distinct_hashes(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(parts) if parts else hashes, out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, rows: int = 3, sets: bool = False) -> DataFrame:
     """doc_id, fingerprint (``words`` longs), n_shingles and, if asked for, ``bands`` hashes of ``rows`` min-hashes; with bands,
-    shingles count once a text."""
+    shingles count once a text.  With ``sets`` also shingles, the distinct hashes in unsigned order, and content, 128 bits over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches, "text"):
@@ -110,10 +115,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int =
                 low = np.minimum.reduceat(_mixed(hashes, 101 + k), at[full])
                 keys[full, k // rows] = _mixed(keys[full, k // rows] ^ low, 1)
             lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.astype(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(fp, words), pa.array(np.diff(at), pa.int64()), lists(keys, bands)], names=["doc_id", "fingerprint", "n_shingles", "bands"])
-
+            columns, names = [part.column("doc_id"), lists(fp, words), pa.array(np.diff(at), pa.int64()), lists(keys, bands)], ["doc_id", "fingerprint", "n_shingles", "bands"]
+            if sets:
+                content = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                columns += [pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))]
+                names += ["content", "shingles"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    if sets and not bands:
+        raise ValueError("sets need bands")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint array<long>, n_shingles long, bands array<long>")
+    schema = f"doc_id {kind}, fingerprint array<long>, n_shingles long, bands array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema + ", content binary, shingles array<long>" if sets else schema)
 
 
 def segment_bounds(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -146,9 +159,10 @@ def _segment_keys(nodes: DataFrame, radius: int, split_above: int) -> DataFrame:
     return keyed.select("node", "fingerprint", F.explode(F.when(F.col("large"), deep).otherwise(F.array("key"))).alias("key"))
 
 
-def bit_sliced_stars(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bit_sliced_stars(fp: np.ndarray, group: np.ndarray, radius: int, verified: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups (equal, adjacent numbers in ``group``) of fingerprints (n, words) that differ in at most
-    ``radius`` bits, as stars: pairs of (member, first member of its connected set), indices into ``fp``."""
+    ``radius`` bits, as stars: pairs of (member, first member of its connected set), indices into ``fp``.  If given,
+    ``verified`` decides which of such pairs link; pairs that are connected already are not asked for."""
     n, words = fp.shape
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(first, n))
@@ -187,11 +201,21 @@ def bit_sliced_stars(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
         own = query - base[block]
         valid &= np.where(own >= 0, np.where(own >= 63, np.uint64(0), ~np.uint64(0) << np.clip(own + 1, 0, 63).astype(np.uint64)), ~np.uint64(0))
         near = _compared(fp, planes, query, block, valid, radius, counters)
-        hit = np.flatnonzero(near)
-        if len(hit):
+        hits = np.flatnonzero(near)
+        for b in range(0, len(hits), _PAIRS):
+            hit = hits[b : b + _PAIRS]
             bits = np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, lane = np.nonzero(bits)
-            _join(labels, query[hit][row], base[block[hit][row]] + lane)
+            x, y = query[hit][row], base[block[hit][row]] + lane
+            if verified is None:
+                _join(labels, x, y)
+                continue
+            while len(x):
+                apart = labels[x] != labels[y]
+                x, y = x[apart], y[apart]
+                sure = verified(x[:_PAIRS], y[:_PAIRS])
+                _join(labels, x[:_PAIRS][sure], y[:_PAIRS][sure])
+                x, y = x[_PAIRS:], y[_PAIRS:]
     linked = np.flatnonzero(labels != np.arange(n))
     return linked, labels[linked]
 
@@ -253,15 +277,41 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def bucket_stars(keyed: DataFrame, radius: int) -> DataFrame:
-    """key, node, fingerprint -> the distinct edges (a, b), a > b, of the buckets' stars."""
+def jaccard_at_least(values: np.ndarray, at: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Decides pairs (x, y) of the sets values[at[i] : at[i + 1]], each sorted, distinct and not empty."""
+    size = np.diff(at)
+
+    def verified(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=bool)
+        some = np.flatnonzero(np.minimum(size[x], size[y]) / np.maximum(size[x], size[y]) >= similarity)
+        some = some[np.argsort(x[some], kind="stable")]
+        for pairs in np.split(some, np.flatnonzero(np.diff(x[some])) + 1) if len(some) else []:
+            i, others = x[pairs[0]], y[pairs]
+            own, n = values[at[i] : at[i + 1]], size[others]
+            first = np.cumsum(n) - n
+            flat = values[np.arange(n.sum()) + np.repeat(at[others] - first, n)]
+            common = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, first, dtype=np.int64)
+            out[pairs] = common / (size[i] + n - common) >= similarity
+        return out
+
+    return verified
+
+
+def bucket_stars(keyed: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """key, node, fingerprint -> the distinct edges (a, b), a > b, of the buckets' stars.  With ``similarity``, a column
+    ``shingles`` says which pairs within the radius link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, "key"):
             node = table.column("node").to_numpy()
             flat = table.column("fingerprint").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             fp = np.ascontiguousarray(flat.astype(np.int64).view(np.uint64).reshape(len(node), -1))
-            x, y = bit_sliced_stars(fp, table.column("key").to_numpy(), radius)
+            verified = None
+            if similarity is not None:
+                lists = table.column("shingles").combine_chunks()
+                at = lists.offsets.to_numpy().astype(np.int64)
+                verified = jaccard_at_least(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at - at[0], similarity)
+            x, y = bit_sliced_stars(fp, table.column("key").to_numpy(), radius, verified)
             a, b = node[x], node[y]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
@@ -324,11 +374,55 @@ def radius_for(similarity: float, bits: int, margin: float = 1.5) -> int:
     return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
+def filter_radius(similarity: float, bits: int, margin: float = 4.0, few: int = 48) -> int:
+    """A radius that sets of this Jaccard similarity or more keep but for ``margin`` standard errors, whatever their size.
+
+    Strict majorities of few hashes are not the angle's: for up to ``few`` common hashes the share of differing bits is
+    summed up exactly, beyond that the angle's holds."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    binomial = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    for common in range(1, few + 1):
+        rest = [r for r in range(common + 1) if common / (common + r) >= similarity][-1]
+        for only_a, only_b in ((i, r - i) for r in range(rest + 1) for i in range(r // 2 + 1)):
+            # chances that a bit is set in a and in b, given how many of the common hashes have it
+            k = np.arange(common + 1)[:, None]
+            a, b = (((2 * (k + np.arange(n + 1)) > common + n) * binomial(n)).sum(axis=1) for n in (only_a, only_b))
+            share = max(share, float((binomial(common) * (a * (1 - b) + b * (1 - a))).sum()))
+    return math.ceil(bits * share + margin * math.sqrt(bits * share * (1 - share)))
+
+
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to).
+
+    Texts link where the Jaccard similarity of their distinct shingle hashes is ``similarity`` or more.  Pairs are proposed
+    by bands of min-hashes (at similarity 0.8 sixteen bands of three miss one pair in 96,000) and the filter radius;
+    what proposals connect is then gathered once, with its sets, and compared exactly.  Where that is over ``split_above``
+    texts, the buckets of the bands are compared instead."""
+    radius = filter_radius(similarity, 64 * NEAR_WORDS)
+    prints = stored(fingerprints(docs, shingle, NEAR_WORDS, bands, rows, True).withColumn("row", F.monotonically_increasing_id()), like="prints")
+    # equal sets are one node: the row of their smallest doc_id
+    first = prints.where("n_shingles > 0 and doc_id is not null").groupBy("content").agg(F.min(F.struct("doc_id", "row")).alias("s"))
+    nodes = stored(first.select("content", F.col("s.doc_id").alias("first_id"), F.col("s.row").alias("node")), like="nodes")
+    own = prints.withColumnRenamed("row", "node")
+    banded = own.select("node", "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.posexplode("bands").alias("k", "band"))
+    keyed = stored(banded.select("node", F.xxhash64("k", "band").alias("key")), like="keys")
+    shared = keyed.join(keyed.groupBy("key").count().where("count > 1"), "key", "left_semi")
+    proposed = components(bucket_stars(shared.join(own.select("node", "fingerprint"), "node"), radius))
+    large = proposed.groupBy("component").count().where(F.col("count") > split_above)
+    whole = proposed.join(large, "component", "left_anti").select("node", F.col("component").alias("key"))
+    parts = shared.join(proposed.join(large, "component", "left_semi"), "node", "left_semi").select("node", "key")
+    found = components(bucket_stars(whole.unionAll(parts).join(own.select("node", "fingerprint", "shingles"), "node"), radius, similarity))
+    rooted = nodes.join(found, "node", "left").select("content", "first_id", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    out = prints.select("doc_id", "n_shingles", "content").join(rooted.join(least, "root").select("content", "component_id"), "content", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose group holds a smaller doc_id.
 
-    Texts are near duplicates if their fingerprints of ``64 * NEAR_WORDS`` bits over five-word shingles differ in no
-    more bits than ``similarity`` lets expect; with 1,024 bits the border is sharp to about 0.02.  Texts without words stay.  Of rows with one doc_id all stay or go."""
-    found = simhash_components(docs.select("doc_id", "text"), shingle, radius_for(similarity, 64 * NEAR_WORDS), NEAR_WORDS, "minhash")
+    Texts are near duplicates if the Jaccard similarity of their distinct five-word shingles is ``similarity`` or more, or
+    such links lead from one to the other.  Texts without words stay.  Of rows with one doc_id all stay or go."""
+    found = near_components(docs.select("doc_id", "text"), similarity, shingle)
     gone = found.where("component_id <> doc_id and n_shingles > 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
