@@ -7,7 +7,8 @@ difference falls below zero the step goes against it.  The score is a logistic f
 fitted to the labels of the same training rows, so that 0.5 is the point of equal odds.
 
 Only features of a bounded sample of labelled rows reach the driver: at most ``POSITIVES`` toxic and ``UNLABELLED`` other
-rows, by hash of doc_id.  Scoring covers whole texts, in the tasks, without a shuffle.
+rows, by hash of doc_id.  Each sampled row stands for as many as its kind has labelled rows to a sampled one, so that the share of
+positives is that of all labelled training rows whatever the sample holds.  Scoring covers whole texts, in the tasks, without a shuffle.
 
 Defined results: null and empty texts get the score of the offset alone; rows without a label (or with a null one) are
 never learned from; labels that repeat count as toxic if any of them is; with no positive or no other row to
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.llm.common import ALNUM, chunks, word_hashes, word_spans
+from quotemill.llm.common import ALNUM, chunks, stored, word_hashes, word_spans
 
 BUCKET_BITS = 20
 #: Bytes of the beginnings of words that are features too: inflected forms share them.
@@ -76,13 +77,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.offset, -40, 40)))
 
 
-def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float | None = None, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Model:
-    """Non-negative PU training of logistic loss on sparse binary features by Adam over whole batches."""
+def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float | None = None, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, totals: tuple[int, int] | None = None) -> Model:
+    """Non-negative PU training of logistic loss on sparse binary features by Adam over whole batches.
+
+    ``totals``: the other and the toxic rows that the sample stands for; its own if not given."""
     n, size = len(at) - 1, 1 << BUCKET_BITS
     share = float(toxic.mean()) if n else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(size, dtype=np.float32), 0.0, 40.0 if share else -40.0)
-    prior = share if prior is None else prior
+    # what a row counts, n in all
+    mass = np.ones(n)
+    if totals is not None:
+        each = np.array(totals) / np.array([(~toxic).sum(), toxic.sum()])
+        mass = each[toxic.astype(np.int64)] * (n / sum(totals))
+    prior = float(mass[toxic].sum() / n) if prior is None else prior
     counts = np.bincount(buckets, minlength=size)
     used = np.flatnonzero(counts >= min(MIN_TEXTS, max(1, n // 20)))
     column = np.full(size, -1, dtype=np.int32)
@@ -91,10 +99,10 @@ def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float |
     keep = column[buckets] >= 0
     row, col = row[keep], column[buckets[keep]]
     # a feature's value is its log odds between positives and all: common to both is near zero
-    in_p, in_u = np.bincount(col[toxic[row]], minlength=len(used)), np.bincount(col, minlength=len(used))
+    in_p, in_u = np.bincount(col[toxic[row]], minlength=len(used)), np.bincount(col, mass[row], minlength=len(used))
     value = np.log(((in_p + SMOOTH) / (toxic.sum() + 2 * SMOOTH)) / ((in_u + SMOOTH) / (n + 2 * SMOOTH)))
     # rows of the unlabelled set are all rows with labels hidden: their share of positives is the prior
-    p_weight, u_weight = toxic / toxic.sum(), np.full(n, 1 / n)
+    p_weight, u_weight = toxic / toxic.sum(), mass / n
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -114,20 +122,20 @@ def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float |
     weights = np.zeros(size, dtype=np.float32)
     weights[used] = w * value
     f = np.bincount(row, (w * value)[col], n)
-    scale, offset = _platt(f, toxic.astype(float))
+    scale, offset = _platt(f, toxic.astype(float), mass)
     return Model(weights, scale, offset)
 
 
-def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and offset of the logistic function by Newton steps with a small ridge."""
+def _platt(f: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
+    """Scale and offset of the logistic function by Newton steps with a small ridge; ``mass`` is what each row counts."""
     x = np.stack([f, np.ones_like(f)], axis=1)
-    beta = np.array([1.0, float(np.log(y.mean() / (1 - y.mean())))])
+    beta = np.array([1.0, float(np.log((mass @ y) / (mass @ (1 - y))))])
     n_pos, n_neg = y.sum(), (1 - y).sum()
     goal = np.where(y > 0, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        g = x.T @ (p - goal) + 1e-3 * (beta - [1.0, 0.0])
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (mass * (p - goal)) + 1e-3 * (beta - [1.0, 0.0])
+        h = (x * (mass * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
@@ -135,9 +143,13 @@ def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """doc_id, toxic, buckets of the sampled labelled rows outside the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of all labelled rows outside the held-out fold."""
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+    """doc_id, toxic, buckets of a sample of :func:`known_labels`."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic").orderBy(*order).limit(positives).union(known.where("not toxic").orderBy(*order).limit(unlabelled))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled short rows
@@ -152,12 +164,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    table = training_rows(docs, labels, positives, unlabelled).toArrow()
+    known = stored(known_labels(labels), like="known")
+    counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    table = training_rows(docs, known, positives, unlabelled).toArrow()
     # rows come in any order
     table = table.take(pc.sort_indices(table["doc_id"]))
     lists = table["buckets"].combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
-    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["toxic"].to_numpy().astype(bool))
+    totals = counted.get(False, 0), counted.get(True, 0)
+    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["toxic"].to_numpy().astype(bool), totals=totals)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

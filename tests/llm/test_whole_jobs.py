@@ -3,10 +3,21 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quotemill.llm import simhash
+from quotemill.llm import simhash, toxicity
 from tests.llm.test_llm import docs
 
 
+# --- 4: toxicity
+
+def test_toxicity_share_does_not_depend_on_the_sample(spark):
+    d = docs(spark, *["the same words"] * 1500)
+    lab = d.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    for positives, unlabelled in ((3000, 6000), (3000, 200), (40, 80)):
+        model = toxicity.fit(d, lab, positives, unlabelled)
+        score = toxicity.score(d.limit(1), model).first()["score"]
+        assert abs(score - 0.1) < 0.03, (positives, unlabelled, score)
+
+
 # --- 8: near duplicates of the pipeline
 
 def shingles(t, size=5):
