@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ from quotemill.llm.common import ALNUM, CHUNK_BYTES, LOWER, chunks, text_bytes,
 BLOCK_BYTES = 16 << 20
 WINDOW = 10
 _BITS = np.uint64(21)
+#: Slots of tie groups that are compared to their ends at once.
+_PAIRS = 1 << 18
 _TOP = np.uint64((1 << 63) - 1)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -160,27 +163,57 @@ class Shard:
         sure = np.array(sure, dtype=bool)
         return word[sure], window[sure]
 
-    def longest(self, test: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-        """For every test suffix the length in words of its longest match here, and the word where it starts (-1: none).
-        Both neighbours of the suffix's place in the array are compared to their ends."""
-        ranks, n = self.keys_of(test.words), len(test.words)
+    def longest(self, test: TestBlock, doc_order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For every test suffix the length in words of its longest match here, and the word where it starts (-1: none);
+        of several, the one in the first document by ``doc_order`` (numbers, as they come if not given), then the first.
+
+        A suffix that no slot shares twelve words with is decided by its neighbours; of those that some share them
+        with, all such slots are compared to their ends."""
+        ranks, n, size = self.keys_of(test.words), len(test.words), len(self.suffixes)
         length, where = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
-        if not len(self.suffixes) or not n:
+        if not size or not n:
             return length, where
         left = np.repeat(test.first[1:], np.diff(test.first)) - np.arange(n)
+        # no match goes beyond a word that the shard lacks
+        lacking = np.where(ranks == 0, np.arange(n), n)
+        left = np.minimum(left, np.minimum.accumulate(lacking[::-1])[::-1] - np.arange(n))
         place, after = self.bounds(ranks, np.arange(n), np.minimum(left, self.DEPTH))
-        wide = np.concatenate([ranks, [np.uint64(0)]])
-        for slots in (place - 1, place, after - 1, after):
-            p = self.suffixes[np.clip(slots, 0, len(self.suffixes) - 1)]
-            run, live = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-            while live.any():
-                mine = wide[np.minimum(np.arange(n) + run, n)]
-                live &= (run < left) & (mine > 0) & (mine == self.rank[np.minimum(p + run, len(self.rank) - 1)])
-                run += live
-            better = run > length
-            length[better], where[better] = run[better], self.word(p[better])
+        for slots in (place - 1, place):
+            some = np.flatnonzero((place == after) & (slots >= 0) & (slots < size))
+            length[some] = np.maximum(length[some], self._run(ranks, some, self.suffixes[slots[some]], left[some]))
+        tied = place < after
+        length[tied] = np.minimum(left[tied], self.DEPTH)
+        document = self.doc if doc_order is None else doc_order[self.doc]
+        order = np.lexsort((np.arange(size), document))
+        priority = np.empty(size + 1, dtype=np.int64)
+        priority[order] = np.arange(size)
+        priority = np.append(priority[self.word(self.suffixes)], size)
+        # all slots that share the length, up to twelve words
+        some = np.flatnonzero(length)
+        if len(some):
+            lo, hi = self.bounds(ranks, some, np.minimum(length[some], self.DEPTH))
+            where[some] = order[np.minimum.reduceat(priority, np.stack([lo, hi], axis=1).ravel())[::2]]
+        deep = np.flatnonzero(tied & (left > self.DEPTH))
+        total = np.cumsum(after[deep] - place[deep])
+        for part in np.split(deep, np.flatnonzero(np.diff(total // _PAIRS)) + 1) if len(deep) else []:
+            count = after[part] - place[part]
+            first = np.cumsum(count) - count
+            slot = np.arange(count.sum()) + np.repeat(place[part] - first, count)
+            run = self._run(ranks, np.repeat(part, count), self.suffixes[slot], np.repeat(left[part], count))
+            length[part] = np.maximum.reduceat(run, first)
+            best = np.minimum.reduceat(np.where(run == np.repeat(length[part], count), priority[slot], size), first)
+            where[part] = order[best]
         return length, where
 
+    def _run(self, ranks: np.ndarray, at: np.ndarray, p: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Equal words from test word ``at`` and from position ``p`` on, ``left`` at most."""
+        run, live = np.zeros(len(at), dtype=np.int64), np.flatnonzero(left > 0)
+        while len(live):
+            live = live[ranks[at[live] + run[live]] == self.rank[p[live] + run[live]]]
+            run[live] += 1
+            live = live[run[live] < left[live]]
+        return run
+
 
 def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[TestBlock]:
     """The test set in blocks of bounded size; each is fetched when it is asked for."""
@@ -269,7 +302,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
             owner = np.repeat(np.arange(len(test.items)), np.diff(test.first))
             for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
                 shard = Shard(data, offsets)
-                length, where = shard.longest(test)
+                order = pc.rank(rows.column("doc_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+                length, where = shard.longest(test, order)
                 some = np.flatnonzero(length)
                 doc = shard.doc[where[some]]
                 ids = rows.column("doc_id").take(pa.array(doc))

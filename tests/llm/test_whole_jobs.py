@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quotemill.llm import simhash, toxicity
+from quotemill.llm import decontaminate, simhash, toxicity
 from tests.llm.test_llm import docs
 
 
@@ -43,3 +43,32 @@ def test_near_duplicates_are_exact(spark):
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or similar[i // 2] < 0.8}
     by_bucket = simhash.near_components(docs(spark, *texts), split_above=1).where("component_id <> doc_id").select("doc_id")
     assert {r[0] for r in by_bucket.collect()} == set(range(len(texts))) - kept
+
+
+# --- 9: longest matches
+
+def test_longest_matches_of_shared_passages(spark):
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(24)]
+    texts = [" ".join([f"a{i}", *passage[: 12 + n], *rng.choice(["x", "y", "p3", "p15"], 5)]) for i, n in enumerate([1, 8, 0, 5, 8, 3, 2, 7, 8])]
+    texts += [" ".join(passage[k:18]) for k in (2, 5)] + ["p0 p1 zz p0 p1", "", None]
+    ids = [50 - i for i in range(len(texts))]
+    items = [" ".join(passage), " ".join([*passage[:6], "unknown", *passage[6:]]), "p0 p1", "x"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    wanted = {}
+    for k, item in enumerate(items):
+        w = item.split()
+        for at in range(len(w)):
+            best = None
+            for i, t in zip(ids, texts):
+                v = (t or "").split()
+                for p in range(len(v)):
+                    n = 0
+                    while at + n < len(w) and p + n < len(v) and w[at + n] == v[p + n]:
+                        n += 1
+                    if n and (best is None or (-n, i, p) < best):
+                        best = (-n, i, p)
+            if best:
+                wanted[str(k), at] = (-best[0], *best[1:])
+    got = decontaminate.longest_matches(docs(spark, *texts, ids=ids).coalesce(1), b).collect()
+    assert {(r["item_id"], r["item_word"]): (r["n_words"], r["doc_id"], r["doc_word"]) for r in got} == wanted
