@@ -1,16 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its tag path from the root.  For every path the operator sums text length,
-punctuation and number of nodes; a node's ratio is the text per node of its path, weighed with its punctuation.  Ratios
-are smoothed along the page, near paths more than far ones, and nodes above a threshold made of the ratios'
-spread are content.  The content region is the element that holds the largest share of content text with the least
-around it, and all its blocks are returned but those of menus, headers, footers, sidebars, notices, adverts, forms,
-comments and invisible elements.
+A page is cut into blocks of text, each with its tag path from the root (inline elements left out; a block that is all link ends in ``a``).
+For every path the operator sums text length, punctuation and number of blocks; the path's fused value is the text per block, weighed with
+the punctuation per block.  Values are smoothed along the page, near paths more than far ones, and a path's ratio is the mean of its
+blocks' smoothed values.  Paths whose ratio, weighed with what marks say, reaches ``LIMIT`` of the greatest ratio are content, and their blocks
+are the text, wherever on the page they stand.  Marks are evidence beside the ratios: within ``article`` or ``main`` a tenth of the
+limit is enough for text that is no link; on pages with such marks, paths outside need the greatest ratio of all.
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and invisible elements, told by element, role or class, take no part.
 
-Pages are independent: one pass, no shuffle.
+Pages are independent: one pass, no shuffle.  Work and memory grow with the page's length alone: elements know their parent, and no path is
+ever spelt out.
 
 Defined results: null and empty pages give an empty text; a page without markup is one block; unclosed and stray
-tags are taken as browsers take them (``p``, ``li``, cells and options end where the next one begins); repeated rows are each
+tags are taken as browsers take them (``p``, ``li``, cells and options end where the next one begins); a tag that the page's end cuts
+off is dropped; after a quote that never closes, quotes no longer hide a tag's end; repeated rows are each
 extracted; a page whose only text is boilerplate gives an empty text.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,157 +46,232 @@ BOILER_WORDS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related recommended "
     "rss share sharing shoutbox sidebar social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Beside these a word says how a page is laid out, not what an element is: ``layout-with-sidebar``.
+MODIFIERS = frozenset("with without has have no non not layout".split())
 #: Of these an article's own header is no boilerplate.
 OWN_HEADER = frozenset(["header"])
+MARKS = frozenset(["article", "main"])
+#: Share of the greatest ratio from which a path is content; what marks make of a ratio: inside, inside but link, outside.
+LIMIT, MARKED, MARKED_LINK, UNMARKED = 0.03, 10.0, 1.0, 0.03
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，؟।]")
-WORDS = re.compile(r"[A-Za-z]+")
 
 
-def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate for sure, and whether its class or id says so."""
     if tag in BOILER_TAGS and not (in_article and tag in OWN_HEADER):
-        return True
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+        return True, False
+    by_class = False
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            if tag not in ("html", "body", "article", "main"):
+                for word in value.split():
+                    parts = re.split(r"[^a-z]+", word)
+                    by_class |= not BOILER_WORDS.isdisjoint([*parts, word]) and MODIFIERS.isdisjoint(parts)
         elif name == "role":
             if value.strip() in BOILER_ROLES:
-                return True
+                return True, by_class
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, by_class
+    return False, by_class
 
 
-def text_nodes(page: str) -> list[tuple[int, tuple[int, ...], str, bool, str]]:
-    """(block, ids of the open elements, tag path, boilerplate, text) of all text nodes in page order."""
-    nodes: list[tuple[int, tuple[int, ...], str, bool, str]] = []
-    tags, ids, bad, inline = [""], [0], [False], [False]
-    block, count, at, size = 0, 0, 0, len(page)
-
-    def say(text: str) -> None:
-        if text:
-            nodes.append((block, tuple(i for i, x in zip(ids, inline, strict=True) if not x), "/".join(t for t, x in zip(tags, inline, strict=True) if not x), bad[-1], text))
-
-    def pop_to(k: int) -> None:
-        del tags[k:], ids[k:], bad[k:], inline[k:]
-
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content) of a page's parts in order: ``text``, ``open`` with attributes, ``close``; comments and
+    the content of raw elements are left out.  Linear in the page."""
+    at, size = 0, len(page)
+    last, plain = {c: page.rfind(c) for c in "\"'>"}, False
     while at < size:
-        m = TAG.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag not in INLINE:
-            block += 1
-        if closing:
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and not inline[k]:
-                    break
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", "", page[at:]
+            return
+        after = page[lt + 1 : lt + 2]
+        closing = after == "/"
+        name = NAME.match(page, lt + 1 + closing)
+        if not name and after not in ("!", "?"):
+            yield "text", "", page[at : lt + 1]
+            at = lt + 1
             continue
-        if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if not name:
+            close = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(close, lt + 2)
+            at = size if end < 0 else end + len(close)
             continue
-        if tag in VOID:
-            continue
-        for k in range(len(tags) - 1, 0, -1):
-            if tag in CLOSED_BY.get(tags[k], ()):
-                pop_to(k)
+        if name.end() > last[">"]:
+            return
+        end = name.end()
+        while True:
+            stop = STOP.search(page, end)
+            if stop and stop[0] == ">":
+                end = stop.end()
                 break
-            if not inline[k] and tags[k] != "p":
+            if plain or not stop or stop.end() > last[stop[0]]:
+                plain = plain or bool(stop)
+                end = page.find(">", name.end()) + 1
                 break
-        count += 1
-        tags.append(tag)
-        ids.append(count)
-        bad.append(bad[-1] or _is_boiler(tag, attributes, "article" in tags[:-1]))
-        inline.append(tag in INLINE)
-    return nodes
-
-
-def path_ratios(paths: list[str], lengths: np.ndarray, points: np.ndarray, spread: float = 1.0, reach: int = 2) -> np.ndarray:
-    """The smoothed, fused ratio of each node: text length per node of its path, times one plus the punctuation per node,
-    averaged over the neighbours with weights that fall with distance on the page and between paths."""
-    names, which = np.unique(np.array(paths, dtype=object).astype(str), return_inverse=True)
-    number = np.bincount(which, minlength=len(names))
-    fused = (np.bincount(which, lengths, len(names)) / number) * (1 + np.bincount(which, points, len(names)) / number)
+            end = page.find(stop[0], stop.end()) + 1
+        tag, attributes = name[0].lower(), page[name.end() : end - 1]
+        at = end
+        if closing:
+            yield "close", tag, ""
+        elif tag in RAW and not attributes.endswith("/"):
+            yield "open", "br", ""
+            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = shut.end() if shut else size
+        else:
+            yield "open", tag, attributes
+
+
+class Blocks:
+    """The text blocks of a page, boilerplate left out: text, path number, whether under a mark, and how far the path is from
+    that of the block before.  Elements are rows of columns with their parent's number."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.hard, self.soft, self.path, self.depth, self.marked = [0], [""], [False], [False], [0], [0], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        pieces: list[tuple[int, int, bool, str]] = []  # block, block element, in a link, text
+        stack: list[tuple[int, str, bool]] = [(0, "", False)]  # element, tag, inline
+        open_, block = Counter(), 0
+        inner = [Counter()]  # inline tags open above each block element
+        for kind, tag, content in tokens(page):
+            if kind == "text":
+                pieces.append((block, stack[-1][0], open_["a"] > 0, content))
+                continue
+            inline = tag in INLINE
+            block += not inline
+            if kind == "close":
+                if inner[-1][tag] if inline else open_[tag]:
+                    self._pop(stack, next(k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), open_, inner)
+                continue
+            if tag in VOID:
+                continue
+            for k in range(len(stack) - 1, 0, -1) if not inline else ():
+                if tag in CLOSED_BY.get(stack[k][1], ()):
+                    self._pop(stack, k, open_, inner)
+                    break
+                if not stack[k][2] and stack[k][1] != "p":
+                    break
+            above = stack[-1][0]
+            open_[tag] += 1
+            if inline:
+                inner[-1][tag] += 1
+            else:
+                inner.append(Counter())
+            hard, soft = _is_boiler(tag, content, open_["article"] > (tag == "article"))
+            if inline and not (hard or soft):
+                stack.append((above, tag, True))
+                continue
+            stack.append((len(self.parent), tag, inline))
+            self.parent.append(above)
+            self.tag.append(tag)
+            self.hard.append(hard)
+            self.soft.append(soft)
+            self.path.append(self.path[above] if inline else self._path(self.path[above], tag))
+            self.depth.append(self.depth[above] + (not inline))
+            self.marked.append(self.marked[above] or tag in MARKS)
+        self._collect(pieces)
+
+    def _path(self, above: int, tag: str) -> int:
+        return self.paths.setdefault((above, tag), len(self.paths) + 1)
+
+    @staticmethod
+    def _pop(stack: list, k: int, open_: Counter, inner: list[Counter]) -> None:
+        for _, tag, inline in reversed(stack[k:]):
+            open_[tag] -= 1
+            if inline:
+                inner[-1][tag] -= 1
+            else:
+                inner.pop()
+        del stack[k:]
+
+    def _collect(self, pieces: list[tuple[int, int, bool, str]]) -> None:
+        n = len(self.parent)
+        # a class word on what holds the article says nothing
+        holds = [t in MARKS for t in self.tag]
+        for e in range(n - 1, 0, -1):
+            holds[self.parent[e]] |= holds[e]
+        bad = [False] * n
+        for e in range(1, n):
+            bad[e] = bad[self.parent[e]] or self.hard[e] or self.soft[e] and not holds[e]
+        self.text: list[str] = []
+        rows: list[list] = []  # block, element, link so far, text
+        for block, element, link, text in pieces:
+            if bad[element]:
+                continue
+            if rows and rows[-1][0] == block:
+                rows[-1][2] &= link or not text.strip()
+                rows[-1][3].append(text)
+            else:
+                rows.append([block, element, link or not text.strip(), [text]])
+        kinds, own, above, apart = [], [], [], []
+        depth, marked, last = self.depth, self.marked, None
+        for _, element, link, parts in rows:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if not text:
+                continue
+            self.text.append(text)
+            kinds.append((self.path[element], link))
+            own.append((marked[element], link))
+            apart.append(0 if last is None or self.path[last] == self.path[element] else self._apart(last, element))
+            last = element
+        names = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+        self.which = np.array([names[k] for k in kinds], dtype=np.int64)
+        self.apart = np.array(apart, dtype=float)
+        self.is_marked = np.array([m for m, _ in own], dtype=bool)
+        self.is_link = np.array([x for _, x in own], dtype=bool)
+
+    def _apart(self, a: int, b: int) -> int:
+        """Steps between two elements of the tree, inline ones not counted.  Blocks that follow each other are a walk through the tree, so
+        all such walks of a page together are linear in it."""
+        steps, x, y = 0, a, b
+        while x != y:
+            if x < y:
+                x, y = y, x
+            up = self.parent[x]
+            steps += self.depth[x] - self.depth[up]
+            x = up
+        return steps
+
+
+def path_ratios(which: np.ndarray, lengths: np.ndarray, points: np.ndarray, apart: np.ndarray, spread: float = 1.5, reach: int = 3) -> np.ndarray:
+    """The ratio of each path: text length per block times one plus the punctuation per block, averaged over neighbouring blocks with
+    weights that fall with their distance on the page and between paths (``apart``: from the block before), and over the path's blocks."""
+    n = int(which.max()) + 1
+    number = np.bincount(which, minlength=n)
+    fused = (np.bincount(which, lengths, n) / number) * (1 + np.bincount(which, points, n) / number)
     own = fused[which]
-    parts = [p.split("/") for p in names]
     total, weight = own.copy(), np.ones(len(own))
-    for step in range(1, reach + 1):
-        pairs = np.stack([which[:-step], which[step:]], axis=1)
-        kinds, kind = np.unique(pairs, axis=0, return_inverse=True) if len(pairs) else (pairs, np.zeros(0, dtype=int))
-        apart = np.array([_path_distance(parts[a], parts[b]) for a, b in kinds], dtype=float)[kind.reshape(-1)] if len(pairs) else np.zeros(0)
-        w = np.exp(-(step**2) / (2 * spread**2)) / (1 + apart)
+    steps = np.cumsum(apart)
+    for step in range(1, min(reach, len(own) - 1) + 1):
+        away = np.where(which[step:] == which[:-step], 0, steps[step:] - steps[:-step])
+        w = np.exp(-(step**2) / (2 * spread**2)) / (1 + away) ** 2
         total[step:] += w * own[:-step]
         weight[step:] += w
-        total[: len(own) - step] += w * own[step:]
-        weight[: len(own) - step] += w
-    return total / weight
-
-
-def _path_distance(a: list[str], b: list[str]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+        total[:-step] += w * own[step:]
+        weight[:-step] += w
+    return np.bincount(which, total / weight, n) / number
 
 
 def main_text(page: str | None) -> str:
     """The article of one page: blocks of one space between words, joined by one space."""
-    nodes = [(block, ids, path, text) for block, ids, path, bad, text in text_nodes(page or "") if not bad]
-    clean = [entities.unescape(text) for *_, text in nodes]
-    lengths = np.array([len("".join(t.split())) for t in clean], dtype=float)
-    full = np.flatnonzero(lengths)
-    if not len(full):
+    blocks = Blocks(page or "")
+    if not blocks.text:
         return ""
-    points = np.array([len(PUNCTUATION.findall(clean[i])) for i in full], dtype=float)
-    ratios = path_ratios([nodes[i][2] for i in full], lengths[full], points)
-    # content: above the mean by no less than a part of the spread, or all where ratios hardly differ
-    limit = min(ratios.mean() - 0.5 * ratios.std(), 0.5 * ratios.max())
-    content = lengths[full] * (ratios >= limit)
-    held: dict[int, list[float]] = {}
-    for k, i in enumerate(full):
-        for depth, e in enumerate(nodes[i][1]):
-            x = held.setdefault(e, [0.0, 0.0, depth])
-            x[0] += content[k]
-            x[1] += lengths[i]
-    most = content.sum()
-    # marked articles win; else the deepest element with nearly all content
-    marked = [e for i in full for e, t in zip(nodes[i][1], nodes[i][2].split("/"), strict=True) if t in ("article", "main")]
-    if marked:
-        region = max(dict.fromkeys(marked), key=lambda e: (held[e][0], held[e][2]))
-    else:
-        region = max((e for e, x in held.items() if x[0] >= 0.9 * most), key=lambda e: held[e][2])
-        if any(t in ("p", "h1", "h2", "h3", "li") for i in full for e, t in zip(nodes[i][1], nodes[i][2].split("/"), strict=True) if e == region):
-            path = next(nodes[i][1] for i in full if region in nodes[i][1])
-            region = path[path.index(region) - 1]
-    out: list[str] = []
-    last = None
-    for (block, ids, _, _), text in zip(nodes, clean, strict=True):
-        if region not in ids:
-            continue
-        if block == last:
-            out[-1] += text
-        else:
-            out.append(text)
-        last = block
-    return " ".join(x for x in (" ".join(t.split()) for t in out) if x)
+    lengths = np.array([len(t) - t.count(" ") for t in blocks.text], dtype=float)
+    points = np.array([len(PUNCTUATION.findall(t)) for t in blocks.text], dtype=float)
+    ratios = path_ratios(blocks.which, lengths, points, blocks.apart)[blocks.which]
+    evidence = np.ones(len(ratios))
+    if blocks.is_marked.any():
+        evidence = np.where(~blocks.is_marked, UNMARKED, np.where(blocks.is_link, MARKED_LINK, MARKED))
+    chosen = ratios * evidence >= LIMIT * ratios.max() * (1 - 1e-9)
+    return " ".join(t for t, x in zip(blocks.text, chosen.tolist(), strict=True) if x)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

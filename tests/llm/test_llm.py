@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,37 @@ def test_pages_of_the_test_table(spark):
         assert got[r["page_id"]]["text"] == wanted and got[r["page_id"]]["n_chars"] == len(wanted)
 
 
+BODY = "".join(f"<p>Sentence number {i}, told at some length, with words enough; it ends here.</p>" for i in range(8))
+PLAIN = " ".join(f"Sentence number {i}, told at some length, with words enough; it ends here." for i in range(8))
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("page,wanted", [
+    (f"<body>{LINKS}<div><h1>A heading</h1>{BODY}</div>{LINKS}</body>", "A heading " + PLAIN),  # no marks, no classes: ratios alone
+    (f"<body><article><h1>A heading</h1>{BODY}{LINKS}</article></body>", "A heading " + PLAIN),  # links inside a mark
+    (f"<body><div><p>Two words</p></div><article><h2>Part one</h2>{BODY}</article><article>{BODY}</article></body>", f"Part one {PLAIN} {PLAIN}"),  # several marks
+    (f'<body><div class="layout-with-sidebar"><div class="sidebar">{BODY}</div><div>{BODY}</div></div></body>', PLAIN),  # modifier classes
+    (f'<body><div class="page menu"><main>{BODY}</main></div></body>', PLAIN),  # a class on what holds the article
+    (f"<body><div><section><h2>Head</h2></section><section>{BODY}</section><section><p>The last part, short, is kept too.</p></section></div></body>", f"Head {PLAIN} The last part, short, is kept too."),
+    ("<p>one, two <a \"x>three", "one, two three"), ("<p>one, two <a x", "one, two"),
+])
+def test_path_ratios_select_nodes(page, wanted):
+    assert html.main_text(page) == wanted
+
+
+def test_ratios_decide(monkeypatch):
+    page = f"<body>{LINKS}<div><h1>A heading</h1>{BODY}</div>{LINKS}</body>"
+    monkeypatch.setattr(html, "path_ratios", lambda which, *_, **__: np.ones(int(which.max()) + 1))
+    assert html.main_text(page) != "A heading " + PLAIN
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 8000, "<a \"" * 8000, "<a \"" * 8000 + ">", "<b>" * 8000 + "</i>" * 8000, "<div>" * 8000 + "</x>" * 8000, "<i><div>" + "<b>x" * 8000 + "</i>" * 8000, "<!--" * 20000, "<script>" * 8000, "<p>x" * 8000])
+def test_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 3
+
+
 # --- 7: licences
 
 def test_license_sequences(spark):
