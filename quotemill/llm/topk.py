@@ -7,12 +7,15 @@ of the lengths against the threshold; the sum over the first rotated components
 integer scores of what is left.  The rotation comes from the SVD of a bounded sample; it is orthogonal whatever
 the sample, so bounds hold and only their sharpness depends on it.
 
-Query blocks of bounded size meet candidate blocks by an equi-join on the number of the query block.  Thresholds rise while a task goes through
+Query blocks of bounded size meet candidate blocks by an equi-join on the number of the query block.  Pairs of blocks whose lengths rule
+out every query are dropped before any vector is shuffled.  Thresholds rise while a task goes through
 its blocks; each task returns at most k rows a query, and a rank filter merges them.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part; scores are between vectors of equal dimension
-alone (those of another dimension are never candidates); rows that repeat are candidates each, but a query's own vec_id never is; a table of
-fewer candidates gives all of them; scores beyond 64 bits are not supported and components are limited to 2**52 / scale so that sums are checked.
+Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do those of a squared length of 2**62 or more after
+scaling, so that no score passes 64 bits; scores are between vectors of equal dimension
+alone (those of another dimension are never candidates); rows that repeat are candidates each, but a query's own vec_id never is; every row
+whose id is divisible is a query of its own, so a repeated id has one list for each of its rows; a table of
+fewer candidates gives all of them.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ def valid_vectors(vectors: DataFrame, scale: float = 64.0, column: str = "embedd
     x = F.transform(column, lambda c: c.cast("double"))
     finite = F.forall(column, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     whole = vectors.where(F.col(column).isNotNull() & F.col(key).isNotNull()).where(finite).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
-    return whole.select("id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c).alias("norm2"))
+    sized = whole.select("id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c).alias("norm2"))
+    return sized.where(F.col("norm2") < 2.0**62)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -96,12 +100,19 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20, scale:
     turn = {d: np.linalg.svd(np.array(x, dtype=float) / max(1.0, np.abs(x).max()), full_matrices=True)[2].T if d else np.zeros((0, 0)) for d, x in sample.items()}
     sent = whole.sparkSession.sparkContext.broadcast((head, turn))
     queries = _packed(whole.where(F.pmod("id", F.lit(every)) == 0).repartition(max(1, -(-n // (every * block))), F.xxhash64("id")), block)
+
+    def with_needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [_Search(x["ids"], x["flat"], x["dim"], *sent.value, k).needs() for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.float64())], names=[*batch.schema.names, "needs"])
+
+    queries = queries.mapInArrow(with_needs, "dim int, top double, ids binary, flat binary, needs double")
     queries = stored(queries.withColumn("q", F.monotonically_increasing_id()), like="queries")
-    numbers = queries.select("q", F.col("dim").alias("q_dim"), "ids", "flat")
-    per_block = queries.groupBy("dim").agg(F.collect_list("q").alias("qs"))  # numbers of blocks, one for each block * every rows
+    numbers = queries.select("q", "ids", "flat")
+    per_block = queries.groupBy("dim").agg(F.collect_list(F.struct("q", "needs")).alias("qs"))  # 16 bytes for each block * every rows
     parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // (16 * block)))
     blocks = _packed(whole.repartitionByRange(parts, F.desc("norm2")).sortWithinPartitions(F.desc("norm2")), block)
-    pairs = blocks.join(F.broadcast(per_block), "dim").select("dim", "top", F.col("ids").alias("c_ids"), F.col("flat").alias("c_flat"), F.explode("qs").alias("q"))
+    pairs = blocks.join(F.broadcast(per_block), "dim").select("dim", "top", F.col("ids").alias("c_ids"), F.col("flat").alias("c_flat"), F.explode(F.filter("qs", lambda x: x["needs"] <= F.col("top"))["q"]).alias("q"))
     pairs = pairs.join(numbers, "q").repartition(parts, "q", "c_ids").sortWithinPartitions("q", F.desc("top"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +123,14 @@ def top_inner_products(vectors: DataFrame, k: int = 20, every: int = 20, scale:
                 cell = lambda c, i=row, b=batch: b.column(c)[i].as_py()
                 if cell("q") != now:
                     if state is not None:
-                        yield from state.rows()
+                        yield from state.rows(now)
                     now, state = cell("q"), _Search(cell("ids"), cell("flat"), cell("dim"), heads, turns, k)
                 state.meet(cell("c_ids"), cell("c_flat"), cell("top"))
         if state is not None:
-            yield from state.rows()
+            yield from state.rows(now)
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(run, "q long, nth int, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("q", "nth").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -173,20 +184,26 @@ class _Search:
             if len(keep) == self.k:
                 self.least[q] = max(self.least[q], float(s[keep[-1]]))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def needs(self) -> float:
+        """The length that a candidate must have for any query of the block to be able to gain by it."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = np.where(self.length > 0, (self.least - 1e-6) / (self.length * (1 + 1e-6)), -np.inf)
+        return float(least.min())
+
+    def rows(self, q: int) -> Iterator[pa.RecordBatch]:
         n = [len(s) for s, _ in self.best]
         if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([i for _, i in self.best])), pa.array(np.concatenate([s for s, _ in self.best]))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(n), q)), pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)), pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([i for _, i in self.best])), pa.array(np.concatenate([s for s, _ in self.best]))], names=["q", "nth", "query_id", "vec_id", "score"])
 
 
 #: The registered search in DuckDB SQL.
 ORACLE = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v, row_number() over () as n from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
 select query_id, rank::int as rank, vec_id, score from (
   select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score,
-         row_number() over (partition by q.vec_id order by list_inner_product(q.v::double[], c.v::double[]) desc, c.vec_id) as rank
+         row_number() over (partition by q.n order by list_inner_product(q.v::double[], c.v::double[]) desc, c.vec_id) as rank
   from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
 where rank <= 20
 """
