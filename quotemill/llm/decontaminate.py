@@ -1,14 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
 Each task cuts its documents into shards of a few MB, builds the word suffix array of a shard, and finds every
-test suffix in it by binary search.  That yields the longest verbatim match of each test suffix with its location, and
-all occurrences of the windows of ``window`` consecutive test words.  Documents never move: there is no shuffle.
+test suffix in it by binary search.  That yields all occurrences of the windows of ``window`` consecutive test words, from these each document's
+longest verbatim match with its location (:func:`contamination`), and the longest match of each test suffix over all
+documents (:func:`longest_matches`).  Documents never move: there is no shuffle.
 
 The test set travels to the tasks in blocks of at most ``BLOCK_BYTES`` of text.  A test set of more blocks is
 handled by as many passes over the same rows, one after the other.
 
 Defined results: null and empty texts have no words, are never hit and never match; repeated rows are each reported;
-an empty test set marks nothing; an item without words has no window; columns other than ``doc_id`` and ``text`` pass
+an empty test set marks nothing; an item of over two million distinct words is refused; an item without words has no window; columns other than ``doc_id`` and ``text`` pass
 through :func:`remove_contaminated` unchanged whatever their names.
 """
 
@@ -31,9 +32,12 @@ WINDOW = 10
 _BITS = np.uint64(21)
 #: Slots of tie groups that are compared to their ends at once.
 _PAIRS = 1 << 18
-_TOP = np.uint64((1 << 63) - 1)
+#: Distinct words of a shard that ranks of ``_BITS`` bits can tell apart; beyond it, words that no item holds count as none.
+_MOST = (1 << 21) - 2
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+#: A document's longest match: words, item, where it starts in the item and in the document (words, from 0).
+LONGEST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("item", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType())])
 
 
 class TestBlock:
@@ -46,19 +50,25 @@ class TestBlock:
         data, offsets = text_bytes(column)
         starts, ends, first = word_spans(data, offsets, ALNUM)
         self.words = word_hashes(data, starts, ends)
-        self.first, self.items = first, [i for i, _ in items]
+        self.first, self.items, self.window = first, [i for i, _ in items], window
         low = LOWER[data].tobytes()
-        found: dict[bytes, tuple[int, int, set[str]]] = {}
+        self.vocabulary = np.unique(self.words)
+        found: dict[bytes, tuple[int, int, set[str], list[int]]] = {}
         for k, (item, _) in enumerate(items):
             n = int(first[k + 1] - first[k])
             for at in range(int(first[k]), int(first[k]) + (max(n - window + 1, 1) if n else 0)):
                 size = min(n, window)
                 text = b" ".join(low[starts[i] : ends[i]] for i in range(at, at + size))
-                found.setdefault(text, (at, size, set()))[2].add(item)
+                own = found.setdefault(text, (at, size, set(), []))
+                own[2].add(item)
+                own[3].append(at)
         self.texts = list(found)
         self.at = np.array([x[0] for x in found.values()], dtype=np.int64)
         self.size = np.array([x[1] for x in found.values()], dtype=np.int64)
         self.owners = [sorted(x[2]) for x in found.values()]
+        # every place of each window
+        self.places = np.array([at for x in found.values() for at in x[3]], dtype=np.int64)
+        self.place_at = np.concatenate([[0], np.cumsum([len(x[3]) for x in found.values()], dtype=np.int64)])
 
 
 class Shard:
@@ -67,7 +77,8 @@ class Shard:
 
     DEPTH = 12
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None):
+        """``known``: sorted hashes of the test words."""
         self.low = LOWER[data]
         self.starts, self.ends, self.first = word_spans(data, offsets, ALNUM)
         words, n = word_hashes(data, self.starts, self.ends), len(self.starts)
@@ -79,14 +90,21 @@ class Shard:
         new = np.ones(n, dtype=bool)
         new[1:] = ranked[1:] != ranked[:-1]
         self.vocabulary = ranked[new]
+        number = np.cumsum(new)
+        if len(self.vocabulary) > _MOST:
+            wanted = np.isin(self.vocabulary, known)
+            self.vocabulary = self.vocabulary[wanted]
+            number = np.where(wanted, np.cumsum(wanted), 0)[number - 1]
         rank = np.zeros(n + len(self.n_words) + self.DEPTH + 3, dtype=np.uint64)
-        rank[self.at[order]] = np.cumsum(new).astype(np.uint64)
+        rank[self.at[order]] = number.astype(np.uint64)
         self.rank = rank
         # three words in one number, then ties are broken by the next three, then by the next six
         self.key = (rank[:-2] << (_BITS + _BITS)) | (rank[1:-1] << _BITS) | rank[2:]
-        own = self.key[self.at]
+        places = self.at[rank[self.at] > 0]
+        n = len(places)
+        own = self.key[places]
         order = np.argsort(own)
-        self.suffixes = self.at[order]
+        self.suffixes = places[order]
         size = len(rank)
         level = np.zeros(size, dtype=np.int64)
         same = own[order][1:] == own[order][:-1]
@@ -184,10 +202,11 @@ class Shard:
         tied = place < after
         length[tied] = np.minimum(left[tied], self.DEPTH)
         document = self.doc if doc_order is None else doc_order[self.doc]
-        order = np.lexsort((np.arange(size), document))
-        priority = np.empty(size + 1, dtype=np.int64)
-        priority[order] = np.arange(size)
-        priority = np.append(priority[self.word(self.suffixes)], size)
+        words = len(self.starts)
+        order = np.lexsort((np.arange(words), document))
+        priority = np.empty(words, dtype=np.int64)
+        priority[order] = np.arange(words)
+        priority = np.append(priority[self.word(self.suffixes)], words)
         # all slots that share the length, up to twelve words
         some = np.flatnonzero(length)
         if len(some):
@@ -201,7 +220,7 @@ class Shard:
             slot = np.arange(count.sum()) + np.repeat(place[part] - first, count)
             run = self._run(ranks, np.repeat(part, count), self.suffixes[slot], np.repeat(left[part], count))
             length[part] = np.maximum.reduceat(run, first)
-            best = np.minimum.reduceat(np.where(run == np.repeat(length[part], count), priority[slot], size), first)
+            best = np.minimum.reduceat(np.where(run == np.repeat(length[part], count), priority[slot], words), first)
             where[part] = order[best]
         return length, where
 
@@ -222,7 +241,18 @@ def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = B
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = named if n == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield TestBlock(sorted((r["item"], r["text"]) for r in part.collect()), window)
+        yield from _fitting(sorted((r["item"], r["text"]) for r in part.collect()), window)
+
+
+def _fitting(items: list[tuple[str, str]], window: int) -> Iterator[TestBlock]:
+    block = TestBlock(items, window)
+    if len(block.vocabulary) <= _MOST:
+        yield block
+    elif len(items) == 1:
+        raise ValueError(f"item {items[0][0]} has over {_MOST} distinct words")
+    else:
+        yield from _fitting(items[: len(items) // 2], window)
+        yield from _fitting(items[len(items) // 2 :], window)
 
 
 test_blocks.__test__ = False
@@ -230,22 +260,23 @@ test_blocks.__test__ = False
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` as the struct ``row``, and what the test set covers in each text: ``n_words``, ``spans``
-    (maximal runs of hit words, from 0, end excluded) and ``items`` (ids of items with occurring windows)."""
+    (maximal runs of hit words, from 0, end excluded), ``items`` (ids of items with occurring windows) and ``longest``, the longest match of a window
+or more (or of a whole shorter item): of several the first in the document, then the smallest item, then its first place."""
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
     return _contamination(docs.select(row, docs["text"].alias("text")), benchmark, window, block_bytes)
 
 
 def _contamination(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows``: row (anything) and text."""
-    more = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
+    more = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", LONGEST)]
     schema = T.StructType([*rows.schema.fields, *more])
-    out = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast(LONGEST).alias("longest"))
     for block in test_blocks(benchmark, window, block_bytes):
         sent = rows.sparkSession.sparkContext.broadcast(block)
 
         def mark(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-                found = _marked(sent.value, Shard(data, offsets), part)
+                found = _marked(sent.value, Shard(data, offsets, sent.value.vocabulary), part)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), *found], names=schema.names)
 
         out = out.mapInArrow(mark, schema)
@@ -253,7 +284,7 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, window: int, block_byt
 
 
 def _marked(test: TestBlock, shard: Shard, rows: pa.RecordBatch) -> list[pa.Array]:
-    """n_words, spans and items of one shard, with what earlier blocks of the test set have found in the same rows."""
+    """n_words, spans, items and longest of one shard, with what earlier blocks of the test set have found in the same rows."""
     word, window = shard.hits(test)
     cover = np.zeros(len(shard.starts) + 1, dtype=np.int64)
     np.add.at(cover, word, 1)
@@ -271,16 +302,58 @@ def _marked(test: TestBlock, shard: Shard, rows: pa.RecordBatch) -> list[pa.Arra
         spans[d] = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
         names[d] = sorted(new | set(names[d]))
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return [pa.array(shard.n_words, pa.int64()), pa.array(spans, pairs), pa.array(names, pa.list_(pa.string()))]
+    best = rows.column("longest").to_pylist()
+    order = lambda x: (-x["n_words"], x["doc_word"], x["item"], x["item_word"])
+    for d, new in _longest_of_documents(test, shard, word, window).items():
+        best[d] = new if best[d] is None else min(best[d], new, key=order)
+    kind = pa.struct([("n_words", pa.int64()), ("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64())])
+    return [pa.array(shard.n_words, pa.int64()), pa.array(spans, pairs), pa.array(names, pa.list_(pa.string())), pa.array(best, kind)]
+
+
+def _longest_of_documents(test: TestBlock, shard: Shard, word: np.ndarray, window: np.ndarray) -> dict[int, dict]:
+    """Each hit document's longest match: hits that follow each other in document and item are one match."""
+    out: dict[int, dict] = {}
+    if not len(word):
+        return out
+    order = np.argsort(word, kind="stable")
+    word, window = word[order], window[order]
+    owner = np.repeat(np.arange(len(test.items)), np.diff(test.first))
+    by_id = np.argsort(np.argsort(np.array(test.items, dtype=object), kind="stable"), kind="stable")
+    count = np.diff(test.place_at)[window]
+    doc = shard.doc[word]
+    edge = np.flatnonzero(np.diff(doc)) + 1
+    # whole documents, about _PAIRS places at a time
+    cuts = edge[np.flatnonzero(np.diff(np.cumsum(count)[edge - 1] // (16 * _PAIRS), prepend=0))]
+    for own in np.split(np.arange(len(word)), cuts):
+        n = count[own]
+        w, k = np.repeat(word[own], n), np.repeat(window[own], n)
+        t = test.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(test.place_at[window[own]], n)]
+        order = np.lexsort((w, t - w))
+        w, t, size = w[order], t[order], test.size[k[order]]
+        full = size == test.window
+        follows = np.zeros(len(w), dtype=bool)
+        follows[1:] = full[1:] & full[:-1] & (w[1:] == w[:-1] + 1) & (t[1:] == t[:-1] + 1)
+        head = np.flatnonzero(~follows)
+        length = np.diff(np.append(head, len(w))) - 1 + size[head]
+        w, t = w[head], t[head]
+        d = shard.doc[w]
+        best = np.lexsort((t, by_id[owner[t]], w, -length, d))
+        best = best[np.concatenate([[True], d[best][1:] != d[best][:-1]])]
+        for i in best.tolist():
+            o = int(owner[t[i]])
+            out[int(d[i])] = {"n_words": int(length[i]), "item": test.items[o], "item_word": int(t[i] - test.first[o]), "doc_word": int(w[i] - shard.first[d[i]])}
+    return out
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and of its longest match longest_words (0 if none),
+    longest_item, longest_item_word and longest_doc_word."""
     found = _contamination(docs.select(docs["doc_id"].alias("row"), docs["text"].alias("text")), benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         F.col("row").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("longest.n_words", F.lit(0).cast("long")).alias("longest_words"),
+        F.col("longest.item").alias("longest_item"), F.col("longest.item_word").alias("longest_item_word"), F.col("longest.doc_word").alias("longest_doc_word"),
     )
 
 
@@ -301,7 +374,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
             test = sent.value
             owner = np.repeat(np.arange(len(test.items)), np.diff(test.first))
             for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-                shard = Shard(data, offsets)
+                shard = Shard(data, offsets, test.vocabulary)
                 order = pc.rank(rows.column("doc_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
                 length, where = shard.longest(test, order)
                 some = np.flatnonzero(length)
