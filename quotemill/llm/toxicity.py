@@ -1,18 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over hashed words is trained on the driver from confirmed toxic texts (positives) and from texts whose
-labels are hidden (unlabelled), with the non-negative risk estimator of Kiryo et al. (2017): with the share ``prior`` of
+A linear model over hashed words is trained on the driver from confirmed toxic texts (positives) and from texts of the corpus without
+labels (unlabelled: a sample of all rows outside the held-out fold, whatever is known of them), with the non-negative risk estimator of Kiryo et al. (2017): with the share ``prior`` of
 positives among the unlabelled, the risk on negatives is max(0, R_u(-) - prior * R_p(-)), and where that
 difference falls below zero the step goes against it.  The score is a logistic function whose scale and offset are then
-fitted to the labels of the same training rows, so that 0.5 is the point of equal odds.
+fitted to labelled training rows of both kinds, so that 0.5 is the point of equal odds.
 
-Only features of a bounded sample of labelled rows reach the driver: at most ``POSITIVES`` toxic and ``UNLABELLED`` other
-rows, by hash of doc_id.  Each sampled row stands for as many as its kind has labelled rows to a sampled one, so that the share of
-positives is that of all labelled training rows whatever the sample holds.  Scoring covers whole texts, in the tasks, without a shuffle.
+Only features of bounded samples, by hash of doc_id, reach the driver: at most ``POSITIVES`` toxic, ``NEGATIVES`` other labelled and ``UNLABELLED``
+rows.  Each labelled row stands for as many as its kind has labelled rows to a sampled one, and the prior is the share of positives
+in all labelled training rows, whatever the samples hold.  Scoring covers whole texts, in the tasks, without a shuffle.
 
 Defined results: null and empty texts get the score of the offset alone; rows without a label (or with a null one) are
 never learned from; labels that repeat count as toxic if any of them is; with no positive or no other row to
-learn from, every score is the known share of positives (0 if nothing is known).
+learn from, every score is the known share of positives (0 if nothing is known); :func:`drop_toxic` keeps texts without words.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ BUCKET_BITS = 20
 #: Bytes of the beginnings of words that are features too: inflected forms share them.
 PREFIXES = (4, 6)
 #: Most training rows of each kind.
-POSITIVES = 3_000
-UNLABELLED = 6_000
+POSITIVES = 2_500
+NEGATIVES = 1_500
+UNLABELLED = 5_000
 #: A word is a feature if at least so many training texts hold it.
 MIN_TEXTS = 3
-SMOOTH = 1.0
+#: Pseudo-counts that draw the values of rare features to zero.
+SMOOTH = 20.0
 FOLDS = 5
 
 
@@ -77,34 +79,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.offset, -40, 40)))
 
 
-def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float | None = None, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, totals: tuple[int, int] | None = None) -> Model:
-    """Non-negative PU training of logistic loss on sparse binary features by Adam over whole batches.
-
-    ``totals``: the other and the toxic rows that the sample stands for; its own if not given."""
+def train(buckets: np.ndarray, at: np.ndarray, kind: np.ndarray, prior: float) -> Model:
+    """A model from rows of ``kind`` 1 toxic, 0 unlabelled, -1 labelled otherwise, which serves the scale of the score alone."""
     n, size = len(at) - 1, 1 << BUCKET_BITS
-    share = float(toxic.mean()) if n else 0.0
-    if not 0 < share < 1:
-        return Model(np.zeros(size, dtype=np.float32), 0.0, 40.0 if share else -40.0)
-    # what a row counts, n in all
-    mass = np.ones(n)
-    if totals is not None:
-        each = np.array(totals) / np.array([(~toxic).sum(), toxic.sum()])
-        mass = each[toxic.astype(np.int64)] * (n / sum(totals))
-    prior = float(mass[toxic].sum() / n) if prior is None else prior
-    counts = np.bincount(buckets, minlength=size)
-    used = np.flatnonzero(counts >= min(MIN_TEXTS, max(1, n // 20)))
+    toxic, negative = kind == 1, kind == -1
+    n_p, n_n = int(toxic.sum()), int(negative.sum())
+    if not n_p or not n_n or not (kind == 0).any() or not 0 < prior < 1:
+        share = prior if 0 < prior < 1 else float(prior > 0)
+        return Model(np.zeros(size, dtype=np.float32), 0.0, float(np.clip(np.log((share + 1e-17) / (1 - share + 1e-17)), -40, 40)))
+    taught = kind >= 0
+    counts = np.bincount(buckets[np.repeat(taught, np.diff(at))], minlength=size)
+    used = np.flatnonzero(counts >= min(MIN_TEXTS, max(1, int(taught.sum()) // 20)))
     column = np.full(size, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     keep = column[buckets] >= 0
     row, col = row[keep], column[buckets[keep]]
-    # a feature's value is its log odds between positives and all: common to both is near zero
-    in_p, in_u = np.bincount(col[toxic[row]], minlength=len(used)), np.bincount(col, mass[row], minlength=len(used))
-    value = np.log(((in_p + SMOOTH) / (toxic.sum() + 2 * SMOOTH)) / ((in_u + SMOOTH) / (n + 2 * SMOOTH)))
-    # rows of the unlabelled set are all rows with labels hidden: their share of positives is the prior
-    p_weight, u_weight = toxic / toxic.sum(), mass / n
-    w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    own = nnpu_weights(row, col, len(used), toxic, kind == 0, prior)
+    f, known = np.bincount(row, own[col], n), toxic | negative
+    weights = np.zeros(size, dtype=np.float32)
+    weights[used] = own
+    mass = np.where(toxic, prior / n_p, (1 - prior) / n_n)[known] * (n_p + n_n)
+    return Model(weights, *_platt(f[known], toxic[known].astype(float), mass))
+
+
+def nnpu_weights(row: np.ndarray, col: np.ndarray, width: int, toxic: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 60, rate: float = 0.1, decay: float = 2e-4) -> np.ndarray:
+    """Weights of sparse binary features (``row`` holds ``col``) by non-negative PU training of logistic loss, Adam over whole batches."""
+    n, n_p, n_u = len(toxic), int(toxic.sum()), int(unlabelled.sum())
+    mine = (toxic | unlabelled)[row]
+    row, col = row[mine], col[mine]
+    # a feature's value is its log odds between positives and unlabelled, near zero for the rare ones
+    in_p, in_u = np.bincount(col[toxic[row]], minlength=width), np.bincount(col[unlabelled[row]], minlength=width)
+    value = np.log((in_p + SMOOTH) / (in_u * (n_p / n_u) + SMOOTH))
+    p_weight, u_weight = toxic / n_p, unlabelled / n_u
+    w, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
         f = np.bincount(row, (w * value)[col], n) + bias
         up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
@@ -113,17 +122,13 @@ def train(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, prior: float |
         rest = u_weight @ loss - prior * (p_weight @ loss)
         slope = u_weight * negative - prior * p_weight * negative
         slope = prior * p_weight * positive + slope if rest >= 0 else -slope
-        g, gb = value * np.bincount(col, slope[row], len(used)) + decay * w, slope.sum()
+        g, gb = value * np.bincount(col, slope[row], width) + decay * w, slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    weights = np.zeros(size, dtype=np.float32)
-    weights[used] = w * value
-    f = np.bincount(row, (w * value)[col], n)
-    scale, offset = _platt(f, toxic.astype(float), mass)
-    return Model(weights, scale, offset)
+    return w * value
 
 
 def _platt(f: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
@@ -148,31 +153,35 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
 
 
-def training_rows(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """doc_id, toxic, buckets of a sample of :func:`known_labels`."""
+def training_rows(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, negatives: int = NEGATIVES) -> DataFrame:
+    """doc_id, kind, buckets of samples of :func:`known_labels` (kind 1 and -1) and of all rows outside the held-out fold (kind 0)."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic").orderBy(*order).limit(positives).union(known.where("not toxic").orderBy(*order).limit(unlabelled))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled short rows
+    some = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    chosen = [(known.where("toxic"), 1, positives), (some, 0, unlabelled), (known.where("not toxic"), -1, negatives)]
+    chosen = [x.select("doc_id", F.lit(kind).alias("kind")).orderBy(*order).limit(n) for x, kind, n in chosen]
+    chosen = chosen[0].union(chosen[1]).union(chosen[2])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled + negatives short rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches, "text"):
             buckets, at = features(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], names=["doc_id", "toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("kind"), lists], names=["doc_id", "kind", "buckets"])
 
-    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic boolean, buckets array<int>")
+    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind int, buckets array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, negatives: int = NEGATIVES, prior: float | None = None) -> Model:
+    """``prior``: the share of positives among the unlabelled; that of the labelled training rows if not given."""
     known = stored(known_labels(labels), like="known")
     counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    table = training_rows(docs, known, positives, unlabelled).toArrow()
+    table = training_rows(docs, known, positives, unlabelled, negatives).toArrow()
     # rows come in any order
-    table = table.take(pc.sort_indices(table["doc_id"]))
+    table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("kind", "ascending")]))
     lists = table["buckets"].combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
-    totals = counted.get(False, 0), counted.get(True, 0)
-    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["toxic"].to_numpy().astype(bool), totals=totals)
+    share = counted.get(True, 0) / max(1, sum(counted.values())) if prior is None else prior
+    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["kind"].to_numpy(), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,5 +209,6 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
+    """The rows of ``docs``, all columns, that score below the threshold or hold no word."""
+    wordless = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")
+    return score(docs, fit(docs, labels)).where((F.col("score") < threshold) | wordless).select("row.*")

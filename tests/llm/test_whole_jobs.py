@@ -12,10 +12,26 @@ from tests.llm.test_llm import docs
 def test_toxicity_share_does_not_depend_on_the_sample(spark):
     d = docs(spark, *["the same words"] * 1500)
     lab = d.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
-    for positives, unlabelled in ((3000, 6000), (3000, 200), (40, 80)):
-        model = toxicity.fit(d, lab, positives, unlabelled)
+    for positives, unlabelled, negatives in ((3000, 6000, 6000), (3000, 200, 100), (40, 80, 30)):
+        model = toxicity.fit(d, lab, positives, unlabelled, negatives)
         score = toxicity.score(d.limit(1), model).first()["score"]
-        assert abs(score - 0.1) < 0.03, (positives, unlabelled, score)
+        assert abs(score - 0.1) < 0.03, (positives, unlabelled, negatives, score)
+
+
+def test_toxicity_learns_from_unlabelled_texts(spark):
+    """Half of the rows have no label; a word that only they hold outside toxic texts is no sign of toxicity."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(words, 40)) + (" slur insult" if i % 8 == 0 else " common" if i % 2 else "") for i in range(1200)]
+    texts += [" ".join(rng.choice(words, 40)) + " common" for _ in range(1200)] + ["", None, " . "]
+    d = docs(spark, *texts)
+    lab = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(d, toxicity.known_labels(lab), unlabelled=10000)
+    assert rows.where("kind = 0 and doc_id >= 1200").count() > 900 and rows.where("doc_id >= 1200 and kind <> 0").count() == 0
+    said = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_digest(d, lab).collect()}
+    assert all(said[i] == (i % 8 == 0 and i < 1200) for i in range(2400))
+    always = spark.createDataFrame([(i, 1) for i in range(1200)], "doc_id long, toxic int")
+    assert {r["doc_id"] for r in toxicity.drop_toxic(d, always).collect()} == {2400, 2401, 2402}
 
 
 # --- 8: near duplicates of the pipeline
@@ -72,3 +88,44 @@ def test_longest_matches_of_shared_passages(spark):
                 wanted[str(k), at] = (-best[0], *best[1:])
     got = decontaminate.longest_matches(docs(spark, *texts, ids=ids).coalesce(1), b).collect()
     assert {(r["item_id"], r["item_word"]): (r["n_words"], r["doc_id"], r["doc_word"]) for r in got} == wanted
+
+
+def test_longest_match_of_each_document(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    items = [" ".join(rng.choice([f"v{i}" for i in range(12)], n)) for n in (60, 40, 40, 25, 4, 12)] + ["solo"]
+    items[2] = " ".join([*items[0].split()[10:35], *items[1].split()[:15]])
+    texts = []
+    for i in range(60):
+        t = [f"x{i}"]
+        for _ in range(rng.integers(1, 4)):
+            w = items[rng.integers(0, len(items))].split()
+            a = rng.integers(0, len(w))
+            t += [*w[a : a + rng.integers(1, 40)], f"y{rng.integers(1 << 30)}"]
+        texts.append(" ".join(t))
+    b = spark.createDataFrame([(f"i{9 - k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    wanted = []
+    for t in texts:
+        v, best = t.split(), None
+        for k, item in enumerate(items):
+            w = item.split()
+            for at in range(len(w)):
+                for p in range(len(v)):
+                    n = 0
+                    while at + n < len(w) and p + n < len(v) and w[at + n] == v[p + n]:
+                        n += 1
+                    if n >= min(10, len(w)) and (best is None or (-n, p, f"i{9 - k}", at) < best):
+                        best = (-n, p, f"i{9 - k}", at)
+        wanted.append((-best[0], best[2], best[3], best[1]) if best else (0, None, None, None))
+    get = lambda: [tuple(r)[6:] for r in decontaminate.contamination_digest(docs(spark, *texts).coalesce(2), b).orderBy("doc_id").collect()]
+    assert get() == wanted and sum(x[0] > 12 for x in wanted) > 10
+    # more distinct words than ranks can tell apart change nothing
+    before = [(r["item_id"], r["item_word"], r["n_words"], r["doc_id"], r["doc_word"]) for r in decontaminate.longest_matches(docs(spark, *texts).coalesce(1), b).orderBy("item_id", "item_word").collect()]
+    import pyarrow as pa
+
+    data, offsets = decontaminate.text_bytes(pa.array(texts))
+    test = decontaminate.TestBlock([(f"i{9 - k}", t) for k, t in enumerate(items)])
+    want = [x.tolist() for x in decontaminate.Shard(data, offsets).longest(test)]
+    monkeypatch.setattr(decontaminate, "_MOST", 20)
+    assert [x.tolist() for x in decontaminate.Shard(data, offsets, test.vocabulary).longest(test)] == want and len(before) > 50
+    split = list(decontaminate._fitting([(str(k), f"q{k}a q{k}b q{k}c") for k in range(12)], 10))
+    assert len(split) == 2 and sum(len(x.items) for x in split) == 12
