@@ -8,17 +8,20 @@ passed the radius.
 Two ways lead into buckets.  ``segments`` cuts the 64 bits into radius + 1 segments: fingerprints within the radius
 agree in one of them, so no link is lost.  A bucket of over ``split_above`` members is cut anew: its members agree in
 one segment, so their remaining bits are cut into radius + 1 segments again, which loses nothing either.  ``minhash``
-is for radii too large for that: texts meet where a band of min-hashes of their shingles agrees.
+is for radii too large for that: texts meet where a band of min-hashes of their shingles agrees.  No bucket is gathered whole beyond
+``split_above`` members (:func:`bounded_buckets`): there all members are first compared with one of them, those that link to it need not be compared with
+each other, and the rest meets all members in blocks, which are tasks of their own.
 
 :func:`near_components` links by the exact Jaccard similarity of the distinct shingle hashes.  There the bit planes only
-propose: their radius is wide enough for texts of few shingles too, and every link is verified on the sets.
+propose: their radius is wide enough for texts of few shingles too, and every link is verified on the sets, which are made anew from
+the texts that have a proposal.
 
 A bucket yields no pairs but a star per connected set, so links never outnumber members.  Components come from
 rounds of minimum labels with pointer jumping over stored tables.  Equal fingerprints are one node from the start, so exact
-copies, however many, cost one aggregation.
+copies, however many, cost one aggregation, and they are dealt over tasks where they meet their component (:func:`join_copies`).
 
 Defined results: null and empty texts and texts of white space have the fingerprint zero and are linked like others
-under ``segments``; :func:`drop_near_duplicates` leaves texts without words alone.  Repeated rows fall into one component.
+under ``segments``; :func:`drop_near_duplicates` leaves texts without words and rows without doc_id alone.  Repeated rows fall into one component.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import LOWER, NONSPACE, chunks, key_runs, stored, word_spans
 
 SEED = 42
 SPLIT_ABOVE = 4096
+#: Copies of one text that meet their component in one task; more where the table has over 2**26 rows, so that hot keys stay under 2**16.
+COPIES_AT_ONCE = 1024
 #: Words of a block times planes that are held at once while comparing.
 _AT_ONCE = 1 << 18
 #: Near pairs that are verified between two looks at what they have linked, and words of near lanes unpacked at once.
@@ -99,9 +105,9 @@ def distinct_hashes(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(parts) if parts else hashes, out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, rows: int = 3, sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
     """doc_id, fingerprint (``words`` longs), n_shingles and, if asked for, ``bands`` hashes of ``rows`` min-hashes; with bands,
-    shingles count once a text.  With ``sets`` also shingles, the distinct hashes in unsigned order, and content, 128 bits over them."""
+    shingles count once a text, and a column ``content`` has 128 bits over the distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches, "text"):
@@ -116,17 +122,34 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int =
                 keys[full, k // rows] = _mixed(keys[full, k // rows] ^ low, 1)
             lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.astype(np.int64).reshape(-1)))
             columns, names = [part.column("doc_id"), lists(fp, words), pa.array(np.diff(at), pa.int64()), lists(keys, bands)], ["doc_id", "fingerprint", "n_shingles", "bands"]
-            if sets:
-                content = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                columns += [pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))]
-                names += ["content", "shingles"]
+            if bands:
+                columns.append(_contents(hashes, at))
+                names.append("content")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    if sets and not bands:
-        raise ValueError("sets need bands")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, fingerprint array<long>, n_shingles long, bands array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", content binary, shingles array<long>" if sets else schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema + ", content binary" if bands else schema)
+
+
+def _contents(hashes: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
+def shingle_sets(wanted: DataFrame, shingle: int, words: int) -> DataFrame:
+    """node, content, text -> node, fingerprint and shingles (distinct hashes in unsigned order) of the rows whose text has the
+    content; others are of rows that share a doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in chunks(batches, "text"):
+            hashes, at = distinct_hashes(*shingle_hashes(data, offsets, shingle))
+            fp = majority_bits(hashes, at, words).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.reshape(-1)))
+            sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            out = pa.RecordBatch.from_arrays([part.column("node"), lists, sets], names=["node", "fingerprint", "shingles"])
+            yield out.filter(pc.equal(_contents(hashes, at), part.column("content")))
+
+    return wanted.select("node", "content", "text").mapInArrow(run, "node long, fingerprint array<long>, shingles array<long>")
 
 
 def segment_bounds(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -320,6 +343,56 @@ def bucket_stars(keyed: DataFrame, radius: int, similarity: float | None = None)
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def within(radius: int) -> Callable[[DataFrame, DataFrame], Column]:
+    """Whether the fingerprints of two rows differ in ``radius`` bits or fewer."""
+    differ = lambda a, b: F.aggregate(F.zip_with(a["fingerprint"], b["fingerprint"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return lambda a, b: differ(a, b) <= radius
+
+
+def similar(similarity: float) -> Callable[[DataFrame, DataFrame], Column]:
+    """Whether the sets of two rows have this Jaccard similarity."""
+
+    def linked(a: DataFrame, b: DataFrame) -> Column:
+        common = F.size(F.array_intersect(a["shingles"], b["shingles"]))
+        return common / (F.size(a["shingles"]) + F.size(b["shingles"]) - common) >= similarity
+
+    return linked
+
+
+def bounded_buckets(keyed: DataFrame, rows: DataFrame, linked: Callable[[DataFrame, DataFrame], Column], most: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node) -> (key, node) of buckets of about 2 * ``most`` members at most, and edges (a, b) found on the way; ``rows`` has what
+    ``linked`` needs of each node.
+
+    In a larger bucket every member is compared with the smallest.  Those that link to it are connected, so no link among them is needed;
+    the rest meets all members: blocks of the rest and blocks of all members make a bucket for each two of them."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    small = keyed.join(sizes.where(F.col("n").between(2, most)), "key").select("key", "node")
+    large = stored(keyed.join(sizes.where(F.col("n") > most), "key"), like="large")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = large.where("node <> first").select("node", "first").distinct()
+    pairs = pairs.join(a, "node").select("first", F.struct("a.*").alias("own")).join(b.select(F.col("node").alias("first"), F.struct("b.*").alias("other")), "first")
+    rated = stored(pairs.select(F.col("own.node").alias("node"), "first", linked(F.col("own"), F.col("other")).alias("linked")), like="rated")
+    rest = large.join(rated.where("not linked"), ["node", "first"]).select("key", "node", "n")
+    left = stored(rest.groupBy("key").agg(F.count("*").alias("n_rest")), like="left")
+    blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    ours, theirs = F.pmod(F.xxhash64("node"), blocks("n")).cast("int"), F.pmod(F.xxhash64("node", F.lit("rest")), blocks("n_rest")).cast("int")
+    met = large.join(left, "key").select("key", "node", ours.alias("b"), every("n_rest").alias("r"))
+    met = met.unionByName(rest.join(left, "key").select("key", "node", theirs.alias("r"), every("n").alias("b"))).distinct()
+    return small.unionByName(met.select(F.xxhash64("key", "r", "b").alias("key"), "node")), rated.where("linked").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+
+def join_copies(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``, of which ``roots`` has one row with the number of its ``copies``; the copies of a hot key are dealt over tasks."""
+    total = roots.agg(F.sum("copies")).first()[0] or 0
+    most = max(COPIES_AT_ONCE, total >> 16)
+    hot = F.broadcast(roots.where(F.col("copies") > most).select(key, F.ceil(F.col("copies") / most).cast("int").alias("salts")))  # under 2**16 rows
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("salts")
+    each = roots.drop("copies").join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(each, [key, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> node, component (smallest node reachable) for all nodes with an edge."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other"), like="edges")
@@ -336,24 +409,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, blocking: str = "segments", bands: int = 8, rows: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """doc_id, fingerprint (array of longs), n_shingles, component_id (the smallest doc_id that links lead to).
+def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """doc_id, fingerprint (array of one long), n_shingles, component_id (the smallest doc_id that links lead to).
 
     Fingerprints link at ``radius`` or fewer differing bits."""
-    if blocking == "segments" and words != 1:
-        raise ValueError("segments need fingerprints of one word")
-    prints = stored(fingerprints(docs, shingle, words, 0 if blocking == "segments" else bands, rows), like="prints")
-    if blocking == "segments":
-        nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-        keyed = _segment_keys(nodes.where("node is not null"), radius, split_above)
-    else:
-        # equal band lists and fingerprints are one node
-        nodes = prints.where("n_shingles > 0").groupBy("fingerprint", "bands").agg(F.min("doc_id").alias("node")).where("node is not null")
-        keyed = nodes.select("node", "fingerprint", F.posexplode("bands").alias("k", "band")).select("node", "fingerprint", F.xxhash64("k", "band").alias("key"))
-    found = components(bucket_stars(keyed, radius))
-    same = ["fingerprint"] if blocking == "segments" else ["fingerprint", "bands"]
-    roots = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("root"))
-    out = prints.join(roots, same, "left")
+    prints = stored(fingerprints(docs, shingle), like="prints")
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), like="nodes")
+    some = nodes.where("node is not null")
+    keyed = stored(_segment_keys(some, radius, split_above).select("key", "node"), like="keys")
+    buckets, known = bounded_buckets(keyed, some.select("node", "fingerprint"), within(radius), split_above)
+    found = components(bucket_stars(buckets.join(some.select("node", "fingerprint"), "node"), radius).union(known))
+    roots = stored(nodes.join(found, "node", "left").select("fingerprint", "copies", F.coalesce("component", "node").alias("root")), like="roots")
+    out = join_copies(prints, roots, "fingerprint")
     return out.select("doc_id", "fingerprint", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
@@ -367,13 +434,6 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 NEAR_WORDS = 16
 
 
-def radius_for(similarity: float, bits: int, margin: float = 1.5) -> int:
-    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity, plus ``margin`` standard
-    errors: the angle between their vectors has the cosine 2 s / (1 + s)."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
-
-
 def filter_radius(similarity: float, bits: int, margin: float = 4.0, few: int = 48) -> int:
     """A radius that sets of this Jaccard similarity or more keep but for ``margin`` standard errors, whatever their size.
 
@@ -396,25 +456,25 @@ def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     Texts link where the Jaccard similarity of their distinct shingle hashes is ``similarity`` or more.  Pairs are proposed
     by bands of min-hashes (at similarity 0.8 sixteen bands of three miss one pair in 96,000) and the filter radius;
-    what proposals connect is then gathered once, with its sets, and compared exactly.  Where that is over ``split_above``
-    texts, the buckets of the bands are compared instead."""
+    the sets of what proposals connect are then made from the texts and compared exactly."""
     radius = filter_radius(similarity, 64 * NEAR_WORDS)
-    prints = stored(fingerprints(docs, shingle, NEAR_WORDS, bands, rows, True).withColumn("row", F.monotonically_increasing_id()), like="prints")
+    prints = stored(fingerprints(docs, shingle, NEAR_WORDS, bands, rows).withColumn("node", F.monotonically_increasing_id()), like="prints")
     # equal sets are one node: the row of their smallest doc_id
-    first = prints.where("n_shingles > 0 and doc_id is not null").groupBy("content").agg(F.min(F.struct("doc_id", "row")).alias("s"))
-    nodes = stored(first.select("content", F.col("s.doc_id").alias("first_id"), F.col("s.row").alias("node")), like="nodes")
-    own = prints.withColumnRenamed("row", "node")
-    banded = own.select("node", "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.posexplode("bands").alias("k", "band"))
+    first = prints.where("n_shingles > 0 and doc_id is not null").groupBy("content").agg(F.min(F.struct("doc_id", "node")).alias("s"), F.count("*").alias("copies"))
+    nodes = stored(first.select("content", F.col("s.doc_id").alias("first_id"), F.col("s.node").alias("node"), "copies"), like="nodes")
+    banded = prints.select("node", "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.posexplode("bands").alias("k", "band"))
     keyed = stored(banded.select("node", F.xxhash64("k", "band").alias("key")), like="keys")
-    shared = keyed.join(keyed.groupBy("key").count().where("count > 1"), "key", "left_semi")
-    proposed = components(bucket_stars(shared.join(own.select("node", "fingerprint"), "node"), radius))
-    large = proposed.groupBy("component").count().where(F.col("count") > split_above)
-    whole = proposed.join(large, "component", "left_anti").select("node", F.col("component").alias("key"))
-    parts = shared.join(proposed.join(large, "component", "left_semi"), "node", "left_semi").select("node", "key")
-    found = components(bucket_stars(whole.unionAll(parts).join(own.select("node", "fingerprint", "shingles"), "node"), radius, similarity))
-    rooted = nodes.join(found, "node", "left").select("content", "first_id", F.coalesce("component", "node").alias("root"))
+    lines = prints.select("node", "fingerprint")
+    buckets, known = bounded_buckets(keyed, lines, within(radius), split_above)
+    proposed = components(bucket_stars(buckets.join(lines, "node"), radius).union(known))
+    wanted = proposed.join(nodes, "node").select("node", "content", "first_id")
+    sets = stored(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["first_id"]), shingle, NEAR_WORDS), like="sets")
+    buckets, known = bounded_buckets(proposed.select(F.col("component").alias("key"), "node"), sets, similar(similarity), split_above)
+    found = components(bucket_stars(buckets.join(sets, "node"), radius, similarity).union(known))
+    rooted = nodes.join(found, "node", "left").select("content", "copies", "first_id", F.coalesce("component", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    out = prints.select("doc_id", "n_shingles", "content").join(rooted.join(least, "root").select("content", "component_id"), "content", "left")
+    roots = stored(rooted.join(least, "root").select("content", "copies", "component_id"), like="roots")
+    out = join_copies(prints.select("doc_id", "n_shingles", "content"), roots, "content")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

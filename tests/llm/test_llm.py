@@ -315,7 +315,10 @@ def test_simhash_chains_and_split_buckets(spark, split):
             f ^= 1 << int(rng.integers(0, 64)) | 1 << int(rng.integers(0, 64))
     nodes = spark.createDataFrame([([f - 2**64 if f >= 2**63 else f], i) for i, f in fps.items()], "fingerprint array<long>, node long")
     nodes = nodes.groupBy("fingerprint").agg(F.min("node").alias("node"))
-    found = {r["node"]: r["component"] for r in simhash.components(simhash.bucket_stars(simhash._segment_keys(nodes, 2, split), 2)).collect()}
+    keyed = simhash._segment_keys(nodes, 2, split).select("key", "node")
+    buckets, known = simhash.bounded_buckets(keyed, nodes, simhash.within(2), split)
+    assert buckets.groupBy("key").count().where(F.col("count") > 4 * split + 8).count() == 0
+    found = {r["node"]: r["component"] for r in simhash.components(simhash.bucket_stars(buckets.join(nodes, "node"), 2).union(known)).collect()}
     comp = brute_components(fps, 2)
     assert {r["node"]: found.get(r["node"], r["node"]) for r in nodes.collect()} == {r["node"]: comp[r["node"]] for r in nodes.collect()}
 

@@ -61,6 +61,59 @@ def test_near_duplicates_are_exact(spark):
     assert {r[0] for r in by_bucket.collect()} == set(range(len(texts))) - kept
 
 
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """One text with very many near copies, some of which link only through others; copies of one content over the bound."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(simhash, "COPIES_AT_ONCE", 8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 6)):
+            t[at] = f"e{i}x{at}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base)] * 40 + [" ".join(f"z{rng.integers(1 << 30)}" for _ in range(100)) for _ in range(20)]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    for most in (4, 4096):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs(spark, *texts), split_above=most).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
+    fps = simhash.simhash_components(docs(spark, *texts), split_above=4).collect()
+    same = simhash.simhash_components(docs(spark, *texts)).collect()
+    assert sorted(map(str, fps)) == sorted(map(str, same))
+
+
+def test_near_duplicate_recall_on_edited_texts(spark):
+    """Fresh pairs at similarity 0.8 and up: texts of the test table with words replaced."""
+    rng = np.random.default_rng(13)
+    long = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("size(split(text, ' ')) between 60 and 400").select("doc_id", "text").orderBy("doc_id").limit(250).collect()]
+    edited = []
+    for r in long:
+        w = r["text"].split()
+        while True:
+            at = int(rng.integers(0, len(w)))
+            new = [*w[:at], f"new{rng.integers(1 << 30)}", *w[at + 1 :]]
+            a, b = shingles(" ".join(new)), shingles(r["text"])
+            if len(a & b) / len(a | b) < 0.8:
+                break
+            w = new
+        edited.append(" ".join(w))
+    d = docs(spark, *(r["text"] for r in long), *edited)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()}
+    assert not kept & set(range(len(long), 2 * len(long)))
+
+
 # --- 9: longest matches
 
 def test_longest_matches_of_shared_passages(spark):
