@@ -368,6 +368,8 @@ def bounded_buckets(keyed: DataFrame, rows: DataFrame, linked: Callable[[DataFra
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     small = keyed.join(sizes.where(F.col("n").between(2, most)), "key").select("key", "node")
     large = stored(keyed.join(sizes.where(F.col("n") > most), "key"), like="large")
+    if large.isEmpty():
+        return small, large.select(F.col("node").alias("a"), F.col("first").alias("b"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = large.where("node <> first").select("node", "first").distinct()
     pairs = pairs.join(a, "node").select("first", F.struct("a.*").alias("own")).join(b.select(F.col("node").alias("first"), F.struct("b.*").alias("other")), "first")
@@ -451,7 +453,7 @@ def filter_radius(similarity: float, bits: int, margin: float = 4.0, few: int =
     return math.ceil(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, split_above: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to).
 
     Texts link where the Jaccard similarity of their distinct shingle hashes is ``similarity`` or more.  Pairs are proposed

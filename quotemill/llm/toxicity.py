@@ -33,9 +33,9 @@ BUCKET_BITS = 20
 #: Bytes of the beginnings of words that are features too: inflected forms share them.
 PREFIXES = (4, 6)
 #: Most training rows of each kind.
-POSITIVES = 2_500
-NEGATIVES = 1_500
-UNLABELLED = 5_000
+POSITIVES = 2_000
+NEGATIVES = 1_000
+UNLABELLED = 4_000
 #: A word is a feature if at least so many training texts hold it.
 MIN_TEXTS = 3
 #: Pseudo-counts that draw the values of rare features to zero.
@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     lists = table["buckets"].combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
     share = counted.get(True, 0) / max(1, sum(counted.values())) if prior is None else prior
-    return train(lists.flatten().to_numpy(zero_copy_only=False), at - at[0], table["kind"].to_numpy(), share)
+    buckets, kind = lists.flatten().to_numpy(zero_copy_only=False), table["kind"].to_numpy()
+    del table, lists
+    return train(buckets, at - at[0], kind, share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
