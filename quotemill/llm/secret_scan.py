@@ -48,17 +48,27 @@ DICTIONARY = (
 ).split()
 FEATURES = ["length", "distinct_share", "digit_share", "upper_share", "lower_share", "to_digit", "to_alpha", "case_moves", "symbols", "coverage", "hex_like", "digits_only", "issuer", "dotted", "secret_before", "assigned", "quoted", "in_url", "plain_before", "example_near", "secret_after", "host_after", "test_path"]
 
-_NAME = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_-]*+[\"'`]?\s{{0,4}}(?:=>|:=|[:=])\s{{0,4}}[\"'`]?"
+#: The secret's words that can begin a name, by first letter: most places of a text are passed after six comparisons.
+_WORDS = r"(?:[tT](?i:oken)|[sS](?i:ecret|ignature)|[pP](?i:assw|assphrase|wd|rivate[ _-]?key)|[aA](?i:pi[ _-]?key|ccess[ _-]?key|uthorization|uth[_-]?key|uth[_-]?token)|[cC](?i:redential|lient[_-]?id)|[bB](?i:earer))"
+_NAME = rf"{_WORDS}[A-Za-z0-9_-]*+[\"'`]?\s{{0,4}}(?:=>|:=|[:=])\s{{0,4}}[\"'`]?"
 _VALUE = rf"[^\s\"'`,;<>(){{}}\[\]]{{{ASSIGNED_LENGTH},}}+"
 _LOGIN, _PASSWORD = r"://[^\s:/@\"'<>]*+:", r"[^\s/@\"'<>]{3,}+(?=@)"
 _PLAIN = rf"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}+(?![A-Za-z0-9+/_=-])"
 _DOTTED = r"(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?![A-Za-z0-9_-])"
 _ISSUED = r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ)[A-Za-z0-9_-]{12,}+(?![A-Za-z0-9+/_=.-]*+[+/=])"
 #: What is matched; in the first two forms a name or login comes before the candidate itself.
-CANDIDATE = rf"{_NAME}{_VALUE}|{_LOGIN}{_PASSWORD}|(?<![A-Za-z0-9+/_-])(?:{_DOTTED}|{_PLAIN}|{_ISSUED})"
+_ANNOUNCED = rf"{_NAME}{_VALUE}|{_LOGIN}{_PASSWORD}"
+_ALONE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_.-]{{{MIN_LENGTH}}})(?:{_DOTTED}|{_PLAIN}|{_ISSUED})"
+CANDIDATE = f"{_ANNOUNCED}|{_ALONE}"
 _LEAD = rf"^(?:{_NAME}(?={_VALUE}$)|{_LOGIN}(?=[^\s/@\"'<>]{{3,}}$))"
 
 
+def _suspect(text: Column) -> Column:
+    """Whether a text holds a candidate; names and logins, which cost most to look for, only where there is a ``:`` or ``=``."""
+    text = F.coalesce(text, F.lit(""))
+    return text.rlike(_ALONE) | (text.rlike("[:=]") & text.rlike(_ANNOUNCED))
+
+
 def _lead(match: Column) -> Column:
     """The name or login that a match begins with."""
     return F.regexp_extract(match, f"({_LEAD})", 1)
@@ -74,8 +84,8 @@ def findings(docs: DataFrame, path: str | None = "source", keep: tuple[str, ...]
     """doc_id, text_hash, nth, secret, before, after, path of every candidate, and the columns of ``keep``."""
     where = docs[path].cast("string") if path and path in docs.columns else F.lit(None).cast("string")
     found, around = _cut(docs["text"])
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), where.alias("path"), found.alias("found"), around.alias("around"), *keep)
-    each = cut.where(F.size("found") > 0).select("doc_id", "text_hash", "path", F.posexplode("found").alias("at", "match"), "around", *keep).withColumn("lead", _lead(F.col("match")))
+    cut = docs.where(_suspect(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), where.alias("path"), found.alias("found"), around.alias("around"), *keep)
+    each = cut.select("doc_id", "text_hash", "path", F.posexplode("found").alias("at", "match"), "around", *keep).withColumn("lead", _lead(F.col("match")))
     return each.select(
         "doc_id", "text_hash", (F.col("at") + 1).alias("nth"), F.substring("match", F.length("lead") + 1, F.length("match")).alias("secret"),
         F.right(F.concat(F.get("around", F.col("at")), "lead"), F.lit(48)).alias("before"), F.left(F.get("around", F.col("at") + 1), F.lit(32)).alias("after"), "path", *keep,
@@ -187,7 +197,7 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str
     """``docs`` with every secret replaced, where it was found, by ``<SECRET>``, and ``n_chars``, if there, set anew.
 
     Rows without a candidate pass untouched and unshuffled; only rows with findings are joined to them."""
-    suspect = F.coalesce(F.col("text"), F.lit("")).rlike(CANDIDATE)
+    suspect = _suspect(F.col("text"))
     found = _scanned(docs, labelled, path).where("is_secret").groupBy(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__hash")).agg(F.collect_set("nth").alias("__nth"))
     hit = docs.where(suspect)
     hit = hit.join(found, hit["doc_id"].eqNullSafe(found["__of"]) & (F.xxhash64(hit["text"]) == found["__hash"]), "left")
