@@ -15,8 +15,9 @@ one.  Three steps make a corpus-wide index unnecessary:
    are streamed through it from right to left in lockstep, one LF step a byte.  That gives each window the rows that share its
    first ``LENGTH`` bytes; the earliest of them is located by stepping from run end to run end (phi), and all later windows are marked.
 
-Defined results: null and empty texts keep nothing and lose nothing; rows that repeat with one doc_id are one document and do not remove each
-other; a null doc_id counts as smaller than all others; texts shorter than ``LENGTH`` bytes stay whole.
+Defined results: null and empty texts keep nothing and lose nothing; rows of one doc_id with equal texts are one document and do not remove each
+other, rows of one doc_id with different texts are documents of their own, ordered by the MD5 of their texts; a null doc_id counts as smaller than
+all others; texts shorter than ``LENGTH`` bytes stay whole.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def frequent_grams(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUENT)
 
 def regions(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of a chunk of texts, per region: text number, start of the first window in its text, number of windows, offset of the anchor, anchor hash
-    (49 bits), hash of all bytes (32 bits)."""
+    (49 bits), hash of all bytes (64 bits)."""
     none = (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
     span = LENGTH - GRAM + 1
     if len(data) < LENGTH:
@@ -124,7 +125,7 @@ def regions(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tupl
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODE[data] * _power(_P, len(data)), out=sums[1:])
     whole = _mix((sums[s0 + n - 1 + LENGTH] - sums[s0]) * _power(_INV, len(data))[s0])
-    return text[first], s0 - offsets[text[first]], n, at - s0, h[at] >> np.uint64(15), whole >> np.uint64(32)
+    return text[first], s0 - offsets[text[first]], n, at - s0, h[at] >> np.uint64(15), whole
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,8 +144,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], reach[last] - base[last]
 
 
-_ROWS = "key long, doc long, packed long"
-_LOW32 = np.int64((1 << 32) - 1)
+_ROWS = "key long, doc long, start int, tail long"
 
 
 def _combine(key, doc, s0, whole):
@@ -158,8 +158,8 @@ def _combine(key, doc, s0, whole):
 
 
 def region_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """key, doc, packed: regions (key = anchor, offset, windows; packed = start, hash) and, with a negative key, spans already known to go
-    (packed = start, end)."""
+    """key, doc, start, tail: regions (key = anchor, offset, windows; tail = hash) and, with a negative key, spans already known to go
+    (tail = end)."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def region_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
         sd, sa, sb = _merged(doc[later], s0[later], (s0 + size)[later])
         keep = ~same
         spread = -1 - (_mix(sd.astype(np.uint64) * np.uint64(_P)) >> np.uint64(2)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[keep], spread])), pa.array(np.concatenate([doc[keep], sd])), pa.array(np.concatenate([(s0[keep] << 32) | whole[keep], (sa << 32) | sb]))], names=["key", "doc", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[keep], spread])), pa.array(np.concatenate([doc[keep], sd])), pa.array(np.concatenate([s0[keep], sa]).astype(np.int32)), pa.array(np.concatenate([whole[keep], sb]))], names=["key", "doc", "start", "tail"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -191,12 +191,12 @@ def settle_equal(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, "anchor"):
-            anchor, key, doc, packed = (table.column(c).to_numpy() for c in ("anchor", "key", "doc", "packed"))
+            key, doc, start, tail = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "tail"))
             known = key < 0
-            out = [(doc[known], packed[known] >> 32, packed[known] & _LOW32)]
-            key, doc, packed, anchor = key[~known], doc[~known], packed[~known], anchor[~known]
+            out = [(doc[known], start[known], tail[known])]
+            key, doc, start, tail = key[~known], doc[~known], start[~known], tail[~known]
             if len(key):
-                key, doc, s0, whole, same, later = _combine(key, doc, packed >> 32, packed & _LOW32)
+                key, doc, s0, whole, same, later = _combine(key, doc, start, tail)
                 end = s0 + (key & 127) + LENGTH - 1
                 out.append((doc[later], s0[later], end[later]))
                 heads = ~same
@@ -404,10 +404,22 @@ def _settled(df: DataFrame, like: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and doc, a number in the order of documents: the doc_id itself (``NO_ID`` for null) where no two rows share one, else the place among all
+    pairs of doc_id and text."""
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return rows
+    named = rows.drop("doc").withColumn("md5", F.md5(F.coalesce("text", F.lit(""))))
+    order = named.select("doc_id", "md5").distinct().orderBy(F.asc_nulls_first("doc_id"), "md5")
+    order = stored(order.select(F.col("doc_id").alias("of"), F.col("md5").alias("of_md5"), F.monotonically_increasing_id().alias("doc")), like="order")
+    joined = named.join(order, named["doc_id"].eqNullSafe(order["of"]) & (named["md5"] == order["of_md5"]))
+    return stored(joined.select("doc_id", "text", "doc"), like="numbered")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, start, end (bytes, end excluded; may overlap) of all repeated passages but their first occurrences; doc is the
-    doc_id, or ``NO_ID`` for null."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").alias("text"))
+    """doc, start, end (bytes, end excluded; may overlap) of all repeated passages of :func:`numbered` documents but their first occurrences."""
+    texts = docs.select("doc", "text")
     found = _settled(settle_equal(region_rows(texts, frequent_grams(docs))), "regions")
     apart = compare_regions(_fetched(found.where("anchor is not null"), texts))
     return found.where("anchor is null").select("doc", "start", "end").unionAll(_settled(apart, "spans"))
@@ -415,12 +427,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _with_spans(docs.select("doc_id", "text"), False)
+    return _with_spans(numbered(docs), False)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` without the repeated passages; broken characters at the edges are dropped."""
-    return _with_spans(docs.select("doc_id", "text"), True)
+    return _with_spans(numbered(docs), True)
 
 
 def _with_spans(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -446,6 +458,5 @@ def _with_spans(docs: DataFrame, keep_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), hashes], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    joined = docs.join(spans, own == spans["doc"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, text string" if keep_text else f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -85,6 +85,20 @@ def test_repeats_null_id_and_repeated_rows(spark):
     assert repeats.repeats_digest(docs(spark, "x").where("false")).count() == 0
 
 
+def test_repeats_of_one_id_with_different_texts(spark):
+    rng = np.random.default_rng(7)
+    noise = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = [noise(140), noise(230)]
+    texts = [shared[0] + noise(90), "short", shared[1] + shared[0], noise(60) + shared[1], None, "", shared[1] + noise(20), shared[0], shared[0], noise(300)]
+    ids = [None, None, 1, 1, None, 2, 2, 3, 3, -(2**63)]
+    got = sorted((-(2**64) if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in repeats.repeats_digest(docs(spark, *texts, ids=ids)).collect())
+    order = {p: n for n, p in enumerate(sorted({(-(2**64) if i is None else i, hashlib.md5((t or "").encode()).hexdigest()) for i, t in zip(ids, texts)}))}
+    named = [(-(2**64) if i is None else i, order[-(2**64) if i is None else i, hashlib.md5((t or "").encode()).hexdigest()], t) for i, t in zip(ids, texts)]
+    single = brute_repeats({(n, t or "") for _, n, t in named})
+    assert got == sorted((i, *single[n]) for i, n, _ in named)
+    assert all(removed <= size for _, size, removed, *_ in got) and sum(r[2] for r in got) > 500
+
+
 def test_run_length_index_against_brute_force():
     rng = np.random.default_rng(5)
     for n in (1, 3, 20):
