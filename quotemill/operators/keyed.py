@@ -17,7 +17,8 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of the same key; columns that one side lacks are null there."""
+    """Rows of ``new`` replace those of the same key; columns that one side lacks are null there.  A key with a null equals no other, and rows of
+    ``new`` that share a key all stay: rank them first."""
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -110,8 +110,9 @@ def market_overview(price: DataFrame, index: DataFrame) -> DataFrame:
 
 def dim_company(company: DataFrame, listing: DataFrame) -> DataFrame:
     named = listing.select(F.col("symbol").alias("ticker"), "exchange", F.col("organ_name").alias("listed_name"))
+    more = [(F.col(x) if x in company.columns else F.lit(None)).cast(kind).alias(x) for x, kind in COMPANY_COLUMNS.items()]
     c = company.join(named, "ticker", "left")
-    return c.select("ticker", "exchange", F.coalesce("listed_name", "ticker").alias("organ_name"), F.col("company_type").alias("industry"), F.col("company_type").alias("sector"), "founded_date", F.year("founded_date").alias("established_year"), "charter_capital", "number_of_employees")
+    return c.select("ticker", "exchange", F.coalesce("listed_name", "ticker").alias("organ_name"), F.col("company_type").alias("industry"), F.col("company_type").alias("sector"), "founded_date", F.year("founded_date").alias("established_year"), "charter_capital", "number_of_employees", F.col("ticker").alias("symbol"), *more)
 
 
 def latest_close(price: DataFrame) -> DataFrame:
@@ -129,15 +130,24 @@ def mean_volume(price: DataFrame, n: int = 20) -> DataFrame:
     return top_per_group(price.select("ticker", "trading_date", "volume"), ["ticker"], [F.desc("trading_date")], n).groupBy("ticker").agg(F.avg("volume").alias("avg_volume_20d"))
 
 
-#: Ratios of the profile.
-PROFILE_ITEMS = ["pe_ratio", "pb_ratio", "eps", "roe", "roa"]
+#: Ratios of the profile, column -> item code.
+PROFILE_ITEMS = {"pe_ratio": "pe_ratio", "pb_ratio": "pb_ratio", "eps": "trailing_eps", "roe": "roe", "roa": "roa"}
+#: Metrics of the financial summary, column -> item code (None: always null).
+SUMMARY_ITEMS = {
+    "pe_ratio": "pe_ratio", "pb_ratio": "pb_ratio", "ps_ratio": "ps_ratio", "ev_ebit": "ev_ebit", "ev_ebitda": "ev_ebitda", "eps": "trailing_eps", "roe": "roe", "roe_trailing": "roe_trailling", "roa": "roa", "roa_trailing": "roa_trailling",
+    "roce": "return_on_capital_employed_roce", "gross_profit_margin": "gross_margin", "net_profit_margin": "net_margin", "ebit_margin": "ebit_margin", "ebitda_margin": "ebitda_net_revenue", "current_ratio": "short_term_ratio", "quick_ratio": "quick_ratio", "cash_ratio": "cash_ratio",
+    "debt_to_equity": "debt_to_equity", "debt_to_assets": "debt_to_assets", "liabilities_to_equity": "liabilities_to_equity", "liabilities_to_assets": "liabilities_to_assets", "revenue_growth": "net_revenue", "gross_profit_growth": "gross_profit",
+    "profit_growth": "profit_after_tax_for_shareholders_of_the_parent_company", "dividend_yield": "dividend_yield", "dividend_per_share": None, "book_value_per_share": "book_value_per_share_bvps", "cash_flow_per_share": "cash_flow_per_share_cps", "beta": "beta",
+}
+#: Columns of the company dimension that a source may lack, with their types.
+COMPANY_COLUMNS = {"company_name": "string", "short_name": "string", "free_float_percentage": "double", "free_float": "double", "ceo_name": "string", "ceo_position": "string", "outstanding_shares": "double", "auditor": "string", "listed_date": "date", "website": "string", "description": "string", "en_organ_name": "string"}
 
 
 def latest_ratios(ratio: DataFrame) -> DataFrame:
     """The profile's ratios of the newest period in which any is known."""
-    r = ratio.where(F.col("item_code").isin(PROFILE_ITEMS))
+    r = ratio.where(F.col("item_code").isin(*PROFILE_ITEMS.values()))
     last = r.where("value is not null").groupBy("ticker").agg(F.max("period").alias("period"))
-    return r.join(last, ["ticker", "period"]).groupBy("ticker").agg(*(F.max(F.when(F.col("item_code") == i, F.col("value"))).alias(i) for i in PROFILE_ITEMS))
+    return r.join(last, ["ticker", "period"]).groupBy("ticker").agg(*(F.max(F.when(F.col("item_code") == i, F.col("value"))).alias(c) for c, i in PROFILE_ITEMS.items()))
 
 
 def company_profile(company: DataFrame, listing: DataFrame, price: DataFrame, ratio: DataFrame) -> DataFrame:
@@ -147,24 +157,23 @@ def company_profile(company: DataFrame, listing: DataFrame, price: DataFrame, ra
     return out
 
 
-def ratio_pivot(ratio: DataFrame, items: list[str]) -> DataFrame:
-    return ratio.groupBy("ticker", "period", "period_type", "year", "quarter").pivot("item_code", items).agg(F.max("value"))
+def ratio_pivot(ratio: DataFrame, items: dict[str, str | None] = SUMMARY_ITEMS) -> DataFrame:
+    """One row a period with a column for each metric."""
+    value = lambda item: F.max(F.when(F.col("item_code") == item, F.col("value"))) if item else F.max(F.lit(None).cast("double"))
+    return ratio.groupBy("ticker", "period", "period_type", "year", "quarter").agg(*(value(item).alias(name) for name, item in items.items()))
 
 
 def latest_quarter_as_annual(pivoted: DataFrame) -> DataFrame:
     """The last quarter of each year as the year's own row."""
-    quarters = pivoted.where("period_type = 'quarter'")
+    quarters = pivoted.where("period_type = 'quarter' and year is not null")
     last = ranked_dedupe(quarters, ["ticker", "year"], [F.desc_nulls_last("quarter"), F.desc("period")])
-    return last.withColumns({"period": F.concat(F.col("year").cast("string"), F.lit("-annual")), "period_type": F.lit("annual"), "quarter": F.lit(None).cast("int")})
+    return last.withColumns({"period": F.col("year").cast("string"), "period_type": F.lit("annual"), "quarter": F.lit(None).cast("int")})
 
 
-def financial_summary(ratio: DataFrame, items: list[str], keep_both: bool = False) -> DataFrame:
-    """Ratios by period, with years derived from their last quarters; real annual rows win unless both are wanted."""
+def financial_summary(ratio: DataFrame, items: dict[str, str | None] = SUMMARY_ITEMS) -> DataFrame:
+    """Ratios by period, and years derived from their last quarters beside the real annual rows."""
     wide = ratio_pivot(ratio, items)
-    derived = latest_quarter_as_annual(wide)
-    if not keep_both:
-        derived = derived.join(wide.where("period_type = 'annual'").select("ticker", "year"), ["ticker", "year"], "left_anti")
-    return wide.unionByName(derived)
+    return wide.unionByName(latest_quarter_as_annual(wide))
 
 
 def price_board(board: DataFrame) -> DataFrame:

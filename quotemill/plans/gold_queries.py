@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.rules import rounded
 from quotemill.plans import gold
 from quotemill.plans.registry import query
-from quotemill.sources.proxy import ITEMS, Tables
+from quotemill.sources.proxy import Tables
 
 INDICATOR_COLUMNS = ["daily_return", "ma7", "ma20", "ma50", "rsi14", "macd_line", "macd_signal", "macd_hist", "bb_middle", "bb_upper", "bb_lower", "volume_ma20"]
 
@@ -141,13 +141,13 @@ def join_inner_left_mix(t: Tables) -> DataFrame:
     return gold.market_overview(t.price(), t.index_price()).select("trading_date", "vnindex_close", "advances", "declines")
 
 
-DIM = "select c.ticker, l.exchange, coalesce(l.organ_name, c.ticker) as organ_name, c.company_type as industry, c.company_type as sector, c.founded_date, year(c.founded_date) as established_year, c.charter_capital, c.number_of_employees from company c left join listing l on c.ticker = l.symbol"
+DIM = "select c.ticker, l.exchange, coalesce(l.organ_name, c.ticker) as organ_name, c.company_type as industry, c.company_type as sector, c.founded_date, year(c.founded_date) as established_year, c.charter_capital, c.number_of_employees, c.ticker as symbol, " + ", ".join(f"null::{k.replace('string', 'varchar')} as {x}" for x, k in gold.COMPANY_COLUMNS.items()) + " from company c left join listing l on c.ticker = l.symbol"
 PROFILE = {
     "dim": DIM, "latest": "select ticker, arg_max(close, trading_date) as latest_close, max(trading_date) as latest_trading_date from price group by ticker",
     "year_range": "select ticker, max(close) as high_52w, min(close) as low_52w from price where trading_date >= (select max(trading_date) from price) - interval 365 day group by ticker",
     "volumes": f"select ticker, {r('avg(volume)', 4)} as avg_volume_20d from (select ticker, volume, row_number() over (partition by ticker order by trading_date desc) as n from price) where n <= 20 group by ticker",
-    "last_period": "select ticker, max(period) as period from ratio where item_code in ('pe_ratio', 'pb_ratio', 'eps', 'roe', 'roa') and value is not null group by ticker",
-    "ratios": "select r.ticker, " + ", ".join(f"max(case when item_code = '{i}' then value end) as {i}" for i in gold.PROFILE_ITEMS) + " from ratio r join last_period p on r.ticker = p.ticker and r.period = p.period group by r.ticker",
+    "last_period": "select ticker, max(period) as period from ratio where item_code in ('pe_ratio', 'pb_ratio', 'trailing_eps', 'roe', 'roa') and value is not null group by ticker",
+    "ratios": "select r.ticker, " + ", ".join(f"max(case when item_code = '{i}' then value end) as {c}" for c, i in gold.PROFILE_ITEMS.items()) + " from ratio r join last_period p on r.ticker = p.ticker and r.period = p.period group by r.ticker",
     "profile": "select d.*, latest_close, latest_trading_date, high_52w, low_52w, avg_volume_20d, pe_ratio, pb_ratio, eps, roe, roa from dim d left join latest using (ticker) left join year_range using (ticker) left join volumes using (ticker) left join ratios using (ticker)",
 }
 
@@ -184,10 +184,10 @@ def agg_latest_period_ratios(t: Tables) -> DataFrame:
     return gold.latest_ratios(t.ratio())
 
 
-@query("select r.ticker, r.period, r.item_code, r.value from ratio r join last_period p on r.ticker = p.ticker and r.period = p.period", **PROFILE)
+@query("select ticker, period, item_code, value from (select *, max(case when item_code in ('pe_ratio', 'pb_ratio', 'trailing_eps', 'roe', 'roa') and value is not null then period end) over (partition by ticker) as newest from ratio) where period = newest")
 def join_inner_composite(t: Tables) -> DataFrame:
     r_ = t.ratio()
-    last = r_.where(F.col("item_code").isin(gold.PROFILE_ITEMS) & F.col("value").isNotNull()).groupBy("ticker").agg(F.max("period").alias("period"))
+    last = r_.where(F.col("item_code").isin(*gold.PROFILE_ITEMS.values()) & F.col("value").isNotNull()).groupBy("ticker").agg(F.max("period").alias("period"))
     return r_.join(last, ["ticker", "period"]).select("ticker", "period", "item_code", "value")
 
 
@@ -202,29 +202,29 @@ def join_multi_left(t: Tables) -> DataFrame:
 
 
 WIDE = {
-    "wide": "select ticker, period, period_type, year, quarter, " + ", ".join(f"max(case when item_code = '{i}' then value end) as {i}" for i in ITEMS) + " from ratio group by all",
-    "annual": f"select ticker, year || '-annual' as period, 'annual' as period_type, year, null::bigint as quarter, {', '.join(ITEMS)} from (select *, row_number() over (partition by ticker, year order by quarter desc nulls last, period desc) as n from wide) where n = 1",
+    "wide": "select ticker, period, period_type, year, quarter, " + ", ".join(f"max(case when item_code = '{i}' then value end)::double as {c}" for c, i in gold.SUMMARY_ITEMS.items()) + " from ratio group by all",
+    "annual": f"select ticker, year::varchar as period, 'annual' as period_type, year, null::bigint as quarter, {', '.join(gold.SUMMARY_ITEMS)} from (select *, row_number() over (partition by ticker, year order by quarter desc nulls last, period desc) as n from wide) where n = 1",
 }
 
 
 @query("select * from wide", **WIDE)
 def pivot_case_ratios(t: Tables) -> DataFrame:
-    return gold.ratio_pivot(t.ratio(), ITEMS)
+    return gold.ratio_pivot(t.ratio())
 
 
 @query("select * from annual", **WIDE)
 def latest_quarter_as_annual(t: Tables) -> DataFrame:
-    return gold.latest_quarter_as_annual(gold.ratio_pivot(t.ratio(), ITEMS))
+    return gold.latest_quarter_as_annual(gold.ratio_pivot(t.ratio()))
 
 
 @query("select * from wide union all select * from annual", **WIDE)
 def financial_summary(t: Tables) -> DataFrame:
-    return gold.financial_summary(t.ratio(), ITEMS)
+    return gold.financial_summary(t.ratio())
 
 
 @query("select period_type, count(*) as n, count(eps) as n_eps from (select * from wide union all select * from annual) group by 1", **WIDE)
 def union_all(t: Tables) -> DataFrame:
-    return gold.financial_summary(t.ratio(), ITEMS, keep_both=True).groupBy("period_type").agg(F.count("*").alias("n"), F.count("eps").alias("n_eps"))
+    return gold.financial_summary(t.ratio()).groupBy("period_type").agg(F.count("*").alias("n"), F.count("eps").alias("n_eps"))
 
 
 EVERYONE = "select upper(symbol) as ticker from listing union select upper(ticker) from company union select upper(ticker) from price union select upper(ticker) from news union select upper(ticker) from filings"

@@ -14,7 +14,7 @@ from quotemill.operators import incremental, keyed
 from quotemill.plans import gold
 from quotemill.plans.gold_queries import ALL, INDICATOR_COLUMNS, VIEWS, _COLS, _PIVOT, rounded_all
 from quotemill.plans.registry import query
-from quotemill.sources import datasets
+from quotemill.sources import datasets, sinks
 from quotemill.sources.proxy import Tables
 
 CUT = dt.date(1997, 6, 30)
@@ -35,18 +35,25 @@ def incr_after_max(t: Tables) -> DataFrame:
     return keyed.after_max(t.price(), old(t), "trading_date").select("ticker", "trading_date", "close")
 
 
-def _monthly(t: Tables) -> DataFrame:
-    return t.price().withColumns({"year": F.year("trading_date"), "month": F.month("trading_date")})
+def _months(t: Tables, df: DataFrame | None = None) -> str:
+    """Prices in a folder with a part for each month."""
+    path = sinks.scratch(t.spark, "months")
+    p = t.price() if df is None else df
+    sinks.overwrite_partitions(p.withColumns({"year": F.year("trading_date"), "month": F.month("trading_date")}), path, "year", "month")
+    return path
 
 
 @query("select distinct year(trading_date) as year, month(trading_date) as month from price")
 def partition_list(t: Tables) -> DataFrame:
-    return datasets.partitions(_monthly(t), "year", "month")
+    """Listed from the names of the folder's parts."""
+    found = datasets.stored_partitions(t.spark, _months(t), "year", "month")
+    return found.select(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"))
 
 
 @query("select ticker, count(*) as n from price where trading_date >= date '1997-06-01' group by 1")
 def partition_select(t: Tables) -> DataFrame:
-    return datasets.months_since(_monthly(t), CUT).groupBy("ticker").agg(F.count("*").alias("n"))
+    """Only the parts of the months wanted are read."""
+    return datasets.months_since(t.spark.read.parquet(_months(t)), CUT).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 @query("select ticker, trading_date, close from price where trading_date = (select max(trading_date) from price)")
@@ -125,12 +132,14 @@ def watchlist_dedupe(t: Tables) -> DataFrame:
     return incremental.watchlist(w, "ord", 10).select(F.col("symbol").alias("code"))
 
 
-@query()
+@query("select title, url_pdf, min(p_partkey) as ord from (select any_value(title) as title, url_pdf, min(p_partkey) as p_partkey from filings where p_partkey % 3 <> 0 group by url_pdf union all select any_value('json ' || title), url_pdf, min(p_partkey) + 1000000 from filings where p_partkey % 3 = 0 group by url_pdf) group by all")
 def scan_doc_csv_json(t: Tables) -> DataFrame:
-    """Lists with alternative headers, merged by address, the first wins."""
+    """Lists with alternative headers, one a CSV and one a JSON file, merged by address, the first wins."""
     f = t.filings()
-    a = f.select(F.col("title").alias("Title"), F.col("url_pdf").alias("link"), F.col("p_partkey").alias("ord"))
-    b = f.select(F.col("title").alias("name"), F.col("url_pdf").alias("url"), (F.col("p_partkey") + 1_000_000).alias("ord"))
+    csv, json = sinks.scratch(t.spark, "csv"), sinks.scratch(t.spark, "json")
+    f.where("p_partkey % 3 <> 0").select(F.col("title").alias("Title"), F.col("url_pdf").alias("link"), F.col("p_partkey").alias("ord")).write.option("header", True).option("escape", '"').csv(csv)
+    f.select(F.concat(F.lit("json "), "title").alias("name"), F.col("url_pdf").alias("url"), (F.col("p_partkey") + 1_000_000).alias("ord")).write.json(json)
+    a, b = (x.withColumn("ord", F.col("ord").cast("long")) for x in datasets.read_lists(t.spark, csv, json))
     return incremental.merged_lists([a, b], {"title": ["title", "Title", "name"], "url_pdf": ["url_pdf", "link", "url"]}, "url_pdf", "ord")
 
 
@@ -168,24 +177,31 @@ def incr_delete_insert(t: Tables) -> DataFrame:
 
 @query(f"select ticker, trading_date, close, volume from price where trading_date <= {D} and trading_date < date '1997-06-01' union all select * from fresh", fresh=NEW)
 def sink_by_month_merge(t: Tables) -> DataFrame:
-    """The merge of months: of stored and new rows of a key the one fetched last stays."""
-    both = _stored(t).withColumn("fetched_at", F.lit(1)).unionByName(new(t).withColumn("fetched_at", F.lit(2)))
-    return keyed.ranked_dedupe(both, _KEYS, [F.desc("fetched_at")]).drop("fetched_at")
+    """New rows merged into a stored folder: only the months that they touch are written again."""
+    path = _months(t, _stored(t))
+    fresh = new(t).withColumns({"year": F.year("trading_date"), "month": F.month("trading_date")})
+    sinks.merge_partitions(fresh, path, _KEYS, "year", "month")
+    return t.spark.read.parquet(path).select("ticker", "trading_date", "close", "volume")
 
 
 @query("select ticker, item_code, period, value + 1 as value from ratio")
 def sink_merge_ratio(t: Tables) -> DataFrame:
     r = t.ratio().select("ticker", "item_code", "period", "value")
-    newer = r.where("value is not null").withColumn("value", F.col("value") + 1)
-    return keyed.upsert(r, newer, ["ticker", "item_code", "period"])
+    path = sinks.scratch(t.spark, "ratios")
+    parted = r.withColumn("year", F.left("period", F.lit(4)).cast("int"))
+    sinks.overwrite_partitions(parted, path, "year")
+    sinks.merge_partitions(parted.where("value is not null").withColumn("value", F.col("value") + 1), path, ["ticker", "item_code", "period"], "year")
+    return t.spark.read.parquet(path).select("ticker", "item_code", "period", "value")
 
 
 @query("select symbol, cast(snapshot_at as date) as trading_date, max(snapshot_at) as snapshot_at from board group by 1, 2")
 def sink_merge_board(t: Tables) -> DataFrame:
     b = t.board().withColumn("trading_date", F.to_date("snapshot_at"))
-    morning, evening = b.where("hour(snapshot_at) < 12"), b.where("hour(snapshot_at) >= 12")
-    both = morning.unionByName(evening)
-    return keyed.ranked_dedupe(both, ["symbol", "trading_date"], [F.desc("snapshot_at"), F.desc("event_id")]).select("symbol", "trading_date", "snapshot_at")
+    newest = lambda df: keyed.ranked_dedupe(df, ["symbol", "trading_date"], [F.desc("snapshot_at"), F.desc("event_id")]).withColumn("month", F.date_format("trading_date", "yyyyMM").cast("int"))
+    path = sinks.scratch(t.spark, "board")
+    sinks.overwrite_partitions(newest(b.where("hour(snapshot_at) < 12")), path, "month")
+    sinks.merge_partitions(newest(b.where("hour(snapshot_at) >= 12")), path, ["symbol", "trading_date"], "month")
+    return t.spark.read.parquet(path).select("symbol", "trading_date", "snapshot_at")
 
 
 _LATE = f"price where trading_date <= {D} and fetched % 50 = 0"
@@ -232,12 +248,14 @@ def watermark_per_key(t: Tables) -> DataFrame:
     return t.price().groupBy("ticker").agg(F.max("trading_date").alias("newest"))
 
 
-@query()
+@query("select 'price' as dataset, max(trading_date) as mark from price union all select 'index_price', max(trading_date) from index_price")
 def watermark_store(t: Tables) -> DataFrame:
-    """A stored watermark that never moves back."""
-    state = t.price().limit(1).select(F.lit("price").alias("dataset"), F.lit(dt.date(2090, 1, 1)).alias("mark"))
-    now = t.price().agg(F.max("trading_date").alias("mark")).select(F.lit("price").alias("dataset"), "mark")
-    return incremental.advanced(state, now)
+    """Watermarks kept in a folder, which never move back."""
+    path = sinks.scratch(t.spark, "marks")
+    for name, df in (("price", t.price()), ("index_price", t.index_price())):
+        sinks.advance_watermark(t.spark, path, name, keyed.newest(df, "trading_date"))
+        sinks.advance_watermark(t.spark, path, name, CUT)
+    return sinks.watermarks(t.spark, path)
 
 
 _PLAN = f"select symbol as ticker, newest, case when newest is null then date '1990-01-01' else newest + 1 end as load_from, date '1998-06-30' as load_to, case when newest is null then 'bootstrap' when date '1998-06-30' - newest <= 30 then 'window' else 'since' end as mode from (select symbol, (select max(trading_date) from price p where p.ticker = l.symbol and p.trading_date <= {D} and l.ord % 7 <> 0) as newest from listing l) where coalesce(newest + 1, date '1990-01-01') <= date '1998-06-30'"

@@ -10,7 +10,8 @@ from quotemill.plans.gold_queries import ALL, DIRECTORY, INDICATOR_COLUMNS, PROF
 from quotemill.plans.registry import query
 from quotemill.plans.silver_queries import BOARD, FILINGS
 from quotemill.plans.text_queries import NEWS, facts, signals
-from quotemill.sources.proxy import ITEMS, Tables
+from quotemill.plans import gold as _gold
+from quotemill.sources.proxy import Tables
 
 S = "S00001"
 DAY = "1995-06-30"
@@ -64,7 +65,7 @@ def profile_with_flags(t: Tables) -> DataFrame:
 
 
 def _summary(t: Tables) -> DataFrame:
-    return gold.financial_summary(t.ratio(), ITEMS)
+    return gold.financial_summary(t.ratio())
 
 
 _BOTH = "(select * from wide union all select * from annual)"
@@ -75,9 +76,9 @@ def q_financials(t: Tables) -> DataFrame:
     return serve.financials(_summary(t), S, "annual")
 
 
-@query(f"select * from {_BOTH} where ticker = '{S}' and coalesce({', '.join(ITEMS)}) is not null order by period desc, period_type limit 10", **WIDE)
+@query(f"select * from {_BOTH} where ticker = '{S}' and coalesce({', '.join(_gold.SUMMARY_ITEMS)}) is not null order by period desc, period_type limit 10", **WIDE)
 def q_financials_visible(t: Tables) -> DataFrame:
-    return serve.visible_financials(_summary(t), ITEMS, S, 10)
+    return serve.visible_financials(_summary(t), list(_gold.SUMMARY_ITEMS), S, 10)
 
 
 @query("select * from directory", **PROFILE, **DIRECTORY)

@@ -235,9 +235,9 @@ def mart_doc_documents(t: Tables) -> DataFrame:
 # --- plain projections
 
 for _name, _view, _columns in (
-    ("stg_price", "price", ["ticker", "trading_date", "open", "high", "low", "close", "volume"]), ("stg_index_price", "index_price", ["index_code", "trading_date", "close", "volume"]), ("stg_price_board", "board", ["symbol", "snapshot_at", "close_price", "bid_price_1", "ask_price_1", "volume"]),
+    ("stg_price", "price", ["ticker", "trading_date", "open", "high", "low", "close", "volume"]), ("stg_index_price", "index_price", ["index_code", "trading_date", "open", "high", "low", "close", "volume"]), ("stg_price_board", "board", ["symbol", "snapshot_at", "close_price", "bid_price_1", "ask_price_1", "volume"]),
     ("stg_financial_ratio", "ratio", ["ticker", "item_code", "period", "period_type", "year", "quarter", "value"]), ("stg_listing", "listing", ["symbol", "organ_name", "exchange", "type"]), ("dim_security", "listing", ["symbol", "organ_name", "exchange"]),
-    ("fact_index_daily", "index_price", ["index_code", "trading_date", "close", "volume"]),
+    ("fact_index_daily", "index_price", ["index_code", "trading_date", "open", "high", "low", "close", "volume"]),
 ):
 
     def _project(t: Tables, view: str = _view, columns: list[str] = _columns) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,7 +141,9 @@ def sentiment_daily(facts: DataFrame) -> DataFrame:
 
 
 def stock_daily(prices: DataFrame, signal: DataFrame) -> DataFrame:
-    s = signal.select("ticker", "trading_date", "news_count", "weighted_sentiment", "news_signal")
+    """The whole rows of prices with what the signal says of their day."""
+    columns = ("news_count", "avg_sentiment_score", "weighted_sentiment", "dominant_sentiment", "news_signal", "top_articles", "top_ids")
+    s = signal.select("ticker", "trading_date", *(c for c in columns if c in signal.columns))
     return prices.join(s, ["ticker", "trading_date"], "left").withColumn("news_count", F.coalesce("news_count", F.lit(0)))
 
 
@@ -145,12 +153,18 @@ def stock_daily(prices: DataFrame, signal: DataFrame) -> DataFrame:
 #: token must be in capitals).
 BLOCKED = ("CEO", "HCM", "LAI", "NHA", "THU", "TIN", "TOP", "TRA", "USD", "VUA", "VND")
 LEFT_RULES = [(r"\b(HOSE|HNX|UPCOM|UPCOMINDEX|HSX)\s*:?\s*$", 110, False), (r"\b(MCK|MA\s+CK|MA\s+CHUNG\s+KHOAN)\s*:?\s*$", 105, False), (r"\bMA\s*:?\s*$", 95, True), (r"\b(CP|CO\s+PHIEU|CHUNG\s+KHOAN)\s+$", 85, True)]
-#: Contexts in which a blocked code is a plain word.
+#: Contexts in which a blocked code is a plain word, one entry a rule.
 VETOES = {
-    "HCM": r"\bTP\s*\.?\s*HCM\b|\bHO\s+CHI\s+MINH\b", "LAI": r"\bGIA\s+LAI\b|\bLAI\s+(SUAT|RONG|VAY|TIEN|SAU|TRUOC|LON|GOP|KEP)\b|\bCO\s+LAI\b", "NHA": r"\bNHA\s+(NUOC|DAU\s+TU|TY\s+PHU|DAT|O|MAY|XUONG|BANG)\b",
-    "THU": r"\bTHU\s+\d+\b|\b(DOANH|LOI|NGUON|KHOAN|TIEN|THUE|HA)\s+THU\b|\bTHU\s+(NHAP|HUT|HOI|PHI|VE|DUOC|TU|NGAN|NGHIEM)\b", "TIN": r"\bTIN\s+(TUC|MOI|DON|HIEU|VUI|XAU|TICH\s+CUC|TIEU\s+CUC)\b|\bBAN\s+TIN\b", "TOP": r"\bTOP\s+(\d+|CO\s+PHIEU|DOANH\s+NGHIEP|NGANH|DAU)\b",
-    "TRA": r"\bTRA\s+(CO\s+TUC|LAI|NO|TIEN|PHI|LUONG)\b|\b(CHI|HOAN|DUOC|PHAI|SE)\s+TRA\b", "USD": r"\bTY\s+GIA\s+USD\b|[\d.,]+\s*(TY|TRIEU|NGHIN)?\s+USD\b|\bUSD\s*/\s*VND\b|\bUSD\s+(TANG|GIAM|MANH|YEU|LEN|XUONG)\b", "VND": r"\bTY\s+GIA\s+(USD\s*/\s*)?VND\b|[\d.,]+\s*(TY|TRIEU|NGHIN)?\s+VND\b|\bUSD\s*/\s*VND\b|\bDONG\s+VND\b",
-    "VUA": r"\bVUA\s+(QUA|MOI|DUOC|TANG|GIAM|CONG\s+BO|RA\s+MAT|CHO\s+BIET)\b",
+    "HCM": [r"\bTP\s*\.?\s*HCM\b", r"\bTPHCM\b", r"\bHO\s+CHI\s+MINH\b", r"\bTHANH\s+PHO\s+HO\s+CHI\s+MINH\b"],
+    "LAI": [r"\bGIA\s+LAI\b", r"\bLAI\s+(?:SUAT|RONG|VAY|TIEN|SAU|TRUOC|LON|GOP|KEP)\b", r"\bCO\s+LAI\b"],
+    "NHA": [r"\bNHA\s+(?:NUOC|DAU\s+TU|TY\s+PHU|DAT|O|MAY|XUONG|BANG)\b", r"\bUY\s+BAN\s+CHUNG\s+KHOAN\s+NHA\s+NUOC\b"],
+    "THU": [r"\bTHU\s+\d+\b", r"\b(?:DOANH|LOI|NGUON|KHOAN|TIEN|THUE)\s+THU\b", r"\bTHU\s+(?:NHAP|HUT|HOI|PHI|VE|DUOC|TU|NGAN|NGHIEM)\b", r"\bHA\s+THU\b"],
+    "TIN": [r"\bTIN\s+(?:TUC|MOI|DON|HIEU|VUI|XAU|TICH\s+CUC|TIEU\s+CUC)\b", r"\bBAN\s+TIN\b"],
+    "TOP": [r"\bTOP\s+\d+\b", r"\bTOP\s+(?:CO\s+PHIEU|DOANH\s+NGHIEP|NGANH|DAU)\b"],
+    "TRA": [r"\bTRA\s+(?:CO\s+TUC|LAI|NO|TIEN|PHI|LUONG)\b", r"\b(?:CHI|HOAN|DUOC|PHAI|SE)\s+TRA\b"],
+    "USD": [r"\bTY\s+GIA\s+USD\b", r"[\d.,]+\s*(?:TY|TRIEU|NGHIN)?\s+USD\b", r"\b(?:TY|TRIEU|NGHIN)\s+USD\b", r"\bUSD\s*/\s*VND\b", r"\bUSD\s+(?:TANG|GIAM|MANH|YEU|LEN|XUONG|DO\s+LA|DOLA)\b"],
+    "VND": [r"\bTY\s+GIA\s+(?:USD\s*/\s*)?VND\b", r"[\d.,]+\s*(?:TY|TRIEU|NGHIN)?\s+VND\b", r"\b(?:TY|TRIEU|NGHIN)\s+VND\b", r"\bUSD\s*/\s*VND\b", r"\bVND\s*/\s*USD\b", r"\bDONG\s+VND\b"],
+    "VUA": [r"\bVUA\s+(?:QUA|MOI|DUOC|TANG|GIAM|CONG\s+BO|RA\s+MAT|CHO\s+BIET)\b"],
 }
 AROUND = 56
 
@@ -160,22 +174,56 @@ def universe(listing: DataFrame) -> DataFrame:
     return listing.where("lower(coalesce(type, 'stock')) = 'stock'").select(F.upper(F.trim("symbol")).alias("code")).where(F.length("code") >= 2).distinct()
 
 
-def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...] = ("title", "summary", "body_text")) -> DataFrame:
-    """article_id, part, start (from 0), code, raw token and the text around it, for every token that is a code.
+#: Texts that mean that there is none.
+_NO_TEXT = frozenset(["nan", "none", "<na>"])
+_TOKEN = re.compile("[A-Z0-9]+")
+
+
+@functools.cache
+def _folded_char(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").upper()
+
+
+def _folded(value: str | None) -> tuple[str, str, list[int] | None]:
+    """A text in NFC without line ends, its upper-case form without accents, and the place of each folded letter in it
+    (None: the same)."""
+    raw = unicodedata.normalize("NFC", value or "").replace("\r", " ").replace("\n", " ")
+    if raw.strip().lower() in _NO_TEXT:
+        return "", "", None
+    if raw.isascii():
+        return raw, raw.upper(), None
+    pieces = [_folded_char(c) for c in raw]
+    folded = "".join(pieces)
+    even = len(folded) == len(raw) and all(len(p) == 1 for p in pieces)
+    return raw, folded, None if even else [i for i, p in enumerate(pieces) for _ in p]
+
 
-    Distinct tokens of each text are joined with the codes first, without the text; only texts that hold a code are then cut
-    at its places."""
-    text = F.coalesce(*(F.when(F.col("part") == k, F.coalesce(F.col(c), F.lit(""))) for k, c in enumerate(parts)))
-    each = news.select("article_id", *parts, F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("part")).select("article_id", "part", text.alias("raw"))
-    words = each.select("article_id", "part", F.explode(F.array_distinct(F.regexp_extract_all(fold_accents("raw"), F.lit("([A-Z0-9]+)"), F.lit(1)))).alias("code"))
-    held = words.join(codes, "code", "left_semi").groupBy("article_id", "part").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-    found = each.join(held, ["article_id", "part"]).select("article_id", "part", "raw", fold_accents("raw").alias("folded"), F.explode("codes").alias("code"))
-    pieces = F.split("folded", F.concat(F.lit("(?<![A-Z0-9])"), "code", F.lit("(?![A-Z0-9])")), -1)
-    size = F.length("code")
-    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.when(F.size(a) > 0, F.get(a, F.size(a) - 1) + size).otherwise(0) + F.length(p))))
-    tokens = found.withColumn("start", F.explode(starts))
-    at = F.greatest(F.lit(0), F.col("start") - AROUND)
-    return tokens.select("article_id", "part", "start", "code", F.substring("raw", F.col("start") + 1, size).alias("token"), F.substring("folded", at + 1, F.col("start") - at).alias("left"), F.substring("folded", F.col("start") + size + 1, F.lit(AROUND)).alias("right"))
+def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...] = ("title", "summary", "body_text"), most: int = 100_000) -> DataFrame:
+    """article_id, part, start (from 0), code, raw token and the folded text around it, for every token that is a code.
+
+    One pass over the texts, which are never shuffled.  Up to ``most`` codes travel to the tasks; of more, tokens are joined with them instead."""
+    some = codes.select("code").where("code is not null").distinct().limit(most + 1).collect()
+    wanted = news.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in some) if len(some) <= most else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, part in enumerate(parts):
+                for i, value in enumerate(batch.column(part).to_pylist()):
+                    raw, folded, place = _folded(value)
+                    for m in _TOKEN.finditer(folded):
+                        if known is None or m[0] in known:
+                            a, b = m.span()
+                            token = raw[a:b] if place is None else raw[place[a] : place[b - 1] + 1]
+                            rows.append((i, k, a, m[0], token, folded[max(0, a - AROUND) : a], folded[b : b + AROUND]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("article_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["article_id", "part", "start", "code", "token", "left", "right"])
+
+    kind = news.schema["article_id"].dataType.simpleString()
+    found = news.select("article_id", *(F.col(p).cast("string").alias(p) for p in parts)).mapInArrow(run, f"article_id {kind}, part int, start int, code string, token string, left string, right string")
+    return found if len(some) <= most else found.join(codes.select("code").distinct(), "code", "left_semi").select(found.columns)
 
 
 def mention_scores(candidates: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
@@ -183,8 +231,9 @@ def mention_scores(candidates: DataFrame, blocked: tuple[str, ...] = BLOCKED) ->
     capital = F.col("token") == F.upper("token")
     around = F.concat("left", "code", "right")
     veto = F.lit(False)
-    for code, pattern in VETOES.items():
-        veto = veto | ((F.col("code") == code) & around.rlike(pattern))
+    for code, patterns in VETOES.items():
+        for pattern in patterns:
+            veto = veto | ((F.col("code") == code) & around.rlike(pattern))
     context = None
     for pattern, points, needs in LEFT_RULES:
         hit = F.col("left").rlike(pattern) & (capital if needs else F.lit(True))
@@ -203,6 +252,13 @@ def ranked_mentions(scored: DataFrame) -> DataFrame:
     return best.groupBy("article_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "part", "start", "code"))), lambda x: x["code"]).alias("mentions"))
 
 
+def blocked_without_context(news: DataFrame, codes: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
+    """article_id and ticker of articles whose given ticker is a blocked code that their texts do not mention, in its context, as one of ``codes``."""
+    given = news.withColumn("ticker", F.upper(F.trim("ticker"))).where(F.col("ticker").isin(*blocked))
+    scored = mention_scores(mention_candidates(given, codes.where(F.col("code").isin(*blocked))), blocked).select("article_id", F.col("code").alias("ticker")).distinct()
+    return given.select("article_id", "ticker").join(scored, ["article_id", "ticker"], "left_anti")
+
+
 # --- addresses and ids
 
 def normal_url(url) -> Column:

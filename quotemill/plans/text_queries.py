@@ -109,9 +109,9 @@ def agg_mode(t: Tables) -> DataFrame:
     return text.sentiment_daily(facts(t)).groupBy("dominant_label").agg(F.count("*").alias("n"))
 
 
-@query("select p.ticker, p.trading_date, p.close, coalesce(s.news_count, 0) as news_count, s.weighted_sentiment, s.news_signal from price p left join signal s on p.ticker = s.ticker and p.trading_date = s.trading_date", **NEWS)
+@query("select p.*, coalesce(s.news_count, 0) as news_count, s.avg_sentiment_score, s.weighted_sentiment, s.dominant_sentiment, s.news_signal, k.top_ids from price p left join tops k on p.ticker = k.ticker and p.trading_date = k.trading_date left join signal s on p.ticker = s.ticker and p.trading_date = s.trading_date", **NEWS)
 def stock_daily(t: Tables) -> DataFrame:
-    return text.stock_daily(t.price().select("ticker", "trading_date", "close"), signals(t))
+    return text.stock_daily(t.price(), signals(t))
 
 
 @query("select coalesce(s.news_count, 0) as news_count, count(*) as n from price p left join signal s on p.ticker = s.ticker and p.trading_date = s.trading_date group by 1", **NEWS)
@@ -208,11 +208,17 @@ def news_clean(t: Tables) -> DataFrame:
     return n.select("article_id", "source", compact("title").alias("title"), text.primary_ticker().alias("ticker"), text.word_count("title", "summary", "body_text").alias("word_count"), score.alias("sentiment_score"), text.label(score).alias("sentiment_label"), F.to_date(text.local_time("published_at")).alias("published_date"))
 
 
-@query()
+_BLOCKED = "(['" + "', '".join(text.BLOCKED) + "'])[(doc_id % 11 + 1)::int]"
+
+
+@query(f"select article_id, {_BLOCKED} as ticker from news where doc_id % 3 = 0 and not (doc_id % 6 = 0 and {_BLOCKED} not in ('VND', 'USD'))")
 def check_blocklist_context(t: Tables) -> DataFrame:
-    """Articles whose given ticker is blocked or short and has no scored mention."""
-    scored = text.mention_scores(text.mention_candidates(t.news(), _codes(t))).select("article_id", F.col("code").alias("ticker")).distinct()
-    return t.news().where(F.length("ticker") <= 6).join(scored, ["article_id", "ticker"], "left_anti").select("article_id", "ticker")
+    """Every third article gets a blocked ticker; half of these name it behind their exchange, which is no context for a currency behind a number."""
+    code = F.element_at(F.array(*map(F.lit, text.BLOCKED)), (F.col("doc_id") % 11 + 1).cast("int"))
+    money = code.isin("VND", "USD")
+    said = F.when(F.col("doc_id") % 6 == 0, F.when(money, F.concat(F.lit("5 ty "), code)).otherwise(F.concat(F.lit("(HOSE: "), code, F.lit(")")))).otherwise("")
+    n = t.news().withColumns({"ticker": F.when(F.col("doc_id") % 3 == 0, code).otherwise(F.col("ticker")), "title": said})
+    return text.blocked_without_context(n, text.universe(t.listing()).union(t.spark.createDataFrame([(c,) for c in text.BLOCKED], "code string")))
 
 
 @query("select article_id, case when list_contains(ticker_mentions, ticker) then ticker else ticker_mentions[1] end as primary_ticker from news")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import urllib.parse
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ class DatasetSpec:
 
 SPECS = {
     "price": DatasetSpec("price", ["ticker", "trading_date"], {"ticker": "string", "trading_date": "date", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "long"}, ["fetched_at"]),
-    "index_price": DatasetSpec("index_price", ["index_code", "trading_date"], {"index_code": "string", "trading_date": "date", "close": "double", "volume": "long"}, ["fetched_at"]),
+    "index_price": DatasetSpec("index_price", ["index_code", "trading_date"], {"index_code": "string", "trading_date": "date", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "long"}, ["fetched_at"]),
     "listing": DatasetSpec("listing", ["symbol"], {}),
 }
 
@@ -46,6 +48,19 @@ def partitions(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def stored_partitions(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The partitions of a folder as text columns, from the names of its files; no file is opened."""
+    files = spark.read.parquet(path).inputFiles()
+    found = sorted({tuple(urllib.parse.unquote(re.search(rf"/{c}=([^/]*)/", f)[1]) for c in columns) for f in files})
+    return spark.createDataFrame(found, ", ".join(f"{c} string" for c in columns))
+
+
+def read_lists(spark: SparkSession, csv: str | None = None, json: str | None = None) -> list[DataFrame]:
+    """Document lists: CSV with a header line, JSON with a row a line, all columns as text."""
+    parts = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(csv)] if csv else []
+    return parts + ([spark.read.option("primitivesAsString", True).json(json)] if json else [])
+
+
 def since(df: DataFrame, column: str, mark) -> DataFrame:
     """Partitions beyond a watermark; all of them without one."""
     return df if mark is None else df.where(F.col(column) > F.lit(mark))

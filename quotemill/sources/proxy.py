@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.rules import rounded
 
 #: Item codes of the ratio proxy.
-ITEMS = ["eps", "pe_ratio", "pb_ratio", "roe", "roa", "revenue"]
+ITEMS = ["trailing_eps", "pe_ratio", "pb_ratio", "roe", "roa", "revenue"]
 
 
 class Tables:
@@ -44,7 +44,7 @@ class Tables:
     def index_price(self) -> DataFrame:
         code = F.when(F.col("flag") == "A", "VNINDEX").when(F.col("flag") == "N", "VN30").otherwise("HNXINDEX")
         t = self.trades().groupBy(code.alias("index_code"), "trading_date")
-        return t.agg(rounded(F.sum("unit").cast("double") / F.count("*"), 2).alias("close"), F.sum("quantity").cast("long").alias("volume"))
+        return t.agg(F.min_by("unit", "ord").cast("double").alias("open"), F.max("unit").cast("double").alias("high"), F.min("unit").cast("double").alias("low"), rounded(F.sum("unit").cast("double") / F.count("*"), 2).alias("close"), F.sum("quantity").cast("long").alias("volume"))
 
     def listing(self) -> DataFrame:
         s, n, r = self.raw("supplier"), self.raw("nation"), self.raw("region")
@@ -62,7 +62,7 @@ class Tables:
         """Long form; one quarter in seven lacks a value."""
         t = self.trades().withColumns({"year": F.year("trading_date"), "quarter": F.quarter("trading_date")}).groupBy("ticker", "year", "quarter")
         sums = t.agg(F.sum("unit").cast("double").alias("u"), F.sum("discount").cast("double").alias("d"), F.sum("tax").cast("double").alias("t"), F.sum("quantity").cast("double").alias("q"), F.sum("amount").cast("double").alias("a"), F.count("*").alias("n"))
-        values = {"eps": F.col("u") / F.col("n"), "pe_ratio": F.col("q") / F.col("n"), "pb_ratio": F.col("d") / F.col("n"), "roe": F.col("t") / F.col("n"), "roa": (F.col("t") + F.col("d")) / F.col("n"), "revenue": F.col("a")}
+        values = {"trailing_eps": F.col("u") / F.col("n"), "pe_ratio": F.col("q") / F.col("n"), "pb_ratio": F.col("d") / F.col("n"), "roe": F.col("t") / F.col("n"), "roa": (F.col("t") + F.col("d")) / F.col("n"), "revenue": F.col("a")}
         wide = sums.select("ticker", "year", "quarter", *(rounded(v, 4).alias(k) for k, v in values.items()))
         long = wide.unpivot(["ticker", "year", "quarter"], ITEMS, "item_code", "value")
         period = F.concat(F.col("year").cast("string"), F.lit("-Q"), F.col("quarter").cast("string"))
@@ -106,13 +106,13 @@ VIEWS = {
         cast(l_quantity as decimal(18,2)) as quantity, l_orderkey * 8 + l_linenumber as ord, cast(l_discount as decimal(18,2)) as discount, cast(l_tax as decimal(18,2)) as tax, cast(l_extendedprice as decimal(18,2)) as amount, l_returnflag as flag from lineitem""",
     "price": """select ticker, trading_date, min_by(unit, ord)::double as open, max(unit)::double as high, min(unit)::double as low, max_by(unit, ord)::double as close, sum(quantity)::bigint as volume,
         case when min(ord) % 3 <> 0 then sum(amount)::double end as value, max(ord) as fetched from trades group by ticker, trading_date""",
-    "index_price": """select case flag when 'A' then 'VNINDEX' when 'N' then 'VN30' else 'HNXINDEX' end as index_code, trading_date, round(cast(sum(unit)::double / count(*) as decimal(28,10)), 2)::double as close, sum(quantity)::bigint as volume from trades group by 1, 2""",
+    "index_price": """select case flag when 'A' then 'VNINDEX' when 'N' then 'VN30' else 'HNXINDEX' end as index_code, trading_date, min_by(unit, ord)::double as open, max(unit)::double as high, min(unit)::double as low, round(cast(sum(unit)::double / count(*) as decimal(28,10)), 2)::double as close, sum(quantity)::bigint as volume from trades group by 1, 2""",
     "listing": f"""select {_SCODE.format('s_suppkey')} as symbol, s_name as organ_name, case when r_regionkey < 2 then 'HOSE' when r_regionkey < 4 then 'hnx' else 'UPCOM' end as exchange, case when s_suppkey % 10 = 0 then 'bond' else 'Stock' end as type,
         s_suppkey as ord, n_name as industry, s_acctbal as capital from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "company": """select symbol as ticker, industry as company_type, date '1990-01-01' + ord::int as founded_date, case when ord % 5 <> 0 then capital end as charter_capital, ord * 10 as number_of_employees from listing where ord % 4 <> 0""",
     "ratio_sums": """select ticker, year(trading_date) as year, quarter(trading_date) as quarter, sum(unit)::double as u, sum(discount)::double as d, sum(tax)::double as t, sum(quantity)::double as q, sum(amount)::double as a, count(*) as n from trades group by 1, 2, 3""",
     "ratio": """select ticker, item_code, year || '-Q' || quarter as period, 'quarter' as period_type, year, quarter, case when (year + quarter) % 7 <> 0 then round(cast(v as decimal(28,10)), 4)::double end as value from (
-        select ticker, year, quarter, 'eps' as item_code, u / n as v from ratio_sums union all select ticker, year, quarter, 'pe_ratio', q / n from ratio_sums union all select ticker, year, quarter, 'pb_ratio', d / n from ratio_sums
+        select ticker, year, quarter, 'trailing_eps' as item_code, u / n as v from ratio_sums union all select ticker, year, quarter, 'pe_ratio', q / n from ratio_sums union all select ticker, year, quarter, 'pb_ratio', d / n from ratio_sums
         union all select ticker, year, quarter, 'roe', t / n from ratio_sums union all select ticker, year, quarter, 'roa', (t + d) / n from ratio_sums union all select ticker, year, quarter, 'revenue', a from ratio_sums)""",
     "board": """select 'U' || lpad(cast(user_id as varchar), 5, '0') as symbol, ts as snapshot_at, event_id, event_type as exchange, round(cast(value as decimal(28,10)), 2)::double as close_price, round(cast(value - event_id % 7 as decimal(28,10)), 2)::double as bid_price_1,
         round(cast(value + event_id % 5 as decimal(28,10)), 2)::double as ask_price_1, round(cast(value + event_id % 3 - 1 as decimal(28,10)), 2)::double as high_price, round(cast(value - event_id % 4 as decimal(28,10)), 2)::double as low_price,

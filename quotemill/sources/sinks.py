@@ -13,10 +13,14 @@ from quotemill.operators.keyed import upsert
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under the session's checkpoint folder, or a temporary one if unset."""
+    """A new folder that driver and executors share, under the session's checkpoint folder.  Where none is set, a session in one process
+    gets a temporary one and any other is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +48,16 @@ def merge_partitions(df: DataFrame, path: str, keys: list[str], *columns: str) -
     overwrite_partitions(spark.read.schema(merged.schema).parquet(stage), path, *columns)
 
 
+def advance_watermark(spark: SparkSession, path: str, dataset: str, mark) -> None:
+    """Note a watermark; lines are only added, so that it never moves back and a crash loses nothing."""
+    append(spark.range(1).select(F.lit(dataset).alias("dataset"), F.lit(mark).alias("mark")), path)
+
+
+def watermarks(spark: SparkSession, path: str) -> DataFrame:
+    """dataset and its greatest mark."""
+    return spark.read.parquet(path).groupBy("dataset").agg(F.max("mark").alias("mark"))
+
+
 def audited(df: DataFrame, log: str, dataset: str, run: str, write: Callable[[DataFrame], None]) -> None:
     """Write and append one audit row: counts from the write itself, status and error; errors are raised after that."""
     spark, seen, error = df.sparkSession, Observation(), None

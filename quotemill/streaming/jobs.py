@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,28 +17,39 @@ def stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class KeyedTable:
-    """A keyed table in versions: an upsert writes the next one and then moves on, so readers and restarts see whole tables."""
+    """A keyed table in versions under a folder: an upsert writes the version of its batch and then notes it, so readers and restarts see whole
+    tables, and a batch that is played again changes nothing."""
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str]):
-        self.spark, self.keys, self.order, self.path, self.schema = spark, keys, order, None, None
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], root: str | None = None):
+        self.spark, self.keys, self.order = spark, keys, order
+        self.root = root or scratch(spark, "table")
+
+    def noted(self) -> int | None:
+        """The number of the newest whole version."""
+        try:
+            return self.spark.read.schema("version long").json(f"{self.root}/noted").agg(F.max("version")).first()[0]
+        except AnalysisException:
+            return None
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.parquet(f"{self.root}/version={self.noted()}")
 
-    def take(self, batch: DataFrame, _: int | None = None) -> None:
+    def take(self, batch: DataFrame, number: int) -> None:
+        have = self.noted()
+        if have is not None and number <= have:
+            return
         new = ranked_dedupe(batch, self.keys, [F.desc_nulls_last(c) for c in self.order])
-        if self.path is not None:
-            stored = self.read()
+        if have is not None:
+            stored = self.spark.read.parquet(f"{self.root}/version={have}")
             new = ranked_dedupe(stored.join(new.select(*self.keys), self.keys, "left_semi").unionByName(new), self.keys, [F.desc_nulls_last(c) for c in self.order])
             new = upsert(stored, new, self.keys)
-        path = scratch(self.spark, "table")
-        new.write.parquet(path)
-        self.path, self.schema = path, new.schema
+        new.write.mode("overwrite").parquet(f"{self.root}/version={number}")
+        self.spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").json(f"{self.root}/noted")
 
 
 def run_into(source: DataFrame, table: KeyedTable) -> StreamingQuery:
-    """Drain a stream into a keyed table."""
-    q = source.writeStream.foreachBatch(table.take).option("checkpointLocation", scratch(table.spark, "offsets")).trigger(availableNow=True).start()
+    """Drain a stream into a keyed table; offsets stay with the table, so the next run goes on where this one ends."""
+    q = source.writeStream.foreachBatch(table.take).option("checkpointLocation", f"{table.root}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -53,14 +65,15 @@ def first_articles(news: DataFrame, late: str = "30 days") -> DataFrame:
     return news.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["article_id"])
 
 
-def drained(source: DataFrame, mode: str = "append") -> DataFrame:
-    """A stream's output as a table: appended rows, or the last update of each batch in order."""
+def drained(source: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
+    """A stream's output as a table: appended rows, or the last update of each batch, by ``__batch``.  A batch that is played again replaces itself, and a
+    run with the same ``root`` goes on where the last one ended."""
     spark = source.sparkSession
-    out = scratch(spark, "drained")
+    root = root or scratch(spark, "drained")
 
     def take(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{root}/out/__batch={number}")
 
-    q = source.writeStream.outputMode(mode).foreachBatch(take).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    q = source.writeStream.outputMode(mode).foreachBatch(take).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{root}/out")
