@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.functions.rules import rounded
+from quotemill.functions.rules import normal_url, rounded
 from quotemill.operators.keyed import ranked_dedupe, top_per_group
+from quotemill.plans.pages import best_body, with_elements
 
 ZONE = "Asia/Ho_Chi_Minh"
 #: Keywords of the sentiment count; nested ones count twice.
@@ -261,18 +262,6 @@ def blocked_without_context(news: DataFrame, codes: DataFrame, blocked: tuple[st
 
 # --- addresses and ids
 
-def normal_url(url) -> Column:
-    """Scheme and host in lower case, default ports, fragments, ``utm_*`` and final slashes off, parameters sorted."""
-    u = F.trim(_c(url))
-    scheme, host, path, args = (F.try_parse_url(u, F.lit(x)) for x in ("PROTOCOL", "HOST", "PATH", "QUERY"))
-    port = F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*:(\d+)(?:[/?#]|$)", 1)
-    default = (F.lower(scheme) == "https") & (port == "443") | (F.lower(scheme) == "http") & (port == "80")
-    at = F.when((port != "") & ~default, F.concat(F.lit(":"), port)).otherwise("")
-    kept = F.array_sort(F.filter(F.split(F.coalesce(args, F.lit("")), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_")))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.concat_ws("&", kept))).otherwise("")
-    return F.when(scheme.isNull() | host.isNull(), u).otherwise(F.concat(F.lower(scheme), F.lit("://"), F.lower(host), at, F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), tail))
-
-
 def content_id(url, *others) -> Column:
     """SHA-256 of the normal address, or of the other parts where there is none."""
     u = normal_url(url)
@@ -407,13 +396,16 @@ def page_date(x) -> Column:
 
 
 def page_article(pages: DataFrame) -> DataFrame:
-    """page_id, title, summary, body_text, published_at: meta tags first, then headings, paragraphs and dates of the page."""
+    """page_id, title, summary, body_text, published_at: meta tags first, then headings and dates of the page.  The body is that of JSON-LD, else the paragraphs of
+    the best container, else all paragraphs, a line each."""
+    pages = with_elements(pages.select("page_id", "html"))
     h = F.col("html")
     paragraphs = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<p[^>]*>(.*?)(?=</p>|<p[ >]|</article>|$)"), F.lit(1)), stripped), lambda p: F.length(p) > 0)
     title = F.coalesce(_meta(h, "og:title"), F.nullif(stripped(F.regexp_extract(h, "(?is)<h1[^>]*>(.*?)</h1>", 1)), F.lit("")), F.nullif(stripped(F.regexp_extract(h, "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")))
+    told = F.nullif(F.trim(F.get_json_object(F.concat(F.lit("{"), F.regexp_extract(h, r'(?is)("articleBody"\s*:\s*"(?:[^"\\]|\\.)*+")', 1), F.lit("}")), "$.articleBody")), F.lit(""))
     json_ld = F.nullif(F.regexp_extract(h, r"(?is)\"datePublished\"\s*:\s*\"([^\"]+)\"", 1), F.lit(""))
     date = F.coalesce(_meta(h, "article:published_time"), json_ld, F.nullif(F.regexp_extract(h, "(?is)<time[^>]*datetime=[\"']([^\"']+)[\"']", 1), F.lit("")))
-    return pages.select("page_id", title.alias("title"), F.coalesce(_meta(h, "og:description"), _meta(h, "description"), F.get(paragraphs, F.lit(0))).alias("summary"), F.array_join(paragraphs, "\n").alias("body_text"), page_date(date).alias("published_at"))
+    return pages.select("page_id", title.alias("title"), F.coalesce(_meta(h, "og:description"), _meta(h, "description"), F.get(paragraphs, F.lit(0))).alias("summary"), F.coalesce(told, best_body(F.col("elements")), F.array_join(paragraphs, "\n")).alias("body_text"), page_date(date).alias("published_at"))
 
 
 def merged_fields(chosen: DataFrame, found: DataFrame, key: str, fields: list[str], mode: str = "hybrid") -> DataFrame:
@@ -423,41 +415,41 @@ def merged_fields(chosen: DataFrame, found: DataFrame, key: str, fields: list[st
     return chosen.join(f, key, "left").select(key, *(pick(c).alias(c) for c in fields))
 
 
-def page_links(pages: DataFrame, n: int = 10, sections: tuple[str, ...] = ("news", "article", "post")) -> DataFrame:
-    """page_id, href, text, score, rank of the n best anchors: long text, section words, article-like endings."""
-    a = F.regexp_extract_all("html", F.lit(r"(?is)<a[^>]*href=[\"']([^\"']*)[\"'][^>]*>.*?</a>"), F.lit(1))
-    text = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a[^>]*href=[\"'][^\"']*[\"'][^>]*>(.*?)</a>"), F.lit(1)), stripped)
-    each = pages.select("page_id", "url", F.explode(F.arrays_zip(a.alias("href"), text.alias("text"))).alias("x")).select("page_id", "url", "x.*")
-    base = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
-    full = F.when(F.col("href").rlike("^[a-zA-Z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(base, "href")).otherwise(F.concat(base, F.lit("/"), "href"))
-    score = F.least(F.length("text") / 10.0, F.lit(12.0)) + F.when(_has(F.lower("href"), sections), 3).otherwise(0) + F.when(F.col("href").rlike(r"(?i)\.(html?|chn|vnp)$|\d{4,}"), 1).otherwise(0)
-    each = each.withColumns({"href": full, "score": score}).groupBy("page_id", "href").agg(F.max(F.struct("score", "text")).alias("m")).select("page_id", "href", "m.text", "m.score")
-    return top_per_group(each, ["page_id"], [F.desc("score"), F.asc("href")], n)
-
-
-def common_pattern(links: DataFrame, least: float = 0.0) -> DataFrame:
-    """The most common path shape of anchors above a score."""
-    shape = F.regexp_replace(F.regexp_replace("href", r"^[a-zA-Z]+://[^/]+", ""), r"[0-9]+", "#")
-    return links.where(F.col("score") > least).groupBy(F.length(shape).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1)
+#: Names of fields of feed entries, the first that has a value counts.
+FEED_FIELDS = {
+    "title": ("title", "headline", "name"), "url": ("link", "url", "id"), "summary": ("summary", "description", "subtitle"), "content": ("content",),
+    "published_at": ("published_parsed", "updated_parsed", "created_parsed", "dc_date", "date", "published", "published_at", "pubDate", "updated", "created", "pubdate", "issued", "modified", "isoDate", "timestamp"),
+}
 
 
 def capped_per_feed(entries: DataFrame, feed: str, order: str, n: int) -> DataFrame:
     return top_per_group(entries, [feed], [F.asc(order)], n).drop("rank")
 
 
+def feed_entries(entries: DataFrame, feed: str, order: str, n: int, label: str | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """article_id, source, title, summary, body_text, url, published_at and, with ``codes``, the ticker of the first n entries of each feed address that have a title
+    and an address.  Entries without one count among the n."""
+    first = capped_per_feed(entries, feed, order, n)
+    field = lambda name: F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in FEED_FIELDS[name] if c in entries.columns), F.lit(""))
+    times = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") if entries.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("string") for c in FEED_FIELDS["published_at"] if c in entries.columns]
+    squeezed = F.trim(F.regexp_replace(field("title"), r"\s+", " "))
+    d = first.select(
+        source_label(F.col(label) if label else F.lit(""), F.col(feed)).alias("source"), squeezed.alias("title"), stripped(field("summary")).alias("summary"), stripped(field("content")).alias("body_text"), normal_url(field("url")).alias("url"),
+        page_date(F.coalesce(*(F.nullif(t, F.lit("")) for t in times), F.lit(None).cast("string"))).alias("published_at"),
+    )
+    d = d.where((F.col("title") != "") & F.col("url").rlike("^https?://")).select(content_id(F.col("url")).alias("article_id"), "*")
+    if codes is None:
+        return d
+    said = ranked_mentions(mention_scores(mention_candidates(d.dropDuplicates(["article_id"]), codes))).select("article_id", F.get("mentions", F.lit(0)).alias("ticker"))
+    return d.join(said, "article_id", "left")
+
+
 def select_pages(pages: DataFrame, source: Column, n: int) -> DataFrame:
     """Per source the first n distinct addresses that have a body or a date."""
     p = ranked_dedupe(pages.withColumn("__source", source), ["url"], [F.asc("page_id")]).where("length(coalesce(html, '')) > 0")
     return top_per_group(p, ["__source"], [F.asc("page_id")], n).drop("rank")
 
 
-def table_rows(pages: DataFrame, row: str = "li") -> DataFrame:
-    """page_id, at, cells, day: repeated row elements of listing pages with the text of their cells and a date pattern."""
-    rows = F.regexp_extract_all("html", F.lit(rf"(?is)<{row}[^>]*>(.*?)</{row}>"), F.lit(1))
-    each = pages.select("page_id", F.posexplode(rows).alias("at", "raw"))
-    return each.select("page_id", "at", stripped("raw").alias("cell"), F.nullif(F.regexp_extract("raw", r"(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("")).alias("day"))
-
-
 def attachments(pages: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     """Listing rows with the distinct PDF addresses of their pages."""
     pdf = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"']+\.pdf)[\"']"), F.lit(1)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.rules import rounded
-from quotemill.plans import text
+from quotemill.plans import pages, text
 from quotemill.plans.registry import query
 from quotemill.sources.proxy import Tables
 
@@ -284,17 +284,25 @@ def page_field_merge(t: Tables) -> DataFrame:
 
 @query()
 def page_links(t: Tables) -> DataFrame:
-    return text.page_links(t.raw("pages"))
+    return pages.page_links(t.raw("pages"))
 
 
 @query()
 def link_pattern_mode(t: Tables) -> DataFrame:
-    return text.common_pattern(text.page_links(t.raw("pages")))
+    return pages.link_patterns(t.raw("pages"))
 
 
-@query("select doc_id, source from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n <= 20")
+@query("""select sha256(address) as article_id, case when doc_id % 2 = 0 then 'f' || doc_id % 7 || '_rss' else 'rss_feeds.example.com' end as source, 'T ' || doc_id as title, 'a & b' as summary, address as url, make_timestamp((788918400 + doc_id * 7919) * 1000000) as published_at
+    from (select *, row_number() over (partition by doc_id % 7 order by doc_id) as n, 'https://news.example.com/' || lang || '/' || doc_id as address from documents) where n <= 500 and doc_id % 13 > 0""")
 def feed_entry_normalize(t: Tables) -> DataFrame:
-    return text.capped_per_feed(t.raw("documents").select("doc_id", "source"), "source", "doc_id", 20)
+    k = F.col("doc_id")
+    entries = t.news().select(
+        "doc_id", F.concat(F.lit("https://feeds.example.com/"), k % 7).alias("feed"), F.when(k % 2 == 0, F.concat(F.lit("F"), k % 7)).alias("label"), F.when(k % 3 == 0, F.concat(F.lit(" T  "), k)).alias("title"), F.concat(F.lit("T "), k).alias("headline"),
+        F.when(k % 13 > 0, F.concat(F.lit("HTTPS://News.Example.com/"), F.element_at(F.split("url", "/"), 4), F.lit("/"), k, F.lit("/?utm_source=rss"))).alias("link"), F.lit("<p>a &amp; <b>b</b></p>").alias("description"),
+        F.date_format(F.to_timestamp(F.timestamp_seconds(788918400 + k * 7919)), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published"),
+    )
+    d = text.feed_entries(entries, "feed", "doc_id", 500, "label")
+    return d.select("article_id", F.lower("source").alias("source"), "title", "summary", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 @query("select page_id from (select *, row_number() over (partition by page_id % 5 order by page_id) as k from (select *, row_number() over (partition by url order by page_id) as n from pages) where n = 1 and length(coalesce(html, '')) > 0) where k <= 15")
@@ -302,9 +310,15 @@ def page_list_select(t: Tables) -> DataFrame:
     return text.select_pages(t.raw("pages"), F.col("page_id") % 5, 15).select("page_id")
 
 
-@query()
+@query("select ticker, title, p_partkey as article_id, case when p_partkey % 3 = 0 then 1 else 0 end as file_attach, strftime(published_at, '%d/%m/%Y') as published_at from filings where p_partkey % 5 > 0 or p_partkey % 3 = 0")
 def disclosure_rows(t: Tables) -> DataFrame:
-    return text.table_rows(t.raw("pages"))
+    """Filings as the tables of listing pages, a hundred a page; a fifth have no number but that of an attachment."""
+    k = F.col("p_partkey").cast("string")
+    cells = F.array_join(F.array(F.date_format("published_at", "dd/MM/yyyy"), F.concat(F.lit("<a href='#'>"), "ticker", F.lit("</a>")), F.concat(F.lit("<a class='hrefViewDetail' "), F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("onclick='return funcViewDetailArticlesByID("), k, F.lit(")'"))).otherwise(""), F.lit(">"), "title", F.lit("</a>"))), "<td>")
+    clip = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<td><a class='icon-FileAttach' onclick='funcShowFileAttach( "), k, F.lit(", 1)'></a></td>"))).otherwise("")
+    rows = t.filings().select(F.floor(F.col("p_partkey") / 100).alias("page_id"), F.concat(F.lit("<tr><td>"), cells, clip).alias("row"))
+    listed = rows.groupBy("page_id").agg(F.concat(F.lit("<table><thead><tr><th>Date</th></tr></thead>"), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit("</table>")).alias("html"))
+    return pages.disclosure_rows(listed).drop("page_id", "row")
 
 
 @query("select page_id, page_id * 10 || '.pdf' as url_pdf from pages")
@@ -364,10 +378,14 @@ def agg_doc_status(t: Tables) -> DataFrame:
     return t.filings().groupBy("status").agg(F.count("*").alias("n"), F.count_if("qc_pass").alias("passed"))
 
 
-@query()
+@query("""select doc_id, strlen(content) + (k = 3)::int as length, k <> 1 as valid_header, k <> 2 as has_trailer, k = 0 and strlen(content) >= 100 as ok, sha256(content) as sha256
+    from (select doc_id, doc_id % 4 as k, case when doc_id % 4 = 1 then '' else '%PDF-1.7 ' end || coalesce(text, '') || case when doc_id % 4 = 2 then '' else ' %%EOF' end as content from documents)""")
 def pdf_file_check(t: Tables) -> DataFrame:
-    """The tables' own files as the files to check: none of them is a PDF."""
-    return text.checked_files(t.spark.read.format("binaryFile").load(f"{t.dir}/region.parquet")).drop("path")
+    """The documents' texts as files: whole, without a header, without an end, and cut short."""
+    k = F.col("doc_id") % 4
+    content = F.encode(F.concat(F.when(k == 1, "").otherwise("%PDF-1.7 "), F.coalesce("text", F.lit("")), F.when(k == 2, "").otherwise(" %%EOF")), "UTF-8")
+    files = t.raw("documents").select(F.col("doc_id").alias("path"), content.alias("content"), (F.length(content) + F.when(k == 3, 1).otherwise(0)).cast("long").alias("length"))
+    return text.checked_files(files).withColumnRenamed("path", "doc_id")
 
 
 @query("select ticker, count(*) as n from facts group by 1 order by n desc, ticker limit 10", **NEWS)
