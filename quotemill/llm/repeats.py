@@ -14,6 +14,8 @@ one.  Three steps make a corpus-wide index unnecessary:
    suffixes are sorted, its Burrows-Wheeler transform is kept as runs with the suffix positions at the run ends, and the regions
    are streamed through it from right to left in lockstep, one LF step a byte.  That gives each window the rows that share its
    first ``LENGTH`` bytes; the earliest of them is located by stepping from run end to run end (phi), and all later windows are marked.
+   No index takes more than ``BUSY`` regions of one anchor: windows under busier anchors are compared by MD5 in an aggregation, with
+   the same result, so no task holds a hot passage's surroundings.
 
 Defined results: null and empty texts keep nothing and lose nothing; rows of one doc_id with equal texts are one document and do not remove each
 other, rows of one doc_id with different texts are documents of their own, ordered by the MD5 of their texts; a null doc_id counts as smaller than
@@ -39,6 +41,8 @@ GRAM = 32
 SAMPLE, FREQUENT = 2_000, 20
 #: Bytes of regions in one index.
 SHARD_BYTES = 1 << 19
+#: Different regions of one anchor that one index still takes (3 MB of bytes at most); windows of busier anchors meet by aggregation.
+BUSY = 20_000
 _SPREAD = 8  # chunks whose equal regions are combined before the shuffle
 _AT = 30  # bits of a position within a chunk
 _CODE = np.random.default_rng(100).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -187,31 +191,45 @@ def region_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def settle_equal(rows: DataFrame) -> DataFrame:
-    """anchor, doc, start, end: spans that go (anchor null) and regions that other regions of their anchor must be compared with."""
+    """anchor, doc, start, end: spans that go (anchor null) and regions that other regions of their anchor must be compared with.
+
+    Rows come ordered by region and place, so one pass with the last region's first row in hand decides them: nothing of an anchor is
+    gathered, however many regions meet under it."""
+    names = ["anchor", "doc", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_runs(batches, "anchor"):
-            key, doc, start, tail = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "tail"))
-            known = key < 0
-            out = [(doc[known], start[known], tail[known])]
-            key, doc, start, tail = key[~known], doc[~known], start[~known], tail[~known]
+        held, sent = [np.zeros(0, dtype=np.int64)] * 4, False  # first row of the last region, and whether it was given out
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "tail")]
+            known = columns[0] < 0
+            spans = [x[known] for x in columns[1:]]
+            key, doc, start, tail = (np.concatenate([h, x[~known]]) for h, x in zip(held, columns, strict=True))
             if len(key):
-                key, doc, s0, whole, same, later = _combine(key, doc, start, tail)
-                end = s0 + (key & 127) + LENGTH - 1
-                out.append((doc[later], s0[later], end[later]))
-                heads = ~same
-                anchor, hd, hs, he = key[heads] >> 14, doc[heads], s0[heads], end[heads]
-                several = np.zeros(len(anchor), dtype=bool)
+                same = np.concatenate([[False], (key[1:] == key[:-1]) & (tail[1:] == tail[:-1])])
+                heads = np.flatnonzero(~same)
+                head = heads[np.cumsum(~same) - 1]
+                later = same & ((doc != doc[head]) | (start != start[head]))
+                end = start + (key & 127) + LENGTH - 1
+                spans = [np.concatenate([x, y[later]]) for x, y in zip(spans, (doc, start, end), strict=True)]
+                anchor = key[heads] >> 14
+                several = np.zeros(len(heads), dtype=bool)
                 several[1:] |= anchor[1:] == anchor[:-1]
                 several[:-1] |= anchor[1:] == anchor[:-1]
-                if several.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (anchor, hd, hs, he)], names=["anchor", "doc", "start", "end"])
-            d, a, b = _merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                give = several.copy()
+                if sent:  # the held row is the first head: it went out before, and its anchor has others
+                    give[0] = False
+                    several[0] = True
+                held, sent = [x[heads[-1:]] for x in (key, doc, start, tail)], bool(several[-1])
+                if give.any():
+                    at = heads[give]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[give], doc[at], start[at], end[at])], names=names)
+            d, a, b = _merged(*spans)
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(a), pa.array(b)], names=["anchor", "doc", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(a), pa.array(b)], names=names)
 
-    keyed = rows.withColumn("anchor", F.when(F.col("key") < 0, F.col("key")).otherwise(F.shiftright("key", 14)))
-    return keyed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, doc long, start long, end long")
+    keyed = rows.withColumn("anchor", F.when(F.col("key") < 0, F.col("key")).otherwise(F.shiftright("key", 14))).repartition("anchor")
+    ordered = keyed.drop("anchor").sortWithinPartitions("key", "tail", "doc", "start")  # an anchor is the upper part of its keys
+    return ordered.mapInArrow(run, "anchor long, doc long, start long, end long")
 
 
 class RunLengthIndex:
@@ -417,12 +435,29 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(joined.select("doc_id", "text", "doc"), like="numbered")
 
 
+def compare_windows(parts: DataFrame) -> DataFrame:
+    """anchor, doc, start, bytes -> doc, start, end of the spans that go: the windows of regions under anchors too busy for one index, each
+    known by its MD5 and met by aggregation, which combines equal ones before they are shuffled."""
+    at = F.explode(F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1)).alias("at")
+    windows = parts.select("doc", "start", "bytes", at).select(
+        F.unhex(F.md5(F.substring("bytes", F.col("at"), F.lit(LENGTH)))).alias("window"), F.struct("doc", (F.col("start") + F.col("at") - 1).alias("start")).alias("place")
+    )
+    first = windows.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
+    gone = windows.join(first, "window").where("place > first")
+    return gone.select("place.doc", "place.start", (F.col("place.start") + LENGTH).alias("end"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, start, end (bytes, end excluded; may overlap) of all repeated passages of :func:`numbered` documents but their first occurrences."""
     texts = docs.select("doc", "text")
     found = _settled(settle_equal(region_rows(texts, frequent_grams(docs))), "regions")
-    apart = compare_regions(_fetched(found.where("anchor is not null"), texts))
-    return found.where("anchor is null").select("doc", "start", "end").unionAll(_settled(apart, "spans"))
+    gone, apart = found.where("anchor is null").select("doc", "start", "end"), found.where("anchor is not null")
+    busy = apart.groupBy("anchor").count().where(F.col("count") > BUSY).select("anchor")
+    if not busy.isEmpty():
+        windows = compare_windows(_fetched(apart.join(busy, "anchor", "left_semi"), texts))
+        gone = gone.unionAll(_settled(windows, "windows"))
+        apart = apart.join(busy, "anchor", "left_anti")
+    return gone.unionAll(_settled(compare_regions(_fetched(apart, texts)), "spans"))
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:

@@ -77,6 +77,42 @@ def test_repeats_frequent_grams_change_nothing(spark, monkeypatch):
     check_repeats(d.limit(120))
 
 
+def test_repeats_under_busy_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage, other = noise(150), noise(101)
+    hot = [noise(60) + passage[k % 3 :] + noise(45 + k % 5) for k in range(80)]
+    texts = [*hot, *hot[:9], hot[3] + hot[4], *(other[k % 2 :] + noise(20) for k in range(20)), None, "", noise(300)]
+    seen = []
+    windows = repeats.compare_windows
+    monkeypatch.setattr(repeats, "compare_windows", lambda parts: seen.append(1) or windows(parts))
+    monkeypatch.setattr(repeats, "BUSY", 12)
+    monkeypatch.setattr(repeats, "frequent_grams", lambda docs: np.zeros(0, dtype=np.uint64))
+    check_repeats(docs(spark, *texts))
+    assert seen
+
+
+@pytest.mark.parametrize("rows", (1, 2, 3, 7))
+def test_repeats_settled_over_batches(spark, rows):
+    """Regions of one anchor that span many batches are decided like those of one batch."""
+    rng = np.random.default_rng(rows)
+    keys = [(int(a) << 14) | (int(o) << 7) | 5 for a, o in zip(rng.integers(1, 9, 60), rng.integers(0, 3, 60))]
+    data = [(k, int(d), int(s), int(t)) for k, d, s, t in zip(keys, rng.integers(0, 6, 60), rng.integers(0, 9, 60), rng.integers(0, 2, 60))] + [(-5, 1, 2, 300)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = {tuple(r) for r in repeats.settle_equal(spark.createDataFrame(data, repeats._ROWS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    heads = {}
+    for k, d, s, t in data[:-1]:
+        heads[k, t] = min(heads.get((k, t), (d, s)), (d, s))
+    apart = {(k >> 14, *h, h[1] + 104) for (k, t), h in heads.items() if sum(j >> 14 == k >> 14 for j, _ in heads) > 1}
+    assert {r for r in got if r[0] is not None} == apart
+    gone = {(d, b) for _, d, s, e in (r for r in got if r[0] is None) for b in range(s, e)}
+    assert gone == {(d, b) for k, d, s, t in data[:-1] if (d, s) != heads[k, t] for b in range(s, s + 104)} | {(1, b) for b in range(2, 300)}
+
+
 def test_repeats_null_id_and_repeated_rows(spark):
     d = docs(spark, LONG, LONG, ids=[None, 3])
     assert {r["doc_id"]: r["n_removed"] for r in repeats.repeats_digest(d).collect()} == {None: 0, 3: len(LONG)}
