@@ -29,6 +29,8 @@ BLOCK_TOKENS = 200_000
 #: Shares of the largest possible entropy, and the most passes over a source, of the registered mix.
 ENTROPY, REPEATS = 0.95, 4.0
 ROUNDS = 50
+#: Bisection steps whose possible midpoints one job evaluates together.
+LEVELS = 5
 
 
 def n_tokens(text="text"):
@@ -46,24 +48,43 @@ def source_tokens(docs: DataFrame, tokens=None) -> DataFrame:
     return docs.select("source", (n_tokens() if tokens is None else tokens).alias("t")).groupBy("source").agg(F.sum("t").alias("tokens")).where("tokens > 0")
 
 
+def _all_moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
+    """Per exponent: sum of share**e, the entropy of the mix, and its largest weight relative to the share; one job for all."""
+    each = shares.select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "e"))
+    power = F.pow("share", "e")
+    sums = each.groupBy("k").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(power / F.col("share")).alias("top"))
+    return [(z, math.log(z) - exponents[k] * s / z, top / z) for k, z, s, top in sorted(sums.collect())]  # one row per exponent
+
+
 def _moments(shares: DataFrame, exponent: float) -> tuple[float, float, float]:
-    """Sum of share**e, the entropy of the mix, and its largest weight relative to the share."""
-    power = F.pow("share", F.lit(exponent))
-    z, s, top = shares.agg(F.sum(power), F.sum(power * F.log("share")), F.max(power / F.col("share"))).first()
-    return z, math.log(z) - exponent * s / z, top / z
+    return _all_moments(shares, [exponent])[0]
+
+
+def _halvings(lo: float, hi: float, levels: int) -> list[float]:
+    """The midpoints that ``levels`` bisection steps can meet, as a heap: after place k follow 2k + 1 (lower half) and 2k + 2."""
+    spans, out = [(lo, hi)], []
+    for k in range(2**levels - 1):
+        a, b = spans[k]
+        out.append((a + b) / 2)
+        spans += [(a, out[k]), (out[k], b)]
+    return out
 
 
 def temperature(shares: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_ratio: float = 1.0, rounds: int = ROUNDS) -> float:
     """The exponent for a target entropy (in nats) and a limit of passes; ``budget_ratio`` is budget over available tokens."""
 
     def bisect(holds) -> float:
-        """The largest exponent in [0, 1] where a condition that holds towards 0 holds."""
+        """The largest exponent in [0, 1] where a condition that holds towards 0 holds; ``LEVELS`` steps a job."""
         if holds(_moments(shares, 1.0)):
             return 1.0
         lo, hi = 0.0, 1.0
-        for _ in range(rounds):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if holds(_moments(shares, mid)) else (lo, mid)
+        for done in range(0, rounds, LEVELS):
+            levels, k = min(LEVELS, rounds - done), 0
+            mids = _halvings(lo, hi, levels)
+            moments = _all_moments(shares, mids)
+            for _ in range(levels):
+                ok = holds(moments[k])
+                lo, hi, k = (mids[k], hi, 2 * k + 2) if ok else (lo, mids[k], 2 * k + 1)
         return lo
 
     exponent = 1.0 if entropy is None else bisect(lambda m: m[1] >= entropy)
