@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task; a longer document is taken whole.
@@ -45,6 +46,32 @@ def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(spread)) < F.lit(spread * n // total)).limit(2 * n)
 
 
+#: Bits of the largest table of :func:`may_be_among`: 8 MB.
+MOST_BITS = 1 << 26
+
+
+def may_be_among(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> Callable[[Column], Column]:
+    """A condition that is true for every value of ``keys`` and false for most others, so that only the rows for which it holds
+    need be shuffled to meet ``keys``.
+
+    It looks up one bit of a hash in a table of 16 bits a key and of ``most_bits`` at most; a full table lets more rows pass,
+    and none is lost.  ``keys`` should be cheap to read."""
+    bits = min(most_bits, 1 << max(10, (16 * keys.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    slots = keys.select(slot(F.col(key)).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def seen(s: pd.Series) -> pd.Series:
+        at = s.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda c: seen(slot(c))
+
+
 def byte_table(keep: list[int]) -> np.ndarray:
     """A table of 256 booleans that is true at the given byte values."""
     table = np.zeros(256, dtype=bool)

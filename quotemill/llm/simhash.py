@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import LOWER, NONSPACE, chunks, key_runs, stored, word_spans
+from quotemill.llm.common import LOWER, NONSPACE, chunks, key_runs, may_be_among, stored, word_spans
 
 SEED = 42
 SPLIT_ABOVE = 4096
@@ -469,8 +469,9 @@ def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     lines = prints.select("node", "fingerprint")
     buckets, known = bounded_buckets(keyed, lines, within(radius), split_above)
     proposed = components(bucket_stars(buckets.join(lines, "node"), radius).union(known))
-    wanted = proposed.join(nodes, "node").select("node", "content", "first_id")
-    sets = stored(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["first_id"]), shingle, NEAR_WORDS), like="sets")
+    wanted = stored(proposed.join(nodes, "node").select("node", "content", "first_id"), like="wanted")
+    some = docs.where(may_be_among(wanted, "first_id")(docs["doc_id"]))
+    sets = stored(shingle_sets(some.join(wanted, some["doc_id"] == wanted["first_id"]), shingle, NEAR_WORDS), like="sets")
     buckets, known = bounded_buckets(proposed.select(F.col("component").alias("key"), "node"), sets, similar(similarity), split_above)
     found = components(bucket_stars(buckets.join(sets, "node"), radius, similarity).union(known))
     rooted = nodes.join(found, "node", "left").select("content", "copies", "first_id", F.coalesce("component", "node").alias("root"))
@@ -486,5 +487,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     Texts are near duplicates if the Jaccard similarity of their distinct five-word shingles is ``similarity`` or more, or
     such links lead from one to the other.  Texts without words stay.  Of rows with one doc_id all stay or go."""
     found = near_components(docs.select("doc_id", "text"), similarity, shingle)
-    gone = found.where("component_id <> doc_id and n_shingles > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(found.where("component_id <> doc_id and n_shingles > 0").select("doc_id").distinct(), like="gone")
+    maybe = may_be_among(gone, "doc_id")(F.col("doc_id"))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti"))
