@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontaminate, simhash, toxicity
+from quotemill.llm import common, decontaminate, simhash, toxicity
 from tests.llm.test_llm import docs
 
 
@@ -182,3 +182,12 @@ def test_longest_match_of_each_document(spark, monkeypatch):
     assert [x.tolist() for x in decontaminate.Shard(data, offsets, test.vocabulary).longest(test)] == want and len(before) > 50
     split = list(decontaminate._fitting([(str(k), f"q{k}a q{k}b q{k}c") for k in range(12)], 10))
     assert len(split) == 2 and sum(len(x.items) for x in split) == 12
+
+
+def test_a_full_bit_table_loses_no_key(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    rows = spark.range(3000).select(F.when(F.col("id") < 2999, F.col("id")).alias("doc_id"))
+    for most, passed in ((1 << 26, 1200), (1 << 10, 3000)):
+        held = rows.where(common.may_be_among(keys, "doc_id", most)(F.col("doc_id")))
+        assert held.join(keys, "doc_id").count() == 1000 and held.count() <= passed
+    assert rows.where(common.may_be_among(keys.where("false"), "doc_id")(F.col("doc_id"))).count() == 0
