@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import chat, decontaminate, html, licenses, mixing, repeats, secret_scan, simhash, topk, toxicity
+from quotemill.llm import chat, decontaminate, html, licenses, merkle, mixing, repeats, secret_scan, simhash, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,9 +53,19 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_repeats, op2_mixing, op3_topk, op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate,
+    op10_chat_perspectives, op12_manifest,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op2_mixing, op3_topk, op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate, op10_chat_perspectives)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE, "op12_manifest": merkle.ORACLE}
