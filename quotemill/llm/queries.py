@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import chat, decontaminate, html, licenses, merkle, mixing, repeats, secret_scan, simhash, topk, toxicity
+from quotemill.llm import chat, decontaminate, html, licenses, merkle, mixing, packing, repeats, secret_scan, simhash, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,13 +53,19 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packing_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digest(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = (
     op1_repeats, op2_mixing, op3_topk, op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate,
-    op10_chat_perspectives, op12_manifest,
+    op10_chat_perspectives, op11_packing, op12_manifest,
 )
 
 
