@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import chat, decontaminate, html, licenses, merkle, mixing, packing, repeats, secret_scan, simhash, topk, toxicity
+from quotemill.llm import chat, decontaminate, html, licenses, merkle, mixing, packing, phrases, repeats, secret_scan, simhash, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digest(_read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_repeats, op2_mixing, op3_topk, op4_toxicity, op5_secret_scan, op6_html_text, op7_license_scan, op8_simhash, op9_decontaminate,
-    op10_chat_perspectives, op11_packing, op12_manifest,
+    op10_chat_perspectives, op11_packing, op12_manifest, op13_collocations,
 )
 
 
@@ -74,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE, "op12_manifest": merkle.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op10_chat_perspectives": chat.ORACLE, "op12_manifest": merkle.ORACLE, "op13_collocations": phrases.oracle()}
