@@ -40,7 +40,7 @@ CHUNK, REMEMBERED, AT_ONCE = 8 << 20, 1_000_000, 200
 #: Hash values among which the share of the stream is chosen.
 SHARES = 4096
 #: Bins (or blocks of them) of one step of a running sum.
-BLOCK = 4096
+BLOCK = 512
 
 _LETTER = byte_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 #: ASCII punctuation that may be cut off; not the apostrophe of contractions nor the marks of special tokens.
