@@ -137,13 +137,15 @@ def realise(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, once for each copy, with ``epoch`` (from 1) and ``mix_order``: sorted by both, each pass over
     a source runs through its blocks in an order of its own, and sources are interleaved.  Where ``docs`` has such a column, the
     new one is called ``mix_epoch`` or ``mix_mix_order``."""
-    plan = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"), F.min("block").alias("__block"), F.min("draw").alias("__draw"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__source"]))
-    each = joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    order = _draw(F.col("__epoch").cast("string"), F.coalesce("__source", F.lit("")), F.col("__block").cast("string"))
-    place = F.concat_ws("-", F.lpad(order.cast("string"), 19, "0"), F.lpad(F.col("__draw").cast("string"), 19, "0"))
+    plan = chosen.groupBy(F.col("doc_id").alias("of"), F.col("source").alias("from")).agg(F.max("copies").alias("copies"), F.min("block").alias("block"), F.min("draw").alias("draw"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    joined = rows.join(plan, rows["row"].getField("doc_id").eqNullSafe(plan["of"]) & rows["row"].getField("source").eqNullSafe(plan["from"]))
+    each = joined.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    order = _draw(F.col("epoch").cast("string"), F.coalesce("from", F.lit("")), F.col("block").cast("string"))
+    place = F.concat_ws("-", F.lpad(order.cast("string"), 19, "0"), F.lpad(F.col("draw").cast("string"), 19, "0"))
     new = {c: c if c not in docs.columns else f"mix_{c}" for c in ("epoch", "mix_order")}
-    return each.select(*(docs[f"`{c}`"] for c in docs.columns), F.col("__epoch").alias(new["epoch"]), place.alias(new["mix_order"]))
+    own = (F.col("row").getField(c).alias(c) for c in docs.columns)
+    return each.select(*own, F.col("epoch").alias(new["epoch"]), place.alias(new["mix_order"]))
 
 
 #: The registered mix in DuckDB SQL.

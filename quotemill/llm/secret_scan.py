@@ -2,7 +2,7 @@
 
 Candidates are, from left to right and without overlap: values of ``ASSIGNED_LENGTH`` characters or more, of any kind but white space and
 quotes, that are assigned to a name with a secret's word in it; passwords in URLs; and runs that stand alone and hold a digit, either of ``MIN_LENGTH`` letters, digits and
-``+ / _ -`` (with padding), or of three parts with dots between; runs that begin like those of well-known issuers need no digit.  A name before ``=`` is no part of its value.  Length is not capped anywhere.
+``+ / _ -`` (with padding), or of three parts with dots between; private keys in armour, whole; runs that begin like those of well-known issuers need no digit.  A name before ``=`` is no part of its value.  Length is not capped anywhere.
 
 Features are a candidate's length, its distinct characters and character transitions, how much of it known words cover, what
 the words before and after it say, and what the row's path says.  The forest (the JVM implementation of Spark's ML library)
@@ -34,10 +34,10 @@ TRAINING_ROWS = 8_000
 CONTEXTS = 500
 REDACTED = "<SECRET>"
 #: Words around secrets, words of examples, formats of well-known issuers, and common parts of plain tokens.
-SECRET_WORDS = "token|secret|passw|passwd|passphrase|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|auth[_-]?key|client[_-]?id|signature"
+SECRET_WORDS = "token|secret|passw|passwd|passphrase|pass(?![a-z])|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|auth[_-]?key|client[_-]?id|signature"
 EXAMPLE_WORDS = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|localhost"
 PLAIN_WORDS = "sha256|sha1|md5|checksum|digest|commit|revision|uuid|guid|isbn|phone|tel|fax|order|invoice|version|build|serial|page|card|account|iban"
-ISSUER = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"
+ISSUER = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}|^-----BEGIN "
 DICTIONARY = (
     "admin and api app auth back base begin build card client code commit config content copy create data date default delete demo dev digest domain email end error example "
     "false file final first for form from func get group hash head host html http https id image index info init input item key lang last level line link list local lock log "
@@ -49,24 +49,25 @@ DICTIONARY = (
 FEATURES = ["length", "distinct_share", "digit_share", "upper_share", "lower_share", "to_digit", "to_alpha", "case_moves", "symbols", "coverage", "hex_like", "digits_only", "issuer", "dotted", "secret_before", "assigned", "quoted", "in_url", "plain_before", "example_near", "secret_after", "host_after", "test_path"]
 
 #: The secret's words that can begin a name, by first letter: most places of a text are passed after six comparisons.
-_WORDS = r"(?:[tT](?i:oken)|[sS](?i:ecret|ignature)|[pP](?i:assw|assphrase|wd|rivate[ _-]?key)|[aA](?i:pi[ _-]?key|ccess[ _-]?key|uthorization|uth[_-]?key|uth[_-]?token)|[cC](?i:redential|lient[_-]?id)|[bB](?i:earer))"
+_WORDS = r"(?:[tT](?i:oken)|[sS](?i:ecret|ignature)|[pP](?i:assw|assphrase|(?<![A-Za-z][pP])ass(?![a-z])|wd|rivate[ _-]?key)|[aA](?i:pi[ _-]?key|ccess[ _-]?key|uthorization|uth[_-]?key|uth[_-]?token)|[cC](?i:redential|lient[_-]?id)|[bB](?i:earer))"
 _NAME = rf"{_WORDS}[A-Za-z0-9_-]*+[\"'`]?\s{{0,4}}(?:=>|:=|[:=])\s{{0,4}}[\"'`]?"
 _VALUE = rf"[^\s\"'`,;<>(){{}}\[\]]{{{ASSIGNED_LENGTH},}}+"
 _LOGIN, _PASSWORD = r"://[^\s:/@\"'<>]*+:", r"[^\s/@\"'<>]{3,}+(?=@)"
 _PLAIN = rf"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}+(?![A-Za-z0-9+/_=-])"
 _DOTTED = r"(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?![A-Za-z0-9_-])"
 _ISSUED = r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ)[A-Za-z0-9_-]{12,}+(?![A-Za-z0-9+/_=.-]*+[+/=])"
+_ARMOUR = r"-----BEGIN (?:[A-Z]++ ){0,3}PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\\\s]{16,}+-----END [A-Z ]{0,30}-----"
 #: What is matched; in the first two forms a name or login comes before the candidate itself.
 _ANNOUNCED = rf"{_NAME}{_VALUE}|{_LOGIN}{_PASSWORD}"
 _ALONE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_.-]{{{MIN_LENGTH}}})(?:{_DOTTED}|{_PLAIN}|{_ISSUED})"
-CANDIDATE = f"{_ANNOUNCED}|{_ALONE}"
+CANDIDATE = f"{_ANNOUNCED}|{_ARMOUR}|{_ALONE}"
 _LEAD = rf"^(?:{_NAME}(?={_VALUE}$)|{_LOGIN}(?=[^\s/@\"'<>]{{3,}}$))"
 
 
 def _suspect(text: Column) -> Column:
     """Whether a text holds a candidate; names and logins, which cost most to look for, only where there is a ``:`` or ``=``."""
     text = F.coalesce(text, F.lit(""))
-    return text.rlike(_ALONE) | (text.rlike("[:=]") & text.rlike(_ANNOUNCED))
+    return text.rlike(_ALONE) | (text.rlike("[:=]") & text.rlike(_ANNOUNCED)) | (F.contains(text, F.lit("PRIVATE KEY")) & text.rlike(_ARMOUR))
 
 
 def _lead(match: Column) -> Column:
@@ -122,7 +123,7 @@ def planted_texts(docs: DataFrame, rows: int = TRAINING_ROWS, seed: str = "plant
     made = spark.range(rows).select(
         "id", rnd("hex").alias("hex"), F.concat(F.lit("4"), F.translate(rnd("digits"), "abcdef", "135790")).alias("digits"),
         F.regexp_replace(F.concat(*(base(f"mixed{i}") for i in range(4))), "[^A-Za-z0-9]", "").alias("mixed"), *(one(x, *DICTIONARY).alias(x) for x in "abcd"), one("quote", '"', "'", "`", "").alias("quote"),
-        one("name", "token", "secret", "password", "api_key", "client_secret", "access_token", "auth_token", "passwd", "private_key", "API_TOKEN", "secretKey", "db_password").alias("name"), one("sep", " = ", "=", ": ", ":", " := ", " => ").alias("sep"),
+        one("name", "token", "secret", "password", "api_key", "client_secret", "access_token", "auth_token", "passwd", "private_key", "API_TOKEN", "secretKey", "db_password", "DB_PASS", "pass").alias("name"), one("sep", " = ", "=", ": ", ":", " := ", " => ").alias("sep"),
         one("of", "value", "name", "key", "ref", "id", "item", "file", "hash", "digest", "commit", "sha256:", "etag", "order", "uuid", "trace").alias("of"), one("bare", " ", " ", "\n", "(", " <", ", ").alias("bare"), one("mark", "!", "#", "$", "&", "%").alias("mark"),
         one("issuer", "AKIA", "ghp_", "sk_live_", "xoxb-", "AIza").alias("issuer"), one("usual", "src/app.py", "conf/prod.yml", "notes", "web", "wiki").alias("usual"), one("tests", "tests/fixtures/a.py", "docs/example.md", "mock/data.json", "samples/x").alias("tests"),
         one("bearer", "Authorization: Bearer ", "bearer ", " ").alias("bearer"), one("scheme", "postgres", "https", "mysql", "amqp").alias("scheme"), one("fill", "your_", "example-", "changeme", "xxxxxxxx", "sample_").alias("fill"), one("end", ".", " ").alias("end"),
@@ -137,6 +138,7 @@ def planted_texts(docs: DataFrame, rows: int = TRAINING_ROWS, seed: str = "plant
         (1, named, cut(hex_, 40), quote, usual), (1, named, cut(mixed, 32), quote, usual), (1, named, both(F.initcap(a), made["mark"], cut(digits, 4), cut(mixed, 4)), quote, usual), (1, named, issued, quote, usual), (1, bare, issued, " ", usual),
         (1, made["bearer"], both("eyJ", cut(mixed, 20), ".", cut(mixed, 40, 21), ".", cut(mixed, 30, 61)), " ", usual), (1, both(made["scheme"], "://", a, ":"), both(cut(mixed, 6), cut(digits, 3), cut(mixed, 5, 7)), both("@", b, ".internal/"), usual), (1, named, cut(hex_, 32), quote, usual),
         (1, both("AWS_SECRET_ACCESS_KEY", made["sep"]), both(cut(mixed, 20), "/", cut(mixed, 19, 21)), " ", usual),
+        (1, bare, both("-----BEGIN RSA PRIVATE KEY-----\n", cut(mixed, 60), "\n", cut(mixed, 60, 61), "\n-----END RSA PRIVATE KEY-----"), "\n", usual),
         (0, bare, cut(digits, 16), " ", usual), (0, plain, cut(hex_, 64), quote, usual), (0, plain, cut(hex_, 40), quote, usual), (0, plain, uuid, quote, usual), (0, bare, uuid, " ", usual), (0, bare, both(a, "_", b, "_", c, "_", cut(digits, 2)), " ", usual),
         (0, named, both(a, "_", b, "_", c), quote, usual), (0, named, both(made["fill"], b, "_", c, cut(digits, 1)), quote, usual), (0, named, cut(hex_, 40), quote, made["tests"]), (0, bare, both(a, "/", b, "/", c, "_", cut(digits, 1), "/", d), made["end"], usual),
         (0, bare, both("20", cut(digits, 2), "-", cut(digits, 2, 3), "-", cut(digits, 2, 5), "T", cut(digits, 6, 7)), " ", usual), (0, bare, both(a, "-", b, "-", c, "-", cut(digits, 4)), both("@", d, ".com"), usual), (0, both(made["name"], ": "), both(a, b), made["end"], usual),
@@ -198,14 +200,17 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str
 
     Rows without a candidate pass untouched and unshuffled; only rows with findings are joined to them."""
     suspect = _suspect(F.col("text"))
-    found = _scanned(docs, labelled, path).where("is_secret").groupBy(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__hash")).agg(F.collect_set("nth").alias("__nth"))
-    hit = docs.where(suspect)
-    hit = hit.join(found, hit["doc_id"].eqNullSafe(found["__of"]) & (F.xxhash64(hit["text"]) == found["__hash"]), "left")
-    match, around = _cut(F.col("text"))
-    piece = lambda m, i: F.concat(F.get(around, i), F.when(F.array_contains("__nth", i + 1), F.concat(_lead(m), F.lit(REDACTED))).otherwise(m))
+    found = _scanned(docs, labelled, path).where("is_secret").groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")).agg(F.collect_set("nth").alias("nth"))
+    # packed, so that a column of any name is no other one
+    row, text = F.col("row"), F.col("row").getField("text")
+    hit = docs.where(suspect).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    hit = hit.join(found, hit["row"].getField("doc_id").eqNullSafe(found["of"]) & (F.xxhash64(hit["row"].getField("text")) == found["hash"]), "left")
+    match, around = _cut(text)
+    piece = lambda m, i: F.concat(F.get(around, i), F.when(F.array_contains("nth", i + 1), F.concat(_lead(m), F.lit(REDACTED))).otherwise(m))
     cleaned = F.concat(F.array_join(F.transform(match, piece), ""), F.element_at(around, -1))
-    cleaned = hit.withColumn("text", F.when(F.col("__nth").isNotNull(), cleaned).otherwise(F.col("text")))
+    hit = hit.withColumn("cleaned", F.when(F.col("nth").isNotNull(), cleaned).otherwise(text))
+    now = {c: row.getField(c) for c in docs.columns} | {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__nth").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return docs.where(~suspect).unionByName(cleaned.select(*(F.col(f"`{c}`") for c in docs.columns)))
+        now["n_chars"] = F.when(F.col("nth").isNotNull(), F.length("cleaned").cast(kind)).otherwise(row.getField("n_chars"))
+    return docs.where(~suspect).unionByName(hit.select(*(v.alias(c) for c, v in now.items())))

@@ -21,7 +21,8 @@ rounds of minimum labels with pointer jumping over stored tables.  Equal fingerp
 copies, however many, cost one aggregation, and they are dealt over tasks where they meet their component (:func:`join_copies`).
 
 Defined results: null and empty texts and texts of white space have the fingerprint zero and are linked like others
-under ``segments``; :func:`drop_near_duplicates` leaves texts without words and rows without doc_id alone.  Repeated rows fall into one component.
+under ``segments``; :func:`drop_near_duplicates` leaves texts without words and rows without doc_id alone.  Rows without doc_id link others
+like any row; a component in which no row has one has no component_id.  Repeated rows fall into one component.
 """
 
 from __future__ import annotations
@@ -416,14 +417,16 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, split
 
     Fingerprints link at ``radius`` or fewer differing bits."""
     prints = stored(fingerprints(docs, shingle), like="prints")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), like="nodes")
-    some = nodes.where("node is not null")
-    keyed = stored(_segment_keys(some, radius, split_above).select("key", "node"), like="keys")
-    buckets, known = bounded_buckets(keyed, some.select("node", "fingerprint"), within(radius), split_above)
-    found = components(bucket_stars(buckets.join(some.select("node", "fingerprint"), "node"), radius).union(known))
-    roots = stored(nodes.join(found, "node", "left").select("fingerprint", "copies", F.coalesce("component", "node").alias("root")), like="roots")
-    out = join_copies(prints, roots, "fingerprint")
-    return out.select("doc_id", "fingerprint", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    # a fingerprint is its own node, so rows without doc_id link others
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).withColumn("node", F.element_at("fingerprint", 1)), like="nodes")
+    lines = nodes.select("node", "fingerprint")
+    keyed = stored(_segment_keys(lines, radius, split_above).select("key", "node"), like="keys")
+    buckets, known = bounded_buckets(keyed, lines, within(radius), split_above)
+    found = components(bucket_stars(buckets.join(lines, "node"), radius).union(known))
+    rooted = nodes.join(found, "node", "left").select("fingerprint", "copies", "first_id", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    roots = stored(rooted.join(least, "root").select("fingerprint", "copies", "component_id"), like="roots")
+    return join_copies(prints, roots, "fingerprint").select("doc_id", "fingerprint", "n_shingles", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -460,18 +463,24 @@ def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     by bands of min-hashes (at similarity 0.8 sixteen bands of three miss one pair in 96,000) and the filter radius;
     the sets of what proposals connect are then made from the texts and compared exactly."""
     radius = filter_radius(similarity, 64 * NEAR_WORDS)
-    prints = stored(fingerprints(docs, shingle, NEAR_WORDS, bands, rows).withColumn("node", F.monotonically_increasing_id()), like="prints")
+    # rows without doc_id are told apart by their texts
+    by_text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    named = docs.select(F.struct(F.col("doc_id").alias("id"), by_text.alias("by_text")).alias("doc_id"), "text")
+    prints = fingerprints(named, shingle, NEAR_WORDS, bands, rows).withColumn("node", F.monotonically_increasing_id())
+    prints = stored(prints.withColumns({"lookup": F.xxhash64("doc_id.id", "doc_id.by_text"), "doc_id": F.col("doc_id.id")}), like="prints")
     # equal sets are one node: the row of their smallest doc_id
-    first = prints.where("n_shingles > 0 and doc_id is not null").groupBy("content").agg(F.min(F.struct("doc_id", "node")).alias("s"), F.count("*").alias("copies"))
-    nodes = stored(first.select("content", F.col("s.doc_id").alias("first_id"), F.col("s.node").alias("node"), "copies"), like="nodes")
+    first = prints.where("n_shingles > 0").groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lookup", "node")).alias("s"), F.count("*").alias("copies"))
+    nodes = stored(first.select("content", F.col("s.doc_id").alias("first_id"), "s.lookup", "s.node", "copies"), like="nodes")
     banded = prints.select("node", "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.posexplode("bands").alias("k", "band"))
     keyed = stored(banded.select("node", F.xxhash64("k", "band").alias("key")), like="keys")
     lines = prints.select("node", "fingerprint")
     buckets, known = bounded_buckets(keyed, lines, within(radius), split_above)
     proposed = components(bucket_stars(buckets.join(lines, "node"), radius).union(known))
-    wanted = stored(proposed.join(nodes, "node").select("node", "content", "first_id"), like="wanted")
-    some = docs.where(may_be_among(wanted, "first_id")(docs["doc_id"]))
-    sets = stored(shingle_sets(some.join(wanted, some["doc_id"] == wanted["first_id"]), shingle, NEAR_WORDS), like="sets")
+    wanted = stored(proposed.join(nodes, "node").select("node", "content", F.col("lookup").alias("wanted")), like="wanted")
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id", by_text).alias("lookup"))
+    some = some.where(may_be_among(wanted, "wanted")(F.col("lookup")))
+    some = some.where("doc_id is not null").unionByName(some.where("doc_id is null").dropDuplicates(["lookup"]))
+    sets = stored(shingle_sets(some.join(wanted, some["lookup"] == wanted["wanted"]), shingle, NEAR_WORDS), like="sets")
     buckets, known = bounded_buckets(proposed.select(F.col("component").alias("key"), "node"), sets, similar(similarity), split_above)
     found = components(bucket_stars(buckets.join(sets, "node"), radius, similarity).union(known))
     rooted = nodes.join(found, "node", "left").select("content", "copies", "first_id", F.coalesce("component", "node").alias("root"))

@@ -482,3 +482,49 @@ def test_extra_columns_with_clashing_names(spark):
         out = stage(spark, d, SF)
         assert out.columns[: len(d.columns)] == d.columns, name
         assert out.count() > 0, name
+
+
+def test_reserved_column_names(spark):
+    from quotemill.llm import mixing, secret_scan
+
+    rows = [(i, f"password: S3cr3tV4lue{i}!x and words", "en", f"s{i % 2}", 30) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("__nth", "__of", "__hash", "__copies", "__epoch", "__id", "__draw", "nth", "of", "hash", "row", "cleaned", "copies", "epoch", "mix_order", "from", "block", "draw")
+    d = d.select("*", *[F.lit("x").alias(c) for c in names])
+    out = secret_scan.redact_secrets(d)
+    assert out.columns == d.columns and {r["hash"] for r in out.collect()} == {"x"}
+    mixed = mixing.realise(d, mixing.mix(d, entropy=None))
+    assert mixed.columns == [*d.columns, "mix_epoch", "mix_mix_order"] and mixed.count() == 6
+
+
+def test_rows_without_id_link_others(spark):
+    """5 and 9 are linked by texts without doc_id alone, 20 and 30 have no text between them."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    chain = [list(words)]
+    for _ in range(40):
+        nxt = list(chain[-1])
+        nxt[int(rng.integers(60))] = f"n{rng.integers(10**9)}"
+        chain.append(nxt)
+    texts = [" ".join(t) for t in chain]
+    rows = [(5, texts[0]), (9, texts[-1])] + [(None, t) for t in texts[1:-1]] * 2 + [(None, "alone " * 9), (None, None), (30, "quite other words here now again"), (None, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    # brute force over all rows, for both kinds of links
+    prints = [int(r["fingerprint"][0]) & (2**64 - 1) for r in simhash.fingerprints(d).collect()]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if t else set() for _, t in rows]
+    near = lambda i, j: bool(sets[i]) and bool(sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    for got, linked in (
+        (simhash.simhash_digest(d), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2),
+        (simhash.near_components(d), near),
+    ):
+        label = list(range(len(rows)))
+        for _ in rows:
+            for i in range(len(rows)):
+                for j in range(i):
+                    if linked(i, j):
+                        label[i] = label[j] = min(label[i], label[j])
+        want = {rows[i][0]: min((rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None), default=None) for i in range(len(rows)) if rows[i][0] is not None}
+        assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id is not null").collect()} == want
+    assert want == {5: 5, 9: 5, 30: 30}
+    assert {r["component_id"] for r in simhash.near_components(d).where("doc_id is null and n_shingles > 5").collect()} == {5}
+    assert simhash.drop_near_duplicates(d).where("doc_id is not null").count() == 2
