@@ -3,11 +3,13 @@
 A shard is about ``SHARD_BYTES`` of texts as ids of its own words, with a 0 where a piece ends.  Its index is two Burrows-Wheeler
 transforms, of the text and of the text reversed, sorted by as many words as phrases may have.  An interval pair stands for a phrase: one
 step extends all intervals at once, to the right through the reversed transform and to the left through the other, and both
-ends of the pair follow.  Each phrase is reached once (two words, one to the right, one to the left, one to the right), with its count.
+ends of the pair follow.  Each phrase is reached once, by steps to the right and to the left in turn, with its count.
 
-Counts are sums over shards, so a shard has to report what is rare in it as well; what is rare everywhere is cut first.  Words below the
-least count end pieces, then pairs of words below it do, and only what is left is indexed for longer phrases: a phrase
-that is frequent enough has no rarer part.  Words and pairs are summed over all shards and joined back to the shards that hold them.
+Counts are sums over shards, so a shard has to report what is rare in it as well; what is rare everywhere is cut first.  A phrase that is
+frequent enough has no rarer part, so for phrases of k + 1 words a shard indexes only the chains of its text in which phrases
+of k words that are frequent over all shards follow each other.  Frequent words have numbers without gaps, phrases are rows of
+these; they are summed over all shards and joined back to the shards that hold them, behind a table of at most 8 MB of hash bits
+that spares most rare ones that shuffle (a full table spares fewer, with the same result).
 
 The score of a phrase is its lowest over all cuts into two parts, floor(1000 a n / (l r)) in decimals of 38 digits.
 
@@ -18,19 +20,19 @@ pieces end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import LOWER, byte_table, chunks, stored, word_spans
+from quotemill.llm.common import LOWER, byte_table, chunks, may_be_among, stored, word_spans
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 LEAST, WORDS, REPORTED = 100, 5, 2000
 UNKNOWN_LANG = "und"
 #: Bytes that end pieces, and bytes of words.
@@ -153,99 +155,127 @@ def _shard(data: np.ndarray, offsets: np.ndarray, langs: list[str], of_row: np.n
     return words, [langs[k] for k in (key // width).tolist()], count, ids
 
 
-def _squeezed(ids: np.ndarray) -> np.ndarray:
-    """Without pieces of one word and without a 0 beside another."""
-    before, after = np.concatenate([[0], ids[:-1]]), np.concatenate([ids[1:], [0]])
-    ids = np.where((before == 0) & (after == 0), 0, ids)
-    return ids[(ids > 0) | np.concatenate([[False], ids[:-1] > 0])]
+def _chains(ids: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+    """The parts of a text where two or more places in a row hold (``there``) a phrase of ``size`` words, each with a 0 behind it."""
+    edge = np.diff(np.concatenate([[0], there.astype(np.int8), [0]]))
+    first, count = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+    first, count = first[count > 1], count[count > 1]
+    width = count + size
+    begin = np.cumsum(width) - width
+    at = np.arange(int(width.sum())) - np.repeat(begin - first, width)
+    out = ids[np.minimum(at, len(ids) - 1)]
+    out[begin + width - 1] = 0
+    return out
+
+
+def _holds(ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """For each place of a text whether one of the phrases (a row each) begins there."""
+    n, size = grams.shape
+    places = len(ids) - size + 1
+    if places < 1 or not n:
+        return np.zeros(max(places, 0), dtype=bool)
+    code = np.concatenate([grams[:, 0], ids[:places]]).astype(np.int64)
+    for k in range(1, size):
+        code = code << 32 | np.concatenate([grams[:, k], ids[k : k + places]])
+        code = np.unique(code, return_inverse=True)[1]
+    known = np.zeros(int(code.max()) + 1, dtype=bool)
+    known[code[:n]] = True
+    return known[code[n:]]
+
+
+def _schema(size: int) -> pa.Schema:
+    """Phrases of ``size`` words with their counts in a shard, and the shard itself: what is left of its text, and the numbers of its words."""
+    return pa.schema([("shard", pa.int64()), *((f"w{k}", pa.int64()) for k in range(size)), ("count", pa.int64()), ("ids", pa.binary()), ("words", pa.binary())])
+
+
+def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bool) -> pa.Table:
+    """All phrases of ``size`` words of a text (ids from 1 into ``words``), and the text."""
+    schema = _schema(size)
+    used, ids = np.unique(np.concatenate([[0], ids]), return_inverse=True)
+    ids, words = ids[1:].astype(np.uint32), words[used[1:].astype(np.int64) - 1]
+    if not len(ids):
+        return schema.empty_table()
+    index = BidirectionalIndex(ids, size)
+    now = index.single_words()
+    for k in range(2, size + 1):
+        now = index.extended(now, to_left=k % 2 == 1)
+    n = len(now.count)
+    columns = [pa.array(np.full(n, number)), *(pa.array(words[now.words[:, k] - 1]) for k in range(size)), pa.array(now.count.astype(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+    out = [pa.Table.from_arrays(columns, schema=schema)]
+    if go_on:
+        out.append(pa.Table.from_pylist([{"shard": number, "ids": ids.tobytes(), "words": words.tobytes()}], schema=schema))
+    return pa.concat_tables(out)
+
+
+def _pairs(shard: pa.Table, frequent: pa.Table, go_on: bool) -> pa.Table:
+    """All pairs of frequent words of a shard; ``frequent`` has id and number of these words."""
+    if not shard.num_rows or not frequent.num_rows:
+        return _schema(2).empty_table()
+    frequent = frequent.sort_by("word")
+    old = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32)
+    new = np.zeros(int(old.max()) + 1, dtype=np.uint32)
+    new[frequent["id"].to_numpy()] = np.arange(1, frequent.num_rows + 1)
+    ids = new[old]
+    return _grown(shard["shard"][0].as_py(), _chains(ids, ids > 0, 1), frequent["word"].to_numpy(), 2, go_on)
 
 
-def _joined_words(words: pa.Array, ids: np.ndarray) -> pa.Array:
-    return pc.binary_join_element_wise(*[words.take(pa.array(ids[:, k] - 1)) for k in range(ids.shape[1])], " ")
+def _longer(shard: pa.Table, frequent: pa.Table, size: int, go_on: bool) -> pa.Table:
+    """All phrases of ``size`` words both of whose parts of one word less are frequent."""
+    if not shard.num_rows or not frequent.num_rows:
+        return _schema(size).empty_table()
+    ids, words = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32), np.frombuffer(shard["words"][0].as_py(), dtype=np.int64)
+    grams = np.column_stack([np.searchsorted(words, frequent[f"w{k}"].to_numpy()) + 1 for k in range(size - 1)])
+    return _grown(shard["shard"][0].as_py(), _chains(ids, _holds(ids, grams), size - 1), words, size, go_on)
 
 
-#: Rows of pairs (and of the shard that is left, with its words), and of longer phrases.
-PAIRS = "shard long, lang string, phrase string, count long, x int, y int, ids binary, words array<string>, langs array<string>"
-LONGER = "lang string, phrase string, words int, count long"
+def _round(size: int, go_on: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(shard: pa.Table, frequent: pa.Table) -> pa.Table:
+        return _pairs(shard, frequent, go_on) if size == 2 else _longer(shard, frequent, size, go_on)
 
+    return run
 
-def _pairs(shard: pa.Table, frequent: pa.Table) -> pa.Table:
-    """All pairs of frequent words of a shard, and the shard with frequent words alone, numbered anew."""
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("count", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string()))])
-    if not shard.num_rows or not frequent.num_rows:
-        return schema.empty_table()
-    frequent = frequent.sort_by("id")
-    old = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32)
-    new = np.zeros(int(old.max()) + 1, dtype=np.uint32)
-    new[frequent["id"].to_numpy()] = np.arange(1, frequent.num_rows + 1)
-    ids = _squeezed(new[old])
-    if not len(ids):
-        return schema.empty_table()
-    index = BidirectionalIndex(ids, 2)
-    pairs = index.extended(index.single_words(), to_left=False)
-    words, langs = frequent["phrase"].combine_chunks().cast(pa.string()), frequent["lang"].combine_chunks().cast(pa.string())
-    n, number = len(pairs.count), shard["shard"][0].as_py()
-    rows = {
-        "shard": np.full(n, number), "lang": langs.take(pa.array(pairs.words[:, 0] - 1)), "phrase": _joined_words(words, pairs.words), "count": pairs.count.astype(np.int64),
-        "x": pairs.words[:, 0].astype(np.int32), "y": pairs.words[:, 1].astype(np.int32), "ids": pa.nulls(n, pa.binary()), "words": pa.nulls(n, pa.list_(pa.string())), "langs": pa.nulls(n, pa.list_(pa.string())),
-    }
-    left = {"shard": [number], "lang": [None], "phrase": [None], "count": [None], "x": [None], "y": [None], "ids": [ids.tobytes()], "words": [words.to_pylist()], "langs": [langs.to_pylist()]}
-    return pa.concat_tables([pa.table(rows, schema=schema), pa.table(left, schema=schema)])
-
-
-def _longer(shard: pa.Table, frequent: pa.Table, most: int) -> pa.Table:
-    """All phrases of three to ``most`` words whose neighbouring words are frequent pairs."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())])
-    if not shard.num_rows or not frequent.num_rows:
-        return schema.empty_table()
-    ids = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32).astype(np.int64)
-    known = np.sort(frequent["x"].to_numpy().astype(np.int64) << 32 | frequent["y"].to_numpy())
-    pair = ids[:-1] << 32 | ids[1:]
-    there = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
-    # words that are in no chain of two frequent pairs are in no phrase of three words
-    ids = np.insert(ids, np.flatnonzero(~there) + 1, 0)
-    ids = _squeezed(ids)
-    index = BidirectionalIndex(ids, most)
-    words = shard["words"].combine_chunks().flatten().cast(pa.string())
-    langs = shard["langs"].combine_chunks().flatten().cast(pa.string())
-    now, out = index.extended(index.single_words(), to_left=False), []
-    for length in range(3, most + 1):
-        now = index.extended(now, to_left=length % 2 == 0)
-        if not len(now.count):
-            break
-        out.append(pa.table({"lang": langs.take(pa.array(now.words[:, 0] - 1)), "phrase": _joined_words(words, now.words), "words": np.full(len(now.count), length, dtype=np.int32), "count": now.count.astype(np.int64)}, schema=schema))
-    return pa.concat_tables(out) if out else schema.empty_table()
-
-
-def _frequent(rows: DataFrame, least: int, *more: str) -> DataFrame:
-    """lang, phrase, a: sums over all shards of at least ``least``."""
-    return rows.groupBy("lang", "phrase", *more).agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-
-
-def _back(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The rows of shards whose phrase is frequent."""
-    f = frequent.select(F.col("lang").alias("f_lang"), F.col("phrase").alias("f_phrase"))
-    return rows.join(f, (F.col("lang") == F.col("f_lang")) & (F.col("phrase") == F.col("f_phrase"))).drop("f_lang", "f_phrase")
-
-
-def phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lang, n of all words), and lang, phrase, words, a of all words and phrases of up to ``most`` words with at least ``least`` occurrences."""
+
+def _numbered(f: DataFrame) -> DataFrame:
+    """Rows with ``word``, a number from 0 without gaps."""
+    f = stored(f.withColumn("row", F.monotonically_increasing_id()), like="frequent1")
+    part = F.shiftright("row", 33)
+    # one row for each partition that was written
+    sizes = f.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(W.orderBy("part")) - F.col("rows"))
+    out = f.withColumn("part", part).join(sizes.select("part", "before"), "part")
+    return stored(out.select("lang", "phrase", "a", (F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("word")), like="words")
+
+
+def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, n of all words), (word, lang, phrase) of the words with at least ``least`` occurrences, and (g, a): words and phrases
+    of up to ``most`` words, as lists of word numbers, with at least as many."""
     spark = docs.sparkSession
     made = stored(shards(docs, shard_bytes), like="shards")
-    words, whole = made.where("ids is null").drop("ids"), made.where("ids is not null").select("shard", "ids")
-    n_of = stored(words.groupBy("lang").agg(F.sum("count").alias("n")), like="words_of_lang")
-    f1 = stored(_frequent(words, least), like="frequent1")
+    rows, left = made.where("ids is null").drop("ids"), made.where("ids is not null").select("shard", "ids")
+    totals = stored(rows.groupBy("lang").agg(F.sum("count").alias("n")), like="totals")
+    words = _numbered(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).where(F.col("a") >= least))
+    names = words.select(F.col("lang").alias("w_lang"), F.col("phrase").alias("w_phrase"), "word")
+    maybe = may_be_among(words.select(F.xxhash64("lang", "phrase").alias("key")), "key")
+    held = rows.where(maybe(F.xxhash64("lang", "phrase"))).join(names, (F.col("lang") == F.col("w_lang")) & (F.col("phrase") == F.col("w_phrase"))).select(F.col("shard").alias("of"), "id", "word")
     # Python work on few bytes: as many partitions as the session shuffles into, or one for each four shards
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole.count() // 4)
-    of_shard = lambda df, shard="shard": df.repartition(parts, shard).groupBy(shard)
-    pairs = of_shard(whole).cogroup(of_shard(_back(words, f1).select(F.col("shard").alias("of"), "id", "lang", "phrase"), "of")).applyInArrow(_pairs, PAIRS)
-    pairs = stored(pairs, like="pairs")
-    left, pairs = pairs.where("ids is not null").select("shard", "ids", "words", "langs"), pairs.where("ids is null").select("shard", "lang", "phrase", "count", "x", "y")
-    f2 = stored(_frequent(pairs, least), like="frequent2")
-    longer = of_shard(left).cogroup(of_shard(_back(pairs, f2).select(F.col("shard").alias("of"), "x", "y"), "of")).applyInArrow(lambda a, b: _longer(a, b, most), LONGER)
-    f3 = stored(_frequent(longer, least, "words"), like="frequent3")
-    levels = [f1.select("lang", "phrase", F.lit(1).alias("words"), "a"), f2.select("lang", "phrase", F.lit(2).alias("words"), "a"), f3.select("lang", "phrase", "words", "a")]
-    return n_of, levels[0].unionByName(levels[1]).unionByName(levels[2])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count() // 4)
+    of_shard = lambda df, key: df.repartition(parts, key).groupBy(key)
+    known = words.select(F.array("word").alias("g"), "a")
+    for size in range(2, most + 1):
+        go_on = size < most
+        w = [f"w{k}" for k in range(size)]
+        kind = ", ".join(f"{c} long" for c in w)
+        grown = of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(_round(size, go_on), f"shard long, {kind}, count long, ids binary, words binary")
+        grown = stored(grown, like=f"phrases{size}") if go_on else grown
+        grams = grown.where("ids is null").select("shard", *w, "count")
+        frequent = stored(grams.groupBy(*w).agg(F.sum("count").alias("a")).where(F.col("a") >= least), like=f"frequent{size}")
+        known = known.unionByName(frequent.select(F.array(*w).alias("g"), "a"))
+        if go_on:
+            left = grown.where("ids is not null").select("shard", "ids", "words")
+            maybe = may_be_among(frequent.select(F.xxhash64(*w).alias("key")), "key")
+            f = frequent.select(*(F.col(c).alias(f"f_{c}") for c in w))
+            on = [F.col(c) == F.col(f"f_{c}") for c in w]
+            held = grams.where(maybe(F.xxhash64(*w))).join(f, functools.reduce(Column.__and__, on)).select(F.col("shard").alias("of"), *w)
+    return totals, words.select("word", "lang", "phrase"), known
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -257,25 +287,25 @@ def score(a: Column, n: Column, left: Column, right: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, most: int = WORDS, reported: int = REPORTED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``reported`` best phrases."""
-    n_of, known = phrases(docs, least, most, shard_bytes)
-    found = known.where("words >= 2")
-    split = F.split("phrase", " ", -1)
-    part = lambda begin, size: F.array_join(F.slice(split, begin, size), " ")
+    totals, words, known = mined(docs, least, most, shard_bytes)
+    size = F.size("g")
     # a phrase goes if one with a word more, before or after, occurs as often
-    whole = [F.col("lang").alias("o_lang"), F.col("a").alias("o_a")]
-    shorter = found.where("words >= 3").select(*whole, F.explode(F.array(part(2, F.col("words") - 1), part(1, F.col("words") - 1))).alias("o_phrase"))
-    shorter = shorter.groupBy("o_lang", "o_phrase").agg(F.max("o_a").alias("o_a"))
-    same = (F.col("lang") == F.col("o_lang")) & (F.col("phrase") == F.col("o_phrase")) & (F.col("o_a") >= F.col("a"))
-    found = found.join(shorter, same, "left_anti")
-    cuts = found.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("cut"))
-    cuts = cuts.withColumn("first", part(1, F.col("cut"))).withColumn("rest", part(F.col("cut") + 1, F.col("words")))
-    for side, count in (("first", "l"), ("rest", "r")):
-        counts = known.select(F.col("lang").alias("k_lang"), F.col("phrase").alias("k_phrase"), F.col("a").alias(count))
-        cuts = cuts.join(counts, (F.col("lang") == F.col("k_lang")) & (F.col(side) == F.col("k_phrase"))).drop("k_lang", "k_phrase")
-    cuts = cuts.join(n_of, "lang").withColumn("score", score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
-    lowest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("m")).select("lang", "phrase", "m.*")
+    shorter = known.where(size > 2).select(F.col("a").alias("o_a"), F.explode(F.array(F.slice("g", 2, size - 1), F.slice("g", 1, size - 1))).alias("o_g"))
+    shorter = shorter.groupBy("o_g").agg(F.max("o_a").alias("o_a"))
+    found = known.where(size > 1).join(shorter, (F.col("g") == F.col("o_g")) & (F.col("o_a") >= F.col("a")), "left_anti")
+    cuts = found.select("g", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("cut"))
+    for part, count in ((F.slice("g", F.lit(1), F.col("cut")), "l"), (F.slice("g", F.col("cut") + 1, size), "r")):
+        counts = known.select(F.col("g").alias("k_g"), F.col("a").alias(count))
+        cuts = cuts.withColumn("part", part).join(counts, F.col("part") == F.col("k_g")).drop("k_g", "part")
+    # a phrase's words are of one language
+    of_lang = words.join(totals, "lang").select(F.col("word").alias("t_word"), "n")
+    cuts = cuts.join(of_lang, F.get("g", F.lit(0)) == F.col("t_word")).withColumn("score", score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
+    lowest = stored(cuts.groupBy("g").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("m")).select("g", "m.*"), like="lowest")
+    texts = lowest.select("g", F.posexplode("g").alias("at", "of_word")).join(words, F.col("of_word") == F.col("word"))
+    texts = texts.groupBy("g").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "phrase"))), lambda x: x["phrase"]), " ").alias("phrase"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return lowest.withColumn("rank", rank.cast("long")).where(F.col("rank") <= reported).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    named = lowest.join(texts, "g").withColumn("rank", rank.cast("long"))
+    return named.where(F.col("rank") <= reported).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations_digest(docs: DataFrame) -> DataFrame:
