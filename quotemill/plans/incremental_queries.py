@@ -175,33 +175,45 @@ def incr_delete_insert(t: Tables) -> DataFrame:
     return keyed.replace_keys(_stored(t), new(t), _KEYS)
 
 
-@query(f"select ticker, trading_date, close, volume from price where trading_date <= {D} and trading_date < date '1997-06-01' union all select * from fresh", fresh=NEW)
+@query(
+    f"""select ticker, trading_date, close, volume, null as turnover from price where trading_date <= {D} and trading_date < date '1997-06-01'
+        union all select ticker, trading_date, close + (trading_date >= date '1997-07-15')::int as close, volume, case when trading_date < date '1997-07-15' then close * volume end from fresh""",
+    fresh=NEW,
+)
 def sink_by_month_merge(t: Tables) -> DataFrame:
-    """New rows merged into a stored folder: only the months that they touch are written again."""
+    """New rows merged into a stored folder, first with one column more, then without it: only the months that they touch are
+    written again, and the column's values stay."""
     path = _months(t, _stored(t))
     fresh = new(t).withColumns({"year": F.year("trading_date"), "month": F.month("trading_date")})
-    sinks.merge_partitions(fresh, path, _KEYS, "year", "month")
-    return t.spark.read.parquet(path).select("ticker", "trading_date", "close", "volume")
+    sinks.merge_partitions(fresh.withColumn("turnover", F.col("close") * F.col("volume")), path, _KEYS, "year", "month")
+    sinks.merge_partitions(fresh.where("trading_date >= '1997-07-15'").withColumn("close", F.col("close") + 1), path, _KEYS, "year", "month")
+    return sinks.stored_table(t.spark, path).select("ticker", "trading_date", "close", "volume", "turnover")
 
 
-@query("select ticker, item_code, period, value + 1 as value from ratio")
+@query("select ticker, item_code, period, case when value is null then null when period like '%Q%' then value + 1 else floor(value) end as value, case when period like '%Q%' and value is not null then 'merged' end as origin from ratio")
 def sink_merge_ratio(t: Tables) -> DataFrame:
+    """Whole numbers by year; quarters with fractions and a new column are merged, for which all parts become wider."""
     r = t.ratio().select("ticker", "item_code", "period", "value")
     path = sinks.scratch(t.spark, "ratios")
     parted = r.withColumn("year", F.left("period", F.lit(4)).cast("int"))
-    sinks.overwrite_partitions(parted, path, "year")
-    sinks.merge_partitions(parted.where("value is not null").withColumn("value", F.col("value") + 1), path, ["ticker", "item_code", "period"], "year")
-    return t.spark.read.parquet(path).select("ticker", "item_code", "period", "value")
+    sinks.overwrite_partitions(parted.withColumn("value", F.floor("value")), path, "year")
+    quarters = parted.where("value is not null and period like '%Q%'")
+    sinks.merge_partitions(quarters.withColumns({"value": F.col("value") + 1, "origin": F.lit("merged")}), path, ["ticker", "item_code", "period"], "year")
+    return sinks.stored_table(t.spark, path).select("ticker", "item_code", "period", "value", "origin")
 
 
-@query("select symbol, cast(snapshot_at as date) as trading_date, max(snapshot_at) as snapshot_at from board group by 1, 2")
+@query("select symbol, cast(snapshot_at as date) as trading_date, max(snapshot_at) as snapshot_at, max(hour(snapshot_at)) filter (hour(snapshot_at) >= 12)::bigint as hour from board group by 1, 2")
 def sink_merge_board(t: Tables) -> DataFrame:
+    """The morning's quotes, into which the afternoon's are merged with their hour, first as a small number, then as a large one."""
     b = t.board().withColumn("trading_date", F.to_date("snapshot_at"))
     newest = lambda df: keyed.ranked_dedupe(df, ["symbol", "trading_date"], [F.desc("snapshot_at"), F.desc("event_id")]).withColumn("month", F.date_format("trading_date", "yyyyMM").cast("int"))
     path = sinks.scratch(t.spark, "board")
     sinks.overwrite_partitions(newest(b.where("hour(snapshot_at) < 12")), path, "month")
-    sinks.merge_partitions(newest(b.where("hour(snapshot_at) >= 12")), path, ["symbol", "trading_date"], "month")
-    return t.spark.read.parquet(path).select("symbol", "trading_date", "snapshot_at")
+    late = newest(b.where("hour(snapshot_at) >= 12"))
+    for kind, even in (("smallint", 0), ("bigint", 1)):
+        part = late.where(F.col("event_id") % 2 == even).withColumn("hour", F.hour("snapshot_at").cast(kind))
+        sinks.merge_partitions(part, path, ["symbol", "trading_date"], "month")
+    return sinks.stored_table(t.spark, path).select("symbol", "trading_date", "snapshot_at", "hour")
 
 
 _LATE = f"price where trading_date <= {D} and fetched % 50 = 0"

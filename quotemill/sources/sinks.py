@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.operators.keyed import upsert
 
@@ -28,24 +31,160 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's file system and path objects, so that every store that Spark reads will do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+# --- schemas that change: notes of every write lie in ``_schema`` below a table, which readers of the data pass over
+
+_WHOLE = ["tinyint", "smallint", "int", "bigint"]
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds the values of both; text where there is none but text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider(a.elementType, b.elementType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return reconciled(a, b)
+    x, y = a.simpleString(), b.simpleString()
+    if x in _WHOLE and y in _WHOLE:
+        return max(a, b, key=lambda t: _WHOLE.index(t.simpleString()))
+    if all(t in (*_WHOLE, "float", "double") for t in (x, y)):
+        return T.DoubleType()
+    if all(t in _WHOLE or t.startswith("decimal") for t in (x, y)):
+        a, b = (t if isinstance(t, T.DecimalType) else T.DecimalType(20, 0) for t in (a, b))
+        scale = max(a.scale, b.scale)
+        digits = max(a.precision - a.scale, b.precision - b.scale)
+        return T.DecimalType(min(38, digits + scale), scale) if digits + scale <= 38 else T.DoubleType()
+    if {x, y} == {"date", "timestamp"}:
+        return T.TimestampType()
+    return T.StringType()
+
+
+def reconciled(old: T.StructType, new: T.StructType) -> T.StructType:
+    """All columns of both, by name, each of the wider type; the old order, then new ones."""
+    both = {f.name: f.dataType for f in new}
+    fields = [T.StructField(f.name, wider(f.dataType, both[f.name]) if f.name in both else f.dataType) for f in old]
+    return T.StructType([*fields, *(T.StructField(f.name, f.dataType) for f in new if f.name not in old.names)])
+
+
+def reads_as(old: T.DataType, new: T.DataType) -> bool:
+    """Whether stored values of the old type can be read as the new one, so that no file has to be written again."""
+    if old == new:
+        return True
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        return all(f.name in new.names and reads_as(f.dataType, new[f.name].dataType) for f in old)
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return reads_as(old.elementType, new.elementType)
+    x, y = old.simpleString(), new.simpleString()
+    return (x in _WHOLE and y in _WHOLE and _WHOLE.index(x) < _WHOLE.index(y)) or (y == "double" and x in ("float", "tinyint", "smallint", "int"))
+
+
+def _loose(kind: T.StructType) -> T.StructType:
+    """The same columns, all of which may be null, without metadata."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in kind])
+
+
+def stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of all parts of a table: its notes reconciled, or where it has none, the files' schemas merged."""
+    if not exists(spark, f"{path}/_schema"):
+        return _loose(spark.read.option("mergeSchema", True).parquet(path).schema)
+    notes = spark.read.schema("at timestamp, kind string").json(f"{path}/_schema").orderBy("at", "kind").collect()  # one row for each write that changed it
+    return functools.reduce(reconciled, (T.StructType.fromJson(json.loads(n["kind"])) for n in notes))
+
+
+def _note(spark: SparkSession, path: str, kind: T.StructType) -> None:
+    kind = _loose(kind)
+    if not exists(spark, f"{path}/_schema") or stored_schema(spark, path) != kind:
+        spark.range(1).select(F.current_timestamp().alias("at"), F.lit(kind.json()).alias("kind")).write.mode("append").json(f"{path}/_schema")
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame:
+    """All parts of a table with all columns that any part has; those of older parts are null or widened."""
+    return spark.read.schema(stored_schema(spark, path)).parquet(path)
+
+
+def _as(column: Column, old: T.DataType | None, new: T.DataType) -> Column:
+    if old is None:
+        return F.lit(None).cast(new)
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        parts = (_as(column.getField(f.name), old[f.name].dataType if f.name in old.names else None, f.dataType).alias(f.name) for f in new)
+        return F.when(column.isNotNull(), F.struct(*parts))
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return F.transform(column, lambda x: _as(x, old.elementType, new.elementType))
+    return column.cast(new)
+
+
+def conformed(df: DataFrame, kind: T.StructType) -> DataFrame:
+    """``df`` with exactly these columns."""
+    old = {f.name: f.dataType for f in df.schema}
+    return df.select(*(_as(F.col(f"`{f.name}`"), old.get(f.name), f.dataType).alias(f.name) for f in kind))
+
+
 def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
     """Only the partitions that ``df`` holds are replaced; a value's rows are written together."""
-    df.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    old = stored_schema(df.sparkSession, path) if exists(df.sparkSession, path) else None
+    kind = _loose(df.schema) if old is None else reconciled(old, _loose(df.schema))
+    if old is not None and not reads_as(old, kind):
+        raise ValueError(f"parts of {path} cannot be read as {kind.simpleString()}; merge_partitions writes them again")
+    conformed(df, kind).repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    _note(df.sparkSession, path, kind)
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a merge that a crash broke off: what was staged whole and noted is put in place, again if need be."""
+    if exists(spark, f"{path}/_pending"):
+        for note in spark.read.schema("stage string, columns array<string>").json(f"{path}/_pending").collect():  # one row, or two after a crash
+            if exists(spark, note["stage"]):
+                _put(spark, note["stage"], path, note["columns"])
+        remove(spark, f"{path}/_pending")
+
+
+def _put(spark: SparkSession, stage: str, path: str, columns: list[str]) -> None:
+    staged = spark.read.parquet(stage)
+    staged.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    _note(spark, path, staged.schema)
+    remove(spark, stage)
+
+
 def merge_partitions(df: DataFrame, path: str, keys: list[str], *columns: str) -> None:
-    """Upsert into the partitions that ``df`` touches; these are staged before they are replaced, as the plan reads them."""
+    """Upsert into the partitions that ``df`` touches.
+
+    Columns that either side lacks are null there, never lost, and types widen to hold both.  Only the touched partitions are written
+    again, unless a type changes so that older files cannot be read as the new one: then all are.  The merged rows are staged and noted
+    before they replace anything, so a merge that breaks off is finished by the next one (:func:`recover`)."""
     spark = df.sparkSession
-    touched = df.select(*columns).distinct()
-    stored = spark.read.parquet(path)
-    merged = upsert(stored.join(touched, list(columns), "left_semi"), df, keys)
+    recover(spark, path)
+    old = stored_schema(spark, path)
+    kind = reconciled(old, _loose(df.schema))
+    stored = spark.read.schema(old).parquet(path)
+    if reads_as(old, kind):
+        stored = stored.join(df.select(*columns).distinct(), list(columns), "left_semi")
+    merged = upsert(conformed(stored, kind), conformed(df, kind), keys)
     stage = scratch(spark, "stage")
     merged.write.parquet(stage)
-    overwrite_partitions(spark.read.schema(merged.schema).parquet(stage), path, *columns)
+    spark.range(1).select(F.lit(stage).alias("stage"), F.array(*map(F.lit, columns)).alias("columns")).write.mode("append").json(f"{path}/_pending")
+    recover(spark, path)
 
 
 def advance_watermark(spark: SparkSession, path: str, dataset: str, mark) -> None:
