@@ -62,7 +62,7 @@ def stream_silver_price(t: Tables) -> DataFrame:
     """A keyed upsert fed by a stream: the last trade of each key and day."""
     raw = t.raw("lineitem")
     source = jobs.stream(t.spark, f"{t.dir}/lineitem.parquet", raw.schema).select("l_suppkey", F.to_date("l_shipdate").alias("trading_date"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
-    table = jobs.KeyedTable(t.spark, ["l_suppkey", "trading_date"], ["ord"])
+    table = jobs.KeyedTable(t.spark, ["l_suppkey", "trading_date"], ["ord"], part=F.date_format("trading_date", "yyyy"))
     jobs.run_into(source, table)
     return table.read()
 
@@ -74,6 +74,22 @@ def stream_board_latest(t: Tables) -> DataFrame:
     return ranked_dedupe(out, ["symbol", "trading_date"], [F.desc("__batch"), F.desc("snapshot_at")]).drop("__batch")
 
 
+_LATE_MARK = "(select date_trunc('millisecond', max(snapshot_at)) - interval 1 day from board b where b.event_id % 4 < k - 1)"
+
+
+@query(f"select k as batch, count(*) as rows_in, count(*) filter (where snapshot_at <= {_LATE_MARK}) as dropped from (select *, event_id % 4 as k from board) group by k")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """What the watermark of a stream drops, batch by batch: quotes that land in four files, each over all days."""
+    path, notes = sinks.scratch(t.spark, "late"), sinks.scratch(t.spark, "progress")
+    board = t.board().select("event_id", F.col("snapshot_at").cast("timestamp").alias("snapshot_at"))
+    for k in range(4):
+        board.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(path)
+    source = t.spark.readStream.schema(board.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with jobs.audited(t.spark, notes):
+        jobs.drained(source.withWatermark("snapshot_at", "1 day").dropDuplicatesWithinWatermark(["event_id"]))
+    return t.spark.read.parquet(notes).where("rows_in > 0").select("batch", "rows_in", "dropped")
+
+
 @query("select doc_id::varchar as article_id from documents group by 1")
 def stream_news_dedupe(t: Tables) -> DataFrame:
     source = jobs.stream(t.spark, f"{t.dir}/documents.parquet", t.raw("documents").schema).select(F.col("doc_id").cast("string").alias("article_id"), F.timestamp_seconds(F.lit(788918400) + F.col("doc_id") % 86400).alias("fetched_at"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))

@@ -52,7 +52,8 @@ def test_streams_go_on_after_a_stop(spark, tmp_path):
     jobs.run_into(read(), table)
     wanted = {(1, "b"), (2, "a"), (3, "b")}
     assert {(r["k"], r["v"]) for r in table.read().collect()} == wanted
-    table.take(spark.createDataFrame([(1, 9, "again")], "k int, at int, v string"), table.noted())  # a batch played again
+    table.take(spark.createDataFrame([(1, 2, "b"), (3, 1, "b")], "k int, at int, v string"), 1)  # a batch played again
+    table.take(spark.createDataFrame([(1, 1, "late")], "k int, at int, v string"), 2)
     assert {(r["k"], r["v"]) for r in table.read().collect()} == wanted
     out = str(tmp_path / "d")
     assert jobs.drained(read(), root=out).count() == 4
@@ -77,3 +78,31 @@ def test_annual_rows_of_both_kinds(spark):
     got = gold.financial_summary(ratio)
     assert sorted((r["period"], r["period_type"], r["eps"]) for r in got.collect()) == [("2023", "annual", 2.0), ("2023", "annual", 7.0), ("2023-Q3", "quarter", 1.0), ("2023-Q4", "quarter", 2.0)]
     assert len(got.columns) == 5 + len(gold.SUMMARY_ITEMS) and got.where("dividend_per_share is not null").count() == 0
+
+
+def test_a_stream_replaces_the_partitions_it_touches(spark, tmp_path):
+    table = jobs.KeyedTable(spark, ["k"], ["at"], str(tmp_path / "t"), part=F.col("k") % 4)
+    rows = lambda *r: spark.createDataFrame(r, "k int, at int")
+    table.take(rows(*((i, 1) for i in range(16))), 0)
+    files = lambda: {f for f in table.read().inputFiles()}
+    was = files()
+    table.take(rows((2, 5), (2, 4), (18, 1)).withColumn("more", F.lit("x")), 1)
+    assert {r["k"]: (r["at"], r["more"]) for r in table.read().collect()} == {i: (1, None) for i in range(16)} | {2: (5, "x"), 18: (1, "x")}
+    kept = {f for f in was if "part=2" not in f}
+    assert kept <= files() and not {f for f in was if "part=2" in f} & files()
+
+
+def test_rows_dropped_by_a_watermark_are_counted(spark, tmp_path):
+    source, notes = str(tmp_path / "s"), str(tmp_path / "p")
+    schema = "id int, at timestamp, file int"
+    files = [[(1, 10), (2, 20)], [(3, 5), (4, 11)], [(5, 1), (6, 17), (7, 18), (8, 19)], [(9, 2), (9, 30)], [(10, 25)]]
+    rows = [(i, dt.datetime(2024, 1, day), k) for k, f in enumerate(files) for i, day in f]
+    for k in range(len(files)):
+        spark.createDataFrame([r for r in rows if r[2] == k], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with jobs.audited(spark, notes):
+        out = jobs.drained(stream.withWatermark("at", "2 days").dropDuplicatesWithinWatermark(["id"]))
+    got = {r["batch"]: (r["rows_in"], r["dropped"]) for r in spark.read.parquet(notes).where("rows_in > 0").collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (4, 3), 3: (2, 1), 4: (1, 0)}
+    assert got == {r["batch"]: (r["rows_in"], r["dropped"]) for r in jobs.late_by_batch(spark.createDataFrame(rows, schema), "file", "at", "2 days").collect()}
+    assert out.count() == sum(a - b for a, b in got.values())
