@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotemill.operators.keyed import newest, ranked_dedupe
@@ -12,24 +13,45 @@ from quotemill.plans import gold
 ROWS_BACK = 60
 
 
-def indicators(price: DataFrame, stored: DataFrame) -> DataFrame:
-    """Indicators of the rows after the newest stored day, from a slice of each key.
-
-    ``stored`` has ticker, trading_date, row_num and obv.  Only keys with new rows are read, from the day of their ``ROWS_BACK``-th
-    last stored row on; row numbers and the running balance go on from the stored ones."""
-    top = newest(stored, "trading_date")
-    if top is None:
-        return gold.price_indicators(price)
-    fresh = price.where(F.col("trading_date") > F.lit(top)).select("ticker").distinct()
-    known = stored.join(fresh, "ticker", "left_semi")
-    last = known.groupBy("ticker").agg(F.max("row_num").alias("last_num"), F.max_by("obv", "row_num").alias("last_obv"))
-    start = known.join(last, "ticker").where(F.col("row_num") == F.greatest(F.lit(1), F.col("last_num") - ROWS_BACK + 1)).select("ticker", F.col("trading_date").alias("from_day"), F.col("row_num").alias("from_num"), "last_num", "last_obv")
-    part = price.join(fresh, "ticker", "left_semi").join(start, "ticker", "left").where("from_day is null or trading_date >= from_day")
-    out = gold.price_indicators(part.select("ticker", "trading_date", "close", "volume"))
-    base = out.join(start, "ticker", "left")
-    at_last = base.where(F.col("row_num") + F.col("from_num") - 1 == F.col("last_num")).select("ticker", (F.col("last_obv") - F.col("obv")).alias("carried"))
-    moved = base.join(at_last, "ticker", "left").withColumns({"obv": F.col("obv") + F.coalesce("carried", F.lit(0)), "row_num": F.col("row_num") + F.coalesce(F.col("from_num") - 1, F.lit(0))})
-    return moved.where(F.col("trading_date") > F.lit(top)).drop("from_day", "from_num", "last_num", "last_obv", "carried")
+def _state(rows: DataFrame) -> DataFrame:
+    """ticker, rows_seen, obv, last_day and the last ``ROWS_BACK`` rows, from rows with ticker, trading_date, close, volume, row_num
+    and obv that hold at least these for each ticker."""
+    of_ticker = W.partitionBy("ticker")
+    last = rows.withColumn("rows_seen", F.max("row_num").over(of_ticker)).where("row_num > rows_seen - " + str(ROWS_BACK))
+    kept = F.sort_array(F.collect_list(F.struct("trading_date", "close", "volume")))
+    return last.groupBy("ticker").agg(F.max("rows_seen").alias("rows_seen"), F.max_by("obv", "row_num").alias("obv"), F.max("trading_date").alias("last_day"), kept.alias("kept"))
+
+
+def indicator_state(price: DataFrame) -> DataFrame:
+    """What later runs need of a ticker's history: ticker, rows_seen, obv, last_day, kept (its last ``ROWS_BACK`` rows)."""
+    before = F.lag("close").over(gold.series())
+    signed = F.when(F.col("close") > before, F.col("volume")).when(F.col("close") < before, -F.col("volume")).otherwise(0)
+    rows = price.select("ticker", "trading_date", "close", "volume", signed.alias("signed"))
+    rows = rows.withColumns({"row_num": F.count("*").over(gold.running()), "obv": F.sum("signed").over(gold.running())})
+    return _state(rows)
+
+
+def advanced_indicators(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Indicators of the new rows, the state after them); no row before them is read but those that the state keeps.
+
+    ``new`` has ticker, trading_date, close, volume, one row for each key; rows on or before a ticker's last day are left out
+    (see :func:`quotemill.operators.keyed.late_rows`).  The second result holds the tickers with new rows, to be merged into a stored state."""
+    s = state.select("ticker", "rows_seen", F.col("obv").alias("obv_seen"), "last_day", "kept")
+    new = new.select("ticker", "trading_date", "close", "volume").join(s.select("ticker", "last_day"), "ticker", "left")
+    new = new.where("last_day is null or trading_date > last_day").drop("last_day")
+    fresh = s.join(new.select("ticker").distinct(), "ticker", "left_semi")
+    known = fresh.select("ticker", F.inline("kept"))
+    local = gold.price_indicators(known.unionByName(new)).join(fresh.select("ticker", "rows_seen", "obv_seen", "last_day"), "ticker", "left")
+    # numbers and balances go on from those of the last row that was seen
+    seen = F.when(F.col("trading_date") == F.col("last_day"), F.struct("row_num", "obv"))
+    at_last = F.max(seen).over(W.partitionBy("ticker"))
+    local = local.withColumn("at_last", at_last)
+    moved = local.withColumns({
+        "row_num": F.col("row_num") + F.coalesce(F.col("rows_seen") - F.col("at_last.row_num"), F.lit(0)),
+        "obv": F.col("obv") + F.coalesce(F.col("obv_seen") - F.col("at_last.obv"), F.lit(0)),
+    })
+    out = moved.where("last_day is null or trading_date > last_day").drop("rows_seen", "obv_seen", "last_day", "at_last")
+    return out, _state(moved.select("ticker", "trading_date", "close", "volume", "row_num", "obv"))
 
 
 def market_overview(price: DataFrame, index: DataFrame, done) -> DataFrame:

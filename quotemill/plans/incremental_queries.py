@@ -225,19 +225,52 @@ def late_rows_report(t: Tables) -> DataFrame:
     return keyed.late_rows(t.price(), have, _KEYS, "trading_date").select("ticker", "trading_date")
 
 
+#: Where this application has stored the indicator state of a folder of tables.
+_STATES: dict[tuple[str, str], str] = {}
+
+
+def _indicator_state(t: Tables) -> str:
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _STATES:
+        path = sinks.scratch(t.spark, "state")
+        sinks.overwrite_partitions(incremental.indicator_state(old(t)).withColumn("part", F.pmod(F.xxhash64("ticker"), F.lit(8))), path, "part")
+        _STATES[key] = path
+    return _STATES[key]
+
+
+@query(
+    f"""select ticker, max(row_num) as rows_seen, arg_max(obv, row_num) as obv, max(trading_date) as last_day, least(max(row_num), {incremental.ROWS_BACK}) as rows_kept,
+        sum(close) filter (where back <= {incremental.ROWS_BACK}) as kept_closes
+        from (select *, row_number() over (partition by ticker order by trading_date desc) as back from indicators where trading_date <= {D}) group by ticker""",
+    **VIEWS,
+)
+def indicator_state(t: Tables) -> DataFrame:
+    """The stored state of each ticker after the cut day, which later runs start from."""
+    state = sinks.stored_table(t.spark, _indicator_state(t))
+    closes = F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["close"])
+    return state.select("ticker", "rows_seen", "obv", "last_day", F.size("kept").cast("long").alias("rows_kept"), closes.alias("kept_closes"))
+
+
 @query(f"select ticker, trading_date, close, {_COLS}, obv from indicators where trading_date > {D}", **VIEWS)
 def price_indicators_incremental(t: Tables) -> DataFrame:
-    """Indicators of new days from a slice, with the balance carried over: equal to the full refresh."""
-    p = t.price()
-    stored = gold.price_indicators(old(t)).select("ticker", "trading_date", "row_num", "obv")
-    out = incremental.indicators(p, stored)
+    """Indicators of new days from the stored state alone: equal to the full refresh."""
+    out, _ = incremental.advanced_indicators(sinks.stored_table(t.spark, _indicator_state(t)), t.price().where(f"trading_date > {D}"))
     return rounded_all(out, INDICATOR_COLUMNS).select("ticker", "trading_date", "close", *INDICATOR_COLUMNS, "obv")
 
 
-@query(f"select ticker, trading_date, {_COLS} from indicators where trading_date > {D}", **VIEWS)
+@query(f"select ticker, trading_date, row_num, obv, {_COLS} from indicators where trading_date > {D}", **VIEWS)
 def incr_lookback(t: Tables) -> DataFrame:
-    stored = gold.price_indicators(old(t)).select("ticker", "trading_date", "row_num", "obv")
-    return rounded_all(incremental.indicators(t.price(), stored), INDICATOR_COLUMNS).select("ticker", "trading_date", *INDICATOR_COLUMNS)
+    """Two runs, the second from the state that the first merged into the stored one; what comes twice is left out."""
+    new = t.price().where(f"trading_date > {D}")
+    path = sinks.scratch(t.spark, "state")
+    sinks.overwrite_partitions(sinks.stored_table(t.spark, _indicator_state(t)), path, "part")
+    first, state = incremental.advanced_indicators(sinks.stored_table(t.spark, path), new.where("trading_date <= '1997-12-10'"))
+    done = sinks.scratch(t.spark, "indicators")
+    sinks.append(first, done)
+    sinks.merge_partitions(state.withColumn("part", F.pmod(F.xxhash64("ticker"), F.lit(8))), path, ["ticker"], "part")
+    second, _ = incremental.advanced_indicators(sinks.stored_table(t.spark, path), new.where("trading_date >= '1997-12-01'"))
+    sinks.append(second, done)
+    return rounded_all(t.spark.read.parquet(done), INDICATOR_COLUMNS).select("ticker", "trading_date", "row_num", "obv", *INDICATOR_COLUMNS)
 
 
 @query(f"select p.trading_date, {_PIVOT}, b.total_volume, b.advances, b.declines from pivoted p join breadth b on p.trading_date = b.trading_date where p.trading_date > {D}", **ALL)
