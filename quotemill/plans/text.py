@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.rules import normal_url, rounded
 from quotemill.operators.keyed import ranked_dedupe, top_per_group
-from quotemill.plans.pages import best_body, with_elements
+from quotemill.plans.pages import _let, absolute_url, all_texts, best_body, one_text, select, text_of, with_elements
 
 ZONE = "Asia/Ho_Chi_Minh"
 #: Keywords of the sentiment count; nested ones count twice.
@@ -378,10 +378,6 @@ def stripped(x) -> Column:
     return F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0b]+", " "))
 
 
-def _meta(page: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(page, rf"(?is)<meta[^>]*(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1), F.lit(""))
-
-
 def page_date(x) -> Column:
     """ISO, dd/MM/yyyy[, HH:mm] or dd-MM-yyyy - HH:mm in local time, as UTC."""
     t = F.trim(_c(x))
@@ -395,24 +391,105 @@ def page_date(x) -> Column:
     return F.coalesce(iso, F.to_utc_timestamp(local, ZONE), F.to_utc_timestamp(plain_iso, ZONE))
 
 
+#: Selectors of titles, summaries and dates, and keys of meta tags, in the order in which they are tried.
+TITLE_CSS = ("h1.title-detail", "h1.title", "article h1", "main h1", "h1")
+SUMMARY_CSS = ("p.description", "h2.sapo", "h2.lead", ".sapo", ".news_sapo", "article header p")
+DATE_CSS = ("span.date", "span.pdate", "span.time", "p.time", ".date")
+TITLE_META, SUMMARY_META = ("og:title", "twitter:title"), ("og:description", "twitter:description", "description")
+DATE_META = ("article:published_time", "og:article:published_time", "pubdate", "publish-date")
+#: Types of JSON-LD objects that are articles, and their fields, the first that has a value counts.
+ARTICLE_TYPE = "newsarticle|article|blogposting|report"
+TOLD = {"title": ("headline", "name"), "summary": ("description", "abstract"), "body_text": ("articleBody", "text"), "published_at": ("datePublished", "dateCreated", "dateModified")}
+
+
+def _some(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def meta_content(elements: Column, *keys: str) -> Column:
+    """The content of the first of the meta tags, by property before name, that has one."""
+
+    def of(key: str, attr: str) -> Column:
+        hit = F.filter(elements, lambda e: (e["name"] == "meta") & (F.try_element_at(e["attrs"], F.lit(attr)) == key))
+        return F.get(F.transform(hit, lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("content")), F.lit(""))), F.lit(0))
+
+    return F.coalesce(*(_some(F.regexp_replace(F.coalesce(of(k, "property"), of(k, "name")), r"\s+", " ")) for k in keys))
+
+
+def told_article(told: Column) -> Column:
+    """title, summary, body_text and published_at of the first JSON-LD object that is an article with a title or a body: scripts hold one object, a list, or
+    a ``@graph``."""
+    whole = F.filter(F.transform(told, F.try_parse_json), lambda v: v.isNotNull())
+    listed = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))
+    value = lambda v, *names: F.coalesce(*(_some(F.try_variant_get(v, f"$['{n}']", "string")) for n in names))
+    one = lambda v: F.struct(value(v, "@type", "type").alias("type"), *(value(v, *names).alias(field) for field, names in TOLD.items()))
+    objects = F.transform(F.flatten(F.transform(whole, listed)), one)
+    return F.get(F.filter(objects, lambda o: F.lower(o["type"]).rlike(ARTICLE_TYPE) & (o["title"].isNotNull() | o["body_text"].isNotNull())), F.lit(0))
+
+
 def page_article(pages: DataFrame) -> DataFrame:
-    """page_id, title, summary, body_text, published_at: meta tags first, then headings and dates of the page.  The body is that of JSON-LD, else the paragraphs of
-    the best container, else all paragraphs, a line each."""
-    pages = with_elements(pages.select("page_id", "html"))
-    h = F.col("html")
-    paragraphs = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<p[^>]*>(.*?)(?=</p>|<p[ >]|</article>|$)"), F.lit(1)), stripped), lambda p: F.length(p) > 0)
-    title = F.coalesce(_meta(h, "og:title"), F.nullif(stripped(F.regexp_extract(h, "(?is)<h1[^>]*>(.*?)</h1>", 1)), F.lit("")), F.nullif(stripped(F.regexp_extract(h, "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")))
-    told = F.nullif(F.trim(F.get_json_object(F.concat(F.lit("{"), F.regexp_extract(h, r'(?is)("articleBody"\s*:\s*"(?:[^"\\]|\\.)*+")', 1), F.lit("}")), "$.articleBody")), F.lit(""))
-    json_ld = F.nullif(F.regexp_extract(h, r"(?is)\"datePublished\"\s*:\s*\"([^\"]+)\"", 1), F.lit(""))
-    date = F.coalesce(_meta(h, "article:published_time"), json_ld, F.nullif(F.regexp_extract(h, "(?is)<time[^>]*datetime=[\"']([^\"']+)[\"']", 1), F.lit("")))
-    return pages.select("page_id", title.alias("title"), F.coalesce(_meta(h, "og:description"), _meta(h, "description"), F.get(paragraphs, F.lit(0))).alias("summary"), F.coalesce(told, best_body(F.col("elements")), F.array_join(paragraphs, "\n")).alias("body_text"), page_date(date).alias("published_at"))
+    """page_id, title, summary, body_text, published_at: JSON-LD first, then meta tags, then the page's own elements: titles of 8 characters or more
+    by selector or from ``title`` without the site's name, summaries of 20 to 600 by selector, the first date that can be read, the paragraphs of
+    the best container, or else all paragraphs, a line each."""
+    pages = with_elements(pages.select("page_id", "html")).withColumn("article", told_article(F.col("told")))
+    e, told = F.col("elements"), F.col("article")
+    within = lambda c, least, most: F.when(F.length(c).between(least, most), c)
+    own_title = F.regexp_replace(one_text("title"), r"\s*[-|]\s*.*$", "")
+    title = F.coalesce(told["title"], meta_content(e, *TITLE_META), *(_let(one_text(css), lambda t: within(t, 8, 1 << 30)) for css in TITLE_CSS), within(F.trim(own_title), 8, 1 << 30))
+    summary = F.coalesce(told["summary"], meta_content(e, *SUMMARY_META), *(_let(one_text(css), lambda t: within(t, 20, 600)) for css in SUMMARY_CSS))
+    times = F.transform(F.filter(e, lambda x: x["name"] == "time"), lambda x: page_date(F.coalesce(_some(F.try_element_at(x["attrs"], F.lit("datetime"))), text_of(x))))
+    date = F.coalesce(
+        page_date(told["published_at"]), page_date(meta_content(e, *DATE_META)), F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0)), *(_let(one_text(css), page_date) for css in DATE_CSS)
+    )
+    paragraphs = F.filter(F.transform(F.filter(e, lambda x: x["name"] == "p"), text_of), lambda t: t != "")
+    body = F.coalesce(F.nullif(stripped(told["body_text"]), F.lit("")), best_body(e), F.array_join(paragraphs, "\n"))
+    return pages.select("page_id", title.alias("title"), summary.alias("summary"), body.alias("body_text"), date.alias("published_at"))
+
+
+def selected_fields(pages: DataFrame, title: str | None = None, summary: str | None = None, body: str | None = None, published_at: str | None = None) -> DataFrame:
+    """page_id, title, summary, body_text, published_at by the CSS selectors of a site; null where there is no selector, no element or no text."""
+    none = F.lit(None).cast("string")
+    text = lambda css, of: none if css is None else _some(of(css))
+    return with_elements(pages.select("page_id", "html")).select(
+        "page_id", text(title, one_text).alias("title"), text(summary, one_text).alias("summary"), text(body, all_texts).alias("body_text"), page_date(text(published_at, one_text)).alias("published_at"))
+
+
+def page_fields(pages: DataFrame, css: dict[str, str], mode: str = "hybrid", fallback: DataFrame | None = None) -> DataFrame:
+    """The fields of pages by a site's selectors (``css``), by the heuristics of :func:`page_article` (``heuristic``), or by selectors first (``hybrid``).
+
+    ``fallback`` (page_id, title) has the titles of links to the pages, used where nothing else gives one."""
+    fields = ["title", "summary", "body_text", "published_at"]
+    out = selected_fields(pages, **css) if mode == "css" else page_article(pages) if mode == "heuristic" else merged_fields(selected_fields(pages, **css), page_article(pages), "page_id", fields)
+    if fallback is None:
+        return out
+    named = fallback.select(F.col("page_id").alias("of"), F.col("title").alias("link_title"))
+    return out.join(named, F.col("page_id") == F.col("of"), "left").select("page_id", F.coalesce("title", "link_title").alias("title"), *fields[1:])
+
+
+def listed_articles(lists: DataFrame, pages: DataFrame, link_css: str, css: dict[str, str], n: int, mode: str = "hybrid") -> DataFrame:
+    """list_id, page_id, url, title, summary, body_text, published_at of the pages that the first ``n`` links of list pages (list_id, url, html) lead to, each
+    page at its first link; pages that have neither a date nor a body go."""
+    linked = with_elements(lists.select("list_id", "url", "html"))
+    links = F.transform(F.slice(select(F.col("elements"), link_css), 1, n), lambda e: F.struct(F.try_element_at(e["attrs"], F.lit("href")).alias("href"), text_of(e).alias("text"), e["at"].alias("at")))
+    linked = linked.select("list_id", F.col("url").alias("base"), F.explode(links).alias("x")).where("x.href <> '' and x.text <> ''")
+    linked = linked.select("list_id", "x.at", F.col("x.text").alias("link_title"), _let(absolute_url(F.col("base"), F.col("x.href")), normal_url).alias("address")).where("address rlike '^https?://'")
+    linked = ranked_dedupe(linked, ["address"], [F.asc("list_id"), F.asc("at")])
+    found = pages.select("page_id", "html", normal_url(F.col("url")).alias("own")).join(linked, F.col("own") == F.col("address"))
+    found = ranked_dedupe(found, ["address"], [F.asc("page_id")])
+    fields = page_fields(found, css, mode, found.select("page_id", F.col("link_title").alias("title"))).where("published_at is not null or coalesce(body_text, '') <> ''")
+    places = found.select(F.col("page_id").alias("of"), "list_id", F.col("address").alias("url"))
+    return fields.join(places, F.col("page_id") == F.col("of")).select("list_id", "page_id", "url", "title", "summary", "body_text", "published_at")
 
 
 def merged_fields(chosen: DataFrame, found: DataFrame, key: str, fields: list[str], mode: str = "hybrid") -> DataFrame:
-    """Per field the selector's value, else the heuristic's; or one of both alone."""
-    f = found.select(key, *(F.col(c).alias(f"__{c}") for c in fields))
-    pick = {"css": lambda c: F.nullif(F.col(c), F.lit("")), "heuristic": lambda c: F.nullif(F.col(f"__{c}"), F.lit("")), "hybrid": lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"__{c}"), F.lit("")))}[mode]
-    return chosen.join(f, key, "left").select(key, *(pick(c).alias(c) for c in fields))
+    """Per field the selector's value, else the heuristic's; or one of both alone.  Empty texts are none."""
+    f = found.select(F.col(key).alias("of"), *(F.col(c).alias(f"other_{k}") for k, c in enumerate(fields)))
+    some = lambda df, c, name: F.nullif(F.col(name), F.lit("")) if df.schema[c].dataType.typeName() == "string" else F.col(name)
+    pick = {
+        "css": lambda c, o: some(chosen, c, c), "heuristic": lambda c, o: some(found, c, o),
+        "hybrid": lambda c, o: F.coalesce(some(chosen, c, c), some(found, c, o)),
+    }[mode]
+    return chosen.join(f, F.col(key) == F.col("of"), "left").select(key, *(pick(c, f"other_{k}").alias(c) for k, c in enumerate(fields)))
 
 
 #: Names of fields of feed entries, the first that has a value counts.
@@ -444,12 +521,6 @@ def feed_entries(entries: DataFrame, feed: str, order: str, n: int, label: str |
     return d.join(said, "article_id", "left")
 
 
-def select_pages(pages: DataFrame, source: Column, n: int) -> DataFrame:
-    """Per source the first n distinct addresses that have a body or a date."""
-    p = ranked_dedupe(pages.withColumn("__source", source), ["url"], [F.asc("page_id")]).where("length(coalesce(html, '')) > 0")
-    return top_per_group(p, ["__source"], [F.asc("page_id")], n).drop("rank")
-
-
 def attachments(pages: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     """Listing rows with the distinct PDF addresses of their pages."""
     pdf = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"']+\.pdf)[\"']"), F.lit(1)))

@@ -275,11 +275,20 @@ def page_date_parse(t: Tables) -> DataFrame:
     return t.raw("orders").select("o_orderkey", text.page_date(x).alias("at"))
 
 
-@query("select page_id, case when page_id % 2 = 0 then url when page_id % 3 = 0 then 'found' end as title from pages")
+_PLAIN = "trim(regexp_replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_NAV = "regexp_extract_all(html, '<li><a href=\"/[^\"]*\">(.*?)</a>', 1)"
+
+
+@query(
+    f"""select page_id, case when page_id % 3 > 0 then nullif({_PLAIN.format("regexp_extract(html, '<article><h1>(.*?)</h1>', 1)")}, '') when length(own) >= 8 then own end as title,
+        nullif({_PLAIN.format(f"{_NAV}[1]")}, '') as summary, {_PLAIN.format(f"array_to_string({_NAV}, ' ')")} as body_text
+        from (select *, trim(regexp_replace({_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s*[-|]\\s*.*$', '')) as own from pages)"""
+)
 def page_field_merge(t: Tables) -> DataFrame:
-    p = t.raw("pages")
-    css = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").alias("title"))
-    return text.merged_fields(css, p.select("page_id", F.when(F.col("page_id") % 3 == 0, "found").alias("title")), "page_id", ["title"])
+    """Fields by selector, else by the heuristics: a third of the pages has no heading, so that the page's title without the site's name stands in."""
+    headless = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "(?s)<article><h1>.*?</h1>", "<article>")).otherwise(F.col("html"))
+    css = {"title": "article > h1", "summary": "nav li > a[href^='/']", "body": "nav ul a"}
+    return text.page_fields(t.raw("pages").withColumn("html", headless), css, "hybrid").select("page_id", "title", "summary", "body_text")
 
 
 @query()
@@ -305,9 +314,16 @@ def feed_entry_normalize(t: Tables) -> DataFrame:
     return d.select("article_id", F.lower("source").alias("source"), "title", "summary", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
-@query("select page_id from (select *, row_number() over (partition by page_id % 5 order by page_id) as k from (select *, row_number() over (partition by url order by page_id) as n from pages) where n = 1 and length(coalesce(html, '')) > 0) where k <= 15")
+@query("select page_id % 5 as list_id, page_id, url from (select *, row_number() over (partition by page_id % 5 order by page_id) as n from pages) where n <= 15 and page_id % 7 > 0")
 def page_list_select(t: Tables) -> DataFrame:
-    return text.select_pages(t.raw("pages"), F.col("page_id") % 5, 15).select("page_id")
+    """Five list pages that link to all pages: of the first 15 links of each, the pages that have a body; a seventh has neither that nor a date."""
+    p = t.raw("pages")
+    link = F.concat(F.lit("<li><h3 class='item'><a href='"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'>page "), F.col("page_id").cast("string"), F.lit("</a></h3><p><a href='/other'>more</a></p></li>"))
+    lists = p.groupBy((F.col("page_id") % 5).alias("list_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", link.alias("link")))), lambda x: x["link"]), "").alias("html"))
+    lists = lists.select("list_id", F.lit("https://lists.example.com/").alias("url"), F.concat(F.lit("<ul>"), "html", F.lit("</ul>")).alias("html"))
+    blank = p.withColumn("html", F.when(F.col("page_id") % 7 == 0, "<h1>neither a date nor a body</h1>").otherwise(F.col("html")))
+    found = text.listed_articles(lists, blank, "li > h3.item a", {"title": "h1"}, 15)
+    return found.join(p.select(F.col("page_id").alias("of"), F.col("url").alias("own")), F.col("page_id") == F.col("of")).select("list_id", "page_id", F.col("own").alias("url"))
 
 
 @query("select ticker, title, p_partkey as article_id, case when p_partkey % 3 = 0 then 1 else 0 end as file_attach, strftime(published_at, '%d/%m/%Y') as published_at from filings where p_partkey % 5 > 0 or p_partkey % 3 = 0")
