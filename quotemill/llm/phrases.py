@@ -8,8 +8,8 @@ ends of the pair follow.  Each phrase is reached once, by steps to the right and
 Counts are sums over shards, so a shard has to report what is rare in it as well; what is rare everywhere is cut first.  A phrase that is
 frequent enough has no rarer part, so for phrases of k + 1 words a shard indexes only the chains of its text in which phrases
 of k words that are frequent over all shards follow each other.  Frequent words have numbers without gaps, phrases are rows of
-these; they are summed over all shards and joined back to the shards that hold them, behind a table of at most 8 MB of hash bits
-that spares most rare ones that shuffle (a full table spares fewer, with the same result).
+these.  Up to ``KNOWN_TO_ALL`` frequent words (or phrases of a length) are sent to all tasks; where there are more they are joined to the shards
+that hold them, behind a table of at most 8 MB of hash bits that spares most rare ones that shuffle.  The result is the same.
 
 The score of a phrase is its lowest over all cuts into two parts, floor(1000 a n / (l r)) in decimals of 38 digits.
 
@@ -21,11 +21,12 @@ pieces end.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from quotemill.llm.common import LOWER, byte_table, chunks, may_be_among, stored
 
 SHARD_BYTES = 16 << 20
 LEAST, WORDS, REPORTED = 100, 5, 2000
+#: Frequent words, or phrases of a length, that are sent to all tasks (and 32 times as many bytes of words); more are joined to shards.
+KNOWN_TO_ALL = 1_000_000
 UNKNOWN_LANG = "und"
 #: Bytes that end pieces, and bytes of words.
 PIECE_END = byte_table([*b".,;:!?", *range(0x0A, 0x0E)])
@@ -114,7 +117,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[n
 
 
 def shards(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
-    """Two kinds of rows: words of a shard (shard, id, lang, phrase, count) and the shard itself (shard, ids)."""
+    """One row for each shard: shard, ids (of its texts), and its words with their counts and languages: words, counts, lang_of, langs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -123,21 +126,20 @@ def shards(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
             names = langs.dictionary.to_pylist()
             of_row = langs.indices.to_numpy(zero_copy_only=False)
             for data, offsets in _parts(whole, at, most):
-                shard = _shard(data, offsets, names, of_row)
+                shard = _shard(data, offsets, of_row)
                 if shard:
                     words, lang, count, ids = shard
-                    n = len(words)
-                    number = pa.array(np.full(n + 1, (part << 32) + done))
-                    columns = [number, pa.array([*range(1, n + 1), None], pa.int32()), pa.array([*lang, None]), pa.concat_arrays([words, pa.nulls(1, pa.string())]), pa.array([*count.tolist(), None], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + [ids.tobytes()], pa.binary())], ["shard", "id", "lang", "phrase", "count", "ids"])
+                    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    columns = [pa.array([(part << 32) + done]), pa.array([ids.tobytes()], pa.binary()), one(words), one(pa.array(count)), one(pa.array(lang, pa.int32())), pa.array([names], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "words", "counts", "lang_of", "langs"])
                     done += 1
 
     lang = F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang")
-    return docs.select(lang, "text").mapInArrow(run, "shard long, id int, lang string, phrase string, count long, ids binary")
+    return docs.select(lang, "text").mapInArrow(run, "shard long, ids binary, words array<string>, counts array<long>, lang_of array<int>, langs array<string>")
 
 
-def _shard(data: np.ndarray, offsets: np.ndarray, langs: list[str], of_row: np.ndarray) -> tuple | None:
-    """Words, their languages, their counts, and the ids (from 1) of all texts with 0 where pieces end."""
+def _shard(data: np.ndarray, offsets: np.ndarray, of_row: np.ndarray) -> tuple | None:
+    """Words, their languages (numbers of ``of_row``), their counts, and the ids (from 1) of all texts with 0 where pieces end."""
     starts, ends, of_text = word_spans(data, offsets, IN_WORD)
     if not len(starts):
         return None
@@ -152,7 +154,7 @@ def _shard(data: np.ndarray, offsets: np.ndarray, langs: list[str], of_row: np.n
     after = ended[starts[1:]] > ended[ends[:-1]]
     after[of_text[1:-1][(of_text[1:-1] > 0) & (of_text[1:-1] < len(starts))] - 1] = True
     ids = np.insert(ids.astype(np.uint32) + 1, np.flatnonzero(after) + 1, 0)
-    return words, [langs[k] for k in (key // width).tolist()], count, ids
+    return words, (key // width).astype(np.int32), count, ids
 
 
 def _chains(ids: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
@@ -207,32 +209,61 @@ def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bo
     return pa.concat_tables(out)
 
 
-def _pairs(shard: pa.Table, frequent: pa.Table, go_on: bool) -> pa.Table:
-    """All pairs of frequent words of a shard; ``frequent`` has id and number of these words."""
-    if not shard.num_rows or not frequent.num_rows:
-        return _schema(2).empty_table()
-    frequent = frequent.sort_by("word")
-    old = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32)
-    new = np.zeros(int(old.max()) + 1, dtype=np.uint32)
-    new[frequent["id"].to_numpy()] = np.arange(1, frequent.num_rows + 1)
+def _pairs(number: int, old: np.ndarray, words: np.ndarray, go_on: bool) -> pa.Table:
+    """All pairs of frequent words of a shard; ``words`` has the number of each of its own words, or -1."""
+    known = np.unique(words[words >= 0])
+    new = np.zeros(len(words) + 1, dtype=np.uint32)
+    new[1:] = np.where(words >= 0, np.searchsorted(known, words) + 1, 0)
     ids = new[old]
-    return _grown(shard["shard"][0].as_py(), _chains(ids, ids > 0, 1), frequent["word"].to_numpy(), 2, go_on)
+    return _grown(number, _chains(ids, ids > 0, 1), known, 2, go_on)
 
 
-def _longer(shard: pa.Table, frequent: pa.Table, size: int, go_on: bool) -> pa.Table:
-    """All phrases of ``size`` words both of whose parts of one word less are frequent."""
-    if not shard.num_rows or not frequent.num_rows:
-        return _schema(size).empty_table()
-    ids, words = np.frombuffer(shard["ids"][0].as_py(), dtype=np.uint32), np.frombuffer(shard["words"][0].as_py(), dtype=np.int64)
-    grams = np.column_stack([np.searchsorted(words, frequent[f"w{k}"].to_numpy()) + 1 for k in range(size - 1)])
-    return _grown(shard["shard"][0].as_py(), _chains(ids, _holds(ids, grams), size - 1), words, size, go_on)
+def _longer(number: int, ids: np.ndarray, words: np.ndarray, grams: np.ndarray, go_on: bool) -> pa.Table:
+    """All phrases of one word more than ``grams``, the frequent ones (a row each), both of whose parts are among them."""
+    at = np.minimum(np.searchsorted(words, grams), len(words) - 1)
+    grams = (at + 1)[(words[at] == grams).all(axis=1)]
+    return _grown(number, _chains(ids, _holds(ids, grams), grams.shape[1]), words, grams.shape[1] + 1, go_on)
 
 
-def _round(size: int, go_on: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _text(column: pa.Array, at: int, dtype) -> np.ndarray:
+    return np.frombuffer(column[at].as_buffer(), dtype=dtype)
+
+
+def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, kind: str) -> DataFrame:
+    """A round in which every task knows all frequent phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, ids = batch.column("shard")[i].as_py(), _text(batch.column("ids"), i, np.uint32)
+                if size == 2:
+                    names = batch.column("langs")[i].values.take(batch.column("lang_of")[i].values)
+                    own = pc.binary_join_element_wise(names, batch.column("words")[i].values, "\t")
+                    out = _pairs(number, ids, pc.index_in(own, value_set=known).fill_null(-1).to_numpy().astype(np.int64), go_on)
+                else:
+                    out = _longer(number, ids, _text(batch.column("words"), i, np.int64), known, go_on)
+                yield from out.to_batches()
+
+    return left.mapInArrow(run, kind)
+
+
+def _met(left: DataFrame, held: DataFrame, size: int, go_on: bool, kind: str, parts: int) -> DataFrame:
+    """A round in which a shard meets the frequent phrases that it holds."""
+
     def run(shard: pa.Table, frequent: pa.Table) -> pa.Table:
-        return _pairs(shard, frequent, go_on) if size == 2 else _longer(shard, frequent, size, go_on)
+        if not shard.num_rows or not frequent.num_rows:
+            return _schema(size).empty_table()
+        number, ids = shard["shard"][0].as_py(), _text(shard["ids"], 0, np.uint32)
+        if size == 2:
+            words = np.full(len(shard["words"][0].values), -1)
+            words[frequent["id"].to_numpy()] = frequent["word"].to_numpy()
+            return _pairs(number, ids, words, go_on)
+        grams = np.column_stack([frequent[f"w{k}"].to_numpy() for k in range(size - 1)])
+        return _longer(number, ids, _text(shard["words"], 0, np.int64), grams, go_on)
 
-    return run
+    of_shard = lambda df, key: df.repartition(parts, key).groupBy(key)
+    return of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(run, kind)
 
 
 def _numbered(f: DataFrame) -> DataFrame:
@@ -249,35 +280,48 @@ def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: i
     """(lang, n of all words), (word, lang, phrase) of the words with at least ``least`` occurrences, and (g, a): words and phrases
     of up to ``most`` words, as lists of word numbers, with at least as many."""
     spark = docs.sparkSession
-    made = stored(shards(docs, shard_bytes), like="shards")
-    rows, left = made.where("ids is null").drop("ids"), made.where("ids is not null").select("shard", "ids")
+    left = stored(shards(docs, shard_bytes), like="shards")
+    each = left.select("shard", "langs", F.posexplode(F.arrays_zip("words", "counts", "lang_of")).alias("id", "x"))
+    rows = each.select("shard", "id", F.get("langs", F.col("x.lang_of")).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("count"))
     totals = stored(rows.groupBy("lang").agg(F.sum("count").alias("n")), like="totals")
     words = _numbered(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).where(F.col("a") >= least))
-    names = words.select(F.col("lang").alias("w_lang"), F.col("phrase").alias("w_phrase"), "word")
-    maybe = may_be_among(words.select(F.xxhash64("lang", "phrase").alias("key")), "key")
-    held = rows.where(maybe(F.xxhash64("lang", "phrase"))).join(names, (F.col("lang") == F.col("w_lang")) & (F.col("phrase") == F.col("w_phrase"))).select(F.col("shard").alias("of"), "id", "word")
+    known = words.select(F.array("word").alias("g"), "a")
     # Python work on few bytes: as many partitions as the session shuffles into, or one for each four shards
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count() // 4)
-    of_shard = lambda df, key: df.repartition(parts, key).groupBy(key)
-    known = words.select(F.array("word").alias("g"), "a")
+    frequent = words
     for size in range(2, most + 1):
         go_on = size < most
         w = [f"w{k}" for k in range(size)]
-        kind = ", ".join(f"{c} long" for c in w)
-        grown = of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(_round(size, go_on), f"shard long, {kind}, count long, ids binary, words binary")
+        kind = f"shard long, {', '.join(f'{c} long' for c in w)}, count long, ids binary, words binary"
+        n, width = frequent.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)) if size == 2 else F.lit(0)).first()
+        if n <= KNOWN_TO_ALL and width <= 32 * KNOWN_TO_ALL:
+            grown = _mapped(left, spark.sparkContext.broadcast(_collected(frequent, size)), size, go_on, kind)
+        else:
+            grown = _met(left, _held(rows, frequent, size), size, go_on, kind, parts)
         grown = stored(grown, like=f"phrases{size}") if go_on else grown
-        grams = grown.where("ids is null").select("shard", *w, "count")
-        frequent = stored(grams.groupBy(*w).agg(F.sum("count").alias("a")).where(F.col("a") >= least), like=f"frequent{size}")
+        rows = grown.where("ids is null").select("shard", *w, "count")
+        frequent = stored(rows.groupBy(*w).agg(F.sum("count").alias("a")).where(F.col("a") >= least), like=f"frequent{size}")
         known = known.unionByName(frequent.select(F.array(*w).alias("g"), "a"))
-        if go_on:
-            left = grown.where("ids is not null").select("shard", "ids", "words")
-            maybe = may_be_among(frequent.select(F.xxhash64(*w).alias("key")), "key")
-            f = frequent.select(*(F.col(c).alias(f"f_{c}") for c in w))
-            on = [F.col(c) == F.col(f"f_{c}") for c in w]
-            held = grams.where(maybe(F.xxhash64(*w))).join(f, functools.reduce(Column.__and__, on)).select(F.col("shard").alias("of"), *w)
+        left = grown.where("ids is not null").select("shard", "ids", "words")
     return totals, words.select("word", "lang", "phrase"), known
 
 
+def _collected(frequent: DataFrame, size: int):
+    """All frequent words by number, or all frequent phrases as rows of numbers: at most ``KNOWN_TO_ALL`` of them."""
+    if size == 2:
+        return frequent.orderBy("word").select(F.concat("lang", F.lit("\t"), "phrase").alias("key")).toArrow()["key"].combine_chunks()
+    return np.column_stack([c.to_numpy() for c in frequent.select(*(f"w{k}" for k in range(size - 1))).toArrow().columns])
+
+
+def _held(rows: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
+    """of (a shard) with the frequent words (id, word) or phrases that it holds."""
+    w = ["lang", "phrase"] if size == 2 else [f"w{k}" for k in range(size - 1)]
+    maybe = may_be_among(frequent.select(F.xxhash64(*w).alias("key")), "key")
+    f = frequent.select(*(F.col(c).alias(f"f_{c}") for c in w), *(["word"] if size == 2 else []))
+    on = functools.reduce(Column.__and__, (F.col(c) == F.col(f"f_{c}") for c in w))
+    return rows.where(maybe(F.xxhash64(*w))).join(f, on).select(F.col("shard").alias("of"), *(["id", "word"] if size == 2 else w))
+
+
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     """floor(1000 a n / (l r)); a, n, l and r are under 2**57, so that both products fit 38 digits."""
     wide = lambda c: c.cast("decimal(18,0)")

@@ -41,8 +41,10 @@ def texts(seed, n):
     return [(["en", None, "und", "de"][rng.integers(4)], " ".join(rng.choice(words, rng.integers(0, 60)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed, shard", [(1, 1 << 20), (2, 300), (3, 40)])
-def test_small_tables(spark, seed, shard):
+@pytest.mark.parametrize("seed, shard, known", [(1, 1 << 20, 10**6), (2, 300, 0), (3, 40, 10**6), (4, 500, 12)])
+def test_small_tables(spark, monkeypatch, seed, shard, known):
+    """``known``: frequent words and phrases go to all tasks, are joined to shards, or both by their number."""
+    monkeypatch.setattr(phrases, "KNOWN_TO_ALL", known)
     rows = texts(seed, 120) + [("en", None), ("de", ""), (None, "only nulls")] + [("en", "very long " * 3000 + ". " + "is " * 500)] + [("fr", "same text here")] * 9
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     clash = [F.lit(1).alias(c) for c in ("shard", "id", "phrase", "count", "ids", "a", "n", "words", "of", "rank", "doc_id")]
