@@ -275,14 +275,14 @@ def page_date_parse(t: Tables) -> DataFrame:
     return t.raw("orders").select("o_orderkey", text.page_date(x).alias("at"))
 
 
-_PLAIN = "trim(regexp_replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_SHOWN = "trim(regexp_replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _NAV = "regexp_extract_all(html, '<li><a href=\"/[^\"]*\">(.*?)</a>', 1)"
 
 
 @query(
-    f"""select page_id, case when page_id % 3 > 0 then nullif({_PLAIN.format("regexp_extract(html, '<article><h1>(.*?)</h1>', 1)")}, '') when length(own) >= 8 then own end as title,
-        nullif({_PLAIN.format(f"{_NAV}[1]")}, '') as summary, {_PLAIN.format(f"array_to_string({_NAV}, ' ')")} as body_text
-        from (select *, trim(regexp_replace({_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s*[-|]\\s*.*$', '')) as own from pages)"""
+    f"""select page_id, case when page_id % 3 > 0 then nullif({_SHOWN.format("regexp_extract(html, '<article><h1>(.*?)</h1>', 1)")}, '') when length(own) >= 8 then own end as title,
+        nullif({_SHOWN.format(f"{_NAV}[1]")}, '') as summary, {_SHOWN.format(f"array_to_string({_NAV}, ' ')")} as body_text
+        from (select *, trim(regexp_replace({_SHOWN.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s*[-|]\\s*.*$', '')) as own from pages)"""
 )
 def page_field_merge(t: Tables) -> DataFrame:
     """Fields by selector, else by the heuristics: a third of the pages has no heading, so that the page's title without the site's name stands in."""
