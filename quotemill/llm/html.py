@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with its tag path from the root (inline elements left out; a block that is all link ends in ``a``).
-For every path the operator sums text length, punctuation and number of blocks; the path's fused value is the text per block, weighed with
-the punctuation per block.  Values are smoothed along the page, near paths more than far ones, and a path's ratio is the mean of its
-blocks' smoothed values.  Paths whose ratio, weighed with what marks say, reaches ``LIMIT`` of the greatest ratio are content, and their blocks
-are the text, wherever on the page they stand.  Marks are evidence beside the ratios: within ``article`` or ``main`` a tenth of the
-limit is enough for text that is no link; on pages with such marks, paths outside need the greatest ratio of all.
-Menus, headers, footers, sidebars, notices, adverts, forms, comments and invisible elements, told by element, role or class, take no part.
+Items and cells count with the list or table that holds them: its path is theirs, it counts once, and it is a list of links if most of its text is.
+For every path the operator sums text length, punctuation and number of blocks (lists, tables); the path's fused value is the text for each of
+these, weighed with the punctuation per block.  Values are smoothed along the page, near paths more than far ones, and a path's ratio is the mean
+of its blocks' smoothed values.  Paths whose ratio, weighed with what marks and links say, reaches ``LIMIT`` of the greatest ratio (of a path that is
+no list or table, if there is one) are content, and their blocks are the text, wherever on the page they stand.  Marks are evidence beside the
+ratios: within ``article`` or ``main`` all that is not mostly link is content; on pages with such marks, paths outside need the greatest ratio of all.
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and invisible elements, told by element, role or class, take no part; of a
+class or id of several words all must be boilerplate's or say nothing (``site-footer``, but not ``related-work``).
 
 Pages are independent: one pass, no shuffle.  Work and memory grow with the page's length alone: elements know their parent, and no path is
 ever spelt out.
@@ -31,8 +33,15 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select canvas noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object select canvas noembed noframes xmp".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mtable mtr mtd mspace semantics".split()
+)
+#: Lists and tables, their parts, and what may stand in an item.
+HOLDERS = frozenset("ul ol dl table".split())
+HOLDER_PARTS = frozenset("li dt dd thead tbody tfoot tr td th caption".split())
+ITEMS = frozenset("li dt dd".split())
 BOILER_TAGS = frozenset("nav header footer aside form button dialog menu input select fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSED_BY = {
@@ -46,13 +55,21 @@ BOILER_WORDS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related recommended "
     "rss share sharing shoutbox sidebar social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Words that say nothing of their own beside these.
+NEUTRAL_WORDS = frozenset(
+    "a the and all area article articles aside bar block body bottom box btn button buttons col column container content count desktop fixed float floating form global group "
+    "home icon icons inner item items js left line link links list main media mobile more notification outer page panel policy post posts primary reader right row section "
+    "secondary signup site slot sticky stories story text title tools top unit user view wrap wrapper".split()
+)
 #: Beside these a word says how a page is laid out, not what an element is: ``layout-with-sidebar``.
 MODIFIERS = frozenset("with without has have no non not layout".split())
 #: Of these an article's own header is no boilerplate.
 OWN_HEADER = frozenset(["header"])
 MARKS = frozenset(["article", "main"])
-#: Share of the greatest ratio from which a path is content; what marks make of a ratio: inside, inside but link, outside.
-LIMIT, MARKED, MARKED_LINK, UNMARKED = 0.03, 10.0, 1.0, 0.03
+#: Share of the greatest ratio from which a path is content; what marks make of a ratio: inside, inside but link, outside; and a link on other pages.
+LIMIT, MARKED, MARKED_LINK, UNMARKED, LINK = 0.03, float("inf"), 0.1, 0.03, 0.03
+#: Share of link text from which a list or table is one of links.
+MOSTLY = 0.5
 
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 STOP = re.compile(r"[\"'>]")
@@ -70,8 +87,9 @@ def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]
         if name in ("class", "id"):
             if tag not in ("html", "body", "article", "main"):
                 for word in value.split():
-                    parts = re.split(r"[^a-z]+", word)
-                    by_class |= not BOILER_WORDS.isdisjoint([*parts, word]) and MODIFIERS.isdisjoint(parts)
+                    parts = [w for w in re.split(r"[^a-z]+", word) if w]
+                    told = not BOILER_WORDS.isdisjoint(parts) and BOILER_WORDS.union(NEUTRAL_WORDS).issuperset(parts)
+                    by_class |= (told or word in BOILER_WORDS) and MODIFIERS.isdisjoint(parts)
         elif name == "role":
             if value.strip() in BOILER_ROLES:
                 return True, by_class
@@ -134,7 +152,7 @@ class Blocks:
     that of the block before.  Elements are rows of columns with their parent's number."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.hard, self.soft, self.path, self.depth, self.marked = [0], [""], [False], [False], [0], [0], [False]
+        self.parent, self.tag, self.hard, self.soft, self.path, self.depth, self.marked, self.holder = [0], [""], [False], [False], [0], [0], [False], [0]
         self.paths: dict[tuple[int, str], int] = {}
         pieces: list[tuple[int, int, bool, str]] = []  # block, block element, in a link, text
         stack: list[tuple[int, str, bool]] = [(0, "", False)]  # element, tag, inline
@@ -176,8 +194,19 @@ class Blocks:
             self.path.append(self.path[above] if inline else self._path(self.path[above], tag))
             self.depth.append(self.depth[above] + (not inline))
             self.marked.append(self.marked[above] or tag in MARKS)
+            self.holder.append(self._holder(len(self.parent) - 1, tag, inline))
         self._collect(pieces)
 
+    def _holder(self, element: int, tag: str, inline: bool) -> int:
+        """The list or table that an element belongs to: the outermost of lists in lists, the innermost table; 0 for none."""
+        above = self.parent[element]
+        held = self.holder[above]
+        if tag in HOLDERS:
+            return held if held and tag != "table" and self.tag[above] in ITEMS else element
+        if inline or tag in HOLDER_PARTS or (tag == "p" and self.tag[above] in ITEMS):
+            return held
+        return 0
+
     def _path(self, above: int, tag: str) -> int:
         return self.paths.setdefault((above, tag), len(self.paths) + 1)
 
@@ -210,22 +239,30 @@ class Blocks:
                 rows[-1][3].append(text)
             else:
                 rows.append([block, element, link or not text.strip(), [text]])
-        kinds, own, above, apart = [], [], [], []
-        depth, marked, last = self.depth, self.marked, None
+        kept, size, linked = [], Counter(), Counter()
         for _, element, link, parts in rows:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if not text:
-                continue
+            if text:
+                kept.append((element, link, text))
+                size[self.holder[element]] += len(text)
+                linked[self.holder[element]] += len(text) * link
+        kinds, units, own, apart, last = [], [], [], [], None
+        for at, (element, link, text) in enumerate(kept):
+            holder = self.holder[element]
+            if holder:
+                link = linked[holder] >= MOSTLY * size[holder]
             self.text.append(text)
-            kinds.append((self.path[element], link))
-            own.append((marked[element], link))
+            kinds.append((self.path[holder or element], bool(holder), link))
+            units.append(-holder if holder else at)
+            own.append((self.marked[element], link, bool(holder)))
             apart.append(0 if last is None or self.path[last] == self.path[element] else self._apart(last, element))
             last = element
         names = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
         self.which = np.array([names[k] for k in kinds], dtype=np.int64)
+        #: How many blocks, or lists and tables, each path has.
+        self.number = np.bincount([k for k, _ in dict.fromkeys(zip(self.which.tolist(), units, strict=True))], minlength=len(names))
         self.apart = np.array(apart, dtype=float)
-        self.is_marked = np.array([m for m, _ in own], dtype=bool)
-        self.is_link = np.array([x for _, x in own], dtype=bool)
+        self.is_marked, self.is_link, self.is_held = (np.array([x[k] for x in own], dtype=bool) for k in range(3))
 
     def _apart(self, a: int, b: int) -> int:
         """Steps between two elements of the tree, inline ones not counted.  Blocks that follow each other are a walk through the tree, so
@@ -240,12 +277,12 @@ class Blocks:
         return steps
 
 
-def path_ratios(which: np.ndarray, lengths: np.ndarray, points: np.ndarray, apart: np.ndarray, spread: float = 1.5, reach: int = 3) -> np.ndarray:
-    """The ratio of each path: text length per block times one plus the punctuation per block, averaged over neighbouring blocks with
-    weights that fall with their distance on the page and between paths (``apart``: from the block before), and over the path's blocks."""
+def path_ratios(which: np.ndarray, lengths: np.ndarray, points: np.ndarray, apart: np.ndarray, units: np.ndarray | None = None, spread: float = 1.5, reach: int = 3) -> np.ndarray:
+    """The ratio of each path: text length per unit (block, list or table) times one plus the punctuation per block, averaged over neighbouring
+    blocks with weights that fall with their distance on the page and between paths (``apart``: from the block before), and over the path's blocks."""
     n = int(which.max()) + 1
     number = np.bincount(which, minlength=n)
-    fused = (np.bincount(which, lengths, n) / number) * (1 + np.bincount(which, points, n) / number)
+    fused = (np.bincount(which, lengths, n) / (number if units is None else units)) * (1 + np.bincount(which, points, n) / number)
     own = fused[which]
     total, weight = own.copy(), np.ones(len(own))
     steps = np.cumsum(apart)
@@ -266,11 +303,13 @@ def main_text(page: str | None) -> str:
         return ""
     lengths = np.array([len(t) - t.count(" ") for t in blocks.text], dtype=float)
     points = np.array([len(PUNCTUATION.findall(t)) for t in blocks.text], dtype=float)
-    ratios = path_ratios(blocks.which, lengths, points, blocks.apart)[blocks.which]
-    evidence = np.ones(len(ratios))
+    ratios = path_ratios(blocks.which, lengths, points, blocks.apart, blocks.number)[blocks.which]
+    evidence = np.where(blocks.is_link, LINK, 1.0)
     if blocks.is_marked.any():
         evidence = np.where(~blocks.is_marked, UNMARKED, np.where(blocks.is_link, MARKED_LINK, MARKED))
-    chosen = ratios * evidence >= LIMIT * ratios.max() * (1 - 1e-9)
+    plain = ratios[~blocks.is_held & ~blocks.is_link]
+    greatest = plain.max() if len(plain) else ratios.max()
+    chosen = ratios * evidence >= LIMIT * greatest * (1 - 1e-9)
     return " ".join(t for t, x in zip(blocks.text, chosen.tolist(), strict=True) if x)
 
 

@@ -297,6 +297,33 @@ def test_path_ratios_select_nodes(page, wanted):
     assert html.main_text(page) == wanted
 
 
+ITEMS_ = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul>"
+ITEMS_TEXT = " ".join(f"item {i}" for i in range(20))
+ROWS_ = "<table><caption>Prices</caption><thead><tr><th>k<th>v</thead>" + "".join(f"<tr><td>{i}<td>{i * 7}.5" for i in range(30)) + "</table>"
+ROWS_TEXT = "Prices k v " + " ".join(f"{i} {i * 7}.5" for i in range(30))
+NESTED = "<ol><li><p>first thing</p><ul><li>a</li><li><a href=/b>b</a></li></ul></li><li>last</li></ol>"
+FORMULA = "<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation encoding='application/x-tex'>x=\\frac12</annotation></math> holds.</p>"
+
+
+@pytest.mark.parametrize("before, after", [("<article>", "</article>"), ("<main>", "</main>"), (f"{LINKS}<div>", f"</div>{LINKS}<div class='site-footer'>x y</div>"), ("", "")])
+@pytest.mark.parametrize("part, wanted", [
+    (ITEMS_, ITEMS_TEXT), (ROWS_, ROWS_TEXT), (NESTED, "first thing a b last"), (FORMULA, "so x=12 holds."), ("<h2>On</h2><dl><dt>k</dt><dd>v</dd></dl>", "On k v"),
+    ("<section class='related-work'><h2>Related work</h2><p>Others did this, too.</p></section>", "Related work Others did this, too."), ('<div class="author-share-price"><p>It fell, by a little.</p></div>', "It fell, by a little."),
+    ("<div class='related-posts'><p>Read this, too.</p></div><div id='comment-list-2'><p>Nice, thanks.</p></div><div class='ad'>Buy.</div>", ""),
+    ("<ul>" + "".join(f"<li>item {i}: told with <a href=/{i}>a link</a> and more text</li>" for i in range(9)) + "</ul>", " ".join(f"item {i}: told with a link and more text" for i in range(9))),
+])
+def test_lists_tables_and_formulas_stay(before, after, part, wanted):
+    page = f"<body>{before}<h1>A heading</h1>{BODY}{part}{BODY}{after}</body>"
+    assert html.main_text(page) == " ".join(x for x in ("A heading", PLAIN, wanted, PLAIN) if x)
+
+
+def test_long_lists_do_not_drive_out_paragraphs():
+    rows = "<table>" + "".join(f"<tr><td>name {i}<td>{i}.{i}" for i in range(4000)) + "</table>"
+    got = html.main_text(f"<body>{LINKS}<div>{BODY}{rows}</div></body>")
+    assert got.startswith(PLAIN) and got.endswith("name 3999 3999.3999") and "Item" not in got
+    assert html.main_text(f"<body><table><tr><td>{LINKS}<td>{BODY}</table></body>") == PLAIN  # a table that lays a page out
+
+
 def test_ratios_decide(monkeypatch):
     page = f"<body>{LINKS}<div><h1>A heading</h1>{BODY}</div>{LINKS}</body>"
     monkeypatch.setattr(html, "path_ratios", lambda which, *_, **__: np.ones(int(which.max()) + 1))
