@@ -12,7 +12,9 @@ once; rules that a more special one contains (``supersedes``) are dropped where
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised sentences of well-known public licences and notices, by identifier.
@@ -46,6 +48,7 @@ SENTENCES = {
     "unlicense-public": ["this is free and unencumbered software released into the public domain"],
     "all-rights": ["all rights reserved"],
     "apache2-whole": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses", "spdx license identifier apache 2 0"],
+    "epl2-id": ["spdx license identifier epl 2 0"], "epl1-id": ["spdx license identifier epl 1 0"], "cc0-id": ["spdx license identifier cc0 1 0"], "unlicense-id": ["spdx license identifier unlicense"], "zlib-id": ["spdx license identifier zlib"],
     "mit-id": ["spdx license identifier mit"], "gpl3-id": ["spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later", "gnu general public license version 3 29 june 2007"],
     "gpl2-id": ["spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later", "gnu general public license version 2 june 1991"],
     "gpl2-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"],
@@ -68,17 +71,30 @@ RULES = [
     ("Apache-2.0", ["apache2-whole"]), ("MIT", ["mit-id"]), ("GPL-3.0", ["gpl3-id"]), ("GPL-2.0", ["gpl2-id"]), ("GPL-2.0", ["gpl2-free", "gpl-hope"]), ("LGPL", ["lgpl-free"]), ("LGPL", ["lgpl-id"]), ("AGPL-3.0", ["agpl-free"]), ("AGPL-3.0", ["agpl-id"]),
     ("BSD-2-Clause", ["bsd2-id"]), ("BSD-3-Clause", ["bsd3-id"]), ("MPL-2.0", ["mpl2-id"]), ("ISC", ["isc-id"]), ("Zlib", ["zlib-grant"]), ("BSL-1.0", ["boost-short"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]), ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names"]),
-    ("BSD", ["bsd-short"]), ("MPL-2.0", ["mpl2-terms"]), ("ISC", ["isc-grant"]), ("Unlicense", ["unlicense-public"]), ("Proprietary", ["all-rights"]),
+    ("EPL-2.0", ["epl2-id"]), ("EPL-1.0", ["epl1-id"]), ("EUPL", ["eupl-id"]), ("CC0-1.0", ["cc0-id"]), ("Unlicense", ["unlicense-id"]), ("Zlib", ["zlib-id"]), ("BSD", ["bsd-short"]), ("MPL-2.0", ["mpl2-terms"]), ("ISC", ["isc-grant"]), ("Unlicense", ["unlicense-public"]), ("Proprietary", ["all-rights"]),
 ]
 #: Licence -> licences that it contains.
-SUPERSEDES = {"BSD-3-Clause": ["BSD-2-Clause"]}
+SUPERSEDES = {"BSD-3-Clause": ["BSD-2-Clause", "BSD"], "BSD-2-Clause": ["BSD"]}
+#: Fixed value: what a text without any other licence is under; ``All rights reserved.`` stands in permissive ones too.
+LAST = "Proprietary"
 #: Fixed values: (pattern of a normalised sentence, identifier), for sentences that hold names.
-PATTERNS = [("^neither the name of .+ nor the names? of .+ may be used to endorse or promote products derived from this software without specific prior written permission$", "bsd-names")]
+_UNDER = r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?"
+PATTERNS = [
+    ("^neither the name of .+ nor the names? of .+ may be used to endorse or promote products derived from this software without specific prior written permission$", "bsd-names"),
+    (rf"\b{_UNDER}mit licen[cs]e\b|^(?:the )?mit licen[cs]e(?: mit)?$", "mit-short"),
+    (rf"\b{_UNDER}apache (?:software )?(?:licen[cs]e )?(?:version |v )?2(?: 0)?\b", "apache2-short"),
+    (rf"\b{_UNDER}(?:simplified |new |modified )?bsd (?:[23] clause )?licen[cs]e\b", "bsd-short"),
+    (r"\beclipse public licen[cs]e (?:version |v )?2 0\b", "epl2-id"), (r"\beclipse public licen[cs]e (?:version |v )?1 0\b", "epl1-id"),
+    (r"\beuropean union public licen[cs]e (?:version |v )?1 [0-2]\b|\beupl (?:version |v )?1 [0-2]\b", "eupl-id"),
+]
 #: Every known sentence holds one of these words; other sentences are not looked up.
 CUES = "licen|permission|software|warrant|redistribut|copyright|gpl|mpl|rights|law|copies|copy"
 #: What ends sentences, as (pattern, replacement) in turn; \x02 is the end.  Classes are spelt out: engines differ in theirs.
 _MARK = r"(?:[0-9]{1,2}[.)]|\([0-9a-z]\)|[-*•])"
+_SPDX = r"(?:Apache-|A?GPL-|LGPL-|BSD-|MPL-|BSL-|CC0-|EPL-|EUPL-)"
 _CUTS = [
+    # each part of a choice of SPDX identifiers is one of its own
+    (rf"[ \t]+(?:OR|AND)[ \t]+\(*({_SPDX}[A-Za-z0-9.+-]*|MIT|ISC|Zlib|Unlicense)", "\x02SPDX-License-Identifier: <1>"),
     (r"\r\n?", r"\n"), (r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|>+)?[ \t]*", r"\n"), (r"\n\n+", "\x02"), (r":[ \t]*\n", ":\x02"), (rf"\n({_MARK}[ \t])", "\x02<1>"),
     (r"([.!?][\"')\]]*)[ \t\n]+([\"'(\[]?[A-Z]|[0-9]{1,2}\.[ \t])", "<1>\x02<2>"),
 ]
@@ -138,13 +154,14 @@ def _like(ids: list[str]) -> str:
 def _licenses(joined):
     """Licences whose rules match the comma-joined identifiers as an ordered subsequence."""
     doubled = F.concat(F.lit(","), F.replace(joined, F.lit(","), F.lit(",,")), F.lit(","))
-    holds: dict[str, object] = {}
+    holds: dict[str, Column] = {}
     for name, ids in RULES:
         hit = doubled.like(_like(ids))
         holds[name] = holds[name] | hit if name in holds else hit
     for special, general in SUPERSEDES.items():
         for name in general:
             holds[name] = holds[name] & ~holds[special]
+    holds[LAST] = holds[LAST] & ~functools.reduce(Column.__or__, (hit for name, hit in holds.items() if name != LAST))
     return F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit in holds.items())), lambda x: x.isNotNull())
 
 
@@ -158,6 +175,7 @@ def oracle() -> str:
     for special, general in SUPERSEDES.items():
         for name in general:
             cases[name] = f"({cases[name]}) and not ({cases[special]})"
+    cases[LAST] = f"({cases[LAST]}) and not ({' or '.join(f'({hit})' for name, hit in cases.items() if name != LAST)})"
     names = ", ".join(f"case when {hit} then '{name}' end" for name, hit in cases.items())
     cut = "chr(10) || coalesce(text, '')"
     for pattern, new in _CUTS:

@@ -58,9 +58,25 @@ def test_licences_as_they_are_set(table):
     assert got[-8:] == ["MIT", "BSD-3-Clause", "GPL-2.0", "MIT", "MIT", "", "", ""]
 
 
-def test_licences_equal_sql(table):
+NOTICES = [
+    ("Copyright (c) 2020 Foo.\nAll rights reserved.\n\n" + BSD, "BSD-3-Clause"), ("All rights reserved.", "Proprietary"), ("Licensed under the MIT License, see the LICENSE file for details.", "MIT"), ("The MIT License (MIT)", "MIT"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("// SPDX-License-Identifier: (GPL-2.0-or-later OR (BSD-3-Clause AND ISC))", "BSD-3-Clause,GPL-2.0,ISC"), ("This library is licensed under the Apache 2.0 license.", "Apache-2.0"),
+    ("This code is distributed under the terms of the MIT license.", "MIT"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0"), ("Licensed under the EUPL, Version 1.2", "EUPL"), ("European Union Public Licence v. 1.2", "EUPL"), ("Released under the 3-clause BSD License.", ""), ("distributed under the BSD 3-Clause License", "BSD"),
+    ("the MIT licensed part of a sentence", ""), ("either this OR that AND more", ""), ("SPDX-License-Identifier: CC0-1.0 OR Unlicense OR Zlib", "CC0-1.0,Unlicense,Zlib"),
+]
+
+
+def test_notices_and_identifiers(spark):
+    d = docs(spark, *(t for t, _ in NOTICES))
+    assert [r["licenses"] for r in licenses.scan_licenses(d).orderBy("doc_id").collect()] == [w for _, w in NOTICES]
+
+
+def test_licences_equal_sql(spark, table):
     import tests.conftest
 
+    table = table.unionByName(docs(spark, *(t for t, _ in NOTICES)), allowMissingColumns=True)
+
     con = connection(tests.conftest.SF)
     rows = table.select("doc_id", "text").toPandas()
     con.execute("drop view if exists documents")
