@@ -28,6 +28,60 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) ->
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def after(values: list, order: list[tuple[str, bool]]) -> Column:
+    """Rows behind the one with these values in the order of (column, descending) pairs; nulls come last either way."""
+    out, same = F.lit(False), F.lit(True)
+    for value, (name, down) in zip(values, order, strict=True):
+        c = F.col(name)
+        if value is None:
+            behind, equal = F.lit(False), c.isNull()
+        else:
+            behind, equal = ((c < F.lit(value)) if down else (c > F.lit(value))) | c.isNull(), c == F.lit(value)
+        out = out | (same & F.coalesce(behind, F.lit(False)))
+        same = same & F.coalesce(equal, F.lit(False))
+    return out
+
+
+def _sorted(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], last: list | None = None, size: int = 20) -> DataFrame:
+    """The page behind the last row of the page before (its values in the order's columns; None: the first page).
+
+    ``order`` must be total.  The filter reaches the scan, and each task keeps ``size`` rows."""
+    return (df if last is None else df.where(after(last, order))).orderBy(*_sorted(order)).limit(size)
+
+
+def numbered_page(df: DataFrame, order: list[tuple[str, bool]], number: int, size: int = 20, ranges: int = 1000) -> DataFrame:
+    """Page ``number`` (from 1) without a sort of the pages before it.
+
+    The first column's values are cut into ranges of about equal rows, one aggregation counts them, and only the ranges that the page lies in are
+    sorted.  A value that fills ranges alone is one range."""
+    name, down = order[0]
+    cuts = df.agg(F.percentile_approx(name, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    bounds = sorted({x for x in cuts if x is not None})
+    c = F.col(name)
+    # the number of bounds below a value; nulls behind all
+    at = F.when(c.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < c)) if bounds else F.lit(0))
+    place = F.when(c.isNull() | F.lit(not down), at).otherwise(F.lit(len(bounds)) - at)
+    counts = sorted((r["place"], r["n"]) for r in df.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())  # ``ranges`` + 1 rows at most
+    first, skip, left, wanted = (number - 1) * size, 0, size, []
+    for k, n in counts:
+        if first >= n and not wanted:
+            first -= n
+            continue
+        if not wanted:
+            skip, left = first, size + first
+        wanted.append(k)
+        left -= n
+        if left <= 0:
+            break
+    if not wanted:
+        return df.limit(0)
+    return df.where(place.isin(*wanted)).orderBy(*_sorted(order)).offset(skip).limit(size)
+
+
 def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
     """total, page, page_size, has_more."""
     return df.agg(F.count("*").alias("total")).select("total", F.lit(number).alias("page"), F.lit(size).alias("page_size"), (F.col("total") > number * size).alias("has_more"))

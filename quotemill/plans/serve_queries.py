@@ -119,6 +119,27 @@ def sort_multi_nulls(t: Tables) -> DataFrame:
     return serve.articles(facts(t), size=5).select("article_id", "ticker", "published_at")
 
 
+_PRICE_ORDER = [("trading_date", True), ("volume", True), ("ticker", False)]
+_BY_PRICE = "order by trading_date desc, volume desc, ticker"
+
+
+@query(f"select ticker, trading_date, close from price {_BY_PRICE} limit 50 offset (select (count(*) // 100) * 50 from price)")
+def page_by_number(t: Tables) -> DataFrame:
+    """A page in the middle of all prices, found by counts of ranges."""
+    price = t.price()
+    return serve.numbered_page(price, _PRICE_ORDER, price.count() // 100 + 1, 50, 64).select("ticker", "trading_date", "close")
+
+
+@query(f"select article_id, source from (select *, row_number() over (order by published_at desc nulls last, article_id desc) as k from (select distinct article_id, source, published_at from news)) where k between 41 and 60")
+def page_by_key(t: Tables) -> DataFrame:
+    """The third page of articles, each behind the last key of the one before; articles without a time come last."""
+    news, order, last = t.news().select("article_id", "source", "published_at"), [("published_at", True), ("article_id", True)], None
+    for _ in range(2):
+        row = serve.page_after(news, order, last, 20).collect()[-1]
+        last = [row["published_at"], row["article_id"]]
+    return serve.page_after(news, order, last, 20).select("article_id", "source")
+
+
 @query("select count(*) as total, 3 as page, 20 as page_size, count(*) > 60 as has_more from facts", **NEWS)
 def limit_offset_page(t: Tables) -> DataFrame:
     return serve.page_info(facts(t), 3, 20)

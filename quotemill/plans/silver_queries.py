@@ -394,3 +394,27 @@ def check_key_quality(t: Tables) -> DataFrame:
 @query("select status, count(*) as n from filings where status is not null group by 1 having count(*) > 1")
 def check_unique_non_null(t: Tables) -> DataFrame:
     return quality.duplicates_of_known(t.filings(), "status")
+
+
+_RULES = [
+    ("not_null: title", "count(*)", "count(*) filter (where title is null)", "null"), ("not_null: status", "count(*)", "count(*) filter (where status is null)", "null"),
+    ("not_null: ticker, source", "count(*)", "count(*) filter (where ticker is null or source is null)", "null"), ("size", "count(*)", "count(*) filter (where not file_size > 20000)", "null"), ("address", "count(*)", "count(*) filter (where not url_pdf like '%.pdf')", "null"),
+    ("downloads pass", "count(*)", "count(*) filter (where not (status <> 'downloaded' or qc_pass))", "null"),
+]
+_KEYED = [("unique: doc_id", "doc_id"), ("unique: ticker, source", "ticker || source"), ("unique: status", "status")]
+_CHECKS = " union all ".join(
+    [f"select '{n}' as rule, {a} as rows, {b} as failures, {c}::bigint as keys from filings" for n, a, b, c in _RULES]
+    + [f"select '{n}', coalesce(sum(n), 0)::bigint, coalesce(sum(n) filter (where n > 1), 0)::bigint, count(*) filter (where n > 1) from (select {k} as k, count(*) as n from filings where {k} is not null group by 1)" for n, k in _KEYED]
+    + ["select 'refers: ticker to listing', count(*), count(*) filter (where ticker not in (select symbol from listing)), count(distinct ticker) filter (where ticker not in (select symbol from listing)) from filings"]
+)
+
+
+@query(_CHECKS)
+def check_table(t: Tables) -> DataFrame:
+    """Ten rules of one table in one scan."""
+    rules = [
+        quality.not_null("title"), quality.not_null("status"), quality.not_null("ticker", "source"), quality.holds("size", F.col("file_size") > 20000), quality.holds("address", F.col("url_pdf").endswith(".pdf")),
+        quality.holds("downloads pass", (F.col("status") != "downloaded") | F.col("qc_pass")), quality.unique("doc_id"), quality.unique("ticker", "source"), quality.unique("status"),
+        quality.refers(("ticker",), t.listing(), ("symbol",), "listing"),
+    ]
+    return quality.checked(t.filings(), rules)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.rules import rounded
 from quotemill.plans import pages, text
 from quotemill.plans.registry import query
+from quotemill.sources import datasets, sinks
 from quotemill.sources.proxy import Tables
 
 AS_OF = "1995-03-01 00:00:00"
@@ -394,6 +395,18 @@ def agg_doc_status(t: Tables) -> DataFrame:
     return t.filings().groupBy("status").agg(F.count("*").alias("n"), F.count_if("qc_pass").alias("passed"))
 
 
+@query("""select s_suppkey, strlen(content) as length, s_suppkey % 4 <> 1 as valid_header, s_suppkey % 4 <> 2 as has_trailer, s_suppkey % 4 in (0, 3) and strlen(content) >= 100 as ok, sha256(content) as sha256
+    from (select s_suppkey, case when s_suppkey % 4 = 1 then '' else '%PDF-1.7' || chr(10) end || repeat(s_name || ' ' || s_nationkey, 1 + (s_suppkey % 3)::int) || chr(10) || case when s_suppkey % 4 = 2 then '' else '%%EOF' || chr(10) end as content from supplier) where strlen(content) >= 60""")
+def pdf_file_scan(t: Tables) -> DataFrame:
+    """Files written for each supplier, some without a header or an end, and read as files; those under 60 bytes are left unread."""
+    path, k = sinks.scratch(t.spark, "files"), F.col("s_suppkey") % 4
+    body = F.repeat(F.concat_ws(" ", "s_name", F.col("s_nationkey").cast("string")), (1 + F.col("s_suppkey") % 3).cast("int"))
+    content = F.concat(F.when(k == 1, "").otherwise("%PDF-1.7\n"), body, F.when(k == 2, "").otherwise("\n%%EOF"))
+    t.raw("supplier").select("s_suppkey", content.alias("value")).write.partitionBy("s_suppkey").option("compression", "none").text(path)
+    judged = text.checked_files(datasets.files(t.spark, path, "*.txt", least=60))
+    return judged.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "length", "valid_header", "has_trailer", "ok", "sha256")
+
+
 @query("""select doc_id, strlen(content) + (k = 3)::int as length, k <> 1 as valid_header, k <> 2 as has_trailer, k = 0 and strlen(content) >= 100 as ok, sha256(content) as sha256
     from (select doc_id, doc_id % 4 as k, case when doc_id % 4 = 1 then '' else '%PDF-1.7 ' end || coalesce(text, '') || case when doc_id % 4 = 2 then '' else ' %%EOF' end as content from documents)""")
 def pdf_file_check(t: Tables) -> DataFrame:

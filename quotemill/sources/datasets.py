@@ -80,3 +80,15 @@ def latest_n(df: DataFrame, column: str, n: int) -> DataFrame:
     """Rows of the n newest values of a partition column; the values are few and bounded by n."""
     tops = [r[0] for r in df.select(column).distinct().orderBy(F.desc(column)).limit(n).collect()]
     return df.where(F.col(column).isin(tops) if tops else F.lit(False))
+
+
+def files(spark: SparkSession, path: str, glob: str = "*", least: int | None = None, since=None, until=None) -> DataFrame:
+    """path, modificationTime, length and content of the files below a folder whose names fit ``glob``; the source passes over empty files.
+
+    The least length is a filter that the source applies before it reads a file's content; ``since`` and ``until`` (text, in the session's time
+    zone) are bounds of the listing itself."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    for name, value in (("modifiedAfter", since), ("modifiedBefore", until)):
+        reader = reader if value is None else reader.option(name, value)
+    found = reader.load(path)
+    return found if least is None else found.where(F.col("length") >= least)
