@@ -340,3 +340,9 @@ def audit_run_partition(t: Tables) -> DataFrame:
 @query("select count(*) as rows from orders")
 def sink_row_count(t: Tables) -> DataFrame:
     return t.raw("orders").agg(F.count("*").alias("rows"))
+
+
+@query("select count(*) as rows, min(o_orderkey) as o_orderkey_min, max(o_orderkey) as o_orderkey_max, count(o_orderkey) as o_orderkey_values, min(o_totalprice) as o_totalprice_min, max(o_totalprice) as o_totalprice_max, count(o_totalprice) as o_totalprice_values from orders")
+def sink_file_stats(t: Tables) -> DataFrame:
+    """Counts and extremes of a stored table from the footers of its files."""
+    return datasets.file_stats(t.spark, f"{t.dir}/orders.parquet", "o_orderkey", "o_totalprice")

@@ -46,18 +46,42 @@ def normal_title(x) -> Column:
     return F.trim(F.regexp_replace(plain(x), "[^a-z0-9]+", " "))
 
 
-def occurrences(text: Column, word: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)
+def keyword_pattern(words) -> str:
+    """A pattern that captures, at every place of a text, the longest of the words that begins there: a tree of their letters, so that all words are
+    looked for in one pass, those inside others as well."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for letter in w:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        parts = [re.escape(letter) + branch(below) for letter, below in sorted(node.items()) if letter]
+        if not parts:
+            return ""
+        inner = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return f"(?:{inner})?+" if "" in node else inner
+
+    first = "".join(re.escape(letter) for letter in sorted(tree))
+    return f"(?=[{first}])(?=({branch(tree)}))"
+
+
+def keyword_hits(text: Column, words) -> Column:
+    """The words that occur in a text, in order, each as often as it occurs; of words that begin at one place the longest."""
+    return F.regexp_extract_all(text, F.lit(keyword_pattern(words)), F.lit(1))
+
+
+def keyword_score(text: Column, weights: dict[str, int]) -> Column:
+    """The sum of the weights of all occurrences of the words; a word that begins another one counts with it."""
+    whole = {w: sum(weight for other, weight in weights.items() if w.startswith(other)) for w in weights}
+    of = F.create_map(*(F.lit(x) for pair in whole.items() for x in pair))
+    return F.aggregate(keyword_hits(text, weights), F.lit(0), lambda total, w: total + F.coalesce(F.try_element_at(of, w), F.lit(0)))
 
 
 def sentiment(text) -> Column:
     """Positive minus negative keyword counts."""
-    low = F.lower(_c(text))
-    total = F.lit(0)
-    for sign, words in ((1, POSITIVE), (-1, NEGATIVE)):
-        for w in words:
-            total = total + sign * occurrences(low, w).cast("int")
-    return total
+    return keyword_score(F.lower(_c(text)), dict.fromkeys(POSITIVE, 1) | dict.fromkeys(NEGATIVE, -1))
 
 
 def label(score: Column) -> Column:

@@ -92,3 +92,23 @@ def files(spark: SparkSession, path: str, glob: str = "*", least: int | None = N
         reader = reader if value is None else reader.option(name, value)
     found = reader.load(path)
     return found if least is None else found.where(F.col("length") >= least)
+
+
+#: Settings of a session in which counts and extremes of stored columns are taken from the files' footers.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table whose ``count``, ``min`` and ``max`` without filters are answered from footers; it belongs to a session of its own, in which it
+    must be collected.  Extremes of texts and times are not kept in footers in a form that Spark trusts: those are read."""
+    own = spark.newSession()
+    for k, v in FOOTERS.items():
+        own.conf.set(k, v)
+    return own.read.parquet(path)
+
+
+def file_stats(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """rows, and for each column its least and greatest value and the number of values, of a stored table; no data page is read."""
+    numbers = [f for c in columns for f in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count(c).alias(f"{c}_values"))]
+    told = footers(spark, path).agg(F.count("*").alias("rows"), *numbers)
+    return spark.createDataFrame(told.collect(), told.schema)  # one row

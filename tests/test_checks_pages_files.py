@@ -81,3 +81,23 @@ def test_files_are_read_and_judged(spark, tmp_path):
     day = dt.datetime(2020, 1, 1).isoformat()
     assert set(ok(datasets.files(spark, str(tmp_path), "*.pdf", since=day))) == set(made) - {"a.pdf", "g.txt", "h.pdf"} - {"sub/e.pdf"} | {"e.pdf"}
     assert set(ok(datasets.files(spark, str(tmp_path), "*.pdf", until=day))) == {"a.pdf"}
+
+
+def test_counts_and_extremes_come_from_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("k"), (F.col("id") / 7).alias("x")).repartition(5).write.parquet(path)
+    plan = datasets.footers(spark, path).agg(F.count("*"), F.min("k"), F.max("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(k), MAX(x)]" in plan
+    assert tuple(datasets.file_stats(spark, path, "k", "x").first()) == (1000, 1, 999, 900, 0.0, 999 / 7, 1000)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_many_keywords_in_one_pass(spark):
+    weights = {"ab": 1, "abc": 10, "b": 100, "c+": 1000, "đ ă": 10_000}
+    texts = ["", None, "abcab", "c+c+ c", "đ ăb", "aabbcc", "xyz" * 10, "abc+"]
+    count = lambda t, w: sum(t.startswith(w, i) for i in range(len(t)))
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["s"] for r in d.select("i", text.keyword_score(F.col("t"), weights).alias("s")).orderBy("i").collect()]
+    assert got == [None if t is None else sum(v * count(t, w) for w, v in weights.items()) for t in texts]
+    low = "giá tăng, lợi nhuận sụt giảm, thua lỗ; lãi tăng vượt kỷ lục"
+    assert spark.range(1).select(text.sentiment(F.lit(low.upper()))).first()[0] == sum(low.count(w) for w in text.POSITIVE) - sum(low.count(w) for w in text.NEGATIVE)
