@@ -6,7 +6,8 @@ step extends all intervals at once, to the right through the reversed transform
 ends of the pair follow.  Each phrase is reached once, by steps to the right and to the left in turn, with its count.
 
 Counts are sums over shards, so a shard has to report what is rare in it as well; what is rare everywhere is cut first.  A phrase that is
-frequent enough has no rarer part, so for phrases of k + 1 words a shard indexes only the chains of its text in which phrases
+frequent enough has no rarer part.  Counts travel packed: a row has those of a shard that fall into one bucket of phrases, and a bucket is summed in
+one task, which holds about as many phrases as a shard.  For phrases of k + 1 words a shard indexes only the chains of its text in which phrases
 of k words that are frequent over all shards follow each other.  Frequent words have numbers without gaps, phrases are rows of
 these.  Up to ``KNOWN_TO_ALL`` frequent words (or phrases of a length) are sent to all tasks; where there are more they are joined to the shards
 that hold them, behind a table of at most 8 MB of hash bits that spares most rare ones that shuffle.  The result is the same.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -185,51 +187,103 @@ def _holds(ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return known[code[n:]]
 
 
-def _schema(size: int) -> pa.Schema:
-    """Phrases of ``size`` words with their counts in a shard, and the shard itself: what is left of its text, and the numbers of its words."""
-    return pa.schema([("shard", pa.int64()), *((f"w{k}", pa.int64()) for k in range(size)), ("count", pa.int64()), ("ids", pa.binary()), ("words", pa.binary())])
+#: A row is a part of a shard's phrases (those of a bucket, packed with their counts), or the shard itself: what is left of its text and the
+#: numbers of its words.
+_ROWS = "shard long, bucket int, grams binary, ids binary, words binary"
+_SCHEMA = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("ids", pa.binary()), ("words", pa.binary())])
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bool) -> pa.Table:
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers under 2**32, bytes of equal weight together, compressed."""
+    planes = [c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+
+
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    """The columns of :func:`_packed`, a row each."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(columns, 4, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+
+
+def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bool, buckets: int) -> pa.Table:
     """All phrases of ``size`` words of a text (ids from 1 into ``words``), and the text."""
-    schema = _schema(size)
     used, ids = np.unique(np.concatenate([[0], ids]), return_inverse=True)
     ids, words = ids[1:].astype(np.uint32), words[used[1:].astype(np.int64) - 1]
     if not len(ids):
-        return schema.empty_table()
+        return _SCHEMA.empty_table()
     index = BidirectionalIndex(ids, size)
     now = index.single_words()
     for k in range(2, size + 1):
         now = index.extended(now, to_left=k % 2 == 1)
-    n = len(now.count)
-    columns = [pa.array(np.full(n, number)), *(pa.array(words[now.words[:, k] - 1]) for k in range(size)), pa.array(now.count.astype(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-    out = [pa.Table.from_arrays(columns, schema=schema)]
+    columns = [words[now.words[:, k] - 1] for k in range(size)]
+    mixed = np.zeros(len(now.count), dtype=np.uint64)
+    for c in columns:
+        mixed = (mixed ^ c.astype(np.uint64)) * _SPREAD
+        mixed ^= mixed >> np.uint64(29)
+    bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    some, first = np.unique(bucket[order], return_index=True)
+    columns = [c[order] for c in [*columns, now.count]]
+    grams = [_packed([c[i:j] for c in columns]) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)])]
+    n = len(grams)
+    rows = [pa.array(np.full(n, number)), pa.array(some, pa.int32()), pa.array(grams, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+    out = [pa.Table.from_arrays(rows, schema=_SCHEMA)]
     if go_on:
-        out.append(pa.Table.from_pylist([{"shard": number, "ids": ids.tobytes(), "words": words.tobytes()}], schema=schema))
+        out.append(pa.Table.from_pylist([{"shard": number, "ids": ids.tobytes(), "words": words.tobytes()}], schema=_SCHEMA))
     return pa.concat_tables(out)
 
 
-def _pairs(number: int, old: np.ndarray, words: np.ndarray, go_on: bool) -> pa.Table:
+def _summed(grown: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
+    """w0, w1, ..., a: the phrases whose counts in all shards come to ``least``.  A bucket has about a shard's phrases."""
+    w = [f"w{k}" for k in range(size)]
+
+    def run(parts: pa.Table) -> pa.Table:
+        all_ = np.concatenate([_unpacked(g, size + 1) for g in parts["grams"].to_pylist()], axis=1)
+        all_ = all_[:, np.lexsort(all_[:size][::-1])]
+        first = np.flatnonzero(np.concatenate([[True], (all_[:size, 1:] != all_[:size, :-1]).any(axis=0)]))
+        total = np.add.reduceat(all_[size], first)
+        kept = total >= least
+        return pa.table({c: all_[k][first[kept]] for k, c in enumerate(w)} | {"a": total[kept]})
+
+    parts = grown.where("grams is not null").select("bucket", "grams").repartition(buckets, "bucket")
+    return parts.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} long" for c in [*w, "a"]))
+
+
+def _each(grown: DataFrame, size: int) -> DataFrame:
+    """shard, w0, w1, ...: the phrases of each shard as rows."""
+    w = [f"w{k}" for k in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, grams in zip(batch.column("shard").to_pylist(), batch.column("grams").to_pylist()):
+                columns = _unpacked(grams, size + 1)[:size]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(columns.shape[1], number)), *map(pa.array, columns)], ["shard", *w])
+
+    return grown.where("grams is not null").select("shard", "grams").mapInArrow(run, ", ".join(f"{c} long" for c in ["shard", *w]))
+
+
+def _pairs(number: int, old: np.ndarray, words: np.ndarray, *how) -> pa.Table:
     """All pairs of frequent words of a shard; ``words`` has the number of each of its own words, or -1."""
     known = np.unique(words[words >= 0])
     new = np.zeros(len(words) + 1, dtype=np.uint32)
     new[1:] = np.where(words >= 0, np.searchsorted(known, words) + 1, 0)
     ids = new[old]
-    return _grown(number, _chains(ids, ids > 0, 1), known, 2, go_on)
+    return _grown(number, _chains(ids, ids > 0, 1), known, 2, *how)
 
 
-def _longer(number: int, ids: np.ndarray, words: np.ndarray, grams: np.ndarray, go_on: bool) -> pa.Table:
+def _longer(number: int, ids: np.ndarray, words: np.ndarray, grams: np.ndarray, *how) -> pa.Table:
     """All phrases of one word more than ``grams``, the frequent ones (a row each), both of whose parts are among them."""
     at = np.minimum(np.searchsorted(words, grams), len(words) - 1)
     grams = (at + 1)[(words[at] == grams).all(axis=1)]
-    return _grown(number, _chains(ids, _holds(ids, grams), grams.shape[1]), words, grams.shape[1] + 1, go_on)
+    return _grown(number, _chains(ids, _holds(ids, grams), grams.shape[1]), words, grams.shape[1] + 1, *how)
 
 
 def _text(column: pa.Array, at: int, dtype) -> np.ndarray:
     return np.frombuffer(column[at].as_buffer(), dtype=dtype)
 
 
-def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, kind: str) -> DataFrame:
+def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, buckets: int) -> DataFrame:
     """A round in which every task knows all frequent phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,30 +294,30 @@ def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, kind:
                 if size == 2:
                     names = batch.column("langs")[i].values.take(batch.column("lang_of")[i].values)
                     own = pc.binary_join_element_wise(names, batch.column("words")[i].values, "\t")
-                    out = _pairs(number, ids, pc.index_in(own, value_set=known).fill_null(-1).to_numpy().astype(np.int64), go_on)
+                    out = _pairs(number, ids, pc.index_in(own, value_set=known).fill_null(-1).to_numpy().astype(np.int64), go_on, buckets)
                 else:
-                    out = _longer(number, ids, _text(batch.column("words"), i, np.int64), known, go_on)
+                    out = _longer(number, ids, _text(batch.column("words"), i, np.int64), known, go_on, buckets)
                 yield from out.to_batches()
 
-    return left.mapInArrow(run, kind)
+    return left.mapInArrow(run, _ROWS)
 
 
-def _met(left: DataFrame, held: DataFrame, size: int, go_on: bool, kind: str, parts: int) -> DataFrame:
+def _met(left: DataFrame, held: DataFrame, size: int, go_on: bool, buckets: int) -> DataFrame:
     """A round in which a shard meets the frequent phrases that it holds."""
 
     def run(shard: pa.Table, frequent: pa.Table) -> pa.Table:
         if not shard.num_rows or not frequent.num_rows:
-            return _schema(size).empty_table()
+            return _SCHEMA.empty_table()
         number, ids = shard["shard"][0].as_py(), _text(shard["ids"], 0, np.uint32)
         if size == 2:
             words = np.full(len(shard["words"][0].values), -1)
             words[frequent["id"].to_numpy()] = frequent["word"].to_numpy()
-            return _pairs(number, ids, words, go_on)
+            return _pairs(number, ids, words, go_on, buckets)
         grams = np.column_stack([frequent[f"w{k}"].to_numpy() for k in range(size - 1)])
-        return _longer(number, ids, _text(shard["words"], 0, np.int64), grams, go_on)
+        return _longer(number, ids, _text(shard["words"], 0, np.int64), grams, go_on, buckets)
 
-    of_shard = lambda df, key: df.repartition(parts, key).groupBy(key)
-    return of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(run, kind)
+    of_shard = lambda df, key: df.repartition(buckets, key).groupBy(key)
+    return of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(run, _ROWS)
 
 
 def _numbered(f: DataFrame) -> DataFrame:
@@ -286,21 +340,19 @@ def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: i
     totals = stored(rows.groupBy("lang").agg(F.sum("count").alias("n")), like="totals")
     words = _numbered(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).where(F.col("a") >= least))
     known = words.select(F.array("word").alias("g"), "a")
-    # Python work on few bytes: as many partitions as the session shuffles into, or one for each four shards
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count() // 4)
+    # phrases are summed in as many buckets as the session has shuffle partitions, or one for each shard
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count())
     frequent = words
     for size in range(2, most + 1):
         go_on = size < most
         w = [f"w{k}" for k in range(size)]
-        kind = f"shard long, {', '.join(f'{c} long' for c in w)}, count long, ids binary, words binary"
         n, width = frequent.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)) if size == 2 else F.lit(0)).first()
         if n <= KNOWN_TO_ALL and width <= 32 * KNOWN_TO_ALL:
-            grown = _mapped(left, spark.sparkContext.broadcast(_collected(frequent, size)), size, go_on, kind)
+            grown = _mapped(left, spark.sparkContext.broadcast(_collected(frequent, size)), size, go_on, buckets)
         else:
-            grown = _met(left, _held(rows, frequent, size), size, go_on, kind, parts)
+            grown = _met(left, _held(rows if size == 2 else _each(grown, size - 1), frequent, size), size, go_on, buckets)
         grown = stored(grown, like=f"phrases{size}") if go_on else grown
-        rows = grown.where("ids is null").select("shard", *w, "count")
-        frequent = stored(rows.groupBy(*w).agg(F.sum("count").alias("a")).where(F.col("a") >= least), like=f"frequent{size}")
+        frequent = stored(_summed(grown, size, least, buckets), like=f"frequent{size}")
         known = known.unionByName(frequent.select(F.array(*w).alias("g"), "a"))
         left = grown.where("ids is not null").select("shard", "ids", "words")
     return totals, words.select("word", "lang", "phrase"), known
