@@ -375,20 +375,32 @@ def ingest_decision(allow_en: bool = False, allow_unknown: bool = True) -> Colum
     )
 
 
-#: Words that document lists must and must not hold.
+#: Words that documents of a list must hold, one of each, and must not hold, by mode: yearly statements alone, or all.  They are looked for in
+#: attachment name, title and address together, in lower case without accents, so words with capitals would never be found.
 LIST_INCLUDE = ("bctc", "bao cao tai chinh", "bc tai chinh")
 LIST_ANNUAL = ("nam", "kiem toan", "da kiem toan", "hop nhat")
 LIST_EXCLUDE = ("uponrequest", "upon request", "tai lieu hop", "nghi quyet")
+LIST_EXCLUDE_ANNUAL = ("nghi quyet", "resolution")
 
 
-def filter_document_list(docs: DataFrame, tickers: list[str] | None = None, strict_annual: bool = False) -> DataFrame:
-    t = plain(F.col("title"))
-    keep = _has(t, LIST_INCLUDE) & ~_has(t, LIST_EXCLUDE)
+def is_statement(attachment: Column | None, title: Column, url: Column, strict_annual: bool = False) -> Column:
+    t = normal_title(F.concat_ws(" ", *([] if attachment is None else [attachment]), title, url))
     if strict_annual:
-        keep = keep & _has(t, LIST_ANNUAL)
+        return _has(t, LIST_INCLUDE) & _has(t, LIST_ANNUAL) & ~_has(t, LIST_EXCLUDE_ANNUAL)
+    return _has(t, LIST_INCLUDE) & ~_has(t, LIST_EXCLUDE)
+
+
+def first_year(*texts: Column) -> Column:
+    """The first year of this century in the first of the texts that holds one."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(t, r"(20\d{2})", 1), F.lit("")) for t in texts))
+
+
+def filter_document_list(docs: DataFrame, tickers: list[str] | None = None, strict_annual: bool = False, attachment: str | None = None) -> DataFrame:
+    """Rows of statements by title, address and, if given, the column of attachment names; with ``year`` from the title."""
+    keep = is_statement(None if attachment is None else F.col(attachment), F.col("title"), F.col("url_pdf"), strict_annual)
     if tickers is not None:
         keep = keep & F.upper("ticker").isin(*(x.upper() for x in tickers))
-    return docs.where(keep).withColumn("year", F.nullif(F.regexp_extract("title", r"(20\d{2})", 1), F.lit("")))
+    return docs.where(keep).withColumn("year", first_year(F.col("title")))
 
 
 # --- pages
@@ -545,10 +557,22 @@ def feed_entries(entries: DataFrame, feed: str, order: str, n: int, label: str |
     return d.join(said, "article_id", "left")
 
 
-def attachments(pages: DataFrame, listing: DataFrame, key: str) -> DataFrame:
-    """Listing rows with the distinct PDF addresses of their pages."""
-    pdf = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"']+\.pdf)[\"']"), F.lit(1)))
-    return listing.join(pages.select(key, F.explode(pdf).alias("url_pdf")), key)
+def attachments(pages: DataFrame, listing: DataFrame, key: str, origin: str, strict_annual: bool = False) -> DataFrame:
+    """One row for each PDF that a listing row's page (key, html) links to and that is a statement: the key, ticker, title (the row's and the link's text),
+    parent_title, attachment_name, published_at, url_pdf in full, and year (from the row's title, else its date).
+
+    ``listing`` has the key, ticker, title and published_at; an address that a page links to twice counts with its first text."""
+    parsed = with_elements(pages.select(F.col(key).alias("of"), "html"))
+    pdf = F.filter("elements", lambda e: (e["name"] == "a") & F.lower(F.try_element_at(e["attrs"], F.lit("href"))).contains(".pdf"))
+    links = F.transform(pdf, lambda e: F.struct(e["at"].alias("at"), text_of(e).alias("text"), F.trim(F.try_element_at(e["attrs"], F.lit("href"))).alias("href")))
+    each = parsed.select("of", F.explode(links).alias("x")).select("of", "x.at", F.col("x.text").alias("name"), absolute_url(F.lit(f"{origin}/"), F.col("x.href")).alias("url_pdf"))
+    each = ranked_dedupe(each, ["of", "url_pdf"], [F.asc("at")])
+    rows = listing.select(key, "ticker", F.col("title").alias("parent_title"), F.col("published_at").cast("string").alias("published_at"))
+    both = rows.join(each, F.col(key) == F.col("of"))
+    title = F.trim(F.concat_ws(" ", "parent_title", "name"))
+    kept = both.where(is_statement(F.col("name"), title, F.col("url_pdf"), strict_annual))
+    year = first_year(F.col("parent_title"), F.col("published_at"))
+    return kept.select(key, F.upper(F.trim("ticker")).alias("ticker"), title.alias("title"), "parent_title", _some(F.col("name")).alias("attachment_name"), "published_at", "url_pdf", year.alias("year"))
 
 
 def checked_files(files: DataFrame, least: int = 100) -> DataFrame:

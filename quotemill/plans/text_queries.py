@@ -338,11 +338,17 @@ def disclosure_rows(t: Tables) -> DataFrame:
     return pages.disclosure_rows(listed).drop("page_id", "row")
 
 
-@query("select page_id, page_id * 10 || '.pdf' as url_pdf from pages")
+@query("""select p_partkey, ticker, title || ' BCTC & more' as title, 'BCTC & more' as attachment_name, 'https://files.example.com/d/' || p_partkey || '.PDF' as url_pdf, coalesce(nullif(regexp_extract(title, '20[0-9][0-9]'), ''), strftime(published_at, '%Y')) as year
+    from (select * replace (case when p_partkey % 2 = 0 then title else regexp_replace(title, '20[0-9][0-9]', '') end as title) from filings)""")
 def disclosure_attachments(t: Tables) -> DataFrame:
-    p = t.raw("pages")
-    linked = p.select("page_id", F.concat("html", F.lit('<a href="'), (F.col("page_id") * 10).cast("string"), F.lit('.pdf">x</a><a href="'), (F.col("page_id") * 10).cast("string"), F.lit('.pdf">y</a>')).alias("html"))
-    return text.attachments(linked, p.select("page_id"), "page_id").select("page_id", "url_pdf")
+    """Pages of filings that link to a statement twice, to a resolution, and to no document; half of the titles name no year."""
+    f = t.filings().withColumn("title", F.when(F.col("p_partkey") % 2 == 0, F.col("title")).otherwise(F.regexp_replace("title", "20[0-9][0-9]", "")))
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<ul><li><a href='/x/../d/"), k, F.lit(".PDF'>BCTC &amp; <b>more</b></a><li><a href='/d/"), k, F.lit(".PDF'>again</a><li><a href='/r/"), k, F.lit(".pdf'>Nghị quyết</a><li><a href='/a.html'>BCTC</a></ul>"),
+    )
+    found = text.attachments(f.select("p_partkey", html.alias("html")), f, "p_partkey", "https://files.example.com")
+    return found.select("p_partkey", "ticker", "title", "attachment_name", "url_pdf", "year")
 
 
 def _any(words) -> str:
@@ -385,9 +391,20 @@ def doc_ingest_decision(t: Tables) -> DataFrame:
     return text.classify_documents(t.filings()).select("p_partkey", text.ingest_decision().alias("decision"))
 
 
-@query(f"select p_partkey, regexp_extract(title, '20[0-9][0-9]') as year from (select *, {_PLAIN} as norm from filings) where {_any(text.LIST_INCLUDE)} and not {_any(text.LIST_EXCLUDE)} and {_any(text.LIST_ANNUAL)}")
+_ALL_NORM = f"trim(regexp_replace(translate(lower(concat_ws(' ', title, url_pdf)), '{text._FROM}đ', '{text._TO}d'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""with n as (select p_partkey, nullif(regexp_extract(title, '20[0-9][0-9]'), '') as year, {_ALL_NORM} as norm from (select * replace (case when p_partkey % 5 = 0 then title || ' upon request' when p_partkey % 5 = 1 then title || ' - Resolution' else title end as title) from filings))
+        select p_partkey, year, true as annual from n where {_any(text.LIST_INCLUDE)} and {_any(text.LIST_ANNUAL)} and not {_any(text.LIST_EXCLUDE_ANNUAL)}
+        union all select p_partkey, year, false from n where {_any(text.LIST_INCLUDE)} and not {_any(text.LIST_EXCLUDE)}"""
+)
 def doc_list_filter(t: Tables) -> DataFrame:
-    return text.filter_document_list(t.filings(), strict_annual=True).select("p_partkey", "year")
+    """Statements of a list in both modes, which exclude different words."""
+    k = F.col("p_partkey") % 5
+    f = t.filings().withColumn("title", F.concat("title", F.when(k == 0, " upon request").when(k == 1, " - Resolution").otherwise("")))
+    both = [text.filter_document_list(f, strict_annual=annual).select("p_partkey", "year", F.lit(annual).alias("annual")) for annual in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 @query("select status, count(*) as n, count(*) filter (where qc_pass) as passed from filings group by 1")
