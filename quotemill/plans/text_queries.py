@@ -77,6 +77,20 @@ def news_signal(t: Tables) -> DataFrame:
     return signals(t)
 
 
+_ARTICLE = "array<struct<article_id: string, title: string, url: string, sentiment: string, published_at: timestamp, relevance: string, weight: double>>"
+
+
+@query(
+    """select ticker, trading_date, k as rank, article_id, title, url, sentiment_label as sentiment, epoch(published_at)::bigint as published, ticker_relevance as relevance, round(cast(article_weight as decimal(28,10)), 4)::double as weight
+        from (select *, row_number() over (partition by ticker, trading_date order by article_weight desc nulls last, article_id) as k from weighted) where k <= 3""",
+    **NEWS,
+)
+def news_top_articles(t: Tables) -> DataFrame:
+    """The JSON of each signal's articles, taken apart again: every field, in order."""
+    lists = text.news_signal(weighted(t)).select("ticker", "trading_date", F.posexplode(F.from_json("top_articles", _ARTICLE)).alias("at", "a"))
+    return lists.select("ticker", "trading_date", (F.col("at") + 1).cast("long").alias("rank"), "a.article_id", "a.title", "a.url", "a.sentiment", F.unix_timestamp("a.published_at").alias("published"), "a.relevance", "a.weight")
+
+
 @query("select ticker, trading_date, top_ids from tops", **NEWS)
 def subquery_correlated_topk(t: Tables) -> DataFrame:
     return signals(t).select("ticker", "trading_date", "top_ids")
