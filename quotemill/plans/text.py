@@ -453,14 +453,20 @@ def meta_content(elements: Column, *keys: str) -> Column:
 
 
 def told_article(told: Column) -> Column:
-    """title, summary, body_text and published_at of the first JSON-LD object that is an article with a title or a body: scripts hold one object, a list, or
-    a ``@graph``."""
+    """title, summary, body_text and published_at of the first JSON-LD object that is an article with a title or a body; a date, and a summary that it
+    lacks, of other article objects too.  Scripts hold one object, a list, or a ``@graph``."""
     whole = F.filter(F.transform(told, F.try_parse_json), lambda v: v.isNotNull())
     listed = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))
     value = lambda v, *names: F.coalesce(*(_some(F.try_variant_get(v, f"$['{n}']", "string")) for n in names))
     one = lambda v: F.struct(value(v, "@type", "type").alias("type"), *(value(v, *names).alias(field) for field, names in TOLD.items()))
     objects = F.transform(F.flatten(F.transform(whole, listed)), one)
-    return F.get(F.filter(objects, lambda o: F.lower(o["type"]).rlike(ARTICLE_TYPE) & (o["title"].isNotNull() | o["body_text"].isNotNull())), F.lit(0))
+    some = lambda os, field: F.get(F.filter(F.transform(os, lambda o: o[field]), lambda x: x.isNotNull()), F.lit(0))
+
+    def fields(articles: Column) -> Column:
+        told_most = F.get(F.filter(articles, lambda o: o["title"].isNotNull() | o["body_text"].isNotNull()), F.lit(0))
+        return F.struct(told_most["title"].alias("title"), F.coalesce(told_most["summary"], some(articles, "summary")).alias("summary"), told_most["body_text"].alias("body_text"), some(articles, "published_at").alias("published_at"))
+
+    return _let(F.filter(objects, lambda o: F.lower(o["type"]).rlike(ARTICLE_TYPE)), fields)
 
 
 def page_article(pages: DataFrame) -> DataFrame:

@@ -329,7 +329,11 @@ def feed_entry_normalize(t: Tables) -> DataFrame:
     return d.select("article_id", F.lower("source").alias("source"), "title", "summary", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
-@query("select page_id % 5 as list_id, page_id, url from (select *, row_number() over (partition by page_id % 5 order by page_id) as n from pages) where n <= 15 and page_id % 7 > 0")
+@query(
+    """with n as (select page_id, url, page_id % 5 as list_id, row_number() over (partition by page_id % 5 order by page_id) as k, regexp_replace(regexp_replace(url, '#.*$', ''), '[?]utm_source=[a-z]+$', '') as address from pages),
+        linked as (select address, min(list_id) as list_id from n where k <= 15 group by 1), first as (select address, min(page_id) as page_id from n group by 1)
+        select list_id, first.page_id, (select url from n where n.page_id = first.page_id) as url from linked join first using (address) where first.page_id % 7 > 0"""
+)
 def page_list_select(t: Tables) -> DataFrame:
     """Five list pages that link to all pages: of the first 15 links of each, the pages that have a body; a seventh has neither that nor a date."""
     p = t.raw("pages")

@@ -135,7 +135,7 @@ def test_mentions(spark, title, summary, wanted):
 
 
 def test_page_article(spark):
-    html = '<html><head><meta property="og:title" content="T1"><meta name="description" content="S1"><script type="application/ld+json">{"datePublished": "2026-01-02T10:00:00+07:00"}</script></head><body><h1>H</h1><p>one</p><p>two</p></body></html>'
+    html = '<html><head><meta property="og:title" content="T1"><meta name="description" content="S1"><script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "2026-01-02T10:00:00+07:00"}</script></head><body><h1>H</h1><p>one</p><p>two</p></body></html>'
     r = text.page_article(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")).first()
     assert (r["title"], r["summary"], r["body_text"], r["published_at"]) == ("T1", "S1", "one\ntwo", dt.datetime(2026, 1, 2, 3))
 
