@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.operators import substring
 from quotemill.plans import gold, text
 
 
@@ -131,19 +132,46 @@ def search_tickers(directory: DataFrame, words: str, n: int = 12) -> DataFrame:
     return directory.where(F.lower("ticker").contains(w) | F.lower(F.coalesce("organ_name", F.lit(""))).contains(w)).orderBy("ticker").limit(n)
 
 
+#: Columns of articles and of documents that are searched.
+ARTICLE_TEXTS = ("title", "summary", "body_text")
+DOCUMENT_TEXTS = ("title",)
+
+
 def articles(facts: DataFrame, symbol: str | None = None, search: str | None = None, sentiment: str | None = None, source: str | None = None, first=None, last=None, number: int = 1, size: int = 20) -> DataFrame:
-    like = None if search is None else F.col("title").ilike(f"%{search}%") | F.col("summary").ilike(f"%{search}%") | F.col("body_text").ilike(f"%{search}%")
+    like = None
+    for c in () if search is None else ARTICLE_TEXTS:
+        like = F.col(c).ilike(f"%{search}%") if like is None else like | F.col(c).ilike(f"%{search}%")
     day = text.local_day()
     own = filtered(facts, s=equals("ticker", symbol), q=like, m=equals("sentiment_label", sentiment), r=equals("source", source), first=None if first is None else day >= F.lit(first).cast("date"), last=None if last is None else day <= F.lit(last).cast("date"))
     return page(own, [F.desc_nulls_last("published_at"), F.asc("article_id"), F.asc("ticker")], number, size)
 
 
+def index_articles(facts: DataFrame, path: str) -> None:
+    """Stores articles for :func:`articles_by_index`."""
+    substring.write_index(facts, ARTICLE_TEXTS, path)
+
+
+def articles_by_index(spark: SparkSession, path: str, search: str, **conditions) -> DataFrame:
+    """As :func:`articles`, but the texts are looked up in a stored index of grams and only rows that it proposes are read."""
+    return articles(substring.search(spark, path, ARTICLE_TEXTS, search), **conditions)
+
+
 def documents(table: DataFrame, symbol: str | None = None, period: str | None = None, search: str | None = None, number: int = 1, size: int = 20) -> DataFrame:
     like = None if search is None else F.col("title").ilike(f"%{search}%")
     own = filtered(table, s=equals("ticker", symbol), p=equals("period_key", period), q=like)
     return page(own, [F.desc_nulls_last("published_at"), F.asc("doc_id")], number, size)
 
 
+def index_documents(table: DataFrame, path: str) -> None:
+    """Stores documents for :func:`documents_by_index`."""
+    substring.write_index(table, DOCUMENT_TEXTS, path)
+
+
+def documents_by_index(spark: SparkSession, path: str, search: str, **conditions) -> DataFrame:
+    """As :func:`documents`, with titles looked up in a stored index of grams."""
+    return documents(substring.search(spark, path, DOCUMENT_TEXTS, search), **conditions)
+
+
 def sentiment_share(signal: DataFrame) -> DataFrame:
     share = lambda c: F.round((F.col(c) / F.when(F.col("news_count") > 0, F.col("news_count"))).cast("decimal(28,10)"), 6).cast("double")
     return signal.select("ticker", "trading_date", share("positive_count").alias("positive_share"), share("negative_count").alias("negative_share"), share("neutral_count").alias("neutral_share"))

@@ -11,6 +11,7 @@ from quotemill.plans.registry import query
 from quotemill.plans.silver_queries import BOARD, FILINGS
 from quotemill.plans.text_queries import NEWS, facts, signals
 from quotemill.plans import gold as _gold
+from quotemill.sources import sinks
 from quotemill.sources.proxy import Tables
 
 S = "S00001"
@@ -99,6 +100,14 @@ def q_news_articles(t: Tables) -> DataFrame:
     return serve.articles(facts(t), search="the", sentiment="positive", number=2).select("article_id", "ticker", "source", "published_at")
 
 
+@query(f"select article_id, ticker, source, published_at from facts where (title ilike '%o_an%' or summary ilike '%o_an%' or body_text ilike '%o_an%') {_ORDER} limit 20", **NEWS)
+def q_news_indexed(t: Tables) -> DataFrame:
+    """By the index of grams, which is stored first."""
+    path = sinks.scratch(t.spark, "articles")
+    serve.index_articles(facts(t), path)
+    return serve.articles_by_index(t.spark, path, "o_an").select("article_id", "ticker", "source", "published_at")
+
+
 @query(f"select article_id, ticker, published_at from facts {_ORDER} limit 50", **NEWS)
 def q_news_market(t: Tables) -> DataFrame:
     return serve.articles(facts(t), size=50).select("article_id", "ticker", "published_at")
@@ -172,6 +181,13 @@ def q_docs(t: Tables) -> DataFrame:
     return serve.documents(_docs(t), search="q").select("doc_id", "ticker", "title", "period_key")
 
 
+@query(f"select doc_id, ticker, title, period_key from {_DOCS} where title ilike '%quý%' order by published_at desc nulls last, doc_id limit 20", **FILINGS)
+def q_docs_indexed(t: Tables) -> DataFrame:
+    path = sinks.scratch(t.spark, "filings")
+    serve.index_documents(_docs(t), path)
+    return serve.documents_by_index(t.spark, path, "QUÝ").select("doc_id", "ticker", "title", "period_key")
+
+
 @query(f"select doc_id, published_at from {_DOCS} order by published_at desc nulls last, doc_id limit 10", **FILINGS)
 def q_docs_recent(t: Tables) -> DataFrame:
     return serve.documents(_docs(t), size=10).select("doc_id", "published_at")

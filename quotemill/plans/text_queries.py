@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.rules import rounded
+from quotemill.operators import substring
 from quotemill.plans import pages, text
 from quotemill.plans.registry import query
 from quotemill.sources import datasets, sinks
@@ -144,6 +145,15 @@ def search_ilike(t: Tables) -> DataFrame:
     return t.news().where(F.col("title").ilike("%the%") | F.col("summary").ilike("%the%")).select("article_id")
 
 
+@query("select article_id from news where title ilike '%etition%' or summary ilike '%etition%' or body_text ilike '%etition%'")
+def search_substring(t: Tables) -> DataFrame:
+    """Over whole bodies, by a stored index of three-letter grams."""
+    path = sinks.scratch(t.spark, "grams")
+    texts = ("title", "summary", "body_text")
+    substring.write_index(t.news().select("article_id", *texts), texts, path)
+    return substring.search(t.spark, path, texts, "etition").select("article_id")
+
+
 @query(f"select doc_id, length(regexp_replace(text, '{SPACE}', ' ', 'g')) as n, len(regexp_extract_all(coalesce(title, '') || ' ' || coalesce(body_text, ''), '[^ \\t\\n\\r\\f\\x0b]+'))::int as words from (select *, body_text as text from news)")
 def word_count(t: Tables) -> DataFrame:
     return t.news().select("doc_id", F.length(F.regexp_replace("body_text", SPACE, " ")).cast("long").alias("n"), text.word_count("title", "body_text").alias("words"))
