@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -195,8 +194,9 @@ AROUND = 56
 
 
 def universe(listing: DataFrame) -> DataFrame:
-    """code: distinct upper-case symbols of two letters or more of shares."""
-    return listing.where("lower(coalesce(type, 'stock')) = 'stock'").select(F.upper(F.trim("symbol")).alias("code")).where(F.length("code") >= 2).distinct()
+    """code: distinct upper-case symbols of two letters or more of shares; words that mean that there is none are no codes."""
+    codes = listing.where("lower(coalesce(type, 'stock')) = 'stock'").select(F.upper(F.trim("symbol")).alias("code"))
+    return codes.where((F.length("code") >= 2) & ~F.lower("code").isin(*sorted(_NO_TEXT))).distinct()
 
 
 #: Texts that mean that there is none.
@@ -204,23 +204,29 @@ _NO_TEXT = frozenset(["nan", "none", "<na>"])
 _TOKEN = re.compile("[A-Z0-9]+")
 
 
-@functools.cache
-def _folded_char(c: str) -> str:
-    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").upper()
+class _Fold(dict):
+    """A table for ``str.translate``: each letter in capitals without its accents, filled as letters are met."""
 
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(x) != "Mn").upper()
+        return self[code]
 
-def _folded(value: str | None) -> tuple[str, str, list[int] | None]:
-    """A text in NFC without line ends, its upper-case form without accents, and the place of each folded letter in it
-    (None: the same)."""
+
+_FOLD = _Fold()
+
+
+def _folded(value: str | None) -> tuple[str, str]:
+    """A text in NFC without line ends, and its upper-case form without accents."""
     raw = unicodedata.normalize("NFC", value or "").replace("\r", " ").replace("\n", " ")
     if raw.strip().lower() in _NO_TEXT:
-        return "", "", None
-    if raw.isascii():
-        return raw, raw.upper(), None
-    pieces = [_folded_char(c) for c in raw]
-    folded = "".join(pieces)
-    even = len(folded) == len(raw) and all(len(p) == 1 for p in pieces)
-    return raw, folded, None if even else [i for i, p in enumerate(pieces) for _ in p]
+        return "", ""
+    return raw, raw.upper() if raw.isascii() else raw.translate(_FOLD)
+
+
+def _places(raw: str) -> list[int] | None:
+    """The place of each folded letter in ``raw``; None: the same."""
+    sizes = [1] if raw.isascii() else [len(_FOLD[ord(c)]) for c in raw]
+    return None if set(sizes) == {1} else [i for i, n in enumerate(sizes) for _ in range(n)]
 
 
 def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...] = ("title", "summary", "body_text"), most: int = 100_000) -> DataFrame:
@@ -236,7 +242,10 @@ def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...]
             rows: list[tuple] = []
             for k, part in enumerate(parts):
                 for i, value in enumerate(batch.column(part).to_pylist()):
-                    raw, folded, place = _folded(value)
+                    raw, folded = _folded(value)
+                    if known is not None and known.isdisjoint(_TOKEN.findall(folded)):
+                        continue
+                    place = _places(raw)
                     for m in _TOKEN.finditer(folded):
                         if known is None or m[0] in known:
                             a, b = m.span()
@@ -253,7 +262,7 @@ def mention_candidates(news: DataFrame, codes: DataFrame, parts: tuple[str, ...]
 
 def mention_scores(candidates: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """Candidates with a positive score: context rules, then length; vetoed contexts go."""
-    capital = F.col("token") == F.upper("token")
+    capital = (F.col("token") == F.upper("token")) & (F.upper("token") != F.lower("token"))  # digits alone are no capitals
     around = F.concat("left", "code", "right")
     veto = F.lit(False)
     for code, patterns in VETOES.items():

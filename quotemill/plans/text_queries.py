@@ -193,44 +193,93 @@ def universe_load(t: Tables) -> DataFrame:
     return text.universe(t.listing())
 
 
-#: Words of the synthetic prose serve as a universe of codes for the mention queries.
-CODES = ("DER", "ENE", "HETI", "THEA", "ONHE", "LAIE", "QUE", "TION")
+#: Words around codes, by which mentions are planted into titles: {} is the code.
+SAID = ("(HOSE: {})", "Mã CK: {}", "mã {}", "cổ phiếu {}", "({})", "{}: +3%", "{} (tăng)", "{}", "lai vay, 5 ty {} hom nay", "{} lai suat", "TP. {} 10 doanh nghiep", "straight {}s")
 
 
 def _codes(t: Tables) -> DataFrame:
-    words = t.raw("documents").select(F.explode(F.array_distinct(F.split(F.upper("text"), "[^A-Z0-9]+"))).alias("code"))
-    return words.where(F.col("code").isin(*CODES)).distinct()
-
-
-_TOKENS = f"select article_id, part, unnest(regexp_extract_all(upper(translate(upper(x), '{text._FROM.upper()}', '{text._TO.upper()}')), '[A-Z0-9]+')) as code from (select article_id, 0 as part, coalesce(title, '') as x from news union all select article_id, 1, coalesce(summary, '') from news union all select article_id, 2, coalesce(body_text, '') from news)"
+    """The shares of the listing, three letters of each nation (many are words, or parts of words, of other texts), and the blocked codes."""
+    nations = t.raw("nation").select(F.upper(F.left("n_name", F.lit(3))).alias("symbol"), F.lit("Stock").alias("type"))
+    blocked = t.spark.createDataFrame([(c, "Stock") for c in text.BLOCKED], "symbol string, type string")
+    return text.universe(t.listing().select("symbol", "type").union(nations).union(blocked))
+
+
+def _said(t: Tables) -> DataFrame:
+    """News with mentions planted into titles and, for every fourth article, lower-case into summaries, too."""
+    i = F.col("doc_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    nation = t.raw("nation").select("n_nationkey", F.upper(F.left("n_name", F.lit(3))).alias("short"))
+    n = t.news().join(nation, i % 25 == F.col("n_nationkey"), "left")
+    share = F.concat(F.lit("S"), F.lpad((i % 97 + 1).cast("string"), 5, "0"))
+    code = F.when(i % 3 == 0, share).when(i % 3 == 1, F.col("short")).otherwise(pick(text.BLOCKED, i))
+    frame = pick(SAID, F.floor(i / 3))
+    title = F.concat(F.left("title", F.lit(30)), F.lit(" "), F.replace(frame, F.lit("{}"), code), F.lit(" "), F.substring("title", 31, 50))
+    return n.withColumns({"title": title, "summary": F.when(i % 4 == 0, F.concat(F.lower(share), F.lit(" "), F.col("summary"))).otherwise(F.col("summary"))}).drop("n_nationkey", "short")
+
+
+def _picked(values, n: str) -> str:
+    return "(['" + "', '".join(values) + f"'])[({n} % {len(values)} + 1)::int]"
+
+
+_FOLD = f"translate(upper(replace(replace({{}}, chr(10), ' '), chr(13), ' ')), '{text._FROM.upper()}', '{text._TO.upper()}')"
+_SHARE = "'S' || lpad(cast(doc_id % 97 + 1 as varchar), 5, '0')"
+_LEFT = " ".join(f"when regexp_matches(l, '{p}') {'and capital ' if needs else ''}then {points}" for p, points, needs in text.LEFT_RULES)
+_VETO = " or ".join(f"(code = '{c}' and regexp_matches(l || code || r, '{p}'))" for c, patterns in text.VETOES.items() for p in patterns)
+_PLAIN_CODE = "code not in ('" + "', '".join(text.BLOCKED) + "')"
+#: The same in SQL: tokens with their places, those that are codes, their scores, and each article's codes in order.
+MENTIONS = {
+    "codes": "select distinct upper(trim(symbol)) as code from listing where lower(type) = 'stock' union select upper(left(n_name, 3)) from nation union select unnest(['" + "', '".join(text.BLOCKED) + "'])",
+    "coded_news": f"select news.*, case when doc_id % 3 = 0 then {_SHARE} when doc_id % 3 = 1 then upper(left(n_name, 3)) else {_picked(text.BLOCKED, 'doc_id')} end as code from news left join nation on doc_id % 25 = n_nationkey",
+    "said": f"select * exclude (title, summary, code), left(title, 30) || ' ' || replace({_picked(SAID, 'floor(doc_id / 3)')}, '{{}}', code) || ' ' || substring(title, 31, 50) as title, case when doc_id % 4 = 0 then lower({_SHARE}) || ' ' || summary else summary end as summary from coded_news",
+    "parts": "select article_id, part, replace(x, 'ß', 'ss') as x from (select article_id, 0 as part, title as x from said union all select article_id, 1, summary from said union all select article_id, 2, body_text from said)",
+    "folded": f"select article_id, part, replace(replace(x, chr(10), ' '), chr(13), ' ') as raw, {_FOLD.format('x')} as x from parts where x is not null",
+    "pieces": "select article_id, part, raw, x, unnest(p) as piece, generate_subscripts(p, 1) as i from (select *, regexp_extract_all(x, '[A-Z0-9]+|[^A-Z0-9]+') as p from folded)",
+    "placed": "select article_id, part, raw, x, piece as code, sum(length(piece)) over (partition by article_id, part order by i) - length(piece) as start from pieces",
+    "mentioned": f"select article_id, part, start::int as start, code, substring(raw, start::bigint + 1, length(code)) as token, substring(x, greatest(0, start - {text.AROUND})::bigint + 1, least(start, {text.AROUND})::bigint) as l, substring(x, (start + length(code))::bigint + 1, {text.AROUND}) as r from placed where code in (select code from codes)",
+    "judged": rf"""select *, case {_LEFT} when rtrim(l) like '%(' and ltrim(r) like ')%' and capital then 80 when regexp_matches(r, '^\s*[-:]\s*[\d+%-]') and capital then 70 when ltrim(r) like '(%' and capital then 55 else 0 end as context
+        from (select *, token = upper(token) and regexp_matches(token, '[A-Za-z]') as capital from mentioned) where not ({_VETO})""",
+    "scored": f"select * exclude (score), score::int as score from (select *, case when context > 0 then context + case when capital then 10 else 0 end when {_PLAIN_CODE} and length(code) > 3 then 60 + case when capital then 10 else 0 end when {_PLAIN_CODE} and capital then 55 else 0 end as score from judged) where score > 0",
+    "firsts": "select * from (select *, score + case part when 0 then 80 when 1 then 40 else 0 end as total, row_number() over (partition by article_id, code order by score + case part when 0 then 80 when 1 then 40 else 0 end desc, part, start) as k from scored) where k = 1",
+    "ranked": "select article_id, list(code order by total desc, part, start, code) as mentions from firsts group by article_id",
+}
 
 
-@query("select article_id, part, code, count(*) as n from tokens where code in (select distinct unnest(regexp_extract_all(upper(text), '[A-Z0-9]+')) from documents) and code in ('" + "', '".join(CODES) + "') group by all", tokens=_TOKENS)
+@query("select article_id, part, code, count(*) as n from mentioned group by all", **MENTIONS)
 def mention_candidates(t: Tables) -> DataFrame:
-    return text.mention_candidates(t.news(), _codes(t)).groupBy("article_id", "part", "code").agg(F.count("*").alias("n"))
+    return text.mention_candidates(_said(t), _codes(t)).groupBy("article_id", "part", "code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select article_id, part, start, code, token, score from scored", **MENTIONS)
 def mention_context_score(t: Tables) -> DataFrame:
-    return text.mention_scores(text.mention_candidates(t.news(), _codes(t)))
+    return text.mention_scores(text.mention_candidates(_said(t), _codes(t))).select("article_id", "part", "start", "code", "token", "score")
 
 
-@query()
+@query("select article_id, array_to_string(mentions, ' ') as mentions from ranked", **MENTIONS)
 def mention_rank(t: Tables) -> DataFrame:
-    return text.ranked_mentions(text.mention_scores(text.mention_candidates(t.news(), _codes(t))))
+    found = text.ranked_mentions(text.mention_scores(text.mention_candidates(_said(t), _codes(t))))
+    return found.select("article_id", F.array_join("mentions", " ").alias("mentions"))
 
 
-@query()
+_ALL_TEXT = "concat_ws(' ', title, body_text)"
+
+
+@query(
+    f"""select article_id, source, case when lower(trim(regexp_replace(title, '{SPACE}', ' ', 'g'))) not in ('', 'nan', 'none', 'null', '<na>') then trim(regexp_replace(title, '{SPACE}', ' ', 'g')) end as title,
+        case when list_contains(mentions, ticker) then ticker else mentions[1] end as ticker, len(regexp_extract_all(concat_ws(' ', title, summary, body_text), '[^ \t\n\r\f\x0b]+'))::int as word_count, score::int as sentiment_score,
+        case when score > 0 then 'positive' when score < 0 then 'negative' else 'neutral' end as sentiment_label, cast({LOCAL} as date) as published_date
+        from (select *, ({_count_sql(text.POSITIVE)} - ({_count_sql(text.NEGATIVE)})) as score from (select *, lower({_ALL_TEXT}) as x from said left join ranked using (article_id)))""",
+    **MENTIONS,
+)
 def news_clean(t: Tables) -> DataFrame:
     """The cleaning of news as a whole: richest rows, mentions, primary ticker, words, sentiment, local day."""
     from quotemill.functions.rules import compact
     from quotemill.plans.silver import richest_article
 
-    n = richest_article(t.news())
+    n = richest_article(_said(t))
     found = text.ranked_mentions(text.mention_scores(text.mention_candidates(n, _codes(t))))
     n = n.drop("ticker_mentions").join(found.withColumnRenamed("mentions", "ticker_mentions"), "article_id", "left")
     score = text.sentiment(F.concat_ws(" ", "title", "body_text"))
-    return n.select("article_id", "source", compact("title").alias("title"), text.primary_ticker().alias("ticker"), text.word_count("title", "summary", "body_text").alias("word_count"), score.alias("sentiment_score"), text.label(score).alias("sentiment_label"), F.to_date(text.local_time("published_at")).alias("published_date"))
+    return n.select("article_id", "source", compact("title").alias("title"), text.primary_ticker().alias("ticker"), text.word_count("title", "summary", "body_text").cast("int").alias("word_count"), score.cast("int").alias("sentiment_score"), text.label(score).alias("sentiment_label"), F.to_date(text.local_time("published_at")).alias("published_date"))
 
 
 _BLOCKED = "(['" + "', '".join(text.BLOCKED) + "'])[(doc_id % 11 + 1)::int]"
