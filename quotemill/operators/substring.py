@@ -2,7 +2,7 @@
 
 ``write_index`` stores two folders.  ``texts`` holds the rows, sorted by ``slot`` (a hash of the row, about
 ``SLOT_ROWS`` rows each).  ``grams`` holds one row for each gram and slot with the hashes of the slot's rows that
-contain the gram, sorted by gram.  Both are range-partitioned, so the footers of their files say which row groups a
+contain the gram (two bytes each), sorted by gram.  Both are range-partitioned, so the footers of their files say which row groups a
 gram or a slot can lie in; a frequent gram is as many rows as there are slots, and no list is longer than its slot.
 
 ``search`` takes a pattern as ``ilike`` would between two percent signs.  The literal pieces between its wildcards give
@@ -39,9 +39,10 @@ def write_index(table: DataFrame, columns: tuple[str, ...], path: str, slot_rows
     """Store ``table`` and the index of its text ``columns`` under ``path``."""
     spark = table.sparkSession
     slots = max(1, -(-table.count() // slot_rows))
-    row = F.xxhash64(*(F.col(c).cast("string") for c in columns))
+    whole = F.xxhash64(*(F.col(c).cast("string") for c in columns))
+    row = F.shiftright(whole, 40).bitwiseAND(F.lit(0x7FFF)).cast("short")  # rows that share one are proposed together and judged apart
     own = F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("own")
-    rows = table.select(row.alias("row"), F.pmod(row, F.lit(slots)).alias("slot"), own)
+    rows = table.select(row.alias("row"), F.pmod(whole, F.lit(slots)).alias("slot"), own)
     rows.repartitionByRange("slot", "row").sortWithinPartitions("slot").write.parquet(f"{path}/texts")
     parts = tuple(f"own.{c}" for c in columns)
     grams = spark.read.parquet(f"{path}/texts").select("slot", "row", F.explode(_grams(parts)).alias("gram"))
