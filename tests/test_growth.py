@@ -20,3 +20,10 @@ def test_weights_beyond_the_decimal(spark):
     assert got["a"][1] == round(got["a"][0], 6) and got["b"][1] == round(got["b"][0], 6)
     assert got["c"][1] == got["c"][0] > 1e18 and got["d"][1] == float("inf")
     assert spark.sql("select double('nan') as x").select(rounded("x", 4).alias("x")).first()["x"] is None
+
+
+def test_articles_of_a_signal_beyond_the_decimal(spark):
+    lists = text.news_signal(text.weighted_articles(_facts(spark).where("article_id <> 'd'"), "1995-03-01 00:00:00").withColumn("trading_date", F.col("published_date")))
+    got = lists.select(F.from_json("top_articles", "array<struct<article_id: string, weight: double>>").alias("a")).first()["a"]
+    assert [x["article_id"] for x in got] == ["c", "a", "b"]
+    assert got[0]["weight"] > 1e18 > 3 > got[1]["weight"] > got[2]["weight"]
