@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill.functions.rules import normal_url
+from quotemill.operators.batches import small
 from quotemill.operators.keyed import ranked_dedupe, top_per_group
 
 BOXES = frozenset(("article", "main", "div", "section"))
@@ -202,7 +203,7 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     contents of JSON-LD scripts.  The texts of elements are spans of ``words`` (:func:`text_of`), so nested ones cost no copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, (html,)):  # the elements of a page take many times its bytes
             found = [_Pass().run(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
             words = pa.array([("".join(f"{w} " for w in f.words)).encode("utf-8", "replace") for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f.kept for f in found], _ARROW), words, pa.array([f.told for f in found], pa.list_(pa.string()))], [*batch.schema.names, "elements", "words", "told"])

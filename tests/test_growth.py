@@ -1,9 +1,14 @@
 """Results beyond the small tables: values that grow with the keys, and steps whose memory must not grow with the table."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quotemill.functions.rules import rounded
+from quotemill.functions.rules import nfc, rounded
+from quotemill.operators.batches import MOST_BYTES, small
 from quotemill.plans import text
+from quotemill.plans.pages import with_elements
 
 
 def _facts(spark):
@@ -27,3 +32,48 @@ def test_articles_of_a_signal_beyond_the_decimal(spark):
     got = lists.select(F.from_json("top_articles", "array<struct<article_id: string, weight: double>>").alias("a")).first()["a"]
     assert [x["article_id"] for x in got] == ["c", "a", "b"]
     assert got[0]["weight"] > 1e18 > 3 > got[1]["weight"] > got[2]["weight"]
+
+
+class _Batches:
+    """Stands in for a DataFrame: keeps the function of a task."""
+
+    def __init__(self, spark, schema):
+        self.sparkSession, self.schema, self.columns = spark, schema, schema.fieldNames()
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_elements_leave_a_task_in_small_batches(spark):
+    pages = _Batches(spark, T.StructType.fromDDL("page_id bigint, html string"))
+    with_elements(pages)
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(300)), "html": [f"<p>{i}" + " word" * 2000 for i in range(299)] + [None]})
+    out = list(pages.run(iter([batch])))
+    assert [i for b in out for i in b.column("page_id").to_pylist()] == list(range(300)) and len(out) >= 3
+    assert all(pc.sum(pc.binary_length(b.column("html"))).as_py() <= MOST_BYTES for b in out)
+
+
+def test_mentions_leave_a_task_in_small_batches(spark):
+    news = _Batches(spark, T.StructType.fromDDL("article_id string, title string, summary string, body_text string"))
+    text.mention_candidates(news, spark.createDataFrame([("ABC",)], "code string"))
+    many = lambda x: [x] * 300
+    batch = pa.RecordBatch.from_pydict({"article_id": [str(i) for i in range(300)], "title": many("ABC"), "summary": many(None), "body_text": many("ABC" + " word" * 2000)}, pa.schema([(c, pa.string()) for c in news.columns]))
+    out = list(news.run(iter([batch])))
+    found = [(a, p) for b in out for a, p in zip(b.column("article_id").to_pylist(), b.column("part").to_pylist(), strict=True)]
+    assert len(out) >= 3 and sorted(found) == sorted((str(i), p) for i in range(300) for p in (0, 2))
+
+
+def test_one_long_row_is_a_batch_of_its_own():
+    batch = pa.RecordBatch.from_pydict({"x": ["a", "b" * 50, None, "c", "d"]})
+    assert [b.column("x").to_pylist() for b in small(iter([batch, batch.slice(0, 0)]), ("x",), 10)] == [["a"], ["b" * 50], [None, "c", "d"]]
+
+
+def test_plain_text_never_reaches_the_normalisation(spark):
+    d = spark.createDataFrame([("plain",), ("e\u0301",), (None,), ("",)], "x string").select("x", nfc("x").alias("y"))
+    assert [r["y"] for r in d.collect()] == ["plain", "\u00e9", None, ""]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN" in plan[plan.index("ArrowEvalPython") :]
