@@ -77,3 +77,20 @@ def test_plain_text_never_reaches_the_normalisation(spark):
     assert [r["y"] for r in d.collect()] == ["plain", "\u00e9", None, ""]
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "CASE WHEN" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_year_of_an_attachment_in_any_century(spark):
+    listing = spark.createDataFrame([(1, "2120-05-01"), (2, "2015-05-01")], "k int, d string").select("k", F.lit("S1").alias("ticker"), F.lit("BCTC").alias("title"), F.to_timestamp("d").alias("published_at"))
+    pages = listing.select("k", F.lit("<a href='/a.pdf'>BCTC</a>").alias("html"))
+    year = lambda rows: {r["k"]: r["year"] for r in text.attachments(pages, rows, "k", "https://x.example").collect()}
+    assert year(listing) == {1: "2120", 2: "2015"}
+    assert year(listing.withColumn("published_at", F.date_format("published_at", "dd/MM/yyyy"))) == {1: None, 2: "2015"}
+
+
+def test_first_links_of_a_list_of_many_pages(spark):
+    item = lambda i: f"<li><a href='/p{i}'>page {i}</a></li>"
+    parts = [(1, 0, item(1) + item(2)), (1, 1, item(3) + "<li><a href=''>none</a></li>" + item(4)), (2, 0, item(2) + item(5))]
+    lists = spark.createDataFrame(parts, "list_id int, part int, html string").withColumn("url", F.lit("https://x.example/"))
+    pages = spark.createDataFrame([(i, f"https://x.example/p{i}", f"<p>{'word ' * 20}</p>") for i in range(1, 6)], "page_id int, url string, html string")
+    found = text.listed_articles(lists, pages, "li > a", {}, 4, part="part")
+    assert sorted((r["list_id"], r["page_id"]) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 5)]
