@@ -94,3 +94,23 @@ def test_first_links_of_a_list_of_many_pages(spark):
     pages = spark.createDataFrame([(i, f"https://x.example/p{i}", f"<p>{'word ' * 20}</p>") for i in range(1, 6)], "page_id int, url string, html string")
     found = text.listed_articles(lists, pages, "li > a", {}, 4, part="part")
     assert sorted((r["list_id"], r["page_id"]) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 5)]
+
+
+def test_document_rules_run_once_a_row_in_all_tasks(spark, tables):
+    from quotemill.plans.text_queries import doc_canonical_select, doc_classify, doc_list_filter
+
+    for query, most in ((doc_classify, 2), (doc_canonical_select, 2), (doc_list_filter, 2)):  # two texts a row; one in each of two modes
+        plan = query(tables)._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("translate(") <= most
+    for branch in doc_list_filter(tables)._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1:]:
+        assert "RepartitionByExpression" in branch  # the filter on texts stays above
+
+
+def test_document_rules_of_odd_rows(spark):
+    rows = [(None, None), ("", ""), ("BCTC Quý 1 2020", "https://x.example/a/b_EN.pdf"), ("BCTC nam", "plain_vi_.pdf"), ("Annual report", "https://x.example/2019/")]
+    d = spark.createDataFrame([(i, "S1", *r) for i, r in enumerate(rows)], "i int, ticker string, title string, url_pdf string")
+    got = {r["i"]: (r["doc_class"], r["language"], r["period_key"]) for r in text.classify_documents(d).collect()}
+    assert got == {0: ("unknown", "UNKNOWN", "UNKNOWN-GENERAL"), 1: ("unknown", "UNKNOWN", "UNKNOWN-GENERAL"), 2: ("unknown", "VI", "2020-Q1"), 3: ("unknown", "VI", "UNKNOWN-ANNUAL"), 4: ("unknown", "EN", "2019-ANNUAL")}
+    assert sorted((r["i"], r["year"]) for r in text.filter_document_list(d).collect()) == [(2, "2020"), (3, None)]
+    assert [r["i"] for r in text.filter_document_list(d, ["s1"], strict_annual=True).collect()] == [3]
+    assert text.filter_document_list(d, ["S2"]).count() == 0
