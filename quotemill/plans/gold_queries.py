@@ -86,8 +86,7 @@ def topk_per_group(t: Tables) -> DataFrame:
 
 @query(f"select p.ticker, p.trading_date, p.open, p.high, p.low, p.close, p.volume, p.value, i.obv, {_COLS.replace('cast(', 'cast(i.')} from price p left join indicators i on p.ticker = i.ticker and p.trading_date = i.trading_date", **VIEWS)
 def join_left_composite(t: Tables) -> DataFrame:
-    p = t.price()
-    return rounded_all(gold.fact_price(p, gold.price_indicators(p)), INDICATOR_COLUMNS)
+    return rounded_all(gold.price_facts(t.price()), INDICATOR_COLUMNS)
 
 
 _PIVOT = ", ".join(f"{n}_close, {r(f'{n}_return')} as {n}_return" for n in gold.INDEXES.values())

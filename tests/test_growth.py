@@ -114,3 +114,57 @@ def test_document_rules_of_odd_rows(spark):
     assert sorted((r["i"], r["year"]) for r in text.filter_document_list(d).collect()) == [(2, "2020"), (3, None)]
     assert [r["i"] for r in text.filter_document_list(d, ["s1"], strict_annual=True).collect()] == [3]
     assert text.filter_document_list(d, ["S2"]).count() == 0
+
+
+def _exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange" in line]
+
+
+def test_series_of_prices_cost_one_exchange(spark, tables):
+    from quotemill.plans.gold_queries import join_left_composite
+    from quotemill.plans.silver_queries import ratio_clean
+
+    composite = join_left_composite(tables)
+    assert len(_exchanges(composite)) == 1 and "Join" not in composite._jdf.queryExecution().executedPlan().toString()
+    ratios = ratio_clean(tables)
+    plan = ratios._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and len(_exchanges(ratios)) == 3
+
+
+def test_price_facts_equal_the_join(spark, tables):
+    from quotemill.plans import gold
+
+    p = tables.price().where("ticker < 'S00004'")
+    p = p.unionByName(p.limit(3).withColumn("ticker", F.lit(None).cast("string"))).localCheckpoint()
+    joined = gold.fact_price(p, gold.price_indicators(p))
+    rows = lambda df: sorted(map(repr, df.select(*joined.columns).collect()))
+    assert rows(gold.price_facts(p)) == rows(joined)
+
+
+def test_an_incremental_run_reads_new_rows_once(spark, tables, tmp_path):
+    from quotemill.operators import incremental
+
+    p = tables.price().where("ticker < 'S00006'")
+    p.unionByName(p.where("ticker = 'S00002'").withColumn("ticker", F.lit(None).cast("string"))).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    late = F.col("trading_date") > F.lit("1997-06-30").cast("date")
+    incremental.indicator_state(p.where(~late)).write.parquet(str(tmp_path / "s"))
+    state = spark.read.parquet(str(tmp_path / "s"))
+    out, after = incremental.advanced_indicators(state, p.where(late & (F.coalesce("ticker", F.lit("")) != "S00003")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2 and len(_exchanges(out)) == 1
+    out.write.parquet(str(tmp_path / "o"))
+    assert sorted(map(repr, incremental.state_after(state, spark.read.parquet(str(tmp_path / "o"))).collect())) == sorted(map(repr, after.collect()))
+    numbers = lambda df: sorted((r["ticker"] or "", r["trading_date"], r["row_num"], r["obv"]) for r in df.collect())
+    from quotemill.plans import gold
+
+    full = gold.price_indicators(p).where(late & (F.coalesce("ticker", F.lit("")) != "S00003"))
+    assert numbers(out) == numbers(full)
+
+
+def test_the_latest_row_of_a_ratio_wins_before_it_is_unpivoted(spark):
+    from quotemill.plans import silver
+
+    wide = spark.createDataFrame([("a", "X", "1", 1.0, 2.0, None), ("A", "x", "2", None, 5.0, 7.0), ("b", "x", "1", 3.0, None, None), (None, "x", "1", 3.0, None, None)], "ticker string, item_code string, snapshot string, `2020-Q1` double, `2020-Q1_1` double, `2020-year` double")
+    got = {(r["ticker"], r["item_code"], r["period"]): (r["value"], r["snapshot"]) for r in silver.clean_ratio(wide).collect()}
+    assert got == {("A", "x", "2020-Q1"): (5.0, "2"), ("A", "x", "2020-year"): (7.0, "2"), ("B", "x", "2020-Q1"): (None, "1"), ("B", "x", "2020-year"): (None, "1")}
+    assert silver.clean_ratio(wide)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
