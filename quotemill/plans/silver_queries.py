@@ -101,7 +101,7 @@ def wide_ratio(t: Tables) -> DataFrame:
     periods = [f"{y}-Q{q}" for y in range(1992, 2000) for q in (1, 2, 3, 4)]
     w = r.withColumn("p", name).groupBy("ticker", "item_code").pivot("p", periods).agg(F.max("value"))
     w = w.withColumns({"1996-Q4_1": F.col("`1996-Q4`") + 1, "1996-year": F.col("`1996-Q1`")})
-    return w.withColumn("snapshot", F.lit("2024-01-01")).unionByName(w.withColumn("snapshot", F.lit("2024-02-01")))
+    return w.withColumn("snapshot", F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-02-01"))))  # made once, not once for each
 
 
 _LONG = {
