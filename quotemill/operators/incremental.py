@@ -36,15 +36,17 @@ def advanced_indicators(state: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
 
     ``new`` has ticker, trading_date, close, volume, one row for each key; rows on or before a ticker's last day are left out
     (see :func:`quotemill.operators.keyed.late_rows`).  The second result holds the tickers with new rows, to be merged into a stored state."""
-    s = state.select("ticker", "rows_seen", F.col("obv").alias("obv_seen"), "last_day", "kept")
-    new = new.select("ticker", "trading_date", "close", "volume").join(s.select("ticker", "last_day"), "ticker", "left")
-    new = new.where("last_day is null or trading_date > last_day").drop("last_day")
-    fresh = s.join(new.select("ticker").distinct(), "ticker", "left_semi")
-    known = fresh.select("ticker", F.inline("kept"))
-    local = gold.price_indicators(known.unionByName(new)).join(fresh.select("ticker", "rows_seen", "obv_seen", "last_day"), "ticker", "left")
+    seen_of = {"rows_seen": "bigint", "obv_seen": "bigint", "last_day": "date"}
+    known = state.select("ticker", F.inline("kept"), "rows_seen", F.col("obv").alias("obv_seen"), "last_day", F.lit(False).alias("is_new"))
+    new = new.select("ticker", "trading_date", "close", "volume", *(F.lit(None).cast(kind).alias(c) for c, kind in seen_of.items()), F.lit(True).alias("is_new"))
+    # one exchange and one sort by (ticker, day) serve these windows and those of the indicators
+    whole = gold.series().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    both = known.unionByName(new).withColumns({c: F.max(c).over(whole) for c in seen_of})
+    both = both.where("not is_new or last_day is null or trading_date > last_day").withColumn("any_new", F.max("is_new").over(whole)).where("any_new")
+    local = gold.price_indicators(both, keep=tuple(seen_of))
     # numbers and balances go on from those of the last row that was seen
     seen = F.when(F.col("trading_date") == F.col("last_day"), F.struct("row_num", "obv"))
-    at_last = F.max(seen).over(W.partitionBy("ticker"))
+    at_last = F.max(seen).over(whole)
     local = local.withColumn("at_last", at_last)
     moved = local.withColumns({
         "row_num": F.col("row_num") + F.coalesce(F.col("rows_seen") - F.col("at_last.row_num"), F.lit(0)),
@@ -54,6 +56,14 @@ def advanced_indicators(state: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
     return out, _state(moved.select("ticker", "trading_date", "close", "volume", "row_num", "obv"))
 
 
+def state_after(state: DataFrame, done: DataFrame) -> DataFrame:
+    """The second result of :func:`advanced_indicators`, from its first one as stored: nothing is computed again."""
+    known = state.select("ticker", "rows_seen", "obv", F.size("kept").alias("n"), F.posexplode("kept").alias("at", "row"))
+    known = known.select("ticker", "row.trading_date", "row.close", "row.volume", (F.col("rows_seen") - F.col("n") + F.col("at") + 1).alias("row_num"), "obv", F.lit(False).alias("is_new"))
+    both = known.unionByName(done.select("ticker", "trading_date", "close", "volume", "row_num", "obv", F.lit(True).alias("is_new")))
+    return _state(both.withColumn("any_new", F.max("is_new").over(W.partitionBy("ticker"))).where("any_new"))
+
+
 def market_overview(price: DataFrame, index: DataFrame, done) -> DataFrame:
     """The overview of the days after ``done``; returns of the first new day reach back to each key's last session before."""
     if done is None:

@@ -264,9 +264,10 @@ def incr_lookback(t: Tables) -> DataFrame:
     new = t.price().where(f"trading_date > {D}")
     path = sinks.scratch(t.spark, "state")
     sinks.overwrite_partitions(sinks.stored_table(t.spark, _indicator_state(t)), path, "part")
-    first, state = incremental.advanced_indicators(sinks.stored_table(t.spark, path), new.where("trading_date <= '1997-12-10'"))
+    first, _ = incremental.advanced_indicators(sinks.stored_table(t.spark, path), new.where("trading_date <= '1997-12-10'"))
     done = sinks.scratch(t.spark, "indicators")
     sinks.append(first, done)
+    state = incremental.state_after(sinks.stored_table(t.spark, path), t.spark.read.parquet(done))
     sinks.merge_partitions(state.withColumn("part", F.pmod(F.xxhash64("ticker"), F.lit(8))), path, ["ticker"], "part")
     second, _ = incremental.advanced_indicators(sinks.stored_table(t.spark, path), new.where("trading_date >= '1997-12-01'"))
     sinks.append(second, done)
