@@ -1,12 +1,13 @@
 """Substring search over stored texts: an index of three-letter grams proposes rows, LIKE itself verifies them.
 
-``write_index`` stores two folders.  ``texts`` holds the rows, sorted by ``slot`` (a hash of the row, about
-``SLOT_ROWS`` rows each).  ``grams`` holds one row for each gram and slot with the hashes of the slot's rows that
-contain the gram (two bytes each), sorted by gram.  Both are range-partitioned, so the footers of their files say which row groups a
-gram or a slot can lie in; a frequent gram is as many rows as there are slots, and no list is longer than its slot.
+``write_index`` stores two folders.  ``texts`` holds the rows as they come, numbered: ``slot`` counts runs of ``SLOT_ROWS``
+rows, ``row`` the rows of a slot.  They are neither counted nor shuffled for that, and no file holds more than a few slots.  ``grams`` holds
+lists of rows: for each gram and piece of a slot (about ``MOST_BYTES`` of text, made in one task) the rows of the piece that
+contain the gram.  A gram is stored as one number whose order is that of its letters.  Lists are dealt by gram and block of slots and sorted by
+gram in each file, so the files' page indexes say where a gram lies; a frequent gram is many short lists, and no task gets all of them.
 
 ``search`` takes a pattern as ``ilike`` would between two percent signs.  The literal pieces between its wildcards give
-grams; rows that hold all of them are proposed, fetched by slot, and judged by ``ilike``.  A pattern whose pieces are all
+grams; rows that hold all of them are proposed as bits (one word for 64 rows), fetched by slot, and judged by ``ilike``.  A pattern whose pieces are all
 shorter than three letters asks for all grams that begin with its longest piece (texts end in two blanks of their own, so that
 their last letters begin grams too); one without any letter reads the texts.
 
@@ -16,38 +17,88 @@ columns beyond the indexed ones are kept as they are; empty tables give none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a slot, about: the bound of a list of the index.
+from quotemill.operators.batches import small
+from quotemill.sources import sinks
+
+#: Rows of a slot: the bound of a list of the index.
 SLOT_ROWS = 4096
+#: Slots of a file of the texts, so that few large input files do not become few tasks.
+FILE_SLOTS = 2
+#: Slots whose lists of one gram are dealt to one task.
+BLOCK_SLOTS = 256
+#: Bytes of text whose lists are made at once; a longer text is alone.
+MOST_BYTES = 4 << 20
 #: Grams of a pattern that are looked up; a longer one takes them in equal steps, as ``ilike`` judges what they propose.
 MOST_GRAMS = 8
 #: Slots that are named in the filter of the scan of the texts; beyond them the join alone picks rows.
 MOST_SLOTS = 1000
 #: Ends a column inside the indexed text; a NUL is no letter of a text that is searched.
 _END = "\x00\x00"
-
-
-def _grams(columns: tuple[str, ...]) -> Column:
-    """The different grams of all columns, in lower case; linear in the text."""
-    whole = F.concat(*(F.concat(F.lower(F.coalesce(c, F.lit(""))), F.lit(_END)) for c in columns))
-    return F.array_distinct(F.regexp_extract_all(whole, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+#: Bits of a letter in the number of a gram.
+_LETTER = 21
+
+
+def _whole(columns: tuple[str, ...]) -> Column:
+    """The indexed text: all columns in lower case, each with its end."""
+    return F.concat(*(F.concat(F.lower(F.coalesce(c, F.lit(""))), F.lit(_END)) for c in columns))
+
+
+def gram_number(gram: str) -> int:
+    """The number of a gram; a shorter beginning of grams has the least number of them."""
+    codes = [ord(c) for c in gram] + [0] * (3 - len(gram))
+    return codes[0] << 2 * _LETTER | codes[1] << _LETTER | codes[2]
+
+
+def _lists(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """gram, slot, rows of the texts of one batch, each list once."""
+    letters = np.frombuffer("".join(batch["text"].to_pylist()).encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False)
+    known = np.zeros(1 << _LETTER, bool)
+    known[letters] = True
+    alphabet = np.flatnonzero(known)
+    wide, deep = max(1, int(len(alphabet) - 1).bit_length()), int(batch.num_rows - 1).bit_length()
+    if 3 * wide + deep > 63:  # more letters than fit a number beside the row; a single text always fits
+        half = batch.num_rows // 2
+        yield from _lists(batch.slice(0, half))
+        yield from _lists(batch.slice(half))
+        return
+    dense = np.zeros(1 << _LETTER, np.int64)
+    dense[alphabet] = np.arange(len(alphabet))
+    at, own = dense[letters], np.repeat(np.arange(batch.num_rows), lengths)
+    pairs = ((at[:-2] << 2 * wide | at[1:-1] << wide | at[2:]) << deep | own[:-2])[own[:-2] == own[2:]]
+    pairs.sort()
+    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+    slots, rows = batch["slot"].to_numpy(), batch["row"].to_numpy()
+    gram, place = pairs >> deep, pairs & ((1 << deep) - 1)
+    first = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(slots[place], prepend=-1) != 0))
+    gram, one = gram[first], (1 << wide) - 1
+    number = alphabet[gram >> 2 * wide] << 2 * _LETTER | alphabet[gram >> wide & one] << _LETTER | alphabet[gram & one]
+    lists = pa.ListArray.from_arrays(np.append(first, len(pairs)).astype(np.int32), rows[place])
+    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(slots[place[first]]), lists], ["gram", "slot", "rows"])
+
+
+def _all_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches, ("text",), MOST_BYTES):
+        yield from _lists(batch)
 
 
 def write_index(table: DataFrame, columns: tuple[str, ...], path: str, slot_rows: int = SLOT_ROWS) -> None:
     """Store ``table`` and the index of its text ``columns`` under ``path``."""
     spark = table.sparkSession
-    slots = max(1, -(-table.count() // slot_rows))
-    whole = F.xxhash64(*(F.col(c).cast("string") for c in columns))
-    row = F.shiftright(whole, 40).bitwiseAND(F.lit(0x7FFF)).cast("short")  # rows that share one are proposed together and judged apart
     own = F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("own")
-    rows = table.select(row.alias("row"), F.pmod(whole, F.lit(slots)).alias("slot"), own)
-    rows.repartitionByRange("slot", "row").sortWithinPartitions("slot").write.parquet(f"{path}/texts")
-    parts = tuple(f"own.{c}" for c in columns)
-    grams = spark.read.parquet(f"{path}/texts").select("slot", "row", F.explode(_grams(parts)).alias("gram"))
-    lists = grams.groupBy("gram", "slot").agg(F.collect_set("row").alias("rows"))  # at most a slot's rows
-    lists.repartitionByRange("gram", "slot").sortWithinPartitions("gram", "slot").write.parquet(f"{path}/grams")
+    rows = table.select(own).withColumn("id", F.monotonically_increasing_id()).select(F.expr(f"id div {slot_rows}").alias("slot"), (F.col("id") % slot_rows).cast("short").alias("row"), "own")
+    rows.write.option("maxRecordsPerFile", FILE_SLOTS * slot_rows).parquet(f"{path}/texts")
+    texts = spark.read.schema(rows.schema).parquet(f"{path}/texts")
+    lists = texts.select("slot", "row", _whole(tuple(f"own.{c}" for c in columns)).alias("text")).mapInArrow(_all_lists, "gram long, slot long, rows array<short>")
+    lists.repartition("gram", F.expr(f"slot div {BLOCK_SLOTS}")).sortWithinPartitions("gram", "slot").write.parquet(f"{path}/grams")
 
 
 def pieces(pattern: str) -> list[str]:
@@ -74,17 +125,26 @@ def wanted_grams(pattern: str, most: int = MOST_GRAMS) -> list[str]:
 
 
 def proposed(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
-    """slot, row of the rows that can match; None where the pattern says nothing about letters."""
+    """slot, word, bits of the rows that can match, row r of a slot as bit r % 64 of word r div 64; None where the pattern says nothing about letters."""
     low = spark.sql("select lower(:p) as p", args={"p": pattern}).first()["p"]  # one literal, in the letters of ``ilike``
-    grams, index = wanted_grams(low), spark.read.parquet(f"{path}/grams")
+    grams, index = [gram_number(g) for g in wanted_grams(low)], spark.read.schema("gram long, slot long, rows array<short>").parquet(f"{path}/grams")
     if grams:
-        lists = index.where(F.col("gram").isin(*grams)).groupBy("slot").agg(F.collect_list("rows").alias("lists"))
-        both = F.reduce(F.slice("lists", 2, len(grams)), F.get("lists", F.lit(0)), F.array_intersect)
-        return lists.where(F.size("lists") == len(grams)).select("slot", F.explode(both).alias("row"))
-    short = max(pieces(low), key=len, default="")
-    if not short:
-        return None
-    return index.where(F.col("gram").startswith(short)).select("slot", F.explode("rows").alias("row")).distinct()
+        index = index.where(F.col("gram").isin(*grams))
+    else:
+        short = max(pieces(low), key=len, default="")
+        if not short:
+            return None
+        first = gram_number(short)
+        index = index.where(F.col("gram").between(first, first + (1 << (3 - len(short)) * _LETTER) - 1))
+    bit = F.expr("shiftleft(1L, row & 63)")
+    words = index.select("slot", "gram", F.explode("rows").alias("row")).groupBy("slot", F.shiftright("row", 6).alias("word"))
+    if not grams:
+        return words.agg(F.bit_or(bit).alias("bits"))
+    held = words.agg(*(F.bit_or(F.when(F.col("gram") == g, bit)).alias(f"held{i}") for i, g in enumerate(grams)))
+    bits = F.lit(-1).cast("long")
+    for i in range(len(grams)):
+        bits = bits.bitwiseAND(F.col(f"held{i}"))
+    return held.select("slot", "word", bits.alias("bits")).where("bits <> 0")  # null where a gram is in none of the rows
 
 
 def search(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: str, most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -92,12 +152,15 @@ def search(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: st
     texts = spark.read.parquet(f"{path}/texts")
     found = proposed(spark, path, pattern)
     if found is not None:
+        at = sinks.scratch(spark, "found")  # stored, as it is read twice, and its size decides whether the texts must be shuffled to meet it
+        found.write.parquet(at)
+        found = spark.read.schema(found.schema).parquet(at)
         slots = [r["slot"] for r in found.select("slot").distinct().limit(most_slots + 1).collect()]  # bounded
         if not slots:
             return texts.limit(0).select("own.*")
         if len(slots) <= most_slots:
             texts = texts.where(F.col("slot").between(min(slots), max(slots)) & F.col("slot").isin(*slots))
-        texts = texts.join(found, ["slot", "row"], "left_semi")
+        texts = texts.withColumn("word", F.shiftright("row", 6)).join(found, ["slot", "word"]).where(F.getbit("bits", F.expr("row & 63")) == 1)
     match = F.lit(False)
     for c in columns:
         match = match | F.coalesce(F.col(f"own.{c}").ilike(f"%{pattern}%"), F.lit(False))

@@ -1,9 +1,11 @@
 """The index of three-letter grams against ``ilike`` over all texts."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import substring
+from quotemill.operators.batches import small
 from quotemill.plans import serve
 from quotemill.sources import sinks
 
@@ -65,3 +67,29 @@ def test_articles_by_index(spark, tables):
             scan = serve.articles(facts(tables), search=words, sentiment="positive", number=number)
             by_index = serve.articles_by_index(spark, out, words, sentiment="positive", number=number)
             assert scan.columns == by_index.columns and scan.collect() == by_index.collect()
+
+
+def test_rows_are_made_once(spark, table):
+    """No count, no sample of ranges: what makes the rows runs once for each."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(title):
+        made.add(1)
+        return title
+
+    out = sinks.scratch(spark, "grams")
+    substring.write_index(table.withColumn("title", seen.asNondeterministic()("title")), COLUMNS, out)
+    assert made.value == len(ROWS)
+
+
+def test_lists_of_small_pieces():
+    """Every text's grams, in pieces of one or many texts, and with more letters than fit a number beside the row."""
+    many = "".join(chr(0x20000 + i) for i in range(40000)) + "".join(chr(0x1000 + i) for i in range(40000))
+    texts = ["abc\0\0", "abcabd\0\0", "\0\0", "😀x😀\0\0", many + "\0\0", "abc\0\0"]
+    batch = pa.record_batch({"slot": pa.array([0, 0, 0, 1, 1, 1]), "row": pa.array([0, 1, 2, 0, 1, 2], pa.int16()), "text": texts})
+    wanted = {(substring.gram_number(t[i : i + 3]), s, r) for t, s, r in zip(texts, batch["slot"].to_pylist(), batch["row"].to_pylist(), strict=True) for i in range(len(t) - 2)}
+    for most in (1, 20, 1 << 20):
+        lists = [x for b in small([batch], ("text",), most) for part in substring._lists(b) for x in part.to_pylist()]
+        got = [(x["gram"], x["slot"], r) for x in lists for r in x["rows"]]
+        assert len(got) == len(wanted) and set(got) == wanted
