@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files of a folder of :func:`write_files`: folders are listed in parallel.
+FOLDER_FILES = 2000
+
+
+def write_files(rows: DataFrame, name: str, content: str, path: str, folder_files: int = FOLDER_FILES) -> int:
+    """One file with the column ``content`` (null: empty) for each row, in numbered folders under ``path``; how many were written.
+
+    Tasks write the files through Arrow, to any shared folder that it knows (``file:``, ``hdfs:``, ``s3:``), and give them their name (that of the column
+    ``name``, behind the row's number, so that rows of one name do not meet) when they are whole; a task that is run again writes the same files."""
+    number = F.monotonically_increasing_id().alias("number")
+    cut = F.shiftright("number", 33).alias("part"), F.expr(f"(number & {(1 << 33) - 1}) div {folder_files}").alias("run")
+    dealt = rows.select(number, F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"), F.col(content).cast("binary").alias("content")).select("number", *cut, "name", "content")
+
+    def save(batches):
+        at, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for folder in {f"{root}/{p}-{r}" for p, r in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), strict=True)}:
+                at.create_dir(folder)
+            for row in batch.to_pylist():
+                folder, own = f"{root}/{row['part']}-{row['run']}", f"{row['number']}-{row['name']}"
+                held = f"{folder}/.{own}.{uuid.uuid4().hex}"  # hidden from readers
+                with at.open_output_stream(held) as out:
+                    out.write(row["content"] or b"")
+                at.move(held, f"{folder}/{own}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    at, root = fs.FileSystem.from_uri(path)
+    at.create_dir(root)  # there without any row, too
+    tasks = rows.sparkSession.sparkContext.defaultParallelism  # the rows of many small files are few bytes, which would be one task
+    return dealt.repartition(tasks, "part", "run").mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

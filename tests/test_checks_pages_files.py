@@ -3,13 +3,15 @@
 import datetime as dt
 import os
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import quality
 from quotemill.plans import serve, text
-from quotemill.sources import datasets
+from quotemill.sources import datasets, sinks
+from quotemill.sources.proxy import Tables
 
 
 def test_ten_rules_in_one_scan(spark, tmp_path):
@@ -101,3 +103,23 @@ def test_many_keywords_in_one_pass(spark):
     assert got == [None if t is None else sum(v * count(t, w) for w, v in weights.items()) for t in texts]
     low = "giá tăng, lợi nhuận sụt giảm, thua lỗ; lãi tăng vượt kỷ lục"
     assert spark.range(1).select(text.sentiment(F.lit(low.upper()))).first()[0] == sum(low.count(w) for w in text.POSITIVE) - sum(low.count(w) for w in text.NEGATIVE)
+
+
+def test_written_files(spark, tmp_path):
+    """A file for each row, of the same name or none, empty ones too, in folders of a bound; none hidden is left."""
+    rows = [(f"n{i % 3}.txt", None if i == 5 else f"row {i}") for i in range(20)] + [(None, "no name")]
+    df = spark.createDataFrame(rows, "name string, content string").coalesce(1)
+    assert sinks.write_files(df, "name", "content", f"file:{tmp_path}/a", folder_files=4) == 21
+    found = [(d, f) for d, _, fs in os.walk(tmp_path / "a") for f in fs]
+    assert len(found) == 21 and not any(f.startswith(".") for _, f in found) and max(Counter(d for d, _ in found).values()) == 4
+    assert sorted(bytes(r["content"]).decode() for r in datasets.files(spark, f"file:{tmp_path}/a").collect()) == sorted(c for _, c in rows if c)
+    assert sinks.write_files(df.limit(0), "name", "content", f"file:{tmp_path}/b") == 0 and datasets.files(spark, f"file:{tmp_path}/b").count() == 0
+
+
+def test_file_scan_of_repeated_keys(spark, tmp_path):
+    """Two suppliers of one key are two files, as they are two rows of the SQL."""
+    from quotemill.plans.text_queries import pdf_file_scan
+
+    name = "Supplier of a name that is long enough to be read as a file of its own"
+    spark.createDataFrame([(4, name, 1), (4, name + "s", 2), (8, name, 3)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [r["s_suppkey"] for r in pdf_file_scan(Tables(spark, str(tmp_path))).orderBy("s_suppkey").collect()] == [4, 4, 8]
