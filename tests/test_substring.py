@@ -93,3 +93,12 @@ def test_lists_of_small_pieces():
         lists = [x for b in small([batch], ("text",), most) for part in substring._lists(b) for x in part.to_pylist()]
         got = [(x["gram"], x["slot"], r) for x in lists for r in x["rows"]]
         assert len(got) == len(wanted) and set(got) == wanted
+
+
+@pytest.mark.parametrize("pattern", ["t_e", "needle"])
+def test_texts_meet_few_words_without_a_shuffle(spark, path, pattern):
+    """What is proposed is stored, a word for 64 rows, so its size is known before the texts are read."""
+    words = substring.proposed(spark, path, pattern).collect()
+    assert words and len({(w["slot"], w["word"]) for w in words}) == len(words)
+    plan = substring.search(spark, path, COLUMNS, pattern)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
