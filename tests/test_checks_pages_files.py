@@ -121,5 +121,5 @@ def test_file_scan_of_repeated_keys(spark, tmp_path):
     from quotemill.plans.text_queries import pdf_file_scan
 
     name = "Supplier of a name that is long enough to be read as a file of its own"
-    spark.createDataFrame([(4, name, 1), (4, name + "s", 2), (8, name, 3)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(4, name, 1), (4, name + "s", 2), (8, name, 3)], "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     assert [r["s_suppkey"] for r in pdf_file_scan(Tables(spark, str(tmp_path))).orderBy("s_suppkey").collect()] == [4, 4, 8]
