@@ -40,6 +40,8 @@ MOST_BYTES = 4 << 20
 MOST_GRAMS = 8
 #: Slots that are named in the filter of the scan of the texts; beyond them the join alone picks rows.
 MOST_SLOTS = 1000
+#: Words (24 bytes each) that are sent to all tasks, so that the texts are not shuffled to meet them; beyond them the planner decides.
+MOST_WORDS = 1 << 18
 #: Ends a column inside the indexed text; a NUL is no letter of a text that is searched.
 _END = "\x00\x00"
 #: Bits of a letter in the number of a gram.
@@ -147,9 +149,14 @@ def proposed(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
     return held.select("slot", "word", bits.alias("bits")).where("bits <> 0")  # null where a gram is in none of the rows
 
 
-def search(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: str, most_slots: int = MOST_SLOTS) -> DataFrame:
-    """The stored rows in which one of ``columns`` holds the pattern, in any case."""
-    texts = spark.read.parquet(f"{path}/texts")
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """slot, row and, as ``own``, the columns of the table that was indexed."""
+    return spark.read.parquet(f"{path}/texts")
+
+
+def matches(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: str, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """As :func:`stored`, the rows in which one of ``columns`` holds the pattern, in any case."""
+    texts = stored(spark, path)
     found = proposed(spark, path, pattern)
     if found is not None:
         at = sinks.scratch(spark, "found")  # stored, as it is read twice, and its size decides whether the texts must be shuffled to meet it
@@ -157,11 +164,18 @@ def search(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: st
         found = spark.read.schema(found.schema).parquet(at)
         slots = [r["slot"] for r in found.select("slot").distinct().limit(most_slots + 1).collect()]  # bounded
         if not slots:
-            return texts.limit(0).select("own.*")
+            return texts.limit(0)
         if len(slots) <= most_slots:
             texts = texts.where(F.col("slot").between(min(slots), max(slots)) & F.col("slot").isin(*slots))
+        if found.count() <= MOST_WORDS:
+            found = F.broadcast(found)
         texts = texts.withColumn("word", F.shiftright("row", 6)).join(found, ["slot", "word"]).where(F.getbit("bits", F.expr("row & 63")) == 1)
     match = F.lit(False)
     for c in columns:
         match = match | F.coalesce(F.col(f"own.{c}").ilike(f"%{pattern}%"), F.lit(False))
-    return texts.where(match).select("own.*")
+    return texts.where(match).select("slot", "row", "own")
+
+
+def search(spark: SparkSession, path: str, columns: tuple[str, ...], pattern: str, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """The indexed table's rows in which one of ``columns`` holds the pattern, in any case."""
+    return matches(spark, path, columns, pattern, most_slots).select("own.*")

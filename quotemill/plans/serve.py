@@ -151,6 +151,28 @@ def index_articles(facts: DataFrame, path: str) -> None:
     substring.write_index(facts, ARTICLE_TEXTS, path)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Stored rows with their place in the index."""
+    return rows.select(F.col("slot").alias("__slot"), F.col("row").alias("__row"), "own.*")
+
+
+def index_news(news: DataFrame, path: str) -> None:
+    """Stores news for :func:`news_by_index`: each text once, whatever its tickers.  Only keys are shuffled to say which row counts
+    where several have one article and ticker; those that have a single row are not noted."""
+    substring.write_index(news.where("published_date is not null and article_id is not null and trim(coalesce(title, '')) <> ''"), ARTICLE_TEXTS, path)
+    codes = text.article_codes(_placed(substring.stored(news.sparkSession, path)))
+    first = codes.groupBy("article_id", "ticker").agg(F.count("*").alias("n"), F.min(F.struct(*text.article_order(), "__slot", "__row")).alias("first"))
+    first.where("n > 1").select("article_id", "ticker", F.col("first.__slot").alias("__first_slot"), F.col("first.__row").alias("__first_row")).write.parquet(f"{path}/repeated")
+
+
+def news_by_index(spark: SparkSession, path: str, search: str, **conditions) -> DataFrame:
+    """As :func:`articles` of a row for each article and ticker, from what :func:`index_news` stored: matching texts get their tickers when they are found."""
+    codes = text.article_codes(_placed(substring.matches(spark, path, ARTICLE_TEXTS, search)))
+    counts = F.col("__first_slot").isNull() | ((F.col("__slot") == F.col("__first_slot")) & (F.col("__row") == F.col("__first_row")))
+    facts = codes.join(spark.read.parquet(f"{path}/repeated"), ["article_id", "ticker"], "left").where(counts)
+    return articles(facts.select(*(c for c in codes.columns if c not in ("__slot", "__row"))), **conditions)
+
+
 def articles_by_index(spark: SparkSession, path: str, search: str, **conditions) -> DataFrame:
     """As :func:`articles`, but the texts are looked up in a stored index of grams and only rows that it proposes are read."""
     return articles(substring.search(spark, path, ARTICLE_TEXTS, search), **conditions)

@@ -104,8 +104,8 @@ def q_news_articles(t: Tables) -> DataFrame:
 def q_news_indexed(t: Tables) -> DataFrame:
     """By the index of grams, which is stored first."""
     path = sinks.scratch(t.spark, "articles")
-    serve.index_articles(facts(t), path)
-    return serve.articles_by_index(t.spark, path, "o_an").select("article_id", "ticker", "source", "published_at")
+    serve.index_news(t.news(), path)
+    return serve.news_by_index(t.spark, path, "o_an").select("article_id", "ticker", "source", "published_at")
 
 
 @query(f"select article_id, ticker, published_at from facts {_ORDER} limit 50", **NEWS)

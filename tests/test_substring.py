@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import substring
 from quotemill.operators.batches import small
-from quotemill.plans import serve
+from quotemill.plans import serve, text
+from quotemill.plans.serve_queries import q_news_indexed
 from quotemill.sources import sinks
 
 COLUMNS = ("title", "body")
@@ -102,3 +103,49 @@ def test_texts_meet_few_words_without_a_shuffle(spark, path, pattern):
     assert words and len({(w["slot"], w["word"]) for w in words}) == len(words)
     plan = substring.search(spark, path, COLUMNS, pattern)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+
+#: article_id, doc_id, ticker, mentions, title, summary, body, source, day.  "a" and "b" have several rows for one ticker, of which one counts before anything is searched.
+NEWS = [
+    ("a", 2, "S1", ["S2", " S1 "], "plain", "no code", "old Needle", "src2", 1), ("a", 1, "S1", None, "plain", "no code", "new text", "src2", 2), ("a", 3, "S2", [], "about s2", "needle", "third", "src9", 3),
+    ("b", 5, "S1", ["S3"], "x", None, "needle one", None, 1), ("b", 4, None, ["S1", None, ""], "x", None, "needle two", "src1", 1), ("b", 5, "S1", ["S3"], " ", None, "no title: needle", None, 1),
+    ("c", 6, "", ["S4"], "needle", "s4", None, "src1", None), ("d", 7, "", None, "needle", "no ticker", None, "src1", 2), (None, 8, "S1", None, "needle", None, None, "src1", 2), ("e", 9, "S1", ["S5"], "nee%dle", "s5 NEEDLE", "b", "src3", 2),
+]
+
+
+def test_news_by_index_equals_scan(spark):
+    """Texts that are stored once, with their tickers given when they are found, against rows of articles and tickers."""
+    d = spark.createDataFrame(NEWS, "article_id string, doc_id long, ticker string, ticker_mentions array<string>, title string, summary string, body_text string, source string, day int")
+    news = d.withColumn("published_date", F.when(F.col("day").isNotNull(), F.date_add(F.lit("1995-01-01").cast("date"), "day"))).withColumn("published_at", F.when(F.col("day") != 2, F.timestamp_seconds(F.col("day") * 86400)))
+    for table in (news, news.where("doc_id > 8"), news.limit(0)):
+        out, every = sinks.scratch(spark, "news"), text.article_tickers(table)
+        serve.index_news(table, out)
+        for words in ("needle", "e", "ne_dl", "nee\\%", "new", "%", "zzqq"):
+            for more in ({}, {"symbol": "s1"}, {"source": "src2"}, {"number": 2, "size": 2}):
+                scan, by_index = serve.articles(every, search=words, **more), serve.news_by_index(spark, out, words, **more)
+                assert scan.columns == by_index.columns and scan.collect() == by_index.collect(), (words, more)
+
+
+def test_query_stores_each_text_once(spark, tables, monkeypatch):
+    """Not once for each of its tickers, and no text is shuffled on its way to the index."""
+    paths, plans, write = [], [], substring.write_index
+
+    def seen(table, columns, path, *args):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        paths.append(path)
+        write(table, columns, path, *args)
+
+    monkeypatch.setattr(substring, "write_index", seen)
+    assert q_news_indexed(tables).collect()
+    texts = spark.read.parquet(f"{paths[0]}/texts")
+    assert texts.count() == tables.news().where("trim(title) <> ''").count() and "hashpartitioning" not in plans[0]
+
+
+def test_few_words_are_sent_whatever_the_planner_takes_for_small(spark, path):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = substring.search(spark, path, COLUMNS, "needle")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
