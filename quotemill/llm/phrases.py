@@ -12,6 +12,9 @@ of k words that are frequent over all shards follow each other.  Frequent words
 these.  Up to ``KNOWN_TO_ALL`` frequent words (or phrases of a length) are sent to all tasks; where there are more they are joined to the shards
 that hold them, behind a table of at most 8 MB of hash bits that spares most rare ones that shuffle.  The result is the same.
 
+Spark reads up to 4,096 rows of a file at once, whatever their bytes, so a stored file holds one shard, or the phrases and texts of
+``SHARDS_IN_FILE``.
+
 The score of a phrase is its lowest over all cuts into two parts, floor(1000 a n / (l r)) in decimals of 38 digits.
 
 Defined results: a null lang is ``und``; null and empty texts have no words; repeated rows count each time; a table without
@@ -39,6 +42,7 @@ SHARD_BYTES = 16 << 20
 LEAST, WORDS, REPORTED = 100, 5, 2000
 #: Frequent words, or phrases of a length, that are sent to all tasks (and 32 times as many bytes of words); more are joined to shards.
 KNOWN_TO_ALL = 1_000_000
+SHARDS_IN_FILE = 4
 UNKNOWN_LANG = "und"
 #: Bytes that end pieces, and bytes of words.
 PIECE_END = byte_table([*b".,;:!?", *range(0x0A, 0x0E)])
@@ -119,7 +123,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[n
 
 
 def shards(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
-    """One row for each shard: shard, ids (of its texts), and its words with their counts and languages: words, counts, lang_of, langs."""
+    """One row for each shard: shard, ids (of its texts, packed), and its words with their counts and languages: words, counts, lang_of, langs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -132,7 +136,7 @@ def shards(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
                 if shard:
                     words, lang, count, ids = shard
                     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                    columns = [pa.array([(part << 32) + done]), pa.array([ids.tobytes()], pa.binary()), one(words), one(pa.array(count)), one(pa.array(lang, pa.int32())), pa.array([names], pa.list_(pa.string()))]
+                    columns = [pa.array([(part << 32) + done]), pa.array([_packed([ids])], pa.binary()), one(words), one(pa.array(count)), one(pa.array(lang, pa.int32())), pa.array([names], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "words", "counts", "lang_of", "langs"])
                     done += 1
 
@@ -152,8 +156,9 @@ def _shard(data: np.ndarray, offsets: np.ndarray, of_row: np.ndarray) -> tuple |
     width = len(coded.dictionary)
     key, ids, count = np.unique(lang * width + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
     words = coded.dictionary.take(pa.array(key % width)).cast(pa.string(), safe=False)
-    ended = np.concatenate([[0], np.cumsum(PIECE_END[data])])
-    after = ended[starts[1:]] > ended[ends[:-1]]
+    after = np.zeros(len(starts) - 1, dtype=bool)
+    before = np.searchsorted(starts, np.flatnonzero(PIECE_END[data]))  # words before each end of a piece
+    after[before[(before > 0) & (before < len(starts))] - 1] = True
     after[of_text[1:-1][(of_text[1:-1] > 0) & (of_text[1:-1] < len(starts))] - 1] = True
     ids = np.insert(ids.astype(np.uint32) + 1, np.flatnonzero(after) + 1, 0)
     return words, (key // width).astype(np.int32), count, ids
@@ -216,6 +221,7 @@ def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bo
     now = index.single_words()
     for k in range(2, size + 1):
         now = index.extended(now, to_left=k % 2 == 1)
+    del index
     columns = [words[now.words[:, k] - 1] for k in range(size)]
     mixed = np.zeros(len(now.count), dtype=np.uint64)
     for c in columns:
@@ -227,10 +233,11 @@ def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bo
     columns = [c[order] for c in [*columns, now.count]]
     grams = [_packed([c[i:j] for c in columns]) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)])]
     n = len(grams)
+    del columns, now
     rows = [pa.array(np.full(n, number)), pa.array(some, pa.int32()), pa.array(grams, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
     out = [pa.Table.from_arrays(rows, schema=_SCHEMA)]
     if go_on:
-        out.append(pa.Table.from_pylist([{"shard": number, "ids": ids.tobytes(), "words": words.tobytes()}], schema=_SCHEMA))
+        out.append(pa.Table.from_pylist([{"shard": number, "ids": _packed([ids]), "words": _packed([words])}], schema=_SCHEMA))
     return pa.concat_tables(out)
 
 
@@ -279,8 +286,8 @@ def _longer(number: int, ids: np.ndarray, words: np.ndarray, grams: np.ndarray,
     return _grown(number, _chains(ids, _holds(ids, grams), grams.shape[1]), words, grams.shape[1] + 1, *how)
 
 
-def _text(column: pa.Array, at: int, dtype) -> np.ndarray:
-    return np.frombuffer(column[at].as_buffer(), dtype=dtype)
+def _numbers(column: pa.Array, at: int, dtype) -> np.ndarray:
+    return _unpacked(column[at].as_buffer(), 1)[0].astype(dtype, copy=False)
 
 
 def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, buckets: int) -> DataFrame:
@@ -290,13 +297,13 @@ def _mapped(left: DataFrame, frequent: Broadcast, size: int, go_on: bool, bucket
         known = frequent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                number, ids = batch.column("shard")[i].as_py(), _text(batch.column("ids"), i, np.uint32)
+                number, ids = batch.column("shard")[i].as_py(), _numbers(batch.column("ids"), i, np.uint32)
                 if size == 2:
                     names = batch.column("langs")[i].values.take(batch.column("lang_of")[i].values)
                     own = pc.binary_join_element_wise(names, batch.column("words")[i].values, "\t")
                     out = _pairs(number, ids, pc.index_in(own, value_set=known).fill_null(-1).to_numpy().astype(np.int64), go_on, buckets)
                 else:
-                    out = _longer(number, ids, _text(batch.column("words"), i, np.int64), known, go_on, buckets)
+                    out = _longer(number, ids, _numbers(batch.column("words"), i, np.int64), known, go_on, buckets)
                 yield from out.to_batches()
 
     return left.mapInArrow(run, _ROWS)
@@ -308,13 +315,13 @@ def _met(left: DataFrame, held: DataFrame, size: int, go_on: bool, buckets: int)
     def run(shard: pa.Table, frequent: pa.Table) -> pa.Table:
         if not shard.num_rows or not frequent.num_rows:
             return _SCHEMA.empty_table()
-        number, ids = shard["shard"][0].as_py(), _text(shard["ids"], 0, np.uint32)
+        number, ids = shard["shard"][0].as_py(), _numbers(shard["ids"], 0, np.uint32)
         if size == 2:
             words = np.full(len(shard["words"][0].values), -1)
             words[frequent["id"].to_numpy()] = frequent["word"].to_numpy()
             return _pairs(number, ids, words, go_on, buckets)
         grams = np.column_stack([frequent[f"w{k}"].to_numpy() for k in range(size - 1)])
-        return _longer(number, ids, _text(shard["words"], 0, np.int64), grams, go_on, buckets)
+        return _longer(number, ids, _numbers(shard["words"], 0, np.int64), grams, go_on, buckets)
 
     of_shard = lambda df, key: df.repartition(buckets, key).groupBy(key)
     return of_shard(left, "shard").cogroup(of_shard(held, "of")).applyInArrow(run, _ROWS)
@@ -334,7 +341,7 @@ def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: i
     """(lang, n of all words), (word, lang, phrase) of the words with at least ``least`` occurrences, and (g, a): words and phrases
     of up to ``most`` words, as lists of word numbers, with at least as many."""
     spark = docs.sparkSession
-    left = stored(shards(docs, shard_bytes), like="shards")
+    left = stored(shards(docs, shard_bytes), like="shards", rows_per_file=1)
     each = left.select("shard", "langs", F.posexplode(F.arrays_zip("words", "counts", "lang_of")).alias("id", "x"))
     rows = each.select("shard", "id", F.get("langs", F.col("x.lang_of")).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("count"))
     totals = stored(rows.groupBy("lang").agg(F.sum("count").alias("n")), like="totals")
@@ -351,7 +358,7 @@ def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: i
             grown = _mapped(left, spark.sparkContext.broadcast(_collected(frequent, size)), size, go_on, buckets)
         else:
             grown = _met(left, _held(rows if size == 2 else _each(grown, size - 1), frequent, size), size, go_on, buckets)
-        grown = stored(grown, like=f"phrases{size}") if go_on else grown
+        grown = stored(grown, like=f"phrases{size}", rows_per_file=SHARDS_IN_FILE * (buckets + 1)) if go_on else grown
         frequent = stored(_summed(grown, size, least, buckets), like=f"frequent{size}")
         known = known.unionByName(frequent.select(F.array(*w).alias("g"), "a"))
         left = grown.where("ids is not null").select("shard", "ids", "words")

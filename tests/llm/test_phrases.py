@@ -1,6 +1,7 @@
 """Collocations against plain counting, and the index against its definition."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.llm import phrases
+from quotemill.llm.common import stored
 
 
 def brute(rows, least, most, reported):
@@ -79,3 +81,25 @@ def test_both_ends_follow():
                     text = np.concatenate([[0], ids, [0]])[:: 1 if side is index.forward else -1]
                     smaller = sum(tuple(x) < tuple(word) for x in np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(k - 1, dtype=int)]), k).tolist())
                     assert at == smaller and count > 0
+
+
+def test_a_reader_has_few_shards_in_memory(spark, monkeypatch):
+    """Spark reads thousands of rows of a file at once: stored files of one task with many shards hold one, or the rows of a few."""
+    files = {}
+    monkeypatch.setattr(phrases, "stored", lambda df, **how: files.setdefault(how["like"], stored(df, **how)))
+    df = spark.createDataFrame(texts(5, 400), "lang string, text string").coalesce(1)
+    phrases.mined(df, least=3, shard_bytes=500)
+    rows = {like: [n for (n,) in found.groupBy(F.input_file_name()).agg(F.count("*")).select("count(1)").collect()] for like, found in files.items()}
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(rows["shards"]))
+    assert len(rows["shards"]) > 20 and max(rows["shards"]) == 1
+    assert all(max(rows[f"phrases{k}"]) <= phrases.SHARDS_IN_FILE * (buckets + 1) for k in (2, 3, 4)) and len(rows["phrases2"]) > 5
+
+
+def test_memory_of_a_shard():
+    rng = np.random.default_rng(6)
+    data = np.frombuffer(" ".join(rng.choice(["the", "collocation", "of.", "words", "x,"], 300_000)).encode(), dtype=np.uint8)
+    tracemalloc.start()
+    words, _, count, ids = phrases._shard(data, np.array([0, len(data)]), np.array([0]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 5 and count.sum() == 300_000 == (ids > 0).sum() and most < 20 * len(data)
