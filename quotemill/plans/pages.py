@@ -10,8 +10,9 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,15 +53,25 @@ _SPARK = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t, _ in ELEMENT) + ">>"
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 _ATTR = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*(=)\s*([\"'])?)?)")
 _BARE = re.compile(r"[^\s>]*")
+_CLOSED = re.compile(r"&(#(?:[0-9]+|[xX][0-9A-Fa-f]+);|\w+;)")
 
 
-def _tokens(page: str) -> Iterator[tuple[str, str, dict | None]]:
+def _closed(text: str) -> str:
+    """Decodes the character references that end in a semicolon."""
+    return _CLOSED.sub(lambda m: unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0]), text)
+
+
+#: How character references are read: as HTML does, which knows ``&amp`` without its semicolon as well, or only those that are closed.
+REFERENCES: dict[str, Callable[[str], str]] = {"html": unescape, "closed": _closed}
+
+
+def _tokens(page: str, decoded: Callable[[str], str] = unescape) -> Iterator[tuple[str, str, dict | None]]:
     """(kind, text or name, attributes) in one pass forwards: ``text``, ``raw``, ``start``, ``end``.  What a page leaves open ends with it."""
     at = 0
     while True:
         begin = page.find("<", at)
         if begin != at:
-            yield "text", unescape(page[at : begin if begin >= 0 else len(page)]), None
+            yield "text", decoded(page[at : begin if begin >= 0 else len(page)]), None
         if begin < 0:
             return
         m = _OPEN.match(page, begin)
@@ -91,7 +102,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, dict | None]]:
             elif a[3]:
                 bare = _BARE.match(page, at)
                 value, at = bare[0], bare.end()
-            attrs.setdefault(a[2].lower(), unescape(value))
+            attrs.setdefault(a[2].lower(), decoded(value))
         yield ("end" if m[3] else "start"), name, attrs
         if not m[3] and name in RAW:
             closed = RAW[name].search(page, at)
@@ -101,7 +112,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, dict | None]]:
 
 
 class _Pass:
-    def __init__(self):
+    def __init__(self, references: str = "html"):
+        self.decoded = REFERENCES[references]
         self.stack, self.open, self.boxes, self.rows, self.words, self.kept, self.told = [], Counter(), [], [], [], [], []
         self.count = self.anchors = self.silent = self.bytes = self.chars = 0
 
@@ -180,7 +192,7 @@ class _Pass:
         self.kept.append(row | {"last": self.count - 1, "to": self.bytes, "attrs": list(node["attrs"].items())})
 
     def run(self, page: str | None) -> _Pass:
-        for kind, text, attrs in _tokens(page or ""):
+        for kind, text, attrs in _tokens(page or "", self.decoded):
             if kind == "start":
                 self.start(text, attrs)
             elif kind == "end":
@@ -191,20 +203,20 @@ class _Pass:
                 if self.stack[-1]["attrs"].get("type", "").strip().lower() == "application/ld+json":
                     self.told.append(text)
             else:
-                self.text(unescape(text))
+                self.text(self.decoded(text))
         while self.stack:
             self._leave()
         self.kept.sort(key=lambda e: e["at"])
         return self
 
 
-def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
+def with_elements(pages: DataFrame, html: str = "html", references: str = "html") -> DataFrame:
     """The pages with ``elements``, all of them in page order; ``words``, the page's text once, each word with a blank behind it, as bytes; and ``told``, the
-    contents of JSON-LD scripts.  The texts of elements are spans of ``words`` (:func:`text_of`), so nested ones cost no copies."""
+    contents of JSON-LD scripts.  The texts of elements are spans of ``words`` (:func:`text_of`), so nested ones cost no copies.  ``references``: a key of ``REFERENCES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, (html,)):  # the elements of a page take many times its bytes
-            found = [_Pass().run(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
+            found = [_Pass(references).run(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
             words = pa.array([("".join(f"{w} " for w in f.words)).encode("utf-8", "replace") for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f.kept for f in found], _ARROW), words, pa.array([f.told for f in found], pa.list_(pa.string()))], [*batch.schema.names, "elements", "words", "told"])
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.plans import pages, text
+from quotemill.plans import pages, registry, text
+from tests.oracle import connection, same
 
 LONG = "word " * 12
 
@@ -161,6 +162,17 @@ def test_fields_by_selector_and_both(spark):
     assert text.page_fields(page(spark, HTML), css | {"title": "h6"}, "css", named).first()["title"] == "the link's text"
 
 
+def test_references_cut_off(spark, tmp_path):
+    """A title that is cut off inside a reference: a character in HTML, its letters in the SQL of ``page_field_merge``."""
+    cut = "<html><head><title>over eight letters &amp;&quot; &amp</title></head><body><nav><ul><li><a href=\"/a\">A &amp; b</a></li></ul></nav><article><h1>with &amp; a heading</h1></article></body></html>"
+    page(spark, cut, cut, cut.replace("&amp</title>", "&am</title>"), cut.replace("&amp</title>", "&amp; &amp;amp</title>")).write.parquet(str(tmp_path / "pages.parquet"))
+    of_page = spark.read.parquet(str(tmp_path / "pages.parquet")).withColumn("html", F.regexp_replace("html", "<h1>.*</h1>", ""))
+    assert {r["title"] for r in text.page_fields(of_page, {}).where("page_id = 0").collect()} == {'over eight letters &" &'}
+    files = connection(str(tmp_path))
+    files.execute(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same(registry.queries()["page_field_merge"](spark, str(tmp_path)), files, registry.oracle_sql()["page_field_merge"])
+
+
 def test_lists_lead_to_articles(spark):
     lists = spark.createDataFrame([(1, "https://n.vn/l/", "<h3><a href='/a?utm_source=x'>A</a></h3><h3><a href='../b'>B</a></h3><h3><a href='/a'>again</a></h3><h3><a href=/c></a></h3><a href='/d'>no heading</a><h3><a href=/e>past the cap</a></h3>")], "list_id int, url string, html string")
     d = spark.createDataFrame([(i, f"https://n.vn/{c}", h) for i, (c, h) in enumerate([("a", "<h1>title of a</h1><p>body</p>"), ("b", "<h1>no text, no date</h1>"), ("c", "<p>c</p>"), ("d", "<p>d</p>"), ("e", "<p>e</p>"), ("a", "<p>twice</p>")])], "page_id int, url string, html string")
