@@ -9,8 +9,9 @@ Counts are sums over shards, so a shard has to report what is rare in it as well
 frequent enough has no rarer part.  Counts travel packed: a row has those of a shard that fall into one bucket of phrases, and a bucket is summed in
 one task, which holds about as many phrases as a shard.  For phrases of k + 1 words a shard indexes only the chains of its text in which phrases
 of k words that are frequent over all shards follow each other.  Frequent words have numbers without gaps, phrases are rows of
-these.  Up to ``KNOWN_TO_ALL`` frequent words (or phrases of a length) are sent to all tasks; where there are more they are joined to the shards
-that hold them, behind a table of at most 8 MB of hash bits that spares most rare ones that shuffle.  The result is the same.
+these.  Up to ``KNOWN_TO_ALL`` frequent words (or phrases of a length) are sent to all tasks.  Where there are more, words are joined to the shards
+that hold them, behind a table of at most 8 MB of hash bits that spares most rare ones that shuffle, and a bucket returns to each shard its
+frequent phrases, packed.  The result is the same.
 
 Spark reads up to 4,096 rows of a file at once, whatever their bytes, so a stored file holds one shard, or the phrases and texts of
 ``SHARDS_IN_FILE``.
@@ -241,33 +242,48 @@ def _grown(number: int, ids: np.ndarray, words: np.ndarray, size: int, go_on: bo
     return pa.concat_tables(out)
 
 
+def _sums(grams: list[bytes], size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of a bucket from all shards (columns, a phrase once for each shard), their order by words, where a phrase is first in it, and its
+    count there; 0 if that is less than ``least``."""
+    all_ = np.concatenate([_unpacked(g, size + 1) for g in grams], axis=1)
+    order = np.lexsort(all_[:size][::-1])
+    first = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in all_[:size]], axis=0)])
+    total = np.add.reduceat(all_[size][order], np.flatnonzero(first))
+    return all_, order, first, np.where(total >= least, total, 0)
+
+
+def _in_buckets(grown: DataFrame, buckets: int):
+    """Packed phrases grouped by their buckets.  A bucket has about a shard's phrases."""
+    return grown.where("grams is not null").select("shard", "bucket", "grams").repartition(buckets, "bucket").groupBy("bucket")
+
+
 def _summed(grown: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
-    """w0, w1, ..., a: the phrases whose counts in all shards come to ``least``.  A bucket has about a shard's phrases."""
+    """w0, w1, ..., a: the phrases whose counts in all shards come to ``least``."""
     w = [f"w{k}" for k in range(size)]
 
     def run(parts: pa.Table) -> pa.Table:
-        all_ = np.concatenate([_unpacked(g, size + 1) for g in parts["grams"].to_pylist()], axis=1)
-        all_ = all_[:, np.lexsort(all_[:size][::-1])]
-        first = np.flatnonzero(np.concatenate([[True], (all_[:size, 1:] != all_[:size, :-1]).any(axis=0)]))
-        total = np.add.reduceat(all_[size], first)
-        kept = total >= least
-        return pa.table({c: all_[k][first[kept]] for k, c in enumerate(w)} | {"a": total[kept]})
+        all_, order, first, total = _sums(parts["grams"].to_pylist(), size, least)
+        at = order[first][total > 0]
+        return pa.table({c: all_[k][at] for k, c in enumerate(w)} | {"a": total[total > 0]})
 
-    parts = grown.where("grams is not null").select("bucket", "grams").repartition(buckets, "bucket")
-    return parts.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} long" for c in [*w, "a"]))
+    return _in_buckets(grown, buckets).applyInArrow(run, ", ".join(f"{c} long" for c in [*w, "a"]))
 
 
-def _each(grown: DataFrame, size: int) -> DataFrame:
-    """shard, w0, w1, ...: the phrases of each shard as rows."""
-    w = [f"w{k}" for k in range(size)]
+def _held_phrases(grown: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
+    """of (a shard), grams: the phrases of :func:`_summed` that the shard holds, packed, some for each bucket.  Buckets tell it: rows of single
+    phrases need not be joined."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, grams in zip(batch.column("shard").to_pylist(), batch.column("grams").to_pylist()):
-                columns = _unpacked(grams, size + 1)[:size]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(columns.shape[1], number)), *map(pa.array, columns)], ["shard", *w])
+    def run(parts: pa.Table) -> pa.Table:
+        grams = parts["grams"].to_pylist()
+        all_, order, first, total = _sums(grams, size, least)
+        kept = np.empty(len(order), dtype=bool)
+        kept[order] = (total > 0)[np.cumsum(first) - 1]
+        ends = np.cumsum([_unpacked(g, size + 1).shape[1] for g in grams]).tolist()
+        out = [(of, all_[:size, i:j][:, kept[i:j]]) for of, i, j in zip(parts["shard"].to_pylist(), [0, *ends], ends)]
+        out = [(of, _packed(list(columns))) for of, columns in out if columns.size]
+        return pa.table({"of": pa.array([of for of, _ in out], pa.int64()), "grams": pa.array([g for _, g in out], pa.binary())})
 
-    return grown.where("grams is not null").select("shard", "grams").mapInArrow(run, ", ".join(f"{c} long" for c in ["shard", *w]))
+    return _in_buckets(grown, buckets).applyInArrow(run, "of long, grams binary")
 
 
 def _pairs(number: int, old: np.ndarray, words: np.ndarray, *how) -> pa.Table:
@@ -320,7 +336,7 @@ def _met(left: DataFrame, held: DataFrame, size: int, go_on: bool, buckets: int)
             words = np.full(len(shard["words"][0].values), -1)
             words[frequent["id"].to_numpy()] = frequent["word"].to_numpy()
             return _pairs(number, ids, words, go_on, buckets)
-        grams = np.column_stack([frequent[f"w{k}"].to_numpy() for k in range(size - 1)])
+        grams = np.concatenate([_unpacked(g, size - 1) for g in frequent["grams"].to_pylist()], axis=1).T
         return _longer(number, ids, _numbers(shard["words"], 0, np.int64), grams, go_on, buckets)
 
     of_shard = lambda df, key: df.repartition(buckets, key).groupBy(key)
@@ -357,7 +373,7 @@ def mined(docs: DataFrame, least: int = LEAST, most: int = WORDS, shard_bytes: i
         if n <= KNOWN_TO_ALL and width <= 32 * KNOWN_TO_ALL:
             grown = _mapped(left, spark.sparkContext.broadcast(_collected(frequent, size)), size, go_on, buckets)
         else:
-            grown = _met(left, _held(rows if size == 2 else _each(grown, size - 1), frequent, size), size, go_on, buckets)
+            grown = _met(left, _held_words(rows, frequent) if size == 2 else _held_phrases(grown, size - 1, least, buckets), size, go_on, buckets)
         grown = stored(grown, like=f"phrases{size}", rows_per_file=SHARDS_IN_FILE * (buckets + 1)) if go_on else grown
         frequent = stored(_summed(grown, size, least, buckets), like=f"frequent{size}")
         known = known.unionByName(frequent.select(F.array(*w).alias("g"), "a"))
@@ -372,13 +388,13 @@ def _collected(frequent: DataFrame, size: int):
     return np.column_stack([c.to_numpy() for c in frequent.select(*(f"w{k}" for k in range(size - 1))).toArrow().columns])
 
 
-def _held(rows: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """of (a shard) with the frequent words (id, word) or phrases that it holds."""
-    w = ["lang", "phrase"] if size == 2 else [f"w{k}" for k in range(size - 1)]
+def _held_words(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """of (a shard), id, word: the frequent words that the shard holds."""
+    w = ["lang", "phrase"]
     maybe = may_be_among(frequent.select(F.xxhash64(*w).alias("key")), "key")
-    f = frequent.select(*(F.col(c).alias(f"f_{c}") for c in w), *(["word"] if size == 2 else []))
+    f = frequent.select(*(F.col(c).alias(f"f_{c}") for c in w), "word")
     on = functools.reduce(Column.__and__, (F.col(c) == F.col(f"f_{c}") for c in w))
-    return rows.where(maybe(F.xxhash64(*w))).join(f, on).select(F.col("shard").alias("of"), *(["id", "word"] if size == 2 else w))
+    return rows.where(maybe(F.xxhash64(*w))).join(f, on).select(F.col("shard").alias("of"), "id", "word")
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:

@@ -103,3 +103,12 @@ def test_memory_of_a_shard():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(words) == 5 and count.sum() == 300_000 == (ids > 0).sum() and most < 20 * len(data)
+
+
+def test_shards_meet_packed_phrases(spark, monkeypatch):
+    """More frequent phrases than all tasks may know: their rows are not joined one by one, behind a second Python worker for each task."""
+    plans, met = [], phrases._met
+    monkeypatch.setattr(phrases, "KNOWN_TO_ALL", 0)
+    monkeypatch.setattr(phrases, "_met", lambda left, held, size, *how: (plans.append((size, held._jdf.queryExecution().toString())), met(left, held, size, *how))[1])
+    phrases.mined(spark.createDataFrame(texts(7, 60), "lang string, text string"), least=3, most=3, shard_bytes=2000)
+    assert [size for size, _ in plans] == [2, 3] and "Join" in plans[0][1] and "Join" not in plans[1][1] and "ArrowEvalPython" not in plans[1][1]
